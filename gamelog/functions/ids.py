@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gamelog.functions.cols import as_col
 
@@ -83,7 +84,7 @@ def _hash_json_text(text: str | None) -> str | None:
     return hashlib.sha256(canonical.encode()).hexdigest()[:16]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_payload_hash(texts: pd.Series) -> pd.Series:
     """Payload hash of free-form JSON text, with Python's number and escape forms.
 

@@ -6,9 +6,10 @@ window functions, and a small per-segment summary (one row per segment) carries
 across segment borders: a parallel prefix scan expressed with DataFrame operations.
 
 Segments come either from range partitioning on (group, order), which splits a hot group
-across tasks by sampled boundaries, or from a caller-supplied ``chunk`` column that is
-non-decreasing in the order and bounds the rows per chunk (for example a log offset
-divided by a chunk size); the latter needs one shuffle instead of two.
+across tasks by sampled boundaries (the segmented rows are checkpointed once so every reader
+sees the same segments), or from a caller-supplied ``chunk`` column that is non-decreasing in
+the order and bounds the rows per chunk (for example a log offset divided by a chunk size);
+the latter is deterministic, needs no checkpoint and one shuffle fewer.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gamelog.session import ensure_checkpoint_dir
+
 _SEG = "_scan_seg"
 _RN = "_scan_rn"
 
@@ -29,6 +32,7 @@ def ordered_scan(
     *,
     prev: Sequence[str] = (),
     fill: Sequence[str] = (),
+    before: Sequence[str] = (),
     first: Sequence[str] = (),
     ordinal: str | None = None,
     chunk: Column | None = None,
@@ -38,6 +42,7 @@ def ordered_scan(
 
     - ``prev_<c>``: value of ``c`` in the previous row of the group (NULL on the first row);
     - ``fill_<c>``: last non-null ``c`` up to and including this row (forward fill);
+    - ``before_<c>``: last non-null ``c`` strictly before this row;
     - ``first_<c>``: value of ``c`` in the first row of the group;
     - ``ordinal``: 0-based position of the row in its group.
     """
@@ -45,6 +50,12 @@ def ordered_scan(
     if chunk is None:
         n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         base = df.repartitionByRange(n, *group, *order).withColumn(_SEG, F.spark_partition_id())
+        # The segment of a row depends on sampled range boundaries; the scan reads the
+        # segmented rows twice (local windows and the summary), so both reads must see one
+        # assignment. A reliable checkpoint in the shared checkpoint folder fixes it once and
+        # cuts the lineage, so a lost executor recomputes from the checkpoint.
+        ensure_checkpoint_dir(df.sparkSession)
+        base = base.checkpoint(eager=True)
     else:
         base = df.withColumn(_SEG, chunk)
 
@@ -53,27 +64,31 @@ def ordered_scan(
     local = base.withColumn(_RN, F.row_number().over(w))
     for c in prev:
         local = local.withColumn(f"_lp_{c}", F.lag(c).over(w))
+    w_excl = w.rowsBetween(Window.unboundedPreceding, -1)
     for c in fill:
         local = local.withColumn(f"_lf_{c}", F.last(c, ignorenulls=True).over(w_run))
+    for c in before:
+        local = local.withColumn(f"_lb_{c}", F.last(c, ignorenulls=True).over(w_excl))
+    carried = list(dict.fromkeys([*fill, *before]))
 
     # One summary row per (group, segment); aggregated map-side before any shuffle.
     pos = F.struct(*order)
     aggs = [F.count(F.lit(1)).alias("_s_n")]
     aggs += [F.max_by(F.col(c), pos).alias(f"_sl_{c}") for c in prev]
     aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(f"_sf_{c}")
-             for c in fill]
+             for c in carried]
     aggs += [F.min_by(F.col(c), pos).alias(f"_s1_{c}") for c in first]
     summary = base.groupBy(*group, _SEG).agg(*aggs)
 
     ws = Window.partitionBy(*group).orderBy(_SEG)
-    before = ws.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ws.rowsBetween(Window.unboundedPreceding, -1)
     whole = ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     keyed = [F.col(g).alias(f"_k_{i}") for i, g in enumerate(group)]
     carry = summary.select(
         *keyed, F.col(_SEG).alias("_k_seg"),
-        F.coalesce(F.sum("_s_n").over(before), F.lit(0)).alias("_c_n"),
+        F.coalesce(F.sum("_s_n").over(earlier), F.lit(0)).alias("_c_n"),
         *[F.lag(f"_sl_{c}").over(ws).alias(f"_cp_{c}") for c in prev],
-        *[F.last(f"_sf_{c}", ignorenulls=True).over(before).alias(f"_cf_{c}") for c in fill],
+        *[F.last(f"_sf_{c}", ignorenulls=True).over(earlier).alias(f"_cf_{c}") for c in carried],
         *[F.first(f"_s1_{c}").over(whole).alias(f"_c1_{c}") for c in first],
     )
 
@@ -86,11 +101,13 @@ def ordered_scan(
                              .otherwise(F.col(f"_lp_{c}")))
     for c in fill:
         out = out.withColumn(f"fill_{c}", F.coalesce(F.col(f"_lf_{c}"), F.col(f"_cf_{c}")))
+    for c in before:
+        out = out.withColumn(f"before_{c}", F.coalesce(F.col(f"_lb_{c}"), F.col(f"_cf_{c}")))
     for c in first:
         out = out.withColumn(f"first_{c}", F.col(f"_c1_{c}"))
     if ordinal:
         out = out.withColumn(ordinal, (F.col("_c_n") + F.col(_RN) - 1).cast("long"))
-    drop = [c for c in out.columns if c.startswith(("_scan_", "_lp_", "_lf_", "_k_", "_c_",
+    drop = [c for c in out.columns if c.startswith(("_scan_", "_lp_", "_lf_", "_lb_", "_k_", "_c_",
                                                      "_cp_", "_cf_", "_c1_"))]
     return out.drop(*drop)
 

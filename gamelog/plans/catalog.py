@@ -7,18 +7,14 @@ and types of both sides match.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gamelog.operators import replay, serve
 from gamelog.plans.oracle import ACTIVE_CTE, EV_CTE, GM_CTE
+from gamelog.plans.registry import ORACLE, QUERIES, register  # noqa: F401
 from gamelog.sources import testdata as td
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
 # ---- fixed values: query parameters ----
 REPLAY_SINCE = "2024-01-05 00:00:00"
 REPLAY_UNTIL = "2024-01-20 00:00:00"
@@ -26,15 +22,6 @@ REPLAY_SPEED = 10.0
 # ---- end of fixed values ----
 
 
-def register(name: str, sql: str | None = None):
-    def wrap(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return wrap
-
-
 def _ev(spark, sf):
     return td.events_table(spark, sf)
 
@@ -145,3 +132,7 @@ def q_replay_schedule(spark, sf):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_latest_per_active_game(spark, sf_dir)
+
+
+# The remaining query families register themselves on import.
+from gamelog.plans import ids_queries, ingest_queries, log_queries, metric_queries  # noqa: E402,F401

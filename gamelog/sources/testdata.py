@@ -312,3 +312,51 @@ def schedule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.col("chunk").cast("string").alias("doc_id"),
         F.to_json(F.struct(F.array(F.struct(F.col("games"))).alias("dates"))).alias("value"))
+
+
+# ---------------------------------------------------------------- prior state
+
+
+def existing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events table as left by an earlier run: one pitch per order (ids overlap the log's)."""
+    od = read_table(spark, sf_dir, "orders")
+    return od.select(
+        F.concat_ws(":", F.lit("mlb"), F.col("o_orderkey").cast("string"), F.lit("pitch"),
+                    F.lit("1"), F.floor(F.col("o_totalprice") / 100000).cast("int").cast("string"))
+        .alias("event_id"),
+        F.lit("pitch").alias("event_type"), F.lit("mlb").alias("sport"),
+        F.col("o_orderkey").cast("string").alias("game_pk"),
+        F.col("o_orderdate").alias("event_time"), F.col("o_orderdate").alias("source_time"),
+        F.col("o_orderdate").alias("ingest_time"), F.lit("{}").alias("payload"))
+
+
+def stored_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enricher state stored earlier for the games (orders) that were already finished."""
+    od = read_table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+    pr = F.col("o_orderpriority")
+    return od.select(
+        F.col("o_orderkey").cast("string").alias("game_pk"),
+        F.floor(F.col("o_totalprice") / 100000).cast("int").alias("home_score"),
+        F.length(pr).cast("int").alias("away_score"),
+        (pr == "1-URGENT").alias("runner_on_first"),
+        F.lit(False).alias("runner_on_second"),
+        pr.isin("1-URGENT", "2-HIGH").alias("runner_on_third"),
+        F.month("o_orderdate").cast("int").alias("inning"),
+        F.lit(0).alias("outs"))
+
+
+def cursor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publish cursors left by an earlier run: per game (customer), up to pitch 3 of the
+    customer's first finished order."""
+    od = read_table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+    return od.groupBy("o_custkey").agg(F.min("o_orderkey").alias("k")).select(
+        F.col("o_custkey").cast("string").alias("game_pk"),
+        F.col("k").cast("int").alias("last_at_bat_index"),
+        F.lit(3).alias("last_pitch_number"),
+        F.timestamp_add("SECOND", F.col("o_custkey"), F.lit(EPOCH_2024).cast("timestamp_ntz"))
+        .cast("timestamp").alias("updated_at"))
+
+
+def tracked_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games already being polled: those the games table shows in progress."""
+    return games_table(spark, sf_dir).filter(F.col("status") == "In Progress").select("game_pk")
