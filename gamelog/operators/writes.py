@@ -27,8 +27,15 @@ def first_arrivals(rows: DataFrame, key: str = "event_id",
 
 def insert_if_new(batch: DataFrame, table: DataFrame, key: str = "event_id",
                   arrival: Sequence[str] = ARRIVAL) -> DataFrame:
-    """Rows of ``batch`` to append: first arrival per key, and only keys not in ``table``."""
-    return first_arrivals(batch, key, arrival).join(table.select(key), key, "left_anti")
+    """Rows of ``batch`` to append: first arrival per key, and only keys not in ``table``.
+
+    The table is probed with the batch's keys first (semi join, the batch being the small
+    side AQE can broadcast), so the big table is scanned for one column and never shuffled;
+    the anti join then runs between two batch-sized frames.
+    """
+    firsts = first_arrivals(batch, key, arrival)
+    known = table.select(key).join(firsts.select(key), key, "left_semi")
+    return firsts.join(known, key, "left_anti")
 
 
 def write_outcomes(batch: DataFrame, table: DataFrame, key: str = "event_id",

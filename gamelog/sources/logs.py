@@ -53,10 +53,11 @@ def decode_pitches(log: DataFrame) -> DataFrame:
     )
 
 
-def encode_pitches(pitches: DataFrame, topic: str) -> DataFrame:
+def encode_pitches(pitches: DataFrame, topic: str, keep: tuple = ()) -> DataFrame:
     """Flat pitch rows -> log records keyed by game (the per-game order key).
 
-    ``event_type`` / ``sport`` short names become enum numbers at the wire.
+    ``event_type`` / ``sport`` short names become enum numbers at the wire; ``keep`` names
+    extra columns to carry along (for example the feed order).
     """
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
     spine = F.struct(
@@ -68,7 +69,7 @@ def encode_pitches(pitches: DataFrame, topic: str) -> DataFrame:
     return pitches.select(
         F.col("game_pk").cast("binary").alias("key"),
         F.to_json(body).cast("binary").alias("value"),
-        F.lit(topic).alias("topic"))
+        F.lit(topic).alias("topic"), *[F.col(c) for c in keep])
 
 
 def spine_columns() -> list[Column]:
