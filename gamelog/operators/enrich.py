@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from gamelog.functions.ids import pitch_id
 from gamelog.functions.scan import ordered_scan
-from gamelog.sources.schemas import CONTEXT_DEFAULTS, CONTEXT_FIELDS, PITCH_COLUMNS, SPINE_FIELDS
+from gamelog.sources.schemas import (CONTEXT_DEFAULTS, CONTEXT_FIELDS, PITCH, PITCH_COLUMNS,
+                                     SPINE_FIELDS)
 
 ARRIVAL = ["partition", "offset"]
 # Rows per scan chunk: log offsets are dense, so a chunk never exceeds this many rows.
@@ -89,7 +90,12 @@ def enriched_rows(ctx: DataFrame) -> DataFrame:
         pitch_id(F.col("game_pk"), ab, n).alias("event_id"),
         F.lit("pitch").alias("event_type"), F.lit("mlb").alias("sport"), F.col("game_pk"),
         *[F.coalesce(F.col(c), epoch).alias(c) for c in ("event_time", "source_time", "ingest_time")])
-    pitch = F.struct(*[F.col(c) for c in SPINE_FIELDS], *[F.col(c) for c in PITCH_COLUMNS])
+    def field(c: str):
+        if c in ctx.columns:
+            return F.col(c)
+        return F.lit(None).cast(PITCH[c].dataType).alias(c)
+
+    pitch = F.struct(*[field(c) for c in SPINE_FIELDS], *[field(c) for c in PITCH_COLUMNS])
     return ctx.select(
         *ARRIVAL, spine.alias("spine"), pitch.alias("pitch"),
         *[F.col(f"ctx_{c}").alias(c) for c in CARRIED],
