@@ -27,10 +27,13 @@ def raw_payload_value(raw_text: Column) -> Column:
             .otherwise(F.try_parse_json(raw_text)))
 
 
-def _pitch_items(prefix: str = "", keep_raw_text: bool = False) -> list[Column]:
+def _pitch_items(prefix: str = "", keep_raw_text: bool = False,
+                 available: set | None = None) -> list[Column]:
+    """Pitch fields; a column missing from ``available`` is an unset optional (NULL)."""
     items = []
-    for name, _ in PITCH_FIELDS:
-        col = F.col(prefix + name)
+    for name, dtype in PITCH_FIELDS:
+        present = available is None or name in available
+        col = F.col(prefix + name) if present else F.lit(None).cast(dtype)
         if name == "raw_payload_json":
             items.append(col.alias(name) if keep_raw_text
                          else raw_payload_value(col).alias("raw_payload"))
@@ -44,7 +47,7 @@ def _pitch_items(prefix: str = "", keep_raw_text: bool = False) -> list[Column]:
 def pitch_payload(pitches: DataFrame) -> Column:
     """Flat payload of a pitch: spine at the top level, enum short names, ISO-8601 UTC
     times, absent optionals omitted (``to_json`` drops NULLs), raw JSON as ``raw_payload``."""
-    return F.to_json(F.struct(*_spine_items(), *_pitch_items()))
+    return F.to_json(F.struct(*_spine_items(), *_pitch_items(available=set(pitches.columns))))
 
 
 def enriched_payload(enriched: DataFrame) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gamelog.functions.cols import seconds_between
 from gamelog.functions.scan import ordered_scan
+from gamelog.operators.payload import payload_to_pitch
+from gamelog.sources.logs import encode_pitches
 
 REPLAY_ORDER = ["event_time", "event_id"]
 
@@ -59,3 +61,15 @@ def replay_schedule(events: DataFrame, speed: float = 1.0, game_pk: str | None =
         (seconds_between(F.col("event_time"), F.col("first_event_time")) / F.lit(float(speed)))
         .alias("release_offset_s"),
     )
+
+
+def republish(events: DataFrame, topic: str, game_pk: str | None = None, since=None,
+              until=None) -> DataFrame:
+    """Rebuild each pitch from its stored payload (original ids and times kept) and encode
+    it as a log record keyed by game, with its replay position; ``count()`` of the result
+    is the number republished. Repeats are absorbed downstream by insert-if-new."""
+    rows = replay_sequence(events, game_pk, since, until)
+    pitches = payload_to_pitch(rows.select("game_pk", "seq", "payload").withColumnRenamed(
+        "game_pk", "_game"))
+    pitches = pitches.withColumn("game_pk", F.coalesce(F.col("game_pk"), F.col("_game")))
+    return encode_pitches(pitches, topic, keep=("seq",))

@@ -40,13 +40,20 @@ def insert_if_new(batch: DataFrame, table: DataFrame, key: str = "event_id",
 
 def write_outcomes(batch: DataFrame, table: DataFrame, key: str = "event_id",
                    arrival: Sequence[str] = ARRIVAL) -> DataFrame:
-    """Outcome per message: ``written`` for the first arrival of a new key, else ``duplicate``."""
-    firsts = batch.groupBy(key).agg(F.min(F.struct(*arrival)).alias("_first_pos"))
-    known = table.select(key).distinct().withColumn("_known", F.lit(True))
-    out = batch.join(firsts, key).join(known, key, "left")
-    written = F.col("_known").isNull() & (F.struct(*arrival) == F.col("_first_pos"))
-    return out.withColumn("outcome", F.when(written, F.lit(OUTCOME_WRITTEN))
-                          .otherwise(F.lit(OUTCOME_DUPLICATE))).drop("_first_pos", "_known")
+    """Outcome per message: ``written`` for the first arrival of a new key, else ``duplicate``.
+
+    The written messages are found per key with a map-side ``min`` and then matched back on
+    (key, arrival), a unique triple, so a key with millions of copies never forms one large
+    join key; the table is probed with the batch's keys only.
+    """
+    firsts = batch.groupBy(key).agg(F.min(F.struct(*arrival)).alias("_p"))
+    known = table.select(key).join(firsts.select(key), key, "left_semi")
+    written = (firsts.join(known, key, "left_anti")
+               .select(key, *[F.col(f"_p.{c}").alias(c) for c in arrival])
+               .withColumn("_written", F.lit(True)))
+    out = batch.join(written, [key, *arrival], "left")
+    return out.withColumn("outcome", F.when(F.col("_written"), F.lit(OUTCOME_WRITTEN))
+                          .otherwise(F.lit(OUTCOME_DUPLICATE))).drop("_written")
 
 
 def latest_per_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

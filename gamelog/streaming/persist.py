@@ -17,12 +17,19 @@ from gamelog.operators import payload, validate, writes
 from gamelog.sources import logs, tables
 from gamelog.sources.schemas import EVENTS_TABLE
 
-EVENT_CLUSTER = ["game_pk", "event_time"]
+EVENT_CLUSTER = ["game_bucket", "game_pk", "event_time"]
 
 
-def _without_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    schema = T.StructType(EVENTS_TABLE.fields + [T.StructField("batch_id", T.LongType())])
-    return tables.read_or_empty(spark, path, schema).filter(F.col("batch_id") != F.lit(batch_id))
+def _without_batch(spark: SparkSession, path: str, batch_id: int, buckets: list[int]) -> DataFrame:
+    """The events table before this batch, restricted to the batch's game buckets.
+
+    Files are sorted by bucket, so the IN filter is pushed to the Parquet scan and skips the
+    row groups of every other game; only the ``event_id`` column is read.
+    """
+    schema = T.StructType(EVENTS_TABLE.fields + [T.StructField("game_bucket", T.IntegerType()),
+                                                 T.StructField("batch_id", T.LongType())])
+    t = tables.read_or_empty(spark, path, schema)
+    return t.filter((F.col("batch_id") != F.lit(batch_id)) & F.col("game_bucket").isin(buckets))
 
 
 def persist_batch(batch: DataFrame, batch_id: int, events_path: str, dlq_path: str) -> dict:
@@ -34,9 +41,11 @@ def persist_batch(batch: DataFrame, batch_id: int, events_path: str, dlq_path: s
         letters = validate.dead_letters(validate.bad_records(v),
                                         iso_utc(F.current_timestamp()))
         tables.write_batch_partition(letters, dlq_path, batch_id)
-        existing = _without_batch(spark, events_path, batch_id)
+        # at most GAME_BUCKETS small integers reach the driver
+        buckets = [r[0] for r in good.select(tables.game_bucket(F.col("game_pk"))).distinct().collect()]
+        existing = _without_batch(spark, events_path, batch_id, buckets)
         new = writes.insert_if_new(good, existing)
-        rows = payload.events_row(new)
+        rows = payload.events_row(new).withColumn("game_bucket", tables.game_bucket(F.col("game_pk")))
         tables.write_batch_partition(rows, events_path, batch_id, cluster_by=EVENT_CLUSTER)
         counts = v.agg(F.count_if(F.col("error_kind").isNull()).alias("good"),
                        F.count_if(F.col("error_kind").isNotNull()).alias("dead_letters")).first()

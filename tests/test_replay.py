@@ -45,3 +45,22 @@ def test_bounds_inclusive_and_no_sport_filter(spark):
                                  until=T0 + timedelta(seconds=20)).orderBy("seq").collect()
     assert [r.event_id for r in got] == ["mlb:1:pitch:1:1", "mlb:1:pitch:2:1"]
     assert [r.seq for r in got] == [0, 1]
+
+
+def test_republish_round_trip(spark):
+    from gamelog.operators import payload, validate
+    from gamelog.sources import logs
+    pitches = spark.createDataFrame(
+        [("mlb:1:pitch:0:1", "pitch", "mlb", "1", T0, T0, T0, 0, 1, 3),
+         ("mlb:1:pitch:0:2", "pitch", "mlb", "1", T0 + timedelta(seconds=5), T0, T0, 0, 2, None)],
+        "event_id string, event_type string, sport string, game_pk string, event_time timestamp, "
+        "source_time timestamp, ingest_time timestamp, at_bat_index int, pitch_number int, inning int")
+    events = payload.events_row(pitches)
+    recs = replay.republish(events, "raw", game_pk="1")
+    assert recs.count() == 2
+    log = recs.withColumn("partition", F.lit(0)).withColumn("offset", F.col("seq")) \
+        .withColumn("timestamp", F.current_timestamp())
+    back = validate.validate(logs.decode_pitches(log)).orderBy("offset").collect()
+    assert [r.event_id for r in back] == ["mlb:1:pitch:0:1", "mlb:1:pitch:0:2"]
+    assert back[0].error_kind is None and back[0].inning == 3 and back[1].inning is None
+    assert back[1].event_time == T0 + timedelta(seconds=5)
