@@ -100,3 +100,11 @@ def enriched_rows(ctx: DataFrame) -> DataFrame:
         *ARRIVAL, spine.alias("spine"), pitch.alias("pitch"),
         *[F.col(f"ctx_{c}").alias(c) for c in CARRIED],
         F.col("ctx_inning").alias("context_inning"), F.col("ctx_outs").alias("context_outs"))
+
+
+def enriched_log_records(enriched: DataFrame, topic: str) -> DataFrame:
+    """Enriched events as log records keyed by game (the raw log's key), JSON payload value."""
+    from gamelog.operators.payload import enriched_payload
+    return enriched.select(F.col("spine.game_pk").cast("binary").alias("key"),
+                           enriched_payload(enriched).cast("binary").alias("value"),
+                           F.lit(topic).alias("topic"))

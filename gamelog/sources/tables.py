@@ -74,3 +74,15 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType,
         t = t.filter(F.col("batch_id") < F.lit(int(before)))
     latest = t.agg(F.max("batch_id").alias("_v"))
     return t.join(latest, t.batch_id == latest._v).select(*schema.fieldNames())
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The events table with its declared schema (no inference, filters pushed to Parquet)."""
+    from gamelog.sources.schemas import EVENTS_TABLE
+    return spark.read.schema(EVENTS_TABLE).parquet(path)
+
+
+def read_games(spark: SparkSession, path: str) -> DataFrame:
+    """Latest version of the games snapshot table."""
+    from gamelog.sources.schemas import GAMES_TABLE
+    return read_snapshot(spark, path, GAMES_TABLE)

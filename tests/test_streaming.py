@@ -79,3 +79,31 @@ def test_feed_to_serving(spark, scratch):
     assert len(latest) == 1 and latest[0].event_id == "mlb:745612:pitch:1:1"
     assert latest[0].status == "In Progress"
     _ = F
+
+
+def test_read_schedules_by_landing_date(spark, scratch):
+    from gamelog.operators import extract
+    from gamelog.sources import documents
+    base = os.path.join(scratch, "sched")
+    _land(os.path.join(base, "date=2024-07-15"), "a.json",
+          {"dates": [{"games": [{"gamePk": 1, "status": {"statusCode": "I"}}]}]})
+    _land(os.path.join(base, "date=2024-07-16"), "b.json",
+          {"dates": [{"games": [{"gamePk": 2, "status": {"statusCode": "I"}}]}]})
+    docs = documents.read_schedules(spark, base, date="2024-07-16")
+    keys = extract.live_game_keys(extract.schedule_games(docs)).collect()
+    assert [k.game_pk for k in keys] == ["2"]
+
+
+def test_enriched_log_records(spark):
+    from datetime import datetime
+    from gamelog.operators import enrich
+    p = spark.createDataFrame([("g", 0, 1, "mlb:g:pitch:1:1", 1, 1, 3, 1, datetime(2024, 7, 15), None, None)],
+                              "game_pk string, partition int, offset long, event_id string, at_bat_index int, "
+                              "pitch_number int, inning int, outs int, event_time timestamp, "
+                              "source_time timestamp, ingest_time timestamp")
+    recs = enrich.enriched_log_records(enrich.enriched_rows(enrich.rolling_context(p)), "enriched")
+    r = recs.collect()[0]
+    d = json.loads(bytes(r.value))
+    assert bytes(r.key) == b"g" and d["event_id"] == "mlb:g:pitch:1:1"
+    assert d["pitch"]["spine"]["event_id"] == "mlb:g:pitch:1:1" and d["pitch"]["inning"] == 3
+    assert d["home_score"] == 0 and d["source_time"] == "1970-01-01T00:00:00+00:00"
