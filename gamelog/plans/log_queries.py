@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 
 from gamelog.functions.times import to_ntz
 from gamelog.operators import enrich, metrics, payload, validate, writes
-from gamelog.plans.oracle import (EVENT_TYPE_NUMBER_SQL, LOG_CTES, RAW_CTE, VAL_CTE)
+from gamelog.plans.oracle import EVENT_TYPE_NUMBER_SQL, LOG_CTES
 from gamelog.plans.registry import FIXED_NOW_ISO, register
 from gamelog.sources import logs
 from gamelog.sources import testdata as td
 
-SPINE_NTZ = ["event_id", "event_type", "sport", "game_pk"]
-
 
 def validated(spark: SparkSession, sf: str) -> DataFrame:
     return validate.validate(logs.decode_pitches(td.raw_log(spark, sf)))
@@ -310,5 +308,3 @@ FROM p WHERE prev IS NOT NULL AND pitch_number - prev > 1""")
 def q_gap_audit(spark, sf):
     return metrics.gap_audit(good(spark, sf))
 
-
-_ = (RAW_CTE, VAL_CTE, SPINE_NTZ)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gamelog.functions.scan import ordered_scan
 from gamelog.operators import cursor, extract, writes
@@ -73,5 +72,3 @@ def start_ingest(docs_stream: DataFrame, log_path: str, cursor_path: str, games_
                                                          games_path)))
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
-
-_ = T

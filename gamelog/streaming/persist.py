@@ -56,8 +56,16 @@ def persist_batch(batch: DataFrame, batch_id: int, events_path: str, dlq_path: s
 
 def start_persist(log_stream: DataFrame, events_path: str, dlq_path: str, checkpoint: str,
                   trigger: dict | None = None):
-    """Start the persist query on a log-shaped stream (file or Kafka source)."""
-    writer = (log_stream.writeStream.option("checkpointLocation", checkpoint)
+    """Start the persist query on a log-shaped stream (file or Kafka source).
+
+    Per-batch record counts by validity are published as observed metrics
+    (``lastProgress["observedMetrics"]["raw_records"]``), the streaming form of the
+    message counters.
+    """
+    observed = log_stream.observe(
+        "raw_records", F.count(F.lit(1)).alias("records"),
+        F.count_if(F.col("value").isNull()).alias("null_values"))
+    writer = (observed.writeStream.option("checkpointLocation", checkpoint)
               .foreachBatch(lambda df, bid: persist_batch(df, bid, events_path, dlq_path)))
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     return writer.start()

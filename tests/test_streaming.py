@@ -25,7 +25,11 @@ def test_persist_writes_each_event_once(spark, scratch):
     raw.write.parquet(land)
     events, dlq = os.path.join(scratch, "events"), os.path.join(scratch, "dlq")
     stream = logs.read_log_stream(spark, land)
-    persist.start_persist(stream, events, dlq, os.path.join(scratch, "ck")).awaitTermination()
+    q = persist.start_persist(stream, events, dlq, os.path.join(scratch, "ck"))
+    q.awaitTermination()
+    observed = [p["observedMetrics"]["raw_records"] for p in q.recentProgress
+                if "raw_records" in p.get("observedMetrics", {})]
+    assert sum(m["records"] for m in observed) == raw.count()
     ev = spark.read.parquet(events)
     n = ev.count()
     assert n == ev.select("event_id").distinct().count() > 0
@@ -78,7 +82,6 @@ def test_feed_to_serving(spark, scratch):
     latest = serve.latest_pitch_per_active_game(spark.read.parquet(paths["events"]), games).collect()
     assert len(latest) == 1 and latest[0].event_id == "mlb:745612:pitch:1:1"
     assert latest[0].status == "In Progress"
-    _ = F
 
 
 def test_read_schedules_by_landing_date(spark, scratch):
