@@ -31,3 +31,14 @@ def seconds_between(later, earlier) -> Column:
     """Exact difference of two timestamps in seconds, as a double."""
     return (F.unix_micros(as_col(later).cast("timestamp"))
             - F.unix_micros(as_col(earlier).cast("timestamp"))) / F.lit(1_000_000.0)
+
+
+def evaluate_once(df, expr: Column, name: str):
+    """Add ``expr`` as column ``name``, evaluated exactly once per row.
+
+    Filters on columns derived from an expensive expression (a JSON parse) are otherwise
+    pushed below the projection with the expression inlined into the predicate, so it would
+    run once per reference. A one-element ``explode`` is a generator node the optimizer does
+    not inline through, so the parse happens once and downstream filters stay above it.
+    """
+    return df.select("*", F.explode(F.array(expr)).alias(name))

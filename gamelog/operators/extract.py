@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gamelog.functions.cols import as_col, blank_to_null, zero_to_null
+from gamelog.functions.cols import as_col, blank_to_null, evaluate_once, zero_to_null
 from gamelog.functions.ids import pitch_id
 from gamelog.functions.times import iso_utc, iso_utc_plain, parse_upstream_time
 from gamelog.sources.schemas import FEED, FEED_RAW_EVENTS, LIVE_STATUS_CODES, SCHEDULE
@@ -63,11 +63,12 @@ def _game_pk(f: str = "f") -> Column:
 
 
 def parse_feeds(feeds: DataFrame, value_col: str = "value") -> DataFrame:
-    """Typed and raw views of each feed document (two parses of the same text)."""
-    return feeds.select(
-        *[c for c in feeds.columns if c != value_col],
-        F.from_json(F.col(value_col), FEED).alias("f"),
-        F.from_json(F.col(value_col), FEED_RAW_EVENTS).alias("r"))
+    """Typed and raw views of each feed document (two parses of the same text, each
+    evaluated once per document)."""
+    both = F.struct(F.from_json(F.col(value_col), FEED).alias("f"),
+                    F.from_json(F.col(value_col), FEED_RAW_EVENTS).alias("r"))
+    parsed = evaluate_once(feeds.select(*feeds.columns), both, "_p")
+    return parsed.select(*[c for c in feeds.columns if c != value_col], "_p.f", "_p.r")
 
 
 def extract_pitches(feeds: DataFrame, now, value_col: str = "value") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gamelog.functions.cols import evaluate_once
 from gamelog.functions.enums import event_type_number, sport_number
 from gamelog.functions.times import parse_upstream_time
 from gamelog.sources.schemas import LOG_RECORD, PITCH_FIELDS, SPINE_FIELDS
@@ -38,8 +39,11 @@ def decode_pitches(log: DataFrame) -> DataFrame:
     """
     parsed = F.from_json(F.col("value").cast("string"), WIRE_PITCH,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    d = log.withColumn("_m", parsed)
+    d = evaluate_once(log, parsed, "_m")
     sp = "_m.spine"
+    times = F.struct(*[parse_upstream_time(F.col(f"{sp}.{c}")).alias(c)
+                       for c in ("event_time", "source_time", "ingest_time")])
+    d = evaluate_once(d, times, "_t")
     return d.select(
         "topic", "partition", "offset", "key", "value", "timestamp",
         F.col(f"_m.{CORRUPT}").isNull().alias("decoded"),
@@ -47,8 +51,7 @@ def decode_pitches(log: DataFrame) -> DataFrame:
         F.coalesce(F.col(f"{sp}.event_type"), F.lit(0)).alias("event_type_number"),
         F.coalesce(F.col(f"{sp}.sport"), F.lit(0)).alias("sport_number"),
         F.col(f"{sp}.game_pk").alias("game_pk"),
-        *[parse_upstream_time(F.col(f"{sp}.{c}")).alias(c)
-          for c in ("event_time", "source_time", "ingest_time")],
+        *[F.col(f"_t.{c}").alias(c) for c in ("event_time", "source_time", "ingest_time")],
         *[F.col(f"_m.{n}").alias(n) for n, _ in PITCH_FIELDS],
     )
 
