@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gamelog.functions.cols import evaluate_once
 from gamelog.functions.times import iso_utc, parse_upstream_time
 from gamelog.sources.schemas import CONTEXT_FIELDS, PITCH_FIELDS, SPINE_FIELDS
 
@@ -66,7 +67,8 @@ _GET_TYPES = {"int": "int", "bigint": "bigint", "string": "string", "double": "d
 def payload_to_pitch(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Inverse of ``pitch_payload``: NULLs and unknown keys skipped, times parsed,
     ``raw_payload`` re-serialized into ``raw_payload_json``."""
-    v = F.try_parse_json(F.col(payload_col))
+    payloads = evaluate_once(payloads, F.try_parse_json(F.col(payload_col)), "_pv")
+    v = F.col("_pv")
     cols = []
     for c in SPINE_FIELDS:
         got = F.try_variant_get(v, f"$.{c}", "string")
@@ -78,8 +80,8 @@ def payload_to_pitch(payloads: DataFrame, payload_col: str = "payload") -> DataF
         else:
             cols.append(F.try_variant_get(v, f"$.{name}", dtype.simpleString()).alias(name))
     return payloads.select(*[c for c in payloads.columns if c not in SPINE_FIELDS
-                             and c not in [n for n, _ in PITCH_FIELDS] and c != payload_col],
-                           *cols)
+                             and c not in [n for n, _ in PITCH_FIELDS]
+                             and c not in (payload_col, "_pv")], *cols)
 
 
 def events_row(pitches: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gamelog.functions.cols import evaluate_once
 from gamelog.functions.times import to_ntz
 from gamelog.operators import enrich, metrics, payload, validate, writes
 from gamelog.plans.oracle import EVENT_TYPE_NUMBER_SQL, LOG_CTES
@@ -103,7 +104,8 @@ FROM good""")
 def q_payload_json_fields(spark, sf):
     g = good(spark, sf)
     p = g.select("partition", "offset", "event_id", payload.pitch_payload(g).alias("payload"))
-    j = lambda path: F.get_json_object("payload", path)
+    p = evaluate_once(p, F.try_parse_json("payload"), "_j")  # one parse, many fields
+    j = lambda path: F.try_variant_get("_j", path, "string")
     return p.select(
         "event_id", j("$.event_type").alias("p_event_type"), j("$.sport").alias("p_sport"),
         j("$.event_time").alias("p_event_time"), j("$.ingest_time").alias("p_ingest_time"),

@@ -55,3 +55,15 @@ def test_first_writer_combines_map_side(spark):
     batch = spark.createDataFrame([("a", 0, 1, "x")], "event_id string, partition int, offset long, p string")
     p = _plan(writes.insert_if_new(batch, spark.createDataFrame([], "event_id string")))
     assert "partial_min_by" in p
+
+
+def test_json_parsed_once_under_filters(spark):
+    from pyspark.sql import functions as F
+    from gamelog.operators import validate
+    from gamelog.sources import logs
+    log = spark.createDataFrame([(b"1", b'{"spine": {"event_id": "x"}}', "raw", 0, 0)],
+                                "key binary, value binary, topic string, partition int, offset long") \
+        .withColumn("timestamp", F.current_timestamp())
+    good = validate.good_records(validate.validate(logs.decode_pitches(log)))
+    optimized = good._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("from_json") == 1
