@@ -37,6 +37,15 @@ def _seeded(pitches: DataFrame, stored: DataFrame | None) -> DataFrame:
     return out
 
 
+def context_lookup(stored: DataFrame, games: DataFrame) -> DataFrame:
+    """Stored context of each requested game; a game without a stored row gets the
+    all-default context (zeros, no runners)."""
+    seeds = stored.select("game_pk", *[F.col(c).alias(f"_s_{c}") for c in CONTEXT_FIELDS])
+    out = games.select("game_pk").join(seeds, "game_pk", "left")
+    return out.select("game_pk", *[F.coalesce(F.col(f"_s_{c}"), F.lit(CONTEXT_DEFAULTS[c])).alias(c)
+                                   for c in CONTEXT_FIELDS])
+
+
 def rolling_context(pitches: DataFrame, stored: DataFrame | None = None,
                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Context after each pitch, plus ``changed`` (True when the stored state is written).

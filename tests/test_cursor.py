@@ -53,3 +53,9 @@ def test_apply_cursor_and_staleness(spark):
     st = {r.game_pk: r.staleness_s for r in
           cursor.cursor_staleness(new, F.lit(datetime(2024, 1, 1, 0, 1, 0))).collect()}
     assert st == {"g": 60.0, "h": 30.0}
+
+
+def test_delete_cursor(spark):
+    from gamelog.operators.writes import delete_keys
+    gone = spark.createDataFrame([("g",)], "game_pk string")
+    assert delete_keys(_cursors(spark), gone, "game_pk").count() == 0

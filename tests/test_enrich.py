@@ -100,3 +100,14 @@ def test_stream_equals_batch(spark, scratch):
         F.col("ctx_home_score").alias("home_score"), "changed")
     assert streamed.count() == batch.count() > 0
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_context_lookup_defaults_and_state_for_game(spark):
+    from gamelog.operators import serve
+    stored = spark.createDataFrame([("g", 3, 1, True, False, True, 7, 2)], CTX)
+    games = spark.createDataFrame([("g",), ("new",)], "game_pk string")
+    got = {r.game_pk: r for r in enrich.context_lookup(stored, games).collect()}
+    assert (got["g"].inning, got["g"].home_score, got["g"].runner_on_third) == (7, 3, True)
+    assert (got["new"].inning, got["new"].outs, got["new"].runner_on_first) == (0, 0, False)
+    assert serve.state_for_game(stored, "g").collect()[0].outs == 2
+    assert serve.state_for_game(stored, "none").count() == 0
