@@ -50,7 +50,8 @@ def replay_schedule(events: DataFrame, speed: float = 1.0, game_pk: str | None =
     order, so the running sum is (event_time - first event_time) / speed.
     """
     check_speed(speed)
-    rows = ordered_history(events, game_pk, since, until)
+    # only the keys travel through the scan (and its checkpoint), not the wide payload
+    rows = ordered_history(events, game_pk, since, until).select("game_pk", *REPLAY_ORDER)
     out = ordered_scan(rows, ["game_pk"], REPLAY_ORDER, prev=["event_time"],
                        first=["event_time"], ordinal="seq")
     gap = seconds_between(F.col("event_time"), F.col("prev_event_time"))
