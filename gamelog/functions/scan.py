@@ -48,8 +48,11 @@ def ordered_scan(
     """
     group, order = list(group), list(order)
     if chunk is None:
-        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        base = df.repartitionByRange(n, *group, *order).withColumn(_SEG, F.spark_partition_id())
+        # Without an explicit count AQE may merge adjacent ranges of small inputs; merged
+        # ranges stay contiguous, so segment ids keep the order.
+        ranged = (df.repartitionByRange(num_partitions, *group, *order) if num_partitions
+                  else df.repartitionByRange(*group, *order))
+        base = ranged.withColumn(_SEG, F.spark_partition_id())
         # The segment of a row depends on sampled range boundaries; the scan reads the
         # segmented rows twice (local windows and the summary), so both reads must see one
         # assignment. A reliable checkpoint in the shared checkpoint folder fixes it once and
