@@ -98,3 +98,42 @@ def start_enrich(log_stream: DataFrame, enriched_path: str, checkpoint: str,
     writer = (enriched.writeStream.format("parquet").option("path", enriched_path)
               .option("checkpointLocation", checkpoint).outputMode("append"))
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def write_enriched_batch(batch: DataFrame, batch_id: int, enriched_path: str,
+                         context_path: str, stored: DataFrame | None = None) -> None:
+    """One micro-batch: append the enriched rows (own partition) and write the newest
+    context per game as the next snapshot version (N5 hot state)."""
+    from gamelog.operators.enrich import context_snapshot
+    from gamelog.sources import tables
+    from gamelog.sources.schemas import CONTEXT
+    spark = batch.sparkSession
+    batch = batch.persist()
+    try:
+        tables.write_batch_partition(batch, enriched_path, batch_id)
+        # context as of the batch start: the latest earlier version, plus stored games it
+        # does not hold yet (also right when batch 0 is replayed after a crash)
+        prev = tables.read_snapshot(spark, context_path, CONTEXT, before=batch_id)
+        if stored is not None:
+            seeds = stored.select(*CONTEXT.fieldNames())
+            prev = prev.unionByName(seeds.join(prev.select("game_pk"), "game_pk", "left_anti"))
+        ctx = batch.select("game_pk", "partition", "offset", "ctx_inning", "ctx_outs",
+                           *[F.col(c).alias(f"ctx_{c}") for c in
+                             ("home_score", "away_score", "runner_on_first", "runner_on_second",
+                              "runner_on_third")])
+        tables.write_snapshot(context_snapshot(ctx, prev.select(*CONTEXT.fieldNames())),
+                              context_path, batch_id)
+    finally:
+        batch.unpersist()
+
+
+def start_enrich_tables(log_stream: DataFrame, enriched_path: str, context_path: str,
+                        checkpoint: str, stored: DataFrame | None = None,
+                        trigger: dict | None = None):
+    """Enrichment query writing the enriched rows and the context snapshot table."""
+    from gamelog.sources import logs
+    enriched = enrich_stream(logs.decode_pitches(log_stream), stored)
+    writer = (enriched.writeStream.option("checkpointLocation", checkpoint).outputMode("append")
+              .foreachBatch(lambda df, bid: write_enriched_batch(df, bid, enriched_path,
+                                                                 context_path, stored)))
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

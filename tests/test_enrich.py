@@ -111,3 +111,25 @@ def test_context_lookup_defaults_and_state_for_game(spark):
     assert (got["new"].inning, got["new"].outs, got["new"].runner_on_first) == (0, 0, False)
     assert serve.state_for_game(stored, "g").collect()[0].outs == 2
     assert serve.state_for_game(stored, "none").count() == 0
+
+
+def test_stream_snapshot_equals_batch_snapshot(spark, scratch):
+    from gamelog.sources import tables
+    from gamelog.sources.schemas import CONTEXT
+    from gamelog.streaming.enrich import start_enrich_tables
+    sf = "/root/testdata/sf0.001"
+    raw = td.raw_log(spark, sf)
+    land = os.path.join(scratch, "raw")
+    mx = raw.agg(F.max("offset")).collect()[0][0]
+    for lo, hi in [(0, mx // 2), (mx // 2, mx + 1)]:
+        raw.filter((F.col("offset") >= lo) & (F.col("offset") < hi)).write.mode("append").parquet(land)
+    stored = td.stored_context(spark, sf)
+    q = start_enrich_tables(logs.read_log_stream(spark, land, max_files_per_trigger=1),
+                            os.path.join(scratch, "enriched"), os.path.join(scratch, "ctx"),
+                            os.path.join(scratch, "ck"), stored)
+    q.awaitTermination()
+    streamed = tables.read_snapshot(spark, os.path.join(scratch, "ctx"), CONTEXT)
+    acc = validate.enrichable(logs.decode_pitches(td.raw_log(spark, sf)))
+    batch = enrich.context_snapshot(enrich.rolling_context(acc, stored), stored)
+    assert streamed.count() == batch.count() > 0
+    assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
