@@ -1,7 +1,7 @@
 """Ordered scans per group that stay bounded when one group holds most of the rows.
 
-A plain ``Window.partitionBy(group).orderBy(...)`` sends a whole group to one task. Here a
-group is cut into segments first, the scan runs inside each (group, segment) with ordinary
+A plain ``Window.partitionBy(group).orderBy(...)`` sends a whole group to one task. Groups are
+counted first; bounded groups use plain windows, and a hot group is cut into segments first, the scan runs inside each (group, segment) with ordinary
 window functions, and a small per-segment summary (one row per segment) carries the state
 across segment borders: a parallel prefix scan expressed with DataFrame operations.
 
@@ -25,6 +25,10 @@ _SEG = "_scan_seg"
 _RN = "_scan_rn"
 
 
+HOT_ROWS_CONF = "gamelog.scan.hotGroupRows"
+DEFAULT_HOT_ROWS = 1_000_000
+
+
 def ordered_scan(
     df: DataFrame,
     group: Sequence[str],
@@ -45,8 +49,56 @@ def ordered_scan(
     - ``before_<c>``: last non-null ``c`` strictly before this row;
     - ``first_<c>``: value of ``c`` in the first row of the group;
     - ``ordinal``: 0-based position of the row in its group.
+
+    Without ``chunk``, rows are first counted per group (a map-side aggregate). Groups of at
+    most ``gamelog.scan.hotGroupRows`` rows (session conf, default 1,000,000) are scanned with
+    plain windows in one shuffle; only the hot groups above it take the segmented path.
     """
     group, order = list(group), list(order)
+    if chunk is not None:
+        return _segmented(df, group, order, prev, fill, before, first, ordinal, chunk,
+                          num_partitions)
+    limit = int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
+    hot = (df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+           .select(*[F.col(g).alias(f"_h_{i}") for i, g in enumerate(group)],
+                   F.lit(True).alias("_hot")))
+    # One bounded check (reads only the group columns): with no hot group the whole scan is
+    # plain windows, with no segmenting or checkpoint at all.
+    if hot.limit(1).count() == 0:
+        return _windowed(df, group, order, prev, fill, before, first, ordinal)
+    cond = [F.col(g).eqNullSafe(F.col(f"_h_{i}")) for i, g in enumerate(group)]
+    tagged = df.join(hot, cond, "left").drop(*[f"_h_{i}" for i in range(len(group))])
+    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot")
+    heavy = tagged.filter(F.col("_hot").isNotNull()).drop("_hot")
+    out_cold = _windowed(cold, group, order, prev, fill, before, first, ordinal)
+    out_hot = _segmented(heavy, group, order, prev, fill, before, first, ordinal, None,
+                         num_partitions)
+    return out_cold.unionByName(out_hot)
+
+
+def _windowed(df, group, order, prev, fill, before, first, ordinal) -> DataFrame:
+    """The scan with plain per-group windows (groups known to be bounded)."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    out = df
+    for c in prev:
+        out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
+    for c in fill:
+        out = out.withColumn(f"fill_{c}", F.last(c, ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    for c in before:
+        out = out.withColumn(f"before_{c}", F.last(c, ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, -1)))
+    for c in first:
+        out = out.withColumn(f"first_{c}", F.first(c).over(
+            w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    if ordinal:
+        out = out.withColumn(ordinal, (F.row_number().over(w) - 1).cast("long"))
+    return out
+
+
+def _segmented(df, group, order, prev, fill, before, first, ordinal, chunk,
+               num_partitions) -> DataFrame:
+    """The scan over segments of each group, stitched by a per-segment summary."""
     if chunk is None:
         # Without an explicit count AQE may merge adjacent ranges of small inputs; merged
         # ranges stay contiguous, so segment ids keep the order.

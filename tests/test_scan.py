@@ -26,7 +26,7 @@ def _reference(df):
 COLS = ["g", "o", "v", "prev_v", "fill_v", "before_v", "pos"]
 
 
-def test_range_segments(spark):
+def test_range_segments(spark, hot_rows):
     df = _data(spark)
     out = ordered_scan(df, ["g"], ["o"], prev=["v"], fill=["v"], before=["v"], ordinal="pos",
                        num_partitions=7).select(*COLS)
@@ -42,7 +42,14 @@ def test_chunk_segments(spark):
     assert out.exceptAll(_reference(df).select(*COLS)).count() == 0
 
 
-def test_exact_percentiles_match_interpolation(spark):
+def test_windows_when_no_group_is_hot(spark):
+    df = _data(spark)
+    out = ordered_scan(df, ["g"], ["o"], prev=["v"], fill=["v"], before=["v"], ordinal="pos").select(*COLS)
+    assert out.exceptAll(_reference(df).select(*COLS)).count() == 0
+    assert "Exchange rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_percentiles_match_interpolation(spark, hot_rows):
     import numpy as np
     df = _data(spark).filter(F.col("v").isNotNull())
     got = {r.g: (r.p50, r.p95, r.p99) for r in exact_percentiles(df, ["g"], "v").collect()}

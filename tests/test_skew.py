@@ -36,7 +36,7 @@ def test_latest_per_game_under_skew(spark):
     assert got == exp and "hot" in got
 
 
-def test_replay_schedule_under_skew(spark):
+def test_replay_schedule_under_skew(spark, hot_rows):
     ev = _events(spark)
     out = replay.replay_schedule(ev, speed=4.0).filter("game_pk = 'hot'")
     w = Window.partitionBy("game_pk").orderBy("event_time", "event_id")
