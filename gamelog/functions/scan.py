@@ -27,6 +27,8 @@ _RN = "_scan_rn"
 
 HOT_ROWS_CONF = "gamelog.scan.hotGroupRows"
 DEFAULT_HOT_ROWS = 1_000_000
+# Groups this small are never split: one task sorts them trivially.
+MIN_SPLIT_ROWS = 10_000
 
 
 def ordered_scan(
@@ -50,22 +52,31 @@ def ordered_scan(
     - ``first_<c>``: value of ``c`` in the first row of the group;
     - ``ordinal``: 0-based position of the row in its group.
 
-    Without ``chunk``, rows are first counted per group (a map-side aggregate). Groups of at
-    most ``gamelog.scan.hotGroupRows`` rows (session conf, default 1,000,000) are scanned with
-    plain windows in one shuffle; only the hot groups above it take the segmented path.
+    Without ``chunk``, rows are first counted per group (a map-side aggregate). A group is hot
+    when it holds more than a task's fair share of the rows (total / shuffle partitions, at
+    least 10,000) or more than ``gamelog.scan.hotGroupRows`` (session conf, default 1,000,000).
+    Bounded groups are scanned with plain windows in one shuffle; only hot groups take the
+    segmented path.
     """
     group, order = list(group), list(order)
     if chunk is not None:
         return _segmented(df, group, order, prev, fill, before, first, ordinal, chunk,
                           num_partitions)
-    limit = int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
-    hot = (df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    spark = df.sparkSession
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    # One bounded summary (reads only the group columns): total rows and the largest group.
+    stats = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
+    total, largest = stats["total"] or 0, stats["largest"] or 0
+    tasks = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A group is hot when it is larger than a task's fair share of the rows (never below
+    # MIN_SPLIT_ROWS), and always above the absolute limit.
+    limit = min(int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS))),
+                max(total // max(tasks, 1), MIN_SPLIT_ROWS))
+    if largest <= limit:
+        return _windowed(df, group, order, prev, fill, before, first, ordinal)
+    hot = (counts.filter(F.col("_n") > limit)
            .select(*[F.col(g).alias(f"_h_{i}") for i, g in enumerate(group)],
                    F.lit(True).alias("_hot")))
-    # One bounded check (reads only the group columns): with no hot group the whole scan is
-    # plain windows, with no segmenting or checkpoint at all.
-    if hot.limit(1).count() == 0:
-        return _windowed(df, group, order, prev, fill, before, first, ordinal)
     cond = [F.col(g).eqNullSafe(F.col(f"_h_{i}")) for i, g in enumerate(group)]
     tagged = df.join(hot, cond, "left").drop(*[f"_h_{i}" for i in range(len(group))])
     cold = tagged.filter(F.col("_hot").isNull()).drop("_hot")
