@@ -57,3 +57,16 @@ def test_exact_percentiles_match_interpolation(spark, hot_rows):
     for g, vals in pdf.groupby("g")["v"]:
         exp = np.percentile(vals.to_numpy(dtype=float), [50, 95, 99])
         assert np.allclose(got[g], exp)
+
+
+def test_few_large_groups_are_split(spark):
+    # two groups, each half of the rows: above a task's fair share, so segmented
+    df = spark.range(0, 40000).select((F.col("id") % 2).cast("string").alias("g"),
+                                      F.col("id").alias("o"),
+                                      F.when(F.col("id") % 3 == 0, F.col("id")).alias("v"))
+    out = ordered_scan(df, ["g"], ["o"], fill=["v"], ordinal="pos", num_partitions=4)
+    assert "ExistingRDD" in out._jdf.queryExecution().executedPlan().toString()
+    w = Window.partitionBy("g").orderBy("o")
+    ref = df.select("g", "o", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+                    .alias("fill_v"), (F.row_number().over(w) - 1).cast("long").alias("pos"))
+    assert out.select("g", "o", "fill_v", "pos").exceptAll(ref).count() == 0
