@@ -63,18 +63,27 @@ def ordered_scan(
         return _segmented(df, group, order, prev, fill, before, first, ordinal, chunk,
                           num_partitions)
     spark = df.sparkSession
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    # One bounded summary (reads only the group columns): total rows and the largest group.
-    stats = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
-    total, largest = stats["total"] or 0, stats["largest"] or 0
-    tasks = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A group is hot when it is larger than a task's fair share of the rows (never below
-    # MIN_SPLIT_ROWS), and always above the absolute limit.
-    limit = min(int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS))),
-                max(total // max(tasks, 1), MIN_SPLIT_ROWS))
-    if largest <= limit:
+    # Rows per group (one row per group, kept only while deciding; reads the group columns).
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        stats = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
+        total, largest = stats["total"] or 0, stats["largest"] or 0
+        tasks = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # A group is hot when it is larger than a task's fair share of the rows (never below
+        # MIN_SPLIT_ROWS), and always above the absolute limit.
+        limit = min(int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS))),
+                    max(total // max(tasks, 1), MIN_SPLIT_ROWS))
+        hot_total = 0
+        if largest > limit:
+            hot_total = counts.filter(F.col("_n") > limit).agg(F.sum("_n")).first()[0] or 0
+    finally:
+        counts.unpersist()
+    if hot_total == 0:
         return _windowed(df, group, order, prev, fill, before, first, ordinal)
-    hot = (counts.filter(F.col("_n") > limit)
+    if hot_total == total:
+        return _segmented(df, group, order, prev, fill, before, first, ordinal, None,
+                          num_partitions)
+    hot = (df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
            .select(*[F.col(g).alias(f"_h_{i}") for i, g in enumerate(group)],
                    F.lit(True).alias("_hot")))
     cond = [F.col(g).eqNullSafe(F.col(f"_h_{i}")) for i, g in enumerate(group)]
