@@ -69,8 +69,8 @@ def ordered_scan(
         stats = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
         total, largest = stats["total"] or 0, stats["largest"] or 0
         tasks = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # A group is hot when it is larger than a task's fair share of the rows (never below
-        # MIN_SPLIT_ROWS), and always above the absolute limit.
+        # A group is hot when it is larger than a task's fair share of the rows (that share
+        # taken as at least MIN_SPLIT_ROWS), or larger than the absolute limit.
         limit = min(int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS))),
                     max(total // max(tasks, 1), MIN_SPLIT_ROWS))
         hot_total = 0
