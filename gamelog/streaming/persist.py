@@ -69,3 +69,18 @@ def start_persist(log_stream: DataFrame, events_path: str, dlq_path: str, checkp
               .foreachBatch(lambda df, bid: persist_batch(df, bid, events_path, dlq_path)))
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     return writer.start()
+
+
+def dedup_stream(good_stream: DataFrame, key: str = "event_id",
+                 watermark: tuple[str, str] | None = None) -> DataFrame:
+    """Pure-stream insert-if-new: each key passes once.
+
+    Without ``watermark`` the dedup state keeps every key seen (exact, state grows with the
+    key count; the table probe of ``persist_batch`` avoids that). With ``(time_col, delay)``
+    the state is bounded by ``dropDuplicatesWithinWatermark``, and copies arriving later than
+    the delay are no longer recognised (the events table probe still catches them).
+    """
+    if watermark is None:
+        return good_stream.dropDuplicates([key])
+    time_col, delay = watermark
+    return good_stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([key])

@@ -110,3 +110,22 @@ def test_enriched_log_records(spark):
     assert bytes(r.key) == b"g" and d["event_id"] == "mlb:g:pitch:1:1"
     assert d["pitch"]["spine"]["event_id"] == "mlb:g:pitch:1:1" and d["pitch"]["inning"] == 3
     assert d["home_score"] == 0 and d["source_time"] == "1970-01-01T00:00:00+00:00"
+
+
+def test_pure_stream_dedup(spark, scratch):
+    from gamelog.operators import validate
+    raw = td.raw_log(spark, "/root/testdata/sf0.001")
+    land = os.path.join(scratch, "raw")
+    raw.write.parquet(land)
+    good = validate.good_records(validate.validate(logs.decode_pitches(
+        logs.read_log_stream(spark, land))))
+    for i, wm in enumerate([None, ("timestamp", "1 hour")]):
+        out = persist.dedup_stream(good, watermark=wm)
+        q = (out.writeStream.format("memory").queryName(f"dedup_{i}").outputMode("append")
+             .option("checkpointLocation", os.path.join(scratch, f"ck{i}"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        got = spark.table(f"dedup_{i}")
+        assert got.count() == got.select("event_id").distinct().count() > 0
+        expected = validate.good_records(validate.validate(logs.decode_pitches(raw)))
+        assert got.count() == expected.select("event_id").distinct().count()
