@@ -70,3 +70,30 @@ def test_few_large_groups_are_split(spark):
     ref = df.select("g", "o", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
                     .alias("fill_v"), (F.row_number().over(w) - 1).cast("long").alias("pos"))
     assert out.select("g", "o", "fill_v", "pos").exceptAll(ref).count() == 0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 10**6),
+                          st.one_of(st.none(), st.integers(-5, 5))),
+                min_size=1, max_size=60, unique_by=lambda t: (t[0], t[1])))
+def test_segmented_scan_matches_pandas(spark, rows):
+    import pandas as pd
+    df = spark.createDataFrame(rows, "g string, o long, v int")
+    out = ordered_scan(df, ["g"], ["o"], prev=["v"], fill=["v"], before=["v"], ordinal="pos",
+                       chunk=chunk_of("o", 50_000)).toPandas()
+    pdf = pd.DataFrame(rows, columns=["g", "o", "v"]).sort_values(["g", "o"])
+    grp = pdf.groupby("g")["v"]
+    pdf["prev_v"] = grp.shift(1)
+    pdf["fill_v"] = grp.ffill()
+    pdf["before_v"] = pdf.groupby("g")["fill_v"].shift(1)
+    pdf["pos"] = pdf.groupby("g").cumcount()
+    got = out.set_index(["g", "o"]).sort_index()
+    exp = pdf.set_index(["g", "o"]).sort_index()
+    for c in ("prev_v", "fill_v", "before_v", "pos"):
+        a = [None if pd.isna(x) else int(x) for x in got[c]]
+        b = [None if pd.isna(x) else int(x) for x in exp[c]]
+        assert a == b, c
