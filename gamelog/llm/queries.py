@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from gamelog.llm import sharding, topk
+from gamelog.llm import hamming_dedup, sharding, topk
 
 QUERIES = {
     "op3_topk_search": topk.op3_topk_search,
+    "op5_minhash_near_dedup": hamming_dedup.op5_minhash_near_dedup,
     "op9_extendible_shards": sharding.op9_extendible_shards,
 }
 
 ORACLE = {
     "op3_topk_search": topk.OP3_SQL,
+    "op5_minhash_near_dedup": hamming_dedup.OP5_SQL,
     "op9_extendible_shards": sharding.OP9_SQL,
 }
