@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from gamelog.llm import hamming_dedup, sharding, topk
+from gamelog.llm import hamming_dedup, pii, sharding, topk, toxicity
 
 QUERIES = {
     "op3_topk_search": topk.op3_topk_search,
     "op5_minhash_near_dedup": hamming_dedup.op5_minhash_near_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op8_pii": pii.op8_pii,
     "op9_extendible_shards": sharding.op9_extendible_shards,
 }
 
