@@ -43,6 +43,7 @@ def rows_per_batch(spark: SparkSession, n: int) -> None:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_SIGN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])  # gaps between letters and digits
 _BYTE = np.random.default_rng(20240716).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _MUL1, _MUL2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -64,31 +65,24 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.full(n, 0x5851F42D4C957F2D, np.uint64))
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of non-space bytes."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data], [True])).view(np.int8)))
-    return edge[0::2], edge[1::2]
+def word_hashes(text: str | None, signs: bool = True) -> np.ndarray:
+    """64-bit hash of each word (run of non-space characters, A-Z lower-cased) in order.
 
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hash of each word (run of non-space characters, A-Z lower-cased) in order."""
+    Without ``signs``, ASCII characters that are no letters or digits also end a word.
+    """
     if not text:
         return np.empty(0, np.uint64)
     data = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_LOWER), np.uint8)
-    start, end = word_spans(data)
+    gap = (_SPACE if signs else _SIGN)[data]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
+    start, size = edge[0::2], edge[1::2] - edge[0::2]
     if not len(start):
         return np.empty(0, np.uint64)
-    # position of each byte in its word; spaces have weight 0
-    size = end - start
-    longest = int(size.max())
-    pos = np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data)))) \
-        if start[0] == 0 else np.concatenate((
-            np.full(start[0], longest),
-            np.arange(start[0], len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))))
-    weight = np.append(_powers(longest), np.uint64(0))
-    value = _BYTE[data] * weight[np.minimum(pos, longest)]
-    value[_SPACE[data]] = 0
-    return mix64(np.add.reduceat(value, start) + size.astype(np.uint64))
+    # the bytes of all words, and the place of each byte in its word
+    value = _BYTE[data[~gap]]
+    first = np.cumsum(size) - size
+    value *= _powers(int(size.max()))[np.arange(len(value)) - np.repeat(first, size)]
+    return mix64(np.add.reduceat(value, first) + size.astype(np.uint64))
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from gamelog.llm import hamming_dedup, packing, pii, sharding, topk, toxicity
+from gamelog.llm import decontaminate, hamming_dedup, mixing, packing, pii, sharding, topk, toxicity
 
 QUERIES = {
+    "op2_mixing_rates": mixing.op2_mixing_rates,
     "op3_topk_search": topk.op3_topk_search,
     "op5_minhash_near_dedup": hamming_dedup.op5_minhash_near_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_packed_tokens": packing.op7_packed_tokens,
     "op8_pii": pii.op8_pii,
     "op9_extendible_shards": sharding.op9_extendible_shards,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE = {
