@@ -124,6 +124,7 @@ def _members(model):
             p = np.array([m.posterior(c) for c, _ in found]).reshape(-1, len(m.names))
             out = pd.DataFrame(p, columns=[f"p{i}" for i in range(len(m.names))])
             out.insert(0, "tokens", [n for _, n in found])
+            out.insert(0, "doc", frame["doc"].to_numpy())
             out.insert(0, "key", frame["key"].to_numpy())
             yield out
     return run
@@ -191,12 +192,12 @@ def _rated(k: int, steps: list[np.ndarray]):
     def run(frames):
         for frame in frames:
             p = _posteriors(frame, k)
-            yield pd.DataFrame({"key": frame["key"], "tokens": frame["tokens"],
+            yield pd.DataFrame({"key": frame["key"], "doc": frame["doc"], "tokens": frame["tokens"],
                                 "domain": p.argmax(1), "rate": _rates(p, steps)})
     return run
 
 
-RATED = "key long, tokens long, domain int, rate double"
+RATED = "key long, doc long, tokens long, domain int, rate double"
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
@@ -216,17 +217,18 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     want = budget * want / want.sum()
     model = docs.sparkSession.sparkContext.broadcast(fit_classifier(docs, labels, names))
     added = ("mix_tokens", "mix_domain", "mix_rate", "mix_copies")
-    rows = docs.drop(*added).withColumn("__mix_key", F.xxhash64("doc_id", "text"))
-    members = materialize(rows.select(F.col("__mix_key").alias("key"), "text").mapInPandas(
-        _members(model), "key long, tokens long, " + ", ".join(f"p{i} double" for i in range(len(names)))),
+    rows = docs.drop(*added).withColumn("__mix_key", F.xxhash64("text")).withColumn(
+        "__mix_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    members = materialize(rows.select(F.col("__mix_key").alias("key"), F.col("__mix_doc").alias("doc"), "text").mapInPandas(
+        _members(model), "key long, doc long, tokens long, " + ", ".join(f"p{i} double" for i in range(len(names)))),
         "posteriors")
     steps = fit_rates(members, len(names), want)
-    rated = members.mapInPandas(_rated(len(names), steps), RATED).dropDuplicates(["key"])
+    rated = members.mapInPandas(_rated(len(names), steps), RATED).dropDuplicates(["key", "doc"])
     label = F.element_at(F.array(*map(F.lit, names)), F.col("domain") + 1)
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    return (rows.join(rated.select(F.col("key").alias("__mix_key"), F.col("tokens").alias("mix_tokens"),
-                                   label.alias("mix_domain"), F.col("rate").alias("mix_rate")), "__mix_key")
-            .drop("__mix_key").withColumn("mix_copies", (
+    return (rows.join(rated.select(F.col("key").alias("__mix_key"), F.col("doc").alias("__mix_doc"), F.col("tokens").alias("mix_tokens"),
+                                   label.alias("mix_domain"), F.col("rate").alias("mix_rate")), ["__mix_key", "__mix_doc"])
+            .drop("__mix_key", "__mix_doc").withColumn("mix_copies", (
                 F.floor("mix_rate") + (chance < F.col("mix_rate") - F.floor("mix_rate")).cast("long")).cast("int")))
 
 

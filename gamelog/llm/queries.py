@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gamelog.llm import decontaminate, hamming_dedup, mixing, packing, pii, sharding, topk, toxicity
+from gamelog.llm import decontaminate, hamming_dedup, kneser_ney, mixing, packing, pii, sharding, topk, toxicity
 
 QUERIES = {
+    "op1_quality_classifier": kneser_ney.op1_quality_classifier,
     "op2_mixing_rates": mixing.op2_mixing_rates,
     "op3_topk_search": topk.op3_topk_search,
     "op5_minhash_near_dedup": hamming_dedup.op5_minhash_near_dedup,
