@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gamelog.llm import decontaminate, hamming_dedup, kneser_ney, mixing, packing, pii, sharding, topk, toxicity
+from gamelog.llm import decontaminate, hamming_dedup, kneser_ney, licenses, mixing, packing, pii, sharding, topk, toxicity
 
 QUERIES = {
     "op1_quality_classifier": kneser_ney.op1_quality_classifier,
     "op2_mixing_rates": mixing.op2_mixing_rates,
     "op3_topk_search": topk.op3_topk_search,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_minhash_near_dedup": hamming_dedup.op5_minhash_near_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_packed_tokens": packing.op7_packed_tokens,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE = {
     "op3_topk_search": topk.OP3_SQL,
+    "op4_license_scan": licenses.OP4_SQL,
     "op5_minhash_near_dedup": hamming_dedup.OP5_SQL,
     "op9_extendible_shards": sharding.OP9_SQL,
 }
