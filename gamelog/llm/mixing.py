@@ -2,8 +2,8 @@
 
 A classifier learned from the labelled table (naive Bayes on hashed byte trigrams, its sharpness
 fitted on the same sample) gives every document a posterior over domains: here language and
-quality. A document then has a nonnegative rate, and the expected tokens of a domain are the
-sum over documents of rate * tokens * posterior. Projected gradient descent on the weighted
+quality. A document then has a nonnegative rate of at most 4, and the expected tokens of a domain are the
+sum over documents of rate * tokens * posterior. Projected gradient descent with momentum on the weighted
 least squares distance to the target totals fits all rates: each step needs only the current
 totals, one sum per domain, and a document's rate is recomputed from its posterior and the
 few vectors of the steps so far. Steps are measured per token, so that documents alike in
@@ -24,6 +24,8 @@ BUCKETS = 1 << 14
 SAMPLE_DOCS = 20_000
 SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0)
 STEPS, TOLERANCE = 60, 1e-6
+MAX_RATE = 4.0  # a document is not repeated more often
+RIDGE = 1e-3  # of the mean diagonal; keeps steps towards nearly absent domains short
 
 # ---- fixed values: target shares of tokens by domain (language/quality) and of all tokens ----
 TARGETS = {
@@ -130,12 +132,19 @@ def _members(model):
     return run
 
 
-def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents with posteriors ``p`` after the given steps, from 1."""
-    rate = np.ones(len(p))
-    for s in steps:
-        rate = np.maximum(rate - p @ s, 0.0)
-    return rate
+def _rates(p: np.ndarray, steps: list[np.ndarray], ahead: bool = False) -> np.ndarray:
+    """Rates of documents with posteriors ``p`` after the given steps, from 1.
+
+    ``ahead``: the point, moved on by the momentum, at which the next step is measured.
+    """
+    before = rate = np.ones(len(p))
+    t = 1.0
+    for s in [*steps, None]:
+        point = rate + (t - 1) / (0.5 + (0.25 + t * t) ** 0.5) * (rate - before)
+        if s is None:
+            return point if ahead else rate
+        before, rate = rate, np.clip(point - p @ s, 0.0, MAX_RATE)
+        t = 0.5 + (0.25 + t * t) ** 0.5
 
 
 def _posteriors(frame: pd.DataFrame, k: int) -> np.ndarray:
@@ -147,7 +156,7 @@ def _totals(k: int, total: float, steps: list[np.ndarray]):
         sums = np.zeros(k)
         for frame in frames:
             p = _posteriors(frame, k)
-            sums += (_rates(p, steps) * frame["tokens"].to_numpy() / total) @ p
+            sums += (_rates(p, steps, ahead=True) * frame["tokens"].to_numpy() / total) @ p
         yield pd.DataFrame([sums], columns=[f"s{i}" for i in range(k)])
     return run
 
@@ -175,15 +184,17 @@ def fit_rates(members: DataFrame, k: int, want: np.ndarray, steps: int = STEPS)
     for r in members.mapInPandas(_gram(k, total), "i int, j int, g double").groupBy("i", "j").agg(
             F.sum("g").alias("g")).collect():
         gram[r["i"], r["j"]] = r["g"]
-    weight = np.linalg.pinv(gram + np.eye(k) * 1e-12 * max(np.trace(gram), 1e-300), hermitian=True)
+    weight = np.linalg.inv(gram + np.eye(k) * RIDGE * np.trace(gram) / k)
     done: list[np.ndarray] = []
+    last = np.full(k, np.inf)
     schema = ", ".join(f"s{i} double" for i in range(k))
     for _ in range(steps):
         row = members.mapInPandas(_totals(k, total, done), schema).agg(
             *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).first()
         away = np.array([row[i] or 0.0 for i in range(k)]) - want
-        if np.abs(away).max() <= TOLERANCE * max(want.sum(), TOLERANCE):
-            break
+        if min(np.abs(away).max(), np.abs(away - last).max()) <= TOLERANCE * max(want.sum(), TOLERANCE):
+            break  # met, or as near as the documents allow
+        last = away
         done.append(weight @ away)
     return done
 
@@ -205,7 +216,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """All columns of ``docs`` and mix_tokens, mix_domain, mix_rate, mix_copies.
 
     ``targets`` are shares (they are scaled to sum 1) of ``budget`` times all tokens (words).
-    ``mix_rate`` is the fitted rate; ``mix_copies`` realises it: its whole part, and one more
+    ``mix_rate`` is the fitted rate, 0 to 4; ``mix_copies`` realises it: its whole part, and one more
     when a hash of the id, uniform between 0 and 1, is below its fraction.
 
     A missing or empty text has no tokens and keeps the rate 1; without labels every document

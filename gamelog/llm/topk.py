@@ -55,9 +55,9 @@ def search_block(ids, cand, qids, query, bound, k):
     if _wide(query, cand):
         whole = lambda m: np.array([[int(x) for x in r] for r in m], object)
         score = whole(query).T @ whole(cand)
-        if any(abs(x) >= 1 << 63 for x in score.ravel()):
-            raise OverflowError("an inner product does not fit a long")
         qi, ci = np.nonzero(qids[:, None] != ids[None, :])
+        if any(abs(x) >= 1 << 63 for x in score[qi, ci]):
+            raise OverflowError("an inner product does not fit a long")
         return _best(qi, ci, score[qi, ci], ids, k)
     starts = range(0, dim, DIM_BLOCK)
     mass = lambda m: np.sqrt(np.cumsum((m * m)[::-1], axis=0)[::-1])
@@ -132,7 +132,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
     Components become floor(256 * x). Returns query_id, rank (from 1), vec_id, score; ties go
     to the smaller vec_id, and a query's own id is no candidate. Vectors that are null or hold a
     null or non-finite component, and rows without an id, take no part. Vectors of different
-    lengths are compared as if the shorter one ended in zeros. Rows repeating an id count as
+    lengths are compared as if the shorter one ended in zeros; a score beyond a long raises. Rows repeating an id count as
     candidates each; a repeated query id is asked once, with its smallest vector. Empty tables
     give no rows; other columns are ignored.
     """

@@ -1,0 +1,95 @@
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from gamelog.llm.kneser_ney import ORDER, START, perplexities, quality, quantile_by_language, train
+
+
+class Plain:
+    """Interpolated modified Kneser-Ney over bytes, by the book."""
+
+    def __init__(self, texts):
+        self.n = {ORDER: Counter()}
+        for t in texts:
+            data = bytes([START] * (ORDER - 1)) + " ".join(t.lower().split()).encode()
+            self.n[ORDER].update(data[i:i + ORDER] for i in range(len(data) - ORDER + 1))
+        for k in range(ORDER - 1, 0, -1):
+            self.n[k] = Counter(g[1:] for g in self.n[k + 1])
+        self.d, self.follow = {}, {}
+        for k, grams in self.n.items():
+            c = Counter(grams.values())
+            y = c[1] / (c[1] + 2 * c[2]) if c[1] else 0
+            self.d[k] = [0.0] + [max(0.0, j - (j + 1) * y * c[j + 1] / c[j]) if c[j] and c[1] else j * 0.5 for j in (1, 2, 3)]
+            self.follow[k] = defaultdict(list)
+            for g, n in grams.items():
+                self.follow[k][g[:-1]].append(n)
+
+    def cut(self, k, n):
+        return min(self.d[k][min(n, 3)], n)
+
+    def p(self, gram):
+        k = len(gram)
+        below = self.p(gram[1:]) if k > 1 else 1 / 256
+        after = self.follow[k].get(gram[:-1])
+        if not after:
+            return below
+        n = self.n[k].get(gram, 0)
+        freed = sum(self.cut(k, m) for m in after)
+        return (n - self.cut(k, n) if n else 0) / sum(after) + max(freed / sum(after), 1e-12 if not n else 0) * below
+
+    def perplexity(self, text):
+        data = " ".join(text.lower().split()).encode()
+        wide = bytes([START] * (ORDER - 1)) + data
+        return math.exp(-sum(math.log(self.p(wide[i:i + ORDER])) for i in range(len(data))) / len(data))
+
+
+def words(rng, n, letters="abcde"):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(n))
+
+
+def test_probabilities_equal_the_book(spark):
+    rng = random.Random(1)
+    texts = {lang: [words(rng, 30, letters) for _ in range(6)] for lang, letters in (("en", "abcd"), ("de", "cdéf"))}
+    model = train(spark.createDataFrame([(lang, t) for lang, ts in texts.items() for t in ts], "lang string, text string"))
+    model_of = {lang: Plain(ts) for lang, ts in texts.items()}
+    ask = [(i, i, lang, words(rng, 20, "abcdéz ")) for i, lang in enumerate(["en", "de"] * 8)]
+    ask += [(90, 90, "en", "a"), (91, 91, "en", " A \n b"), (92, 92, "en", texts["en"][0])]
+    got = {r["row"]: r["perplexity"] for r in perplexities(
+        spark.createDataFrame(ask, "row long, doc long, lang string, text string"), model).collect()}
+    for i, _, lang, t in ask:
+        assert got[i] == pytest.approx(model_of[lang].perplexity(t), rel=1e-9)
+    for lang, plain in model_of.items():  # probabilities of a context sum to 1
+        for context in list(plain.follow[ORDER])[:5]:
+            assert sum(plain.p(context + bytes([b])) for b in range(256)) == pytest.approx(1)
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(2)
+    rows = [("a", rng.choice([2.0, 3.5, rng.uniform(1, 50)])) for _ in range(997)] + [("b", 4.0)]
+    df = spark.createDataFrame(rows, "lang string, perplexity double")
+    for q in (0.0, 0.5, 0.9, 1.0):
+        got = {r["lang"]: r["limit"] for r in quantile_by_language(df, q).collect()}
+        a = sorted(x for lang, x in rows if lang == "a")
+        assert got == {"a": a[max(math.ceil(len(a) * q), 1) - 1], "b": 4.0}
+
+
+def test_decisions_and_edge_rows(spark):
+    rng = random.Random(3)
+    good = [(i, words(rng, 40), "en") for i in range(120)]
+    bad = [(200 + i, "".join(chr(rng.randint(33, 126)) for _ in range(200)), "en") for i in range(30)]
+    odd = [(300, None, "en"), (301, "", "en"), (302, " \n ", "en"), (303, "text", None), (None, good[5][1], "en"),
+           (304, "w" * 100_000, "en"), (305, "autre", "fr"), (0, good[0][1], "en")]
+    df = spark.createDataFrame([(*r, 1.0) for r in good + bad + odd], "doc_id long, text string, lang string, keep double")
+    labels = spark.createDataFrame([(i, 1) for i in range(120)] + [(200, 0), (None, 1), (0, 1)], "doc_id long, quality int")
+    rows = quality(df, labels).collect()
+    assert len(rows) == len(good + bad + odd)
+    kept = defaultdict(list)
+    for r in rows:
+        kept[r["doc_id"]].append(r["keep"])
+    assert sum(kept[i][0] for i in range(120)) >= 118 and not any(kept[200 + i][0] for i in range(30))
+    assert kept[300] == kept[301] == kept[302] == [False]
+    assert kept[303] == kept[305] == [True] and kept[0] == [True, True] and kept[None] == [True]
+    assert quality(df.limit(0), labels).collect() == []
+    assert [r["keep"] for r in quality(df.filter("doc_id = 1"), labels.limit(0)).collect()] == [True]
