@@ -109,3 +109,35 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def plain_words(text: str | None) -> list[str]:
     """The words that ``word_hashes`` hashes, as text."""
     return WORD.findall((text or "").translate(_ASCII_LOWER))
+
+
+# ---- a fixed-size map of ids, to leave most other rows out before a join ----
+
+MAP_BITS = 24
+
+
+def hash_map(hashes: DataFrame, column: str) -> np.ndarray:
+    """One flag per value of the last 24 bits of ``column`` (long): 2 MB sent, whatever the input."""
+    cut = F.col(column).bitwiseAND((1 << MAP_BITS) - 1)
+    rows = hashes.select(F.shiftright(cut, 6).alias("at"), cut.bitwiseAND(63).cast("int").alias("bit")).groupBy(
+        "at").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return bits.view(np.uint8)
+
+
+def in_hash_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cut = (hashes & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+    return (bits[cut >> 3] >> (cut & 7).astype(np.uint8)) & 1 == 1
+
+
+def id_map(ids: DataFrame, column: str) -> np.ndarray:
+    """A map of integer ids: rows outside it are surely not among them."""
+    spread = F.col(column).cast("long").bitwiseXOR(F.shiftrightunsigned(F.col(column).cast("long"), 24))
+    return hash_map(ids.select(spread.alias("h")), "h")
+
+
+def in_map(bits: np.ndarray, ids) -> np.ndarray:
+    """Whether each of ``ids`` (no nulls) may be in the map."""
+    ids = np.asarray(ids, np.int64).view(np.uint64)
+    return in_hash_map(bits, ids ^ (ids >> np.uint64(24)))

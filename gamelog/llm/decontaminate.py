@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import materialize, shingle_hashes, signed, table, word_hashes
+from gamelog.llm.common import (hash_map, id_map, in_hash_map, in_map, materialize, shingle_hashes, signed, table,
+                                word_hashes)
 
 GRAM = 3
-MAP_BITS = 24
 SHARED_ITEMS, SHARED_PART, OWN_SEEDS = 5, 0.01, 8
 MIN_SEEDS, MIN_RARITY, MANY_SEEDS = 2, 5.0, 4
 THRESHOLD = 0.4
@@ -75,20 +75,8 @@ def seed_table(items: DataFrame) -> DataFrame:
         (F.col("shared") <= limit) | (F.col("place") <= OWN_SEEDS)).select("item", "gram"), "seeds")
 
 
-def seed_map(seeds: DataFrame) -> np.ndarray:
-    """One bit per hash value cut to 24 bits: 2 MB, however many seeds there are."""
-    cut = F.col("gram").bitwiseAND((1 << MAP_BITS) - 1)
-    rows = seeds.select(F.shiftright(cut, 6).alias("at"), cut.bitwiseAND(63).cast("int").alias("bit")).groupBy(
-        "at").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
-    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    bits[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
-
-
 def _hits(bits):
     def run(frames):
-        known = bits.value
-        mask = np.uint64((1 << MAP_BITS) - 1)
         for frame in frames:
             out = []
             for doc, text in zip(frame["doc_id"], frame["text"]):
@@ -96,7 +84,7 @@ def _hits(bits):
                 if len(w) < GRAM:
                     continue
                 grams = shingle_hashes(w, GRAM)
-                at = np.flatnonzero(known[grams & mask])
+                at = np.flatnonzero(in_hash_map(bits.value, grams))
                 if len(at):
                     out.append((np.full(len(at), doc), signed(grams[at]), at))
             if out:
@@ -105,6 +93,13 @@ def _hits(bits):
     return run
 
 
+def _only(docs_in):
+    def run(frames):
+        for frame in frames:
+            yield frame[in_map(docs_in.value, frame["doc_id"])]
+    return run
+
+
 def _align(frames):
     last, words = None, None
     for frame in frames:
@@ -137,7 +132,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     own = listed.groupBy("words").agg(F.min("item_id").alias("item"), F.first("n").alias("n"))
     own = materialize(own, "items")
     seeds = seed_table(own)
-    bits = spark.sparkContext.broadcast(seed_map(seeds))
+    bits = spark.sparkContext.broadcast(hash_map(seeds, "gram"))
     hits = materialize(rows.mapInPandas(_hits(bits), "doc_id long, gram long, at int").join(
         seeds.select("gram").distinct(), "gram", "left_semi"), "hits")
 
@@ -159,7 +154,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
               & ((F.col("rarity") >= MIN_RARITY) | (F.col("seeds") >= F.least(F.lit(MANY_SEEDS), "all"))))
     found = materialize(near.join(per_item, "item").filter(enough).join(own, "item").select(
         "doc_id", "item", "seeds", "low", "high", "n", "words"), "candidates")
-    scored = (rows.join(found, "doc_id").select("doc_id", "text", "item", "seeds", "low", "high", "n", "words")
+    # the texts that are joined with their candidates are few: a map of ids leaves the others out
+    docs_in = spark.sparkContext.broadcast(id_map(found, "doc_id"))
+    scored = (rows.mapInPandas(_only(docs_in), "doc_id long, text string").join(found, "doc_id").select("doc_id", "text", "item", "seeds", "low", "high", "n", "words")
               .mapInPandas(_align, "doc_id long, item long, seeds long, score double"))
     best = scored.filter(F.col("score") >= threshold).groupBy("doc_id", "item").agg(
         F.max("score").alias("score"), F.max("seeds").alias("seeds"))
