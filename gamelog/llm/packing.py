@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,19 +63,20 @@ def encode_with(enc):
 def _pieces(ranks, capacity: int):
     def run(frames):
         encode = encode_with(encoder(ranks.value))
+        squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
         for frame in frames:
             out = []
             for doc, text in zip(frame["doc_id"], frame["text"]):
                 ids = np.array(encode(text or ""), np.uint16)
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at:at + capacity]
-                    out.append((doc, k, len(part), part.tobytes()))
+                    out.append((doc, k, len(part), squeeze(part.tobytes())))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "n", "ids"]).astype({"doc_id": "Int64"})
     return run
 
 
 def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, n and ids (16-bit little endian) of each piece of a document's tokens."""
+    """doc_id, piece, n and ids (16-bit little endian, zstd frame) of each piece of a document's tokens."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         _pieces(ranks, capacity), "doc_id long, piece int, n int, ids binary")
@@ -169,13 +171,13 @@ def _rows_of(plan):
 
 def _assemble(capacity: int, pad: int):
     """Whole rows from pieces that come sorted by row."""
-    def finish(row, parts):
+    def finish(row, parts, expand):
         sizes = [p[2] for p in parts]
         ids = np.full(capacity, pad, np.uint16)
         places = np.zeros(capacity, np.uint16)
         ends = np.cumsum([0, *sizes])
         for (_, _, n, data), at in zip(parts, ends):
-            ids[at:at + n] = np.frombuffer(data, np.uint16)
+            ids[at:at + n] = np.frombuffer(expand(data), np.uint16)
             places[at:at + n] = np.arange(n)
         return (row, int(ends[-1]), ids.tobytes(), ends.tolist(), ends[:-1].tolist(), places.tobytes(),
                 [p[0] for p in parts], [p[1] for p in parts])
@@ -183,6 +185,7 @@ def _assemble(capacity: int, pad: int):
     names = [c.split()[0] for c in PACKED.split(", ")]
 
     def run(frames):
+        expand = zstandard.ZstdDecompressor().decompress
         row, parts = None, []
         for frame in frames:
             out = []
@@ -190,12 +193,12 @@ def _assemble(capacity: int, pad: int):
             for r, d, gone, k, n, data in zip(frame["row"], doc, doc.isna(), frame["piece"], frame["n"], frame["ids"]):
                 if r != row:
                     if parts:
-                        out.append(finish(row, parts))
+                        out.append(finish(row, parts, expand))
                     row, parts = r, []
                 parts.append((None if gone else int(d), k, n, data))
             yield pd.DataFrame(out, columns=names)
         if parts:
-            yield pd.DataFrame([finish(row, parts)], columns=names)
+            yield pd.DataFrame([finish(row, parts, expand)], columns=names)
     return run
 
 
