@@ -17,53 +17,30 @@ from pyspark.sql import types as T
 from gamelog.functions.cols import as_col
 
 
-def _id(*parts) -> Column:
-    return F.concat_ws(":", *[as_col(p).cast("string") for p in parts])
-
-
-def pitch_id(game_pk, at_bat_index, pitch_number) -> Column:
-    return _id(F.lit("mlb"), game_pk, F.lit("pitch"), at_bat_index, pitch_number)
-
-
-def atbat_start_id(game_pk, at_bat_index) -> Column:
-    return _id(F.lit("mlb"), game_pk, F.lit("ab_start"), at_bat_index)
-
-
-def atbat_end_id(game_pk, at_bat_index) -> Column:
-    return _id(F.lit("mlb"), game_pk, F.lit("ab_end"), at_bat_index)
-
-
-def pickoff_id(game_pk, at_bat_index, pickoff_index) -> Column:
-    return _id(F.lit("mlb"), game_pk, F.lit("pickoff"), at_bat_index, pickoff_index)
-
-
-def mound_visit_id(game_pk, at_bat_index, visit_index) -> Column:
-    return _id(F.lit("mlb"), game_pk, F.lit("mound_visit"), at_bat_index, visit_index)
-
-
-def pitching_change_id(game_pk, at_bat_index, new_pitcher_id) -> Column:
-    return _id(F.lit("mlb"), game_pk, F.lit("pitching_change"), at_bat_index, new_pitcher_id)
-
-
-def substitution_id(game_pk, at_bat_index, in_player_id, out_player_id) -> Column:
-    return _id(F.lit("mlb"), game_pk, F.lit("substitution"), at_bat_index, in_player_id,
-               out_player_id)
-
-
-def defensive_shift_id(game_pk, at_bat_index, pitch_number) -> Column:
-    return _id(F.lit("mlb"), game_pk, F.lit("defensive_shift"), at_bat_index, pitch_number)
-
-
-def inning_state_id(game_pk, inning_num, half, state) -> Column:
-    return _id(F.lit("mlb"), game_pk, F.lit("inning"), inning_num, half, state)
-
-
-def nfl_play_id(game_id, play_id) -> Column:
-    return _id(F.lit("nfl"), game_id, F.lit("play"), play_id)
-
-
-def game_state_id(game_pk, change_type, payload_hash16) -> Column:
-    return _id(F.lit("mlb"), game_pk, F.lit("game"), change_type, payload_hash16)
+# ---- fixed values: first part and kind of each id text, and how many parts follow the game ----
+RULES = {
+    "pitch": ("mlb", "pitch", 2),
+    "atbat_start": ("mlb", "ab_start", 1),
+    "atbat_end": ("mlb", "ab_end", 1),
+    "pickoff": ("mlb", "pickoff", 2),
+    "mound_visit": ("mlb", "mound_visit", 2),
+    "pitching_change": ("mlb", "pitching_change", 2),
+    "substitution": ("mlb", "substitution", 3),
+    "defensive_shift": ("mlb", "defensive_shift", 2),
+    "inning_state": ("mlb", "inning", 3),
+    "nfl_play": ("nfl", "play", 1),
+    "game_state": ("mlb", "game", 2),
+}
+# ---- end of fixed values ----
+
+
+def event_id(rule: str, game, *parts) -> Column:
+    """Id of an event by a rule of ``RULES``; ``parts`` are its ordinals, names or hash."""
+    space, kind, count = RULES[rule]
+    if len(parts) != count:
+        raise ValueError(f"an id of rule {rule!r} has {count} parts after the game, not {len(parts)}")
+    texts = [F.lit(space), as_col(game), F.lit(kind), *map(as_col, parts)]
+    return F.concat_ws(":", *[t.cast("string") for t in texts])
 
 
 def struct_payload_hash(**fields) -> Column:

@@ -1,15 +1,12 @@
 """Ordered scans per group that stay bounded when one group holds most of the rows.
 
-A plain ``Window.partitionBy(group).orderBy(...)`` sends a whole group to one task. Groups are
-counted first; bounded groups use plain windows, and a hot group is cut into segments first, the scan runs inside each (group, segment) with ordinary
-window functions, and a small per-segment summary (one row per segment) carries the state
-across segment borders: a parallel prefix scan expressed with DataFrame operations.
-
-Segments come either from range partitioning on (group, order), which splits a hot group
-across tasks by sampled boundaries (the segmented rows are checkpointed once so every reader
-sees the same segments), or from a caller-supplied ``chunk`` column that is non-decreasing in
-the order and bounds the rows per chunk (for example a log offset divided by a chunk size);
-the latter is deterministic, needs no checkpoint and one shuffle fewer.
+A plain ``Window.partitionBy(group).orderBy(...)`` sends a whole group to one task. Here every
+group is cut into chunks by a column the caller gives, a plain formula on the order columns
+that never decreases along the order (a log offset or a time divided by a step, say). The scan
+runs inside each (group, chunk) with ordinary window functions, and a summary with one row per
+(group, chunk) carries the state across chunks: a parallel prefix scan in DataFrame operations.
+The summary is scanned the same way, in spans of ``SPAN`` chunks, so that no window holds all
+chunks of a large group. The plan is the same for every input; nothing runs while it is built.
 """
 
 from __future__ import annotations
@@ -19,30 +16,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gamelog.session import ensure_checkpoint_dir
-
-_SEG = "_scan_seg"
-_RN = "_scan_rn"
-
-
-HOT_ROWS_CONF = "gamelog.scan.hotGroupRows"
-DEFAULT_HOT_ROWS = 1_000_000
-# Groups this small are never split: one task sorts them trivially.
-MIN_SPLIT_ROWS = 10_000
+SPAN = 1024
+_CHUNK, _SPAN, _RN = "_scan_chunk", "_scan_span", "_scan_rn"
 
 
 def ordered_scan(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
+    chunk: Column,
     *,
     prev: Sequence[str] = (),
     fill: Sequence[str] = (),
     before: Sequence[str] = (),
     first: Sequence[str] = (),
     ordinal: str | None = None,
-    chunk: Column | None = None,
-    num_partitions: int | None = None,
 ) -> DataFrame:
     """Add scan columns per ``group`` in ascending ``order`` (group + order should be unique).
 
@@ -52,141 +40,76 @@ def ordered_scan(
     - ``first_<c>``: value of ``c`` in the first row of the group;
     - ``ordinal``: 0-based position of the row in its group.
 
-    Without ``chunk``, rows are first counted per group (a map-side aggregate). A group is hot
-    when it holds more than a task's fair share of the rows (total / shuffle partitions, at
-    least 10,000) or more than ``gamelog.scan.hotGroupRows`` (session conf, default 1,000,000).
-    Bounded groups are scanned with plain windows in one shuffle; only hot groups take the
-    segmented path.
+    ``chunk`` is a whole number that does not decrease along ``order``; NULL sorts first.
     """
     group, order = list(group), list(order)
-    if chunk is not None:
-        return _segmented(df, group, order, prev, fill, before, first, ordinal, chunk,
-                          num_partitions)
-    spark = df.sparkSession
-    # Rows per group (one row per group, kept only while deciding; reads the group columns).
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).persist()
-    try:
-        stats = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
-        total, largest = stats["total"] or 0, stats["largest"] or 0
-        tasks = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # A group is hot when it is larger than a task's fair share of the rows (that share
-        # taken as at least MIN_SPLIT_ROWS), or larger than the absolute limit.
-        limit = min(int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS))),
-                    max(total // max(tasks, 1), MIN_SPLIT_ROWS))
-        hot_total = 0
-        if largest > limit:
-            hot_total = counts.filter(F.col("_n") > limit).agg(F.sum("_n")).first()[0] or 0
-    finally:
-        counts.unpersist()
-    if hot_total == 0:
-        return _windowed(df, group, order, prev, fill, before, first, ordinal)
-    if hot_total == total:
-        return _segmented(df, group, order, prev, fill, before, first, ordinal, None,
-                          num_partitions)
-    hot = (df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-           .select(*[F.col(g).alias(f"_h_{i}") for i, g in enumerate(group)],
-                   F.lit(True).alias("_hot")))
-    cond = [F.col(g).eqNullSafe(F.col(f"_h_{i}")) for i, g in enumerate(group)]
-    tagged = df.join(hot, cond, "left").drop(*[f"_h_{i}" for i in range(len(group))])
-    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot")
-    heavy = tagged.filter(F.col("_hot").isNotNull()).drop("_hot")
-    out_cold = _windowed(cold, group, order, prev, fill, before, first, ordinal)
-    out_hot = _segmented(heavy, group, order, prev, fill, before, first, ordinal, None,
-                         num_partitions)
-    return out_cold.unionByName(out_hot)
-
-
-def _windowed(df, group, order, prev, fill, before, first, ordinal) -> DataFrame:
-    """The scan with plain per-group windows (groups known to be bounded)."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    out = df
-    for c in prev:
-        out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
-    for c in fill:
-        out = out.withColumn(f"fill_{c}", F.last(c, ignorenulls=True).over(
-            w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    for c in before:
-        out = out.withColumn(f"before_{c}", F.last(c, ignorenulls=True).over(
-            w.rowsBetween(Window.unboundedPreceding, -1)))
-    for c in first:
-        out = out.withColumn(f"first_{c}", F.first(c).over(
-            w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    if ordinal:
-        out = out.withColumn(ordinal, (F.row_number().over(w) - 1).cast("long"))
-    return out
-
-
-def _segmented(df, group, order, prev, fill, before, first, ordinal, chunk,
-               num_partitions) -> DataFrame:
-    """The scan over segments of each group, stitched by a per-segment summary."""
-    if chunk is None:
-        # Without an explicit count AQE may merge adjacent ranges of small inputs; merged
-        # ranges stay contiguous, so segment ids keep the order.
-        ranged = (df.repartitionByRange(num_partitions, *group, *order) if num_partitions
-                  else df.repartitionByRange(*group, *order))
-        base = ranged.withColumn(_SEG, F.spark_partition_id())
-        # The segment of a row depends on sampled range boundaries; the scan reads the
-        # segmented rows twice (local windows and the summary), so both reads must see one
-        # assignment. A reliable checkpoint in the shared checkpoint folder fixes it once and
-        # cuts the lineage, so a lost executor recomputes from the checkpoint.
-        ensure_checkpoint_dir(df.sparkSession)
-        base = base.checkpoint(eager=True)
-    else:
-        base = df.withColumn(_SEG, chunk)
-
-    w = Window.partitionBy(*group, _SEG).orderBy(*order)
-    w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = base.withColumn(_RN, F.row_number().over(w))
-    for c in prev:
-        local = local.withColumn(f"_lp_{c}", F.lag(c).over(w))
-    w_excl = w.rowsBetween(Window.unboundedPreceding, -1)
-    for c in fill:
-        local = local.withColumn(f"_lf_{c}", F.last(c, ignorenulls=True).over(w_run))
-    for c in before:
-        local = local.withColumn(f"_lb_{c}", F.last(c, ignorenulls=True).over(w_excl))
+    base = df.withColumn(_CHUNK, F.coalesce(chunk.cast("long"), F.lit(-(1 << 62))))
+    w = Window.partitionBy(*group, _CHUNK).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     carried = list(dict.fromkeys([*fill, *before]))
+    local = base.select(
+        "*", F.row_number().over(w).alias(_RN),
+        *[F.lag(c).over(w).alias(f"_lp_{c}") for c in prev],
+        *[F.last(c, ignorenulls=True).over(run).alias(f"_lf_{c}") for c in fill],
+        *[F.last(c, ignorenulls=True).over(earlier).alias(f"_lb_{c}") for c in before])
 
-    # One summary row per (group, segment); aggregated map-side before any shuffle.
+    # One summary row per (group, chunk), combined map-side before any shuffle.
     pos = F.struct(*order)
-    aggs = [F.count(F.lit(1)).alias("_s_n")]
-    aggs += [F.max_by(F.col(c), pos).alias(f"_sl_{c}") for c in prev]
-    aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(f"_sf_{c}")
-             for c in carried]
-    aggs += [F.min_by(F.col(c), pos).alias(f"_s1_{c}") for c in first]
-    summary = base.groupBy(*group, _SEG).agg(*aggs)
-
-    ws = Window.partitionBy(*group).orderBy(_SEG)
-    earlier = ws.rowsBetween(Window.unboundedPreceding, -1)
-    whole = ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    keyed = [F.col(g).alias(f"_k_{i}") for i, g in enumerate(group)]
-    carry = summary.select(
-        *keyed, F.col(_SEG).alias("_k_seg"),
-        F.coalesce(F.sum("_s_n").over(earlier), F.lit(0)).alias("_c_n"),
-        *[F.lag(f"_sl_{c}").over(ws).alias(f"_cp_{c}") for c in prev],
-        *[F.last(f"_sf_{c}", ignorenulls=True).over(earlier).alias(f"_cf_{c}") for c in carried],
-        *[F.first(f"_s1_{c}").over(whole).alias(f"_c1_{c}") for c in first],
-    )
+    last_set = {c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), pos)) for c in carried}
+    summary = base.groupBy(*group, _CHUNK).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.max_by(F.struct(c), pos).alias(f"_p_{c}") for c in prev],
+        *[e.alias(f"_f_{c}") for c, e in last_set.items()],
+        *[F.min_by(F.struct(c), pos).alias(f"_1_{c}") for c in first])
+    carry = _carry(summary, group, prev, carried, first)
 
     cond = [F.col(g).eqNullSafe(F.col(f"_k_{i}")) for i, g in enumerate(group)]
-    cond.append(F.col(_SEG) == F.col("_k_seg"))
-    out = local.join(carry, cond, "left")
-    is_head = F.col(_RN) == 1
-    for c in prev:
-        out = out.withColumn(f"prev_{c}", F.when(is_head, F.col(f"_cp_{c}"))
-                             .otherwise(F.col(f"_lp_{c}")))
-    for c in fill:
-        out = out.withColumn(f"fill_{c}", F.coalesce(F.col(f"_lf_{c}"), F.col(f"_cf_{c}")))
-    for c in before:
-        out = out.withColumn(f"before_{c}", F.coalesce(F.col(f"_lb_{c}"), F.col(f"_cf_{c}")))
-    for c in first:
-        out = out.withColumn(f"first_{c}", F.col(f"_c1_{c}"))
+    out = local.join(carry, [*cond, F.col(_CHUNK) == F.col("_k_chunk")], "left")
+    head = F.col(_RN) == 1
+    added = [F.when(head, F.col(f"_c_p_{c}")[c]).otherwise(F.col(f"_lp_{c}")).alias(f"prev_{c}") for c in prev]
+    added += [F.coalesce(f"_lf_{c}", f"_c_f_{c}").alias(f"fill_{c}") for c in fill]
+    added += [F.coalesce(f"_lb_{c}", f"_c_f_{c}").alias(f"before_{c}") for c in before]
+    added += [F.col(f"_c_1_{c}")[c].alias(f"first_{c}") for c in first]
     if ordinal:
-        out = out.withColumn(ordinal, (F.col("_c_n") + F.col(_RN) - 1).cast("long"))
-    drop = [c for c in out.columns if c.startswith(("_scan_", "_lp_", "_lf_", "_lb_", "_k_", "_c_",
-                                                     "_cp_", "_cf_", "_c1_"))]
-    return out.drop(*drop)
-
-
-def chunk_of(offset_col: str, rows_per_chunk: int) -> Column:
-    """Chunk of a dense per-partition offset: bounds each chunk to ``rows_per_chunk`` rows."""
-    return F.floor(F.col(offset_col) / F.lit(rows_per_chunk)).cast("long")
+        added.append((F.col("_c_n") + F.col(_RN) - 1).cast("long").alias(ordinal))
+    return out.select(*df.columns, *added)
+
+
+def _carry(summary: DataFrame, group, prev, carried, first) -> DataFrame:
+    """What precedes each (group, chunk), from windows over a span's chunks and over spans."""
+    summary = summary.withColumn(_SPAN, F.floor(F.col(_CHUNK) / SPAN))
+    names = [*[f"_p_{c}" for c in prev], *[f"_f_{c}" for c in carried]]
+
+    def scanned(rows: DataFrame, keys: list[str], step: str, tag: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(
+            "*", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(f"{tag}_n"),
+            *[F.last(n, ignorenulls=True).over(w).alias(f"{tag}{n}") for n in names])
+
+    spans = summary.groupBy(*group, _SPAN).agg(
+        F.sum("_n").alias("_n"),
+        *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(_CHUNK))).alias(n) for n in names],
+        *[F.min_by(f"_1_{c}", _CHUNK).alias(f"_1_{c}") for c in first])
+    whole = Window.partitionBy(*group).orderBy(_SPAN).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    above = scanned(spans, group, _SPAN, "_s").select(
+        *[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group)], F.col(_SPAN).alias("_g_span"), "_s_n",
+        *[f"_s{n}" for n in names], *[F.first(f"_1_{c}").over(whole).alias(f"_c_1_{c}") for c in first])
+    inside = scanned(summary, [*group, _SPAN], _CHUNK, "_i")
+    cond = [F.col(g).eqNullSafe(F.col(f"_g_{i}")) for i, g in enumerate(group)]
+    return inside.join(above, [*cond, F.col(_SPAN) == F.col("_g_span")]).select(
+        *[F.col(g).alias(f"_k_{i}") for i, g in enumerate(group)], F.col(_CHUNK).alias("_k_chunk"),
+        (F.col("_s_n") + F.col("_i_n")).alias("_c_n"),
+        *[F.coalesce(f"_i{n}", f"_s{n}").alias(f"_c{n}") for n in names],
+        *[f"_c_1_{c}" for c in first])
+
+
+def chunk_of(column: str, step: int) -> Column:
+    """Chunk of a number: rows whose ``column`` falls into one stretch of length ``step``."""
+    return F.floor(F.col(column) / F.lit(step)).cast("long")
+
+
+def time_chunk(column: str, seconds: int) -> Column:
+    """Chunk of a timestamp: rows of one stretch of ``seconds``."""
+    return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")

@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gamelog.functions.ids import pitch_id
+from gamelog.functions.ids import event_id
 from gamelog.functions.scan import ordered_scan
 from gamelog.sources.schemas import (CONTEXT_DEFAULTS, CONTEXT_FIELDS, PITCH, PITCH_COLUMNS,
                                      SPINE_FIELDS)
 
 ARRIVAL = ["partition", "offset"]
-# Rows per scan chunk: log offsets are dense, so a chunk never exceeds this many rows.
+# Offsets per scan chunk: where log offsets are dense, a chunk never exceeds this many rows.
 CHUNK_ROWS = 1 << 20
 ROLLING = ("inning", "outs")
 CARRIED = ("home_score", "away_score", "runner_on_first", "runner_on_second", "runner_on_third")
@@ -53,9 +53,8 @@ def rolling_context(pitches: DataFrame, stored: DataFrame | None = None,
     Forward fill by game in arrival order, computed with the bounded scan: one shuffle on
     (game, partition, offset chunk); a game with a third of all rows is split into chunks.
     """
-    chunk = F.struct(F.col("partition"), F.floor(F.col("offset") / F.lit(chunk_rows)))
-    scanned = ordered_scan(pitches, ["game_pk"], ARRIVAL, fill=list(ROLLING),
-                           before=list(ROLLING), chunk=chunk)
+    chunk = F.shiftleft(F.col("partition").cast("long"), 43) + F.expr(f"offset div {chunk_rows}")
+    scanned = ordered_scan(pitches, ["game_pk"], ARRIVAL, chunk, fill=list(ROLLING), before=list(ROLLING))
     s = _seeded(scanned, stored)
     for c in ROLLING:
         s = (s.withColumn(f"ctx_{c}", F.coalesce(F.col(f"fill_{c}"), F.col(f"seed_{c}")))
@@ -96,7 +95,7 @@ def enriched_rows(ctx: DataFrame) -> DataFrame:
     ab = F.coalesce(F.col("at_bat_index"), F.lit(0))
     n = F.coalesce(F.col("pitch_number"), F.lit(0))
     spine = F.struct(
-        pitch_id(F.col("game_pk"), ab, n).alias("event_id"),
+        event_id("pitch", F.col("game_pk"), ab, n).alias("event_id"),
         F.lit("pitch").alias("event_type"), F.lit("mlb").alias("sport"), F.col("game_pk"),
         *[F.coalesce(F.col(c), epoch).alias(c) for c in ("event_time", "source_time", "ingest_time")])
     def field(c: str):

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gamelog.functions.cols import as_col, blank_to_null, evaluate_once, zero_to_null
-from gamelog.functions.ids import pitch_id
+from gamelog.functions.ids import event_id
 from gamelog.functions.times import iso_utc, iso_utc_plain, parse_upstream_time
-from gamelog.sources.schemas import FEED, FEED_RAW_EVENTS, LIVE_STATUS_CODES, SCHEDULE
+from gamelog.sources.schemas import FEED, LIVE_STATUS_CODES, PLAY_EVENT, SCHEDULE
 
 # ---------------------------------------------------------------- schedule (S1-S5)
 
@@ -63,12 +63,9 @@ def _game_pk(f: str = "f") -> Column:
 
 
 def parse_feeds(feeds: DataFrame, value_col: str = "value") -> DataFrame:
-    """Typed and raw views of each feed document (two parses of the same text, each
-    evaluated once per document)."""
-    both = F.struct(F.from_json(F.col(value_col), FEED).alias("f"),
-                    F.from_json(F.col(value_col), FEED_RAW_EVENTS).alias("r"))
-    parsed = evaluate_once(feeds.select(*feeds.columns), both, "_p")
-    return parsed.select(*[c for c in feeds.columns if c != value_col], "_p.f", "_p.r")
+    """Each feed document parsed once, its play events kept as their own JSON texts."""
+    parsed = evaluate_once(feeds, F.from_json(F.col(value_col), FEED), "f")
+    return parsed.drop(value_col)
 
 
 def extract_pitches(feeds: DataFrame, now, value_col: str = "value") -> DataFrame:
@@ -83,19 +80,20 @@ def extract_pitches(feeds: DataFrame, now, value_col: str = "value") -> DataFram
     now = as_col(now).cast("timestamp")
     p = parse_feeds(feeds, value_col)
     meta_ts = F.coalesce(parse_upstream_time(F.col("f.metaData.timeStamp")), now)
-    p = p.select("*", _game_pk().alias("game_pk"), meta_ts.alias("_meta_ts"))
-    plays = p.select("*", F.posexplode(F.col("f.liveData.plays.allPlays")).alias("play_pos", "play"))
-    plays = plays.filter(F.col("play.about.atBatIndex").isNotNull())
-    ev = plays.select("*", F.posexplode(F.col("play.playEvents")).alias("event_pos", "ev"))
+    own = [c for c in feeds.columns if c != value_col]
+    # a row carries its play, and then its event, but never the document
+    plays = p.select(*own, _game_pk().alias("game_pk"), meta_ts.alias("_meta_ts"),
+                     F.posexplode(F.col("f.liveData.plays.allPlays")).alias("play_pos", "play"))
+    plays = plays.filter(F.col("play.about.atBatIndex").isNotNull()).select(
+        *own, "game_pk", "_meta_ts", "play_pos", F.struct("play.about", "play.matchup").alias("play"),
+        F.posexplode(F.col("play.playEvents")).alias("event_pos", "raw_payload_json"))
+    ev = evaluate_once(plays, F.from_json("raw_payload_json", PLAY_EVENT), "ev")
     pitch_number = F.coalesce(F.col("ev.pitchNumber"), F.col("ev.index"))
     ev = ev.filter(F.coalesce(F.col("ev.isPitch"), F.lit(False)) & pitch_number.isNotNull())
-    raw_text = F.element_at(
-        F.element_at(F.col("r.liveData.plays.allPlays"), F.col("play_pos") + 1).getField("playEvents"),
-        F.col("event_pos") + 1)
     ab, n = F.col("play.about.atBatIndex"), pitch_number
     out = ev.select(
         *[c for c in feeds.columns if c != value_col],
-        pitch_id(F.col("game_pk"), ab, n).alias("event_id"),
+        event_id("pitch", F.col("game_pk"), ab, n).alias("event_id"),
         F.lit("pitch").alias("event_type"),
         F.lit("mlb").alias("sport"),
         F.col("game_pk"),
@@ -123,7 +121,7 @@ def extract_pitches(feeds: DataFrame, now, value_col: str = "value") -> DataFram
         F.col("ev.details.isInPlay").alias("is_in_play"),
         F.col("ev.details.isStrike").alias("is_strike"),
         F.col("ev.details.isBall").alias("is_ball"),
-        raw_text.alias("raw_payload_json"),
+        F.col("raw_payload_json"),
         F.col("play_pos"), F.col("event_pos"),
     )
     return out.withColumn("valid", F.col("game_pk") != "")
@@ -138,9 +136,11 @@ def _state_id_time(meta_text: Column, meta_ts: Column, now: Column) -> Column:
 
 
 def extract_game_state(feeds: DataFrame, now, value_col: str = "value") -> DataFrame:
-    """One game-state row per feed document."""
+    """One game-state row per feed document; ``payload`` is the document's text."""
     now = as_col(now).cast("timestamp")
-    p = parse_feeds(feeds, value_col)
+    text = F.col(value_col).alias("payload")
+    p = evaluate_once(feeds.select(*[c for c in feeds.columns if c != value_col], text),
+                      F.from_json(F.col("payload"), FEED), "f")
     meta_text = F.col("f.metaData.timeStamp")
     meta_ts = parse_upstream_time(meta_text)
     game_pk = _game_pk()
@@ -162,4 +162,5 @@ def extract_game_state(feeds: DataFrame, now, value_col: str = "value") -> DataF
         F.col("f.liveData.linescore.currentInning").alias("inning"),
         blank_to_null(F.lower(F.col("f.liveData.linescore.inningHalf"))).alias("inning_half"),
         F.lit(None).cast("string").alias("raw_payload_json"),
+        F.col("payload"),
     ).withColumn("valid", F.col("game_pk") != "")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gamelog.functions.cols import as_col, seconds_between
-from gamelog.functions.scan import ordered_scan
+from gamelog.functions.scan import chunk_of, ordered_scan
 from gamelog.sources.schemas import DURATION_BOUNDS, OUTCOME_DLQ
 
 
@@ -58,24 +58,32 @@ def exact_percentiles(df: DataFrame, group: Sequence[str], value: str,
                       probs: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Exact (linearly interpolated) percentiles per group without gathering a group.
 
-    Each value gets its rank from the bounded ordered scan; the two ranks around
-    (n - 1) * p are joined back by (group, rank) and interpolated. No group is ever held by
-    one task, unlike a per-group sort or the ``percentile`` aggregate's value map.
+    Equal values are counted first (map-side), the counts are summed per value bin (a
+    thousandth of a natural logarithm wide, so a group has a bounded number of bins), and only
+    the bins that hold the two ranks around (n - 1) * p are looked into.
     """
     group = list(group)
-    vals = df.select(*group, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    ranked = ordered_scan(vals, group, ["_v"], ordinal="_rank")
-    counts = vals.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    targets = counts.select(*group, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-                            .alias("_p"))
-    targets = targets.withColumn("_pos", (F.col("_n") - 1) * F.col("_p")) \
-        .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
-    ends = targets.select(*group, "_p", "_pos", "_lo", F.explode(F.array("_lo", "_hi")).alias("_rank"))
-    picked = ends.join(ranked, [*group, "_rank"])
-    agg = picked.groupBy(*group, "_p", "_pos", "_lo").agg(
-        F.max_by("_v", F.col("_rank")).alias("_v_hi"), F.min_by("_v", F.col("_rank")).alias("_v_lo"))
-    interp = F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * (F.col("_pos") - F.col("_lo"))
-    res = agg.select(*group, "_p", interp.alias("_q"))
+    v = F.col("_v")
+    width = F.floor(F.log(F.abs(v)) * 1000).cast("long") + F.lit(1_000_000)
+    vals = (df.select(*group, F.col(value).cast("double").alias("_v")).filter(v.isNotNull())
+            .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+            .withColumn("_bin", F.when(v == 0, F.lit(0)).when(v > 0, width).otherwise(-width)))
+    bins = vals.groupBy(*group, "_bin").agg(F.sum("_c").alias("_c"))
+    w, whole = Window.partitionBy(*group).orderBy("_bin"), Window.partitionBy(*group)
+    bins = bins.select(*group, "_bin", (F.sum("_c").over(w) - F.col("_c")).alias("_below"), "_c",
+                       F.sum("_c").over(whole).alias("_n"))
+    wanted = bins.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p")) \
+        .withColumn("_pos", (F.col("_n") - 1) * F.col("_p")) \
+        .withColumn("_rank", F.explode(F.array(F.floor("_pos"), F.ceil("_pos")))) \
+        .filter("_rank >= _below AND _rank < _below + _c")
+    inside = Window.partitionBy(*group, "_bin").orderBy("_v")
+    held = vals.join(wanted.select(*group, "_bin").distinct(), [*group, "_bin"], "left_semi").select(
+        *group, "_bin", "_v", F.col("_c").alias("_times"), (F.sum("_c").over(inside) - F.col("_c")).alias("_before"))
+    picked = held.join(wanted, [*group, "_bin"]).filter(
+        "_rank >= _below + _before AND _rank < _below + _before + _times")
+    agg = picked.groupBy(*group, "_p", "_pos").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    res = agg.select(*group, "_p", (F.col("_low") + (F.col("_high") - F.col("_low")) * (
+        F.col("_pos") - F.floor("_pos"))).alias("_q"))
     return res.groupBy(*group).pivot("_p", [float(p) for p in probs]).agg(F.first("_q")) \
         .withColumnsRenamed({str(float(p)): f"p{round(p * 100):02d}" for p in probs})
 
@@ -89,8 +97,8 @@ def throughput_mix(events: DataFrame, window: str = "1 hour") -> DataFrame:
     """Events per time window and type, with the type's share of the window."""
     per = events.groupBy(F.window(F.col("event_time"), window).alias("w"), "event_type") \
         .agg(F.count(F.lit(1)).alias("events"))
-    tot = per.groupBy("w").agg(F.sum("events").alias("window_events"))
-    return per.join(tot, "w").select(
+    per = per.withColumn("window_events", F.sum("events").over(Window.partitionBy("w")))
+    return per.select(
         F.col("w.start").alias("window_start"), "event_type", "events",
         (F.col("events") / F.col("window_events")).alias("share"))
 
@@ -105,7 +113,8 @@ def gap_audit(pitches: DataFrame) -> DataFrame:
     """Missing pitch numbers inside an at-bat: consecutive distinct numbers that are not
     n-1, n. Distinct first, then the bounded scan for the previous number."""
     d = pitches.select("game_pk", "at_bat_index", "pitch_number").distinct()
-    s = ordered_scan(d, ["game_pk", "at_bat_index"], ["pitch_number"], prev=["pitch_number"])
+    s = ordered_scan(d, ["game_pk", "at_bat_index"], ["pitch_number"], chunk_of("pitch_number", 64),
+                     prev=["pitch_number"])
     return (s.filter(F.col("prev_pitch_number").isNotNull()
                      & (F.col("pitch_number") - F.col("prev_pitch_number") > 1))
             .select("game_pk", "at_bat_index", F.col("prev_pitch_number").alias("after"),

@@ -76,7 +76,7 @@ def payload_to_pitch(payloads: DataFrame, payload_col: str = "payload") -> DataF
     for name, dtype in PITCH_FIELDS:
         if name == "raw_payload_json":
             raw = F.try_variant_get(v, "$.raw_payload", "variant")
-            cols.append(F.when(raw.isNotNull(), F.to_json(raw)).alias(name))
+            cols.append(F.when(~F.is_variant_null(raw), F.to_json(raw)).alias(name))
         else:
             cols.append(F.try_variant_get(v, f"$.{name}", dtype.simpleString()).alias(name))
     return payloads.select(*[c for c in payloads.columns if c not in SPINE_FIELDS

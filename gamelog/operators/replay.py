@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gamelog.functions.cols import seconds_between
-from gamelog.functions.scan import ordered_scan
+from gamelog.functions.scan import ordered_scan, time_chunk
 from gamelog.operators.payload import payload_to_pitch
-from gamelog.sources.logs import encode_pitches
+from gamelog.sources.logs import LOG_PARTITIONS, encode_pitches
 
 REPLAY_ORDER = ["event_time", "event_id"]
+CHUNK_SECONDS = 3600  # a game's events of an hour are scanned together
 
 
 def check_speed(speed: float) -> float:
@@ -21,8 +22,9 @@ def check_speed(speed: float) -> float:
 
 def ordered_history(events: DataFrame, game_pk: str | None = None, since=None,
                     until=None) -> DataFrame:
-    """Pitches of one game (or all games) in (event_time, event_id) order; the bounds are
-    inclusive and only added when given, so they stay pushed to the scan."""
+    """Pitches of one game in (event_time, event_id) order, or of all games unordered (their order is
+    ``seq`` of ``replay_sequence``); the bounds are inclusive and only added when given, so they
+    stay pushed to the scan."""
     rows = events.filter(F.col("event_type") == "pitch")
     if game_pk is not None:
         rows = rows.filter(F.col("game_pk") == game_pk)
@@ -30,15 +32,16 @@ def ordered_history(events: DataFrame, game_pk: str | None = None, since=None,
         rows = rows.filter(F.col("event_time") >= F.lit(since))
     if until is not None:
         rows = rows.filter(F.col("event_time") <= F.lit(until))
-    return rows
+    return rows if game_pk is None else rows.orderBy(*REPLAY_ORDER)
 
 
 def replay_sequence(events: DataFrame, game_pk: str | None = None, since=None,
                     until=None) -> DataFrame:
-    """History with ``seq``, the 0-based replay position inside each game, sorted."""
+    """History with ``seq``, the 0-based replay position inside each game."""
     rows = ordered_history(events, game_pk, since, until)
-    out = ordered_scan(rows, ["game_pk"], REPLAY_ORDER, ordinal="seq")
-    return out.sortWithinPartitions("game_pk", *REPLAY_ORDER)
+    keys = ordered_scan(rows.select("game_pk", *REPLAY_ORDER).distinct(), ["game_pk"], REPLAY_ORDER,
+                        time_chunk("event_time", CHUNK_SECONDS), ordinal="seq")
+    return rows.join(keys, ["game_pk", *REPLAY_ORDER])
 
 
 def replay_schedule(events: DataFrame, speed: float = 1.0, game_pk: str | None = None,
@@ -50,10 +53,10 @@ def replay_schedule(events: DataFrame, speed: float = 1.0, game_pk: str | None =
     order, so the running sum is (event_time - first event_time) / speed.
     """
     check_speed(speed)
-    # only the keys travel through the scan (and its checkpoint), not the wide payload
+    # only the keys travel through the scan, not the wide payload
     rows = ordered_history(events, game_pk, since, until).select("game_pk", *REPLAY_ORDER)
-    out = ordered_scan(rows, ["game_pk"], REPLAY_ORDER, prev=["event_time"],
-                       first=["event_time"], ordinal="seq")
+    out = ordered_scan(rows, ["game_pk"], REPLAY_ORDER, time_chunk("event_time", CHUNK_SECONDS),
+                       prev=["event_time"], first=["event_time"], ordinal="seq")
     gap = seconds_between(F.col("event_time"), F.col("prev_event_time"))
     return out.select(
         "game_pk", "event_id", "event_time", "seq",
@@ -67,10 +70,13 @@ def replay_schedule(events: DataFrame, speed: float = 1.0, game_pk: str | None =
 def republish(events: DataFrame, topic: str, game_pk: str | None = None, since=None,
               until=None) -> DataFrame:
     """Rebuild each pitch from its stored payload (original ids and times kept) and encode
-    it as a log record keyed by game, with its replay position; ``count()`` of the result
-    is the number republished. Repeats are absorbed downstream by insert-if-new."""
+    it as a log record keyed by game. The log partition follows from the key and the offset is the
+    replay position, so that the written log keeps each game's order; ``count()`` of the result is
+    the number republished. Repeats are absorbed downstream by insert-if-new."""
     rows = replay_sequence(events, game_pk, since, until)
     pitches = payload_to_pitch(rows.select("game_pk", "seq", "payload").withColumnRenamed(
         "game_pk", "_game"))
     pitches = pitches.withColumn("game_pk", F.coalesce(F.col("game_pk"), F.col("_game")))
-    return encode_pitches(pitches, topic, keep=("seq",))
+    return (encode_pitches(pitches, topic, keep=("seq",))
+            .withColumn("partition", F.pmod(F.xxhash64("key"), F.lit(LOG_PARTITIONS)).cast("int"))
+            .withColumnRenamed("seq", "offset"))

@@ -14,6 +14,7 @@ DECODE_DETAIL = "malformed record"
 SPINE_PREFIX = "spine validation failed: "
 WRITE_PREFIX = "write-path poison pill: "
 UNKNOWN_ENUM = "unknown_enum"
+BAD_RAW_JSON = "raw_payload_json is not valid JSON"
 SPINE_RULES = (
     ("event_id", "spine.event_id is empty"),
     ("event_type", "spine.event_type is unspecified"),
@@ -60,11 +61,16 @@ def validate(decoded: DataFrame) -> DataFrame:
     enum_detail = F.concat(
         F.lit(UNKNOWN_ENUM), F.lit(" event_type="), F.col("event_type_number").cast("string"),
         F.lit(" sport="), F.col("sport_number").cast("string"))
-    kind = (F.when(~F.col("decoded"), F.lit("decode")).when(reason.isNotNull(), F.lit("value"))
-            .when(enum_bad, F.lit("value")))
+    raw_bad = F.lit(False)
+    if "raw_payload_json" in decoded.columns:
+        raw = F.col("raw_payload_json")
+        raw_bad = F.coalesce(raw != "", F.lit(False)) & F.try_parse_json(raw).isNull()
+    kind = (F.when(~F.col("decoded"), F.lit("decode"))
+            .when(reason.isNotNull() | enum_bad | raw_bad, F.lit("value")))
     message = (F.when(~F.col("decoded"), F.concat(F.lit(DECODE_PREFIX), F.lit(DECODE_DETAIL)))
                .when(reason.isNotNull(), F.concat(F.lit(SPINE_PREFIX), reason))
-               .when(enum_bad, F.concat(F.lit(WRITE_PREFIX), enum_detail)))
+               .when(enum_bad, F.concat(F.lit(WRITE_PREFIX), enum_detail))
+               .when(raw_bad, F.lit(WRITE_PREFIX + BAD_RAW_JSON)))
     return (decoded.withColumn("event_type", et_name).withColumn("sport", sp_name)
             .withColumn("error_kind", kind)
             .withColumn("error_class", classify_kind(F.col("error_kind")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gamelog.functions import ids
-from gamelog.functions.scan import ordered_scan
+from gamelog.functions.scan import chunk_of, ordered_scan
 from gamelog.plans.registry import register
 from gamelog.sources import testdata as td
 
@@ -40,16 +40,16 @@ def q_ids_all(spark, sf):
     state = F.when(F.col("l_linestatus") == "O", F.lit("start")).otherwise(F.lit("end"))
     return li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        ids.pitch_id(ok, ln, q10).alias("pitch_id"),
-        ids.atbat_start_id(ok, ln).alias("atbat_start_id"),
-        ids.atbat_end_id(ok, ln).alias("atbat_end_id"),
-        ids.pickoff_id(ok, ln, sk).alias("pickoff_id"),
-        ids.mound_visit_id(ok, ln, pk).alias("mound_visit_id"),
-        ids.pitching_change_id(ok, ln, sk).alias("pitching_change_id"),
-        ids.substitution_id(ok, ln, pk, sk).alias("substitution_id"),
-        ids.defensive_shift_id(ok, ln, q10).alias("defensive_shift_id"),
-        ids.inning_state_id(ok, q10 + 1, half, state).alias("inning_state_id"),
-        ids.nfl_play_id(F.concat(F.lit("2024_"), ok.cast("string")), ln).alias("nfl_play_id"))
+        ids.event_id("pitch", ok, ln, q10).alias("pitch_id"),
+        ids.event_id("atbat_start", ok, ln).alias("atbat_start_id"),
+        ids.event_id("atbat_end", ok, ln).alias("atbat_end_id"),
+        ids.event_id("pickoff", ok, ln, sk).alias("pickoff_id"),
+        ids.event_id("mound_visit", ok, ln, pk).alias("mound_visit_id"),
+        ids.event_id("pitching_change", ok, ln, sk).alias("pitching_change_id"),
+        ids.event_id("substitution", ok, ln, pk, sk).alias("substitution_id"),
+        ids.event_id("defensive_shift", ok, ln, q10).alias("defensive_shift_id"),
+        ids.event_id("inning_state", ok, q10 + 1, half, state).alias("inning_state_id"),
+        ids.event_id("nfl_play", F.concat(F.lit("2024_"), ok.cast("string")), ln).alias("nfl_play_id"))
 
 
 @register("id_payload_hash", """
@@ -66,7 +66,7 @@ def q_id_payload_hash(spark, sf):
                                 l_returnflag="l_returnflag")
     out = li.select("l_orderkey", "l_linenumber", h.alias("payload_hash"))
     return out.withColumn("game_state_id",
-                          ids.game_state_id(F.col("l_orderkey"), F.lit("status"), F.col("payload_hash")))
+                          ids.event_id("game_state", F.col("l_orderkey"), F.lit("status"), F.col("payload_hash")))
 
 
 @register("json_payload_hash", """
@@ -80,16 +80,17 @@ def q_json_payload_hash(spark, sf):
 WITH n AS (
   SELECT l.*, o.o_custkey,
          row_number() OVER (PARTITION BY l.l_orderkey ORDER BY {_ORDER_SQL}) - 1 AS ordinal
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'N')
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
 SELECT l_orderkey, CAST(ordinal AS BIGINT) AS ordinal,
        'mlb:' || CAST(o_custkey AS VARCHAR) || ':pickoff:' || CAST(l_orderkey AS VARCHAR) || ':'
          || CAST(ordinal AS VARCHAR) AS pickoff_id
 FROM n""")
 def q_ordinal_in_group(spark, sf):
-    li = td.read_table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "N")
+    li = td.read_table(spark, sf, "lineitem")
     od = td.read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     j = li.join(od, li.l_orderkey == od.o_orderkey)
-    s = ordered_scan(j, ["l_orderkey"], td.LINEITEM_ORDER, ordinal="ordinal")
+    s = ordered_scan(j, ["l_orderkey"], td.LINEITEM_ORDER,
+                     chunk_of("l_partkey", td.PART_STEP), ordinal="ordinal")
     return s.select("l_orderkey", "ordinal",
-                    ids.pickoff_id(F.col("o_custkey"), F.col("l_orderkey"), F.col("ordinal"))
+                    ids.event_id("pickoff", F.col("o_custkey"), F.col("l_orderkey"), F.col("ordinal"))
                     .alias("pickoff_id"))

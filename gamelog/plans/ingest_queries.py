@@ -17,7 +17,10 @@ PITCH_OUT = ["event_id", "event_type", "sport", "game_pk", "event_time", "source
              "ingest_time", "at_bat_index", "pitch_number", "inning", "inning_half", "batter_id",
              "batter_name", "pitcher_id", "pitcher_name", "pitch_type", "pitch_type_description",
              "start_speed_mph", "end_speed_mph", "spin_rate_rpm", "balls", "strikes", "outs",
-             "call_code", "call_description", "is_in_play", "is_strike", "is_ball", "valid"]
+             "call_code", "call_description", "is_in_play", "is_strike", "is_ball", "valid",
+             "play_pos", "event_pos"]
+# what the event's own JSON text says
+RAW_OUT = {"raw_pitch_number": "$.pitchNumber", "raw_type": "$.details.type.code", "raw_spin": "$.pitchData.breaks.spinRate"}
 
 
 def _now():
@@ -39,7 +42,10 @@ def _ntz(df: DataFrame, cols=("event_time", "source_time", "ingest_time", "updat
 # Flat pitches of the feed documents (mirrors extract.extract_pitches on feed_documents).
 PITCHES_CTE = f"""{FEED_CTE},
 px AS (
-  SELECT doc_id, event_pos, 'mlb:' || game_pk || ':pitch:' || CAST(o_orderkey AS VARCHAR) || ':'
+  SELECT doc_id, 0 AS play_pos, event_pos,
+    CASE WHEN NOT (l_returnflag = 'R' AND l_linestatus = 'F') THEN CAST(l_linenumber AS VARCHAR) END AS raw_pitch_number,
+    l_returnflag || l_linestatus AS raw_type,
+    CASE WHEN l_returnflag <> 'R' THEN CAST(l_partkey AS VARCHAR) || '.0' END AS raw_spin, 'mlb:' || game_pk || ':pitch:' || CAST(o_orderkey AS VARCHAR) || ':'
            || CAST(pn AS VARCHAR) AS event_id,
     'pitch' AS event_type, 'mlb' AS sport, game_pk,
     CASE WHEN l_linestatus <> 'O' THEN l_shipdate ELSE coalesce(meta_ts, {NOW_SQL}) END AS event_time,
@@ -68,9 +74,10 @@ px AS (
 
 @register("extract_pitches", f"""
 WITH {PITCHES_CTE}
-SELECT {", ".join(PITCH_OUT)} FROM px""")
+SELECT {", ".join([*PITCH_OUT, *RAW_OUT])} FROM px""")
 def q_extract_pitches(spark, sf):
-    return _ntz(pitches(spark, sf).select(*PITCH_OUT))
+    raw = [F.get_json_object("raw_payload_json", path).alias(n) for n, path in RAW_OUT.items()]
+    return _ntz(pitches(spark, sf).select(*PITCH_OUT, *raw))
 
 
 STATE_OUT = ["event_id", "event_type", "sport", "game_pk", "event_time", "source_time",
@@ -79,7 +86,7 @@ STATE_OUT = ["event_id", "event_type", "sport", "game_pk", "event_time", "source
 
 STATES_CTE = f"""{FEED_CTE},
 st AS (
-  SELECT doc_id, 'mlb:' || game_pk || ':game:state:' ||
+  SELECT doc_id, CAST(o_custkey AS VARCHAR) AS payload_pk, 'mlb:' || game_pk || ':game:state:' ||
       CASE WHEN meta_ts IS NULL THEN '{FIXED_NOW.replace(' ', 'T')}+00:00'
            WHEN o_orderstatus = 'P' THEN strftime(meta_ts, '%Y-%m-%dT%H:%M:%S')
            ELSE strftime(meta_ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS event_id,
@@ -113,14 +120,15 @@ SELECT coalesce(i.game_pk, g.game_pk) AS game_pk, coalesce(g.sport, i.sport) AS
        CASE WHEN i.game_pk IS NOT NULL THEN nullif(i.away_team, '') ELSE g.away_team END AS away_team,
        CASE WHEN i.game_pk IS NOT NULL THEN i.event_time ELSE g.start_time END AS start_time,
        CASE WHEN i.game_pk IS NOT NULL THEN {NOW_SQL} ELSE g.updated_at END AS updated_at,
-       CASE WHEN i.game_pk IS NOT NULL THEN NULL ELSE g.payload END AS payload
+       i.payload_pk, i.status AS payload_status
 FROM gm g FULL OUTER JOIN inc i ON g.game_pk = i.game_pk""")
 def q_upsert_games(spark, sf):
     states = extract.extract_game_state(td.feed_documents(spark, sf), _now())
     states = states.filter("valid").withColumn("event_time", to_ntz(F.col("event_time")))
     out = writes.upsert_games(td.games_table(spark, sf), states, F.lit(FIXED_NOW),
                               order=("source_time", "event_id", "doc_id"))
-    return _ntz(out)
+    stored = {"payload_pk": "$.gameData.game.pk", "payload_status": "$.gameData.status.detailedState"}
+    return _ntz(out.select("*", *[F.get_json_object("payload", p).alias(n) for n, p in stored.items()]).drop("payload"))
 
 
 # ------------------------------------------------------------ schedule S1-S5

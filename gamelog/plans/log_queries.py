@@ -13,6 +13,7 @@ from gamelog.plans.oracle import EVENT_TYPE_NUMBER_SQL, LOG_CTES
 from gamelog.plans.registry import FIXED_NOW_ISO, register
 from gamelog.sources import logs
 from gamelog.sources import testdata as td
+from gamelog.sources.schemas import PITCH_FIELDS
 
 
 def validated(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +100,8 @@ SELECT event_id, 'pitch' AS p_event_type, 'mlb' AS p_sport,
        CAST(at_bat_index AS VARCHAR) AS p_at_bat_index,
        CAST(inning AS VARCHAR) AS p_inning, CAST(outs AS VARCHAR) AS p_outs,
        inning IS NOT NULL AS has_inning, pitch_type AS p_pitch_type,
-       FALSE AS has_raw_payload, partition, "offset"
+       defect IN (11, 12, 14, 15) AS has_raw_payload,
+       CASE defect WHEN 11 THEN '{{"a":null,"b":[1,2.5]}}' END AS p_raw_k, partition, "offset"
 FROM good""")
 def q_payload_json_fields(spark, sf):
     g = good(spark, sf)
@@ -113,13 +115,22 @@ def q_payload_json_fields(spark, sf):
         j("$.outs").alias("p_outs"), F.col("payload").contains('"inning":').alias("has_inning"),
         j("$.pitch_type").alias("p_pitch_type"),
         F.col("payload").contains('"raw_payload"').alias("has_raw_payload"),
+        j("$.raw_payload.k").alias("p_raw_k"),
         "partition", "offset")
 
 
+# pitch fields that the log's records never set, as SQL types
+_SQL_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "VARCHAR"}
+UNSET_FIELDS = {n: _SQL_TYPES[t.simpleString()] for n, t in PITCH_FIELDS if n not in (
+    "at_bat_index", "pitch_number", "inning", "outs", "pitch_type", "start_speed_mph", "raw_payload_json")}
+
+
 @register("replay_roundtrip", f"""
 WITH {LOG_CTES}
 SELECT event_id, event_type, sport, game_pk, event_time, source_time, ingest_time,
-       at_bat_index, pitch_number, inning, outs, pitch_type, start_speed_mph
+       at_bat_index, pitch_number, inning, outs, pitch_type, start_speed_mph,
+       {", ".join(f"NULL::{t} AS {n}" for n, t in UNSET_FIELDS.items())},
+       CASE defect WHEN 11 THEN '{{"k":{{"a":null,"b":[1,2.5]}}}}' WHEN 15 THEN '[true,"x"]' END AS raw_payload_json
 FROM good""")
 def q_replay_roundtrip(spark, sf):
     g = good(spark, sf)
@@ -128,7 +139,7 @@ def q_replay_roundtrip(spark, sf):
     return _times_ntz(back.select(
         "event_id", "event_type", "sport", "game_pk", "event_time", "source_time",
         "ingest_time", "at_bat_index", "pitch_number", "inning", "outs", "pitch_type",
-        "start_speed_mph"))
+        "start_speed_mph", *UNSET_FIELDS, "raw_payload_json"))
 
 
 # ------------------------------------------------------------ W1-W4
@@ -199,7 +210,7 @@ ctx AS (
 
 def _ctx(spark, sf):
     acc = validate.enrichable(logs.decode_pitches(td.raw_log(spark, sf)))
-    return enrich.rolling_context(acc, td.stored_context(spark, sf))
+    return enrich.rolling_context(acc, td.stored_context(spark, sf), chunk_rows=1 << 25)
 
 
 @register("rolling_context", f"""

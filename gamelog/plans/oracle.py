@@ -7,6 +7,7 @@ queries start ``WITH`` these and then state the operator's semantics in plain SQ
 from __future__ import annotations
 
 from gamelog.sources.schemas import TERMINAL_STATUSES
+from gamelog.sources.testdata import _raw_text_sql
 
 TERMINAL_SQL = ", ".join(f"'{s}'" for s in TERMINAL_STATUSES)
 
@@ -34,9 +35,16 @@ GM_CTE = """gm AS (
          CAST(NULL AS VARCHAR) AS payload
   FROM customer)"""
 
-ACTIVE_CTE = f"""active AS (
-  SELECT game_pk, home_team, away_team, status, updated_at FROM gm
-  WHERE sport = 'mlb' AND status NOT IN ({TERMINAL_SQL}))"""
+# Newest pitch of each open game: the greatest (time, id) of the game's pitches, beside every game
+# of the sport whose status is known and not terminal.
+NEWEST_CTE = f"""newest AS (
+  SELECT gm.game_pk, any_value(home_team) AS home_team, any_value(away_team) AS away_team,
+         any_value(status) AS status,
+         max({{'t': event_time, 'i': event_id, 's': source_time, 'n': ingest_time, 'p': ev.payload}})
+           FILTER (event_type = 'pitch' AND ev.sport = 'mlb') AS pitch
+  FROM gm LEFT JOIN ev USING (game_pk)
+  WHERE gm.sport = 'mlb' AND coalesce(status NOT IN ({TERMINAL_SQL}), FALSE)
+  GROUP BY gm.game_pk)"""
 
 # Raw log fields of one lineitem row (before wire encoding), with the log position.
 RAW_CTE = """rf AS (
@@ -51,9 +59,9 @@ RAW_CTE = """rf AS (
          l_shipdate + INTERVAL 1 HOUR AS r_source_time,
          l_shipdate + INTERVAL 1 HOUR + to_seconds(l_linenumber) AS r_ingest_time,
          CAST(l_quantity AS INTEGER) AS defect,
-         row_number() OVER (PARTITION BY l_orderkey % 4 ORDER BY l_orderkey, l_partkey, l_suppkey,
-             l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag,
-             l_linestatus, l_shipdate) - 1 AS "offset"
+         l_orderkey * 268435456 + CAST('0x' || substr(md5(concat_ws('|', l_partkey, l_suppkey, l_linenumber,
+             CAST(round(l_extendedprice * 100) AS BIGINT), CAST(epoch(l_shipdate) AS BIGINT))), 1, 7) AS BIGINT)
+           AS "offset"
   FROM lineitem)"""
 
 from gamelog.sources.schemas import EVENT_TYPES, SPORTS  # noqa: E402
@@ -92,11 +100,12 @@ WIRE_TEXT_SQL = """CASE WHEN defect = 8 THEN 'not json {' WHEN defect = 9 THEN N
   || coalesce(',"outs":' || CAST(r_outs AS VARCHAR), '')
   || ',"pitch_type":"' || l_returnflag || l_linestatus || '"'
   || ',"start_speed_mph":' || CAST(CAST(l_quantity AS INTEGER) + 60 AS VARCHAR)
+  || coalesce(',"raw_payload_json":"' || """ + _raw_text_sql() + """ || '"', '')
   || '}' END"""
 
 # Decoded and validated raw records (mirrors logs.decode_pitches + validate.validate).
 VAL_CTE = f"""val AS (
-  SELECT partition, "offset", 'raw' AS topic, r_game_pk AS key_text, {WIRE_TEXT_SQL} AS value_text,
+  SELECT defect, partition, "offset", 'raw' AS topic, r_game_pk AS key_text, {WIRE_TEXT_SQL} AS value_text,
     defect <> 8 AS decoded,
     CASE WHEN defect IN (8, 9) THEN NULL WHEN defect = 1 THEN ''
          ELSE 'mlb:' || r_game_pk || ':pitch:' || CAST(r_at_bat_index AS VARCHAR) || ':'
@@ -120,7 +129,7 @@ cls AS (
     CASE WHEN NOT decoded THEN 'decode'
          WHEN coalesce(event_id, '') = '' OR event_type_number = 0 OR sport_number = 0
            OR coalesce(game_pk, '') = '' OR event_time IS NULL OR source_time IS NULL
-           OR ingest_time IS NULL THEN 'value'
+           OR ingest_time IS NULL OR defect = 13 THEN 'value'
          WHEN ({EVENT_TYPE_NAME_SQL}) IS NULL OR ({SPORT_NAME_SQL}) IS NULL THEN 'value' END
       AS error_kind,
     CASE WHEN NOT decoded THEN 'decode failed: malformed record'
@@ -133,7 +142,8 @@ cls AS (
          WHEN ingest_time IS NULL THEN 'spine validation failed: spine.ingest_time is missing'
          WHEN ({EVENT_TYPE_NAME_SQL}) IS NULL OR ({SPORT_NAME_SQL}) IS NULL
            THEN 'write-path poison pill: unknown_enum event_type=' || CAST(event_type_number AS VARCHAR)
-                || ' sport=' || CAST(sport_number AS VARCHAR) END AS error_message
+                || ' sport=' || CAST(sport_number AS VARCHAR)
+         WHEN defect = 13 THEN 'write-path poison pill: raw_payload_json is not valid JSON' END AS error_message
   FROM val),
 cl AS (
   SELECT *, CASE WHEN error_kind IS NULL THEN NULL

@@ -46,13 +46,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared, durable folder and is used as is. Only when it
-    is unset (unit tests on one machine) do we make a private folder.
+    On a cluster the setting names a shared, durable folder and is used as is. Only a local
+    master without it (unit tests on one machine) gets a private folder.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="gamelog-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc._jsc.sc().getCheckpointDir().isEmpty():

@@ -17,6 +17,7 @@ from gamelog.functions.times import parse_upstream_time
 from gamelog.sources.schemas import LOG_RECORD, PITCH_FIELDS, SPINE_FIELDS
 
 CORRUPT = "_corrupt_record"
+LOG_PARTITIONS = 16
 
 # Wire form of a pitch record: spine nested, enum numbers, times as ISO text.
 WIRE_SPINE = T.StructType([

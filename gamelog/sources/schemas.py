@@ -104,7 +104,7 @@ _SCHEDULE_GAME = _struct(("gamePk", L),
                          ("status", _struct(("statusCode", S), ("abstractGameState", S))))
 SCHEDULE = _struct(("dates", T.ArrayType(_struct(("games", T.ArrayType(_SCHEDULE_GAME))))))
 
-_PLAY_EVENT = _struct(
+PLAY_EVENT = _struct(
     ("isPitch", B), ("pitchNumber", I), ("index", I), ("startTime", S),
     ("details", _struct(("type", _struct(("code", S), ("description", S))),
                         ("call", _struct(("code", S), ("description", S))),
@@ -117,7 +117,7 @@ _PLAY = _struct(
     ("about", _struct(("atBatIndex", I), ("inning", I), ("halfInning", S))),
     ("matchup", _struct(("batter", _struct(("id", L), ("fullName", S))),
                         ("pitcher", _struct(("id", L), ("fullName", S))))),
-    ("playEvents", T.ArrayType(_PLAY_EVENT)))
+    ("playEvents", T.ArrayType(S)))  # each event as its own JSON text, parsed as PLAY_EVENT
 
 _FEED_HEAD = [
     ("gamePk", L),
@@ -135,9 +135,3 @@ _LINESCORE = ("linescore", _struct(("currentInning", I), ("inningHalf", S),
 # Typed view of a live feed.
 FEED = _struct(*_FEED_HEAD, ("liveData", _struct(
     _LINESCORE, ("plays", _struct(("allPlays", T.ArrayType(_PLAY)))))))
-
-# Raw view of the same document: every playEvent kept as its JSON text, zipped by position
-# with the typed array so unknown keys survive into raw_payload_json.
-_RAW_PLAY = _struct(("playEvents", T.ArrayType(S)))
-FEED_RAW_EVENTS = _struct(("liveData", _struct(("plays", _struct(
-    ("allPlays", T.ArrayType(_RAW_PLAY)))))))

@@ -21,16 +21,17 @@ def game_bucket(game_pk: Column) -> Column:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
-        return True
-    except Exception:  # noqa: BLE001 - missing or empty folder
-        return False
+    """Whether the folder exists and holds files; any other trouble with it is raised."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(folder) and len(fs.listStatus(folder)) > 0
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table with its declared schema, or no rows where it was never written."""
     if table_exists(spark, path):
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
 
 
@@ -50,14 +51,6 @@ def write_batch_partition(df: DataFrame, path: str, batch_id: int,
      .partitionBy("batch_id").parquet(path))
 
 
-def read_without_batch(spark: SparkSession, path: str, batch_id: int,
-                       schema: T.StructType) -> DataFrame:
-    """The table as it was before ``batch_id`` wrote (partition pruning on batch_id)."""
-    t = read_or_empty(spark, path, schema.add("batch_id", T.LongType()) if "batch_id"
-                      not in schema.fieldNames() else schema)
-    return t.filter(F.col("batch_id") != F.lit(int(batch_id)))
-
-
 def write_snapshot(df: DataFrame, path: str, version: int) -> None:
     """A keyed snapshot table (cursor, context) as version ``version``."""
     write_batch_partition(df, path, version)

@@ -17,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gamelog.functions.scan import ordered_scan
+from gamelog.functions.scan import chunk_of, ordered_scan
 
 # ---- fixed values: adapter rules ----
 RAW_TOPIC = "raw"
 RAW_PARTITIONS = 4
+OFFSET_BITS = 28
 FEED_CHUNK = 64
 SCHEDULE_CHUNK = 50
+PART_STEP = 512  # part keys per chunk of an ordered scan of lineitems
 GAME_STATUS_BY_SEGMENT = {
     "BUILDING": "In Progress",
     "MACHINERY": "Warmup",
@@ -43,6 +45,8 @@ RAW_DEFECTS = {
     9: "null value",
     10: "unknown event_type number",
 }
+# l_quantity value -> raw JSON text of the record (as it stands inside the record's own JSON)
+RAW_TEXTS = {11: '{"k":{"b":[1,2.5],"a":null}}', 12: "", 13: "{not json", 14: "null", 15: '[true,"x"]'}
 EPOCH_2024 = "2024-01-01 00:00:00"
 # ---- end of fixed values ----
 
@@ -139,9 +143,25 @@ def raw_fields(li: DataFrame) -> DataFrame:
         F.timestamp_add("SECOND", F.col("l_linenumber"), F.timestamp_add("HOUR", F.lit(1), ship))
          .alias("r_ingest_time"),
         q.alias("defect"),
+        log_offset().alias("offset"),
     )
 
 
+def log_offset() -> Column:
+    """Offset of a lineitem in the log (``RAW_CTE`` of the oracle has the same formula)."""
+    text = F.concat_ws("|", "l_partkey", "l_suppkey", "l_linenumber",
+                       F.round(F.col("l_extendedprice") * 100).cast("long"),
+                       F.unix_seconds(F.col("l_shipdate").cast("timestamp")))
+    low = F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+    return F.col("l_orderkey") * F.lit(1 << OFFSET_BITS) + low
+
+
+def _raw_text_sql() -> str:
+    """Raw JSON text by quantity, quotes escaped for their place inside the record's JSON text."""
+    whens = " ".join(f"WHEN {q} THEN replace('{t}', chr(34), concat(chr(92), chr(34)))" for q, t in RAW_TEXTS.items())
+    return f"CASE defect {whens} END"
+
+
 def _wire_value(r: DataFrame) -> DataFrame:
     """Encode a pitch record as wire JSON text (enum numbers, ISO-Z times)."""
     d = F.col("defect")
@@ -167,6 +187,7 @@ def _wire_value(r: DataFrame) -> DataFrame:
         _field("outs", F.col("r_outs")),
         _field("pitch_type", F.concat(F.col("l_returnflag"), F.col("l_linestatus")), quoted=True),
         _field("start_speed_mph", F.col("l_quantity").cast("int") + 60),
+        _field("raw_payload_json", F.expr(_raw_text_sql()), quoted=True),
         F.lit("}"),
     )
     value = (F.when(d == 8, F.lit("not json {"))
@@ -175,15 +196,13 @@ def _wire_value(r: DataFrame) -> DataFrame:
 
 
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as a keyed log: key = game, value = JSON pitch record, dense offsets.
+    """lineitem as a keyed log: key = game, value = JSON pitch record, increasing offsets.
 
-    Offsets are positions within a log partition in a total order of all lineitem columns,
-    computed with the bounded ordered scan (no partition-wide window).
+    An offset is a formula of the row, the order key above 28 bits of a hash of the other
+    columns, so that the log needs no scan: games follow each other, and records of a game
+    come in the order of their hashes.
     """
-    # Offsets are assigned on the light key columns; the record text is built afterwards,
-    # once the rows are spread over the range partitions.
-    r = raw_fields(read_table(spark, sf_dir, "lineitem"))
-    r = _wire_value(ordered_scan(r, ["partition"], LINEITEM_ORDER, ordinal="offset"))
+    r = _wire_value(raw_fields(read_table(spark, sf_dir, "lineitem")))
     return r.select(
         F.col("r_game_pk").cast("binary").alias("key"),
         F.col("value_text").cast("binary").alias("value"),
@@ -241,7 +260,7 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = read_table(spark, sf_dir, "lineitem")
     od = read_table(spark, sf_dir, "orders")
-    li = ordered_scan(li, ["l_orderkey"], LINEITEM_ORDER, ordinal="li_pos")
+    li = ordered_scan(li, ["l_orderkey"], LINEITEM_ORDER, chunk_of("l_partkey", PART_STEP), ordinal="li_pos")
     li = li.withColumn("chunk", F.floor(F.col("li_pos") / FEED_CHUNK))
     events = (li.groupBy("l_orderkey", "chunk")
               .agg(F.collect_list(_play_event(F.col("li_pos"))).alias("evs")))

@@ -21,11 +21,3 @@ def spark():
 @pytest.fixture
 def scratch(tmp_path):
     return str(tmp_path)
-
-
-@pytest.fixture
-def hot_rows(spark):
-    """Make groups above 500 rows take the segmented (hot) path of the ordered scan."""
-    spark.conf.set("gamelog.scan.hotGroupRows", "500")
-    yield 500
-    spark.conf.unset("gamelog.scan.hotGroupRows")

@@ -1,4 +1,4 @@
-"""Publish cursor (C1-C5): boundaries around cursor (5, 3)."""
+"""Publish cursor (C1-C5): boundaries around cursor (8, 2)."""
 
 from datetime import datetime
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gamelog.operators import cursor
 
-PAIRS = [(4, 99), (5, 2), (5, 3), (5, 4), (6, 0), (42, 0)]
+PAIRS = [(7, 12), (8, 1), (8, 2), (8, 5), (9, 0), (30, 1)]
 
 
 def _pitches(spark, game="g", pairs=PAIRS):
@@ -17,14 +17,14 @@ def _pitches(spark, game="g", pairs=PAIRS):
 
 
 def _cursors(spark):
-    return spark.createDataFrame([("g", 5, 3, datetime(2024, 1, 1))],
+    return spark.createDataFrame([("g", 8, 2, datetime(2024, 1, 1))],
                                  "game_pk string, last_at_bat_index int, last_pitch_number int, "
                                  "updated_at timestamp")
 
 
 def test_filter_boundaries(spark):
     kept = cursor.cursor_filter(_pitches(spark), _cursors(spark))
-    assert sorted((r.at_bat_index, r.pitch_number) for r in kept.collect()) == [(5, 4), (6, 0), (42, 0)]
+    assert sorted((r.at_bat_index, r.pitch_number) for r in kept.collect()) == [(8, 5), (9, 0), (30, 1)]
 
 
 def test_no_cursor_keeps_all(spark):
@@ -37,10 +37,10 @@ def test_counts(spark):
     assert (c.published, c.skipped) == (3, 3)
 
 
-@pytest.mark.parametrize("mode,expected", [("feed_order", (6, 0)), ("max", (42, 0))])
+@pytest.mark.parametrize("mode,expected", [("feed_order", (9, 0)), ("max", (30, 1))])
 def test_advance_modes(spark, mode, expected):
-    # feed order: (42, 0) arrives before (6, 0)
-    pub = _pitches(spark, pairs=[(5, 4), (42, 0), (6, 0)])
+    # feed order: (30, 1) arrives before (9, 0)
+    pub = _pitches(spark, pairs=[(8, 5), (30, 1), (9, 0)])
     adv = cursor.cursor_advance(pub, F.lit(datetime(2024, 7, 16)), mode=mode).collect()[0]
     assert (adv.last_at_bat_index, adv.last_pitch_number) == expected
 

@@ -1,12 +1,13 @@
 """Feed and schedule extraction (E1-E3, S1-S5) on inline documents."""
 
 import json
-from datetime import datetime
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures import DELETE, NOW, docs_frame, feed, variant
+from fixtures import (DELETE, GAME, NOW, PLAYS, POLLED, SPLITTER, STARTS, docs_frame, expected_pitches, feed, naive,
+                      variant)
 from gamelog.operators import extract
 
 
@@ -15,114 +16,103 @@ def _pitches(spark, *feeds):
         "doc_id", "play_pos", "event_pos").collect()
 
 
-def test_parses_all_pitches_and_skips_non_pitch(spark):
+PLAY0 = "liveData__plays__allPlays__0__"
+EVENT0 = PLAY0 + "playEvents__0__"
+KEYS = [k for k, _, _ in expected_pitches()]
+
+
+def test_pitches_in_feed_order(spark):
     rows = _pitches(spark, feed())
-    assert [r.event_id for r in rows] == [
-        "mlb:745612:pitch:0:1", "mlb:745612:pitch:0:2", "mlb:745612:pitch:1:1"]
-    assert [(r.play_pos, r.event_pos) for r in rows] == [(0, 0), (0, 2), (1, 0)]
+    assert [(r.event_id, r.play_pos, r.event_pos) for r in rows] == expected_pitches()
 
 
 def test_fields_and_presence(spark):
-    first, second, third = _pitches(spark, feed())
-    assert first.event_type == "pitch" and first.sport == "mlb" and first.game_pk == "745612"
-    assert first.event_time == datetime(2024, 7, 15, 22, 45, 10)
-    assert first.source_time == datetime(2024, 7, 15, 23, 5, 12)
-    assert first.ingest_time == datetime(2024, 7, 16, 0, 0, 0)
-    assert (first.pitch_type, first.call_code, first.start_speed_mph, first.end_speed_mph,
-            first.spin_rate_rpm) == ("FF", "C", 94.2, 86.5, 2280.0)
-    assert (first.is_in_play, first.is_strike, first.is_ball) == (False, True, False)
-    assert (first.batter_id, first.batter_name, first.pitcher_id) == (111, "Batter One", 999)
-    assert first.inning == 1 and first.inning_half == "top"
-    assert second.is_in_play is None and second.spin_rate_rpm is None and second.end_speed_mph is None
-    assert third.pitch_type_description is None and third.call_description is None
-    assert third.is_strike is None and third.is_ball is None and third.outs == 1
+    full, bare, *_, speed_only = _pitches(spark, feed())
+    play, source = PLAYS[0], SPLITTER
+    assert (full.event_type, full.sport, full.game_pk) == ("pitch", "mlb", str(GAME))
+    assert full.event_time == naive(STARTS + timedelta(seconds=65))
+    assert (full.source_time, full.ingest_time) == (naive(POLLED), naive(NOW))
+    assert (full.pitch_type, full.pitch_type_description) == tuple(source["details"]["type"].values())
+    assert (full.call_code, full.call_description) == tuple(source["details"]["call"].values())
+    assert (full.start_speed_mph, full.end_speed_mph, full.spin_rate_rpm) == (88.25, 80.5, 1411.0)
+    assert (full.is_in_play, full.is_strike, full.is_ball) == (False, True, False)
+    assert (full.balls, full.strikes, full.outs) == (2, 1, 1)
+    assert (full.batter_id, full.batter_name, full.pitcher_id) == (play["batter"], f"batter {play['batter']}", play["pitcher"])
+    assert (full.inning, full.inning_half) == (play["inning"], "bottom")
+    assert [bare[c] for c in ("is_in_play", "is_strike", "is_ball", "spin_rate_rpm", "end_speed_mph", "balls",
+                              "pitch_type_description", "call_description")] == [None] * 8
+    assert bare.outs == 0 and bare.pitch_type == "KN"
+    assert speed_only.start_speed_mph == 61.0 and speed_only.outs is None and speed_only.inning_half == "top"
 
 
 def test_raw_payload_keeps_unknown_keys(spark):
-    first = _pitches(spark, feed())[0]
-    raw = json.loads(first.raw_payload_json)
-    assert raw["extraKey"] == {"kept": True} and raw["pitchNumber"] == 1
-
+    raw = [json.loads(r.raw_payload_json) for r in _pitches(spark, feed())]
+    assert raw[0]["venue"] == {"roof": "open"}
+    events = feed()["liveData"]["plays"]["allPlays"]
+    assert raw == [events[i]["playEvents"][j] for _, i, j in expected_pitches()]
 
-def test_empty_feed_gives_no_rows(spark):
-    f = variant(liveData__plays__allPlays=[], metaData=DELETE)
-    assert _pitches(spark, f) == []
 
-
-def test_null_all_plays_gives_no_rows(spark):
-    assert _pitches(spark, variant(liveData__plays__allPlays=None)) == []
+@pytest.mark.parametrize("changes", [{"liveData__plays__allPlays": [], "metaData": DELETE},
+                                     {"liveData__plays__allPlays": None}, {"liveData": DELETE}])
+def test_feeds_without_plays_give_no_rows(spark, changes):
+    assert _pitches(spark, variant(**changes)) == []
 
 
 def test_pitch_number_falls_back_to_index_and_zero_is_valid(spark):
-    f = variant(liveData__plays__allPlays__0__playEvents__0__pitchNumber=DELETE)
-    rows = _pitches(spark, f)
-    assert rows[0].pitch_number == 0 and rows[0].event_id == "mlb:745612:pitch:0:0"
+    first = _pitches(spark, variant(**{EVENT0 + "pitchNumber": DELETE}))[0]
+    assert first.pitch_number == 0 and first.event_id.endswith(":pitch:11:0")
 
 
 def test_event_without_pitch_number_or_index_is_skipped(spark):
-    f = variant(liveData__plays__allPlays__0__playEvents__0__pitchNumber=DELETE)
-    f["liveData"]["plays"]["allPlays"][0]["playEvents"][0].pop("index")
-    assert len(_pitches(spark, f)) == 2
-
+    f = variant(**{EVENT0 + "pitchNumber": DELETE, EVENT0 + "index": DELETE})
+    assert [r.event_id for r in _pitches(spark, f)] == KEYS[1:]
 
-def test_start_time_falls_back_to_feed_time(spark):
-    f = variant(liveData__plays__allPlays__0__playEvents__0__startTime=DELETE)
-    assert _pitches(spark, f)[0].event_time == datetime(2024, 7, 15, 23, 5, 12)
 
-
-def test_feed_time_falls_back_to_now(spark):
-    f = variant(metaData__timeStamp=DELETE,
-                liveData__plays__allPlays__0__playEvents__0__startTime=DELETE)
+def test_times_fall_back_to_the_feed_and_then_to_now(spark):
+    f = variant(**{EVENT0 + "startTime": DELETE})
+    assert _pitches(spark, f)[0].event_time == naive(POLLED)
+    f["metaData"] = {}
     first = _pitches(spark, f)[0]
-    assert first.source_time == datetime(2024, 7, 16) and first.event_time == datetime(2024, 7, 16)
+    assert first.source_time == first.event_time == naive(NOW)
 
 
 def test_compact_feed_time(spark):
-    first = _pitches(spark, variant(metaData__timeStamp="20240715_230512"))[0]
-    assert first.source_time == datetime(2024, 7, 15, 23, 5, 12)
-
-
-def test_play_without_at_bat_index_skipped(spark):
-    f = variant(liveData__plays__allPlays__0__about__atBatIndex=DELETE)
-    assert [r.event_id for r in _pitches(spark, f)] == ["mlb:745612:pitch:1:1"]
+    assert _pitches(spark, variant(metaData__timeStamp="20250402_183107"))[0].source_time == naive(POLLED)
 
 
 def test_game_pk_zero_falls_through_to_game_data(spark):
-    f = variant(gamePk=0, gameData__game__pk=555)
-    assert _pitches(spark, f)[0].game_pk == "555"
+    assert {r.game_pk for r in _pitches(spark, variant(gamePk=0, gameData__game__pk=905))} == {"905"}
 
 
 def test_no_game_key_is_invalid(spark):
-    f = variant(gamePk=DELETE, gameData__game__pk=0)
-    rows = _pitches(spark, f)
-    assert rows[0].game_pk == "" and rows[0].valid is False
+    rows = _pitches(spark, variant(gamePk=DELETE, gameData__game__pk=0))
+    assert {(r.game_pk, r.valid) for r in rows} == {("", False)}
 
 
-def test_is_pitch_absent_means_not_a_pitch(spark):
-    f = variant(liveData__plays__allPlays__1__playEvents__0__isPitch=DELETE)
-    assert len(_pitches(spark, f)) == 2
+def test_empty_half_inning_is_null(spark):
+    assert _pitches(spark, variant(**{PLAY0 + "about__halfInning": ""}))[0].inning_half is None
 
 
-def test_empty_half_inning_is_null(spark):
-    f = variant(liveData__plays__allPlays__0__about__halfInning="")
-    assert _pitches(spark, f)[0].inning_half is None
+def test_no_generator_carries_the_document(spark):
+    plan = extract.extract_pitches(docs_frame(spark, feed()), F.lit(NOW))._jdf.queryExecution().optimizedPlan().toString()
+    generates = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    assert len(generates) == 2 and all("value#" not in g for g in generates)
+    assert "allPlays" not in generates[0]
 
 
 def test_game_state(spark):
     st = extract.extract_game_state(docs_frame(spark, feed()), F.lit(NOW)).collect()[0]
-    assert st.event_id == "mlb:745612:game:state:2024-07-15T23:05:12+00:00"
-    assert (st.status, st.home_score, st.away_score, st.inning, st.inning_half) == (
-        "In Progress", 2, 1, 4, "top")
-    assert st.event_time == datetime(2024, 7, 15, 22, 40)
-    assert st.home_team == "Home Club" and st.raw_payload_json is None
+    assert st.event_id == f"mlb:{GAME}:game:state:2025-04-02T18:31:07+00:00"
+    assert (st.status, st.home_score, st.away_score, st.inning, st.inning_half) == ("In Progress", 5, 0, 3, "top")
+    assert st.event_time == naive(STARTS) and (st.home_team, st.away_team) == ("Harbor", "Summit")
+    assert st.raw_payload_json is None and json.loads(st.payload) == feed()
 
 
 def test_game_state_id_without_offset_and_now(spark):
-    a = extract.extract_game_state(docs_frame(spark, variant(metaData__timeStamp="20240715_230512")),
-                                   F.lit(NOW)).collect()[0]
-    assert a.event_id == "mlb:745612:game:state:2024-07-15T23:05:12"
-    b = extract.extract_game_state(docs_frame(spark, variant(metaData=DELETE)), F.lit(NOW)).collect()[0]
-    assert b.event_id == "mlb:745612:game:state:2024-07-16T00:00:00+00:00"
+    a, b = (extract.extract_game_state(docs_frame(spark, f), F.lit(NOW)).collect()[0].event_id for f in (
+        variant(metaData__timeStamp="20250402_183107"), variant(metaData=DELETE)))
+    assert a == f"mlb:{GAME}:game:state:2025-04-02T18:31:07"
+    assert b == f"mlb:{GAME}:game:state:2024-07-16T00:00:00+00:00"
 
 
 def _schedule(spark, games):

@@ -3,6 +3,7 @@
 import json
 from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from fixtures import NOW, docs_frame, feed
@@ -17,20 +18,19 @@ def _pitches(spark):
 
 def test_payload_shape(spark):
     p = _pitches(spark)
-    row = p.select(payload.pitch_payload(p).alias("j")).orderBy("j").collect()[0]
-    d = json.loads(row.j)
+    d = json.loads(p.filter("pitch_number = 4").select(payload.pitch_payload(p).alias("j")).collect()[0].j)
     assert list(d)[:7] == ["event_id", "event_type", "sport", "game_pk", "event_time",
                            "source_time", "ingest_time"]
     assert d["event_type"] == "pitch" and d["sport"] == "mlb"
-    assert d["event_time"] == "2024-07-15T22:45:10+00:00"
-    assert d["raw_payload"]["pitchNumber"] == 1 and "raw_payload_json" not in d
+    assert d["event_time"] == "2025-04-02T17:06:05+00:00"
+    assert d["raw_payload"]["pitchNumber"] == 4 and "raw_payload_json" not in d
 
 
 def test_absent_optionals_omitted_and_zero_kept(spark):
-    p = _pitches(spark).filter(F.col("event_id") == "mlb:745612:pitch:0:2")
+    p = _pitches(spark).filter("at_bat_index = 11 AND pitch_number = 5")
     d = json.loads(p.select(payload.pitch_payload(p).alias("j")).collect()[0].j)
     assert "is_in_play" not in d and "spin_rate_rpm" not in d
-    assert d["outs"] == 0 and d["at_bat_index"] == 0
+    assert d["outs"] == 0 and d["at_bat_index"] == 11
 
 
 def test_round_trip(spark):
@@ -52,6 +52,12 @@ def test_unknown_and_null_keys_skipped(spark):
     assert r.event_id == "x" and r.inning is None and r.raw_payload_json is None
 
 
+@pytest.mark.parametrize("raw, back", [("null", None), ("", None), (None, None), ("[1,null]", "[1,null]")])
+def test_raw_null_comes_back_unset(spark, raw, back):
+    p = _pitches(spark).limit(1).withColumn("raw_payload_json", F.lit(raw).cast("string"))
+    assert payload.payload_to_pitch(payload.events_row(p)).collect()[0].raw_payload_json == back
+
+
 def test_empty_raw_payload_is_json_null(spark):
     p = _pitches(spark).limit(1).withColumn("raw_payload_json", F.lit(""))
     d = json.loads(p.select(payload.pitch_payload(p).alias("j")).collect()[0].j)

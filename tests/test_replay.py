@@ -17,11 +17,11 @@ def _events(spark, offsets, game="1"):
     return spark.createDataFrame(rows, EV)
 
 
-def test_waits_at_speed_ten(spark):
-    out = replay.replay_schedule(_events(spark, [0, 20, 50]), speed=10).orderBy("seq").collect()
-    assert [r.wait_s for r in out] == [None, 2.0, 3.0]
-    assert [r.release_offset_s for r in out] == [0.0, 2.0, 5.0]
-    assert out[-1].seq == 2
+def test_waits_are_gaps_over_speed(spark):
+    out = replay.replay_schedule(_events(spark, [0, 6, 7, 31]), speed=4).orderBy("seq").collect()
+    assert [r.wait_s for r in out] == [None, 1.5, 0.25, 6.0]
+    assert [r.release_offset_s for r in out] == [0.0, 1.5, 1.75, 7.75]
+    assert out[-1].seq == 3
 
 
 def test_equal_times_wait_zero(spark):
@@ -58,9 +58,27 @@ def test_republish_round_trip(spark):
     events = payload.events_row(pitches)
     recs = replay.republish(events, "raw", game_pk="1")
     assert recs.count() == 2
-    log = recs.withColumn("partition", F.lit(0)).withColumn("offset", F.col("seq")) \
-        .withColumn("timestamp", F.current_timestamp())
+    log = recs.withColumn("timestamp", F.current_timestamp())
     back = validate.validate(logs.decode_pitches(log)).orderBy("offset").collect()
     assert [r.event_id for r in back] == ["mlb:1:pitch:0:1", "mlb:1:pitch:0:2"]
     assert back[0].error_kind is None and back[0].inning == 3 and back[1].inning is None
     assert back[1].event_time == T0 + timedelta(seconds=5)
+
+
+def test_written_replay_keeps_each_games_order(spark, scratch):
+    from gamelog.operators.payload import events_row
+    from gamelog.sources import logs
+    rows = [(f"mlb:{g}:pitch:{i}:1", "pitch", "mlb", str(g), T0 + timedelta(seconds=97 * i % 50), T0, T0, i, 1)
+            for g in range(3) for i in range(40)]
+    p = spark.createDataFrame(rows, "event_id string, event_type string, sport string, game_pk string, "
+                                    "event_time timestamp, source_time timestamp, ingest_time timestamp, "
+                                    "at_bat_index int, pitch_number int")
+    events = events_row(p).repartition(7)
+    logs.write_log(replay.republish(events, "raw"), scratch + "/log")
+    back = spark.read.parquet(scratch + "/log").withColumn("timestamp", F.current_timestamp())
+    got = logs.decode_pitches(back).orderBy("partition", "offset").collect()
+    for g in range(3):
+        mine = [(r.event_time, r.event_id) for r in got if r.game_pk == str(g)]
+        assert mine == sorted(mine) and len(mine) == 40
+    one = replay.ordered_history(events, game_pk="1").collect()
+    assert [(r.event_time, r.event_id) for r in one] == sorted((r.event_time, r.event_id) for r in one)

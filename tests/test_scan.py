@@ -26,30 +26,41 @@ def _reference(df):
 COLS = ["g", "o", "v", "prev_v", "fill_v", "before_v", "pos"]
 
 
-def test_range_segments(spark, hot_rows):
+def test_chunks_and_spans(spark):
     df = _data(spark)
-    out = ordered_scan(df, ["g"], ["o"], prev=["v"], fill=["v"], before=["v"], ordinal="pos",
-                       num_partitions=7).select(*COLS)
     ref = _reference(df).select(*COLS)
-    assert out.count() == 6000
-    assert out.exceptAll(ref).count() == 0 and ref.exceptAll(out).count() == 0
-
-
-def test_chunk_segments(spark):
-    df = _data(spark)
-    out = ordered_scan(df, ["g"], ["o"], prev=["v"], fill=["v"], before=["v"], ordinal="pos",
-                       chunk=chunk_of("o", 97)).select(*COLS)
-    assert out.exceptAll(_reference(df).select(*COLS)).count() == 0
-
-
-def test_windows_when_no_group_is_hot(spark):
-    df = _data(spark)
-    out = ordered_scan(df, ["g"], ["o"], prev=["v"], fill=["v"], before=["v"], ordinal="pos").select(*COLS)
-    assert out.exceptAll(_reference(df).select(*COLS)).count() == 0
-    assert "Exchange rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
-
-
-def test_exact_percentiles_match_interpolation(spark, hot_rows):
+    for step in (1, 97, 10_000):  # chunks of one row span several spans
+        out = ordered_scan(df, ["g"], ["o"], chunk_of("o", step), prev=["v"], fill=["v"], before=["v"],
+                           ordinal="pos").select(*COLS)
+        assert out.count() == 6000
+        assert out.exceptAll(ref).count() == 0
+
+
+def test_null_order_and_first(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", 2000000, None), ("b", 1, 4)], "g string, o long, v int")
+    out = ordered_scan(df, ["g"], ["o"], chunk_of("o", 1), prev=["v"], first=["v"], ordinal="n").collect()
+    assert {(r.g, r.o): (r.prev_v, r.first_v, r.n) for r in out} == {
+        ("a", None): (None, 1, 0), ("a", 5): (1, 1, 1), ("a", 2000000): (2, 1, 2), ("b", 1): (None, 4, 0)}
+
+
+def test_building_a_query_runs_nothing(spark):
+    import __spark_entry__ as entry
+    from gamelog.plans.registry import QUERIES
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    sc = spark.sparkContext
+    sc.setJobGroup("building", "building registered queries")
+    try:
+        for name in QUERIES:
+            entry.queries()[name](spark, "/root/testdata/sf0.001")
+        jobs = sc.statusTracker().getJobIdsForGroup("building")
+        # reading a Parquet schema is the only job a query may start
+        assert all(sc.statusTracker().getStageInfo(s).name.startswith("parquet")
+                   for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_exact_percentiles_match_interpolation(spark):
     import numpy as np
     df = _data(spark).filter(F.col("v").isNotNull())
     got = {r.g: (r.p50, r.p95, r.p99) for r in exact_percentiles(df, ["g"], "v").collect()}
@@ -59,19 +70,6 @@ def test_exact_percentiles_match_interpolation(spark, hot_rows):
         assert np.allclose(got[g], exp)
 
 
-def test_few_large_groups_are_split(spark):
-    # two groups, each half of the rows: above a task's fair share, so segmented
-    df = spark.range(0, 40000).select((F.col("id") % 2).cast("string").alias("g"),
-                                      F.col("id").alias("o"),
-                                      F.when(F.col("id") % 3 == 0, F.col("id")).alias("v"))
-    out = ordered_scan(df, ["g"], ["o"], fill=["v"], ordinal="pos", num_partitions=4)
-    assert "ExistingRDD" in out._jdf.queryExecution().executedPlan().toString()
-    w = Window.partitionBy("g").orderBy("o")
-    ref = df.select("g", "o", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-                    .alias("fill_v"), (F.row_number().over(w) - 1).cast("long").alias("pos"))
-    assert out.select("g", "o", "fill_v", "pos").exceptAll(ref).count() == 0
-
-
 from hypothesis import HealthCheck, given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
@@ -83,8 +81,8 @@ from hypothesis import strategies as st  # noqa: E402
 def test_segmented_scan_matches_pandas(spark, rows):
     import pandas as pd
     df = spark.createDataFrame(rows, "g string, o long, v int")
-    out = ordered_scan(df, ["g"], ["o"], prev=["v"], fill=["v"], before=["v"], ordinal="pos",
-                       chunk=chunk_of("o", 50_000)).toPandas()
+    out = ordered_scan(df, ["g"], ["o"], chunk_of("o", 50_000), prev=["v"], fill=["v"], before=["v"],
+                       ordinal="pos").toPandas()
     pdf = pd.DataFrame(rows, columns=["g", "o", "v"]).sort_values(["g", "o"])
     grp = pdf.groupby("g")["v"]
     pdf["prev_v"] = grp.shift(1)

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from fixtures import feed, variant
+from fixtures import GAME, expected_pitches, feed, variant
 from gamelog.operators import serve
 from gamelog.sources import logs, tables
 from gamelog.sources import testdata as td
@@ -53,20 +53,44 @@ def test_ingest_publishes_only_new_pitches(spark, scratch):
     q = ingest.start_ingest(ingest.read_feed_stream(spark, landing), log_path, cur_path,
                             games_path, ck)
     q.awaitTermination()
-    assert spark.read.parquet(log_path).count() == 2
+    seen = [k for k, i, _ in expected_pitches() if i == 0]
+    assert spark.read.parquet(log_path).count() == len(seen)
     _land(landing, "poll2.json", feed())
     q = ingest.start_ingest(ingest.read_feed_stream(spark, landing), log_path, cur_path,
                             games_path, ck)
     q.awaitTermination()
     log = spark.read.parquet(log_path)
-    assert log.count() == 3
+    assert log.count() == len(expected_pitches())
     dec = logs.decode_pitches(log).orderBy("offset").collect()
-    assert [r.event_id for r in dec][-1] == "mlb:745612:pitch:1:1"
+    assert [r.event_id for r in dec] == [k for k, _, _ in expected_pitches()]
     cur = tables.read_snapshot(spark, cur_path, CURSOR).collect()[0]
-    assert (cur.last_at_bat_index, cur.last_pitch_number) == (1, 1)
+    assert (cur.last_at_bat_index, cur.last_pitch_number) == (13, 2)
     from gamelog.sources.schemas import GAMES_TABLE
     games = tables.read_snapshot(spark, games_path, GAMES_TABLE).collect()
-    assert [(g.game_pk, g.status) for g in games] == [("745612", "In Progress")]
+    assert [(g.game_pk, g.status) for g in games] == [(str(GAME), "In Progress")]
+    assert json.loads(games[0].payload) == feed()
+
+
+def test_two_polls_in_one_batch_publish_each_pitch_once(spark, scratch):
+    landing = os.path.join(scratch, "landing")
+    paths = {n: os.path.join(scratch, n) for n in ("log", "cursor", "games", "quarantine")}
+    early = variant(metaData__timeStamp="2025-04-02T18:00:00.000Z")
+    early["liveData"]["plays"]["allPlays"] = early["liveData"]["plays"]["allPlays"][:1]
+    nameless = variant(gamePk=0, gameData__game__pk=0)
+    for name, doc in (("a.json", early), ("b.json", feed()), ("c.json", feed()), ("d.json", nameless)):
+        _land(landing, name, doc)
+    docs = spark.read.text(landing, wholetext=True).selectExpr("_metadata.file_path AS doc_id", "value")
+    counts = ingest.ingest_batch(docs, 0, paths["log"], paths["cursor"], paths["games"],
+                                 quarantine_path=paths["quarantine"])
+    dec = logs.decode_pitches(spark.read.parquet(paths["log"])).orderBy("offset").collect()
+    assert [r.event_id for r in dec] == [k for k, _, _ in expected_pitches()]
+    n = len(expected_pitches())
+    assert dec[0].source_time.hour == 18 and counts["published"] == n
+    assert counts["skipped"] == sum(i == 0 for _, i, _ in expected_pitches()) + n
+    bad = spark.read.parquet(paths["quarantine"]).collect()
+    assert sorted({(r.event_type, r.reason) for r in bad}) == [
+        ("game_state", "spine.game_pk is empty"), ("pitch", "spine.game_pk is empty")]
+    assert len(bad) == n + 1
 
 
 def test_feed_to_serving(spark, scratch):
@@ -80,7 +104,7 @@ def test_feed_to_serving(spark, scratch):
     from gamelog.sources.schemas import GAMES_TABLE
     games = tables.read_snapshot(spark, paths["games"], GAMES_TABLE)
     latest = serve.latest_pitch_per_active_game(spark.read.parquet(paths["events"]), games).collect()
-    assert len(latest) == 1 and latest[0].event_id == "mlb:745612:pitch:1:1"
+    assert len(latest) == 1 and latest[0].event_id == f"mlb:{GAME}:pitch:13:2"
     assert latest[0].status == "In Progress"
 
 

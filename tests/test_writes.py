@@ -39,7 +39,7 @@ def test_hot_key_copies_reduce(spark):
 GAMES = "game_pk string, sport string, status string, home_team string, away_team string, " \
         "start_time timestamp, updated_at timestamp, payload string"
 STATES = "game_pk string, sport string, status string, home_team string, away_team string, " \
-         "event_time timestamp, source_time timestamp, event_id string"
+         "event_time timestamp, source_time timestamp, event_id string, payload string"
 
 
 def test_upsert_games(spark):
@@ -47,19 +47,19 @@ def test_upsert_games(spark):
         [("1", "mlb", "Warmup", "H", "A", T0, T0, "{}"), ("2", "mlb", "Final", "H2", "A2", T0, T0, None)],
         GAMES)
     states = spark.createDataFrame(
-        [("1", "nfl", "In Progress", "", "A", T0, datetime(2024, 7, 15, 23), "s1"),
-         ("1", "nfl", "Final", "H", "A", T0, datetime(2024, 7, 15, 23, 30), "s2"),
-         ("3", "mlb", "Warmup", "H3", None, T0, datetime(2024, 7, 15, 23), "s3")], STATES)
+        [("1", "nfl", "In Progress", "", "A", T0, datetime(2024, 7, 15, 23), "s1", "doc1"),
+         ("1", "nfl", "Final", "H", "A", T0, datetime(2024, 7, 15, 23, 30), "s2", "doc2"),
+         ("3", "mlb", "Warmup", "H3", None, T0, datetime(2024, 7, 15, 23), "s3", "doc3")], STATES)
     now = datetime(2024, 7, 16)
     out = {r.game_pk: r for r in writes.upsert_games(existing, states, F.lit(now)).collect()}
     assert out["1"].status == "Final" and out["1"].sport == "mlb" and out["1"].updated_at == now
-    assert out["1"].payload is None
+    assert out["1"].payload == "doc2" and out["3"].payload == "doc3"
     assert out["2"].status == "Final" and out["2"].updated_at == T0 and out["2"].home_team == "H2"
     assert out["3"].sport == "mlb" and out["3"].away_team is None
 
 
 def test_upsert_blank_text_becomes_null(spark):
     existing = spark.createDataFrame([], GAMES)
-    states = spark.createDataFrame([("9", "mlb", "", "", "", T0, T0, "e")], STATES)
+    states = spark.createDataFrame([("9", "mlb", "", "", "", T0, T0, "e", None)], STATES)
     r = writes.upsert_games(existing, states, F.lit(datetime(2024, 7, 16))).collect()[0]
     assert (r.status, r.home_team, r.away_team) == (None, None, None)
