@@ -3,7 +3,7 @@
 Arrival order inside a game is the log order (partition, offset). The context after a pitch
 takes the pitch's inning / outs when present (0 counts) and keeps the last known values
 otherwise, starting from the stored context (or zeros). Scores and runners are carried
-unchanged from the stored context. The streaming form is in ``gamelog.streaming.enrich``.
+unchanged from the stored context. The streaming job is in ``gamelog.streaming.enrich``.
 """
 
 from __future__ import annotations
@@ -75,17 +75,21 @@ def context_changes(ctx: DataFrame) -> DataFrame:
         "game_pk", *ARRIVAL, *[F.col(f"ctx_{c}").alias(c) for c in CONTEXT_FIELDS])
 
 
-def context_snapshot(ctx: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Newest context per game (hot state table): the context after the last arrival;
-    stored games without new pitches keep their row."""
-    last = (ctx.groupBy("game_pk")
-            .agg(F.max_by(F.struct(*[F.col(f"ctx_{c}").alias(c) for c in CONTEXT_FIELDS]),
-                          F.struct(*ARRIVAL)).alias("_s"))
-            .select("game_pk", *[F.col(f"_s.{c}").alias(c) for c in CONTEXT_FIELDS]))
+def newest_context(pitches: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Newest context per game without a scan: the last inning and outs that were present
+    (map-side maxima over arrival), on top of the stored context; stored games without new
+    pitches keep their row."""
+    at = F.struct(*ARRIVAL)
+    last = pitches.groupBy("game_pk").agg(*[
+        F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in ROLLING])
     if stored is None:
-        return last
-    return stored.join(last.select("game_pk"), "game_pk", "left_anti").unionByName(
-        last.select(*stored.columns))
+        return last.select("game_pk", *[
+            F.coalesce(c, F.lit(CONTEXT_DEFAULTS[c])).alias(c) if c in ROLLING
+            else F.lit(CONTEXT_DEFAULTS[c]).alias(c) for c in CONTEXT_FIELDS])
+    old = stored.select("game_pk", *[F.col(c).alias(f"_s_{c}") for c in CONTEXT_FIELDS])
+    return last.join(old, "game_pk", "full_outer").select("game_pk", *[
+        F.coalesce(*([c] if c in ROLLING else []), f"_s_{c}", F.lit(CONTEXT_DEFAULTS[c])).alias(c)
+        for c in CONTEXT_FIELDS])
 
 
 def enriched_rows(ctx: DataFrame) -> DataFrame:
@@ -110,9 +114,10 @@ def enriched_rows(ctx: DataFrame) -> DataFrame:
         F.col("ctx_inning").alias("context_inning"), F.col("ctx_outs").alias("context_outs"))
 
 
-def enriched_log_records(enriched: DataFrame, topic: str) -> DataFrame:
-    """Enriched events as log records keyed by game (the raw log's key), JSON payload value."""
+def enriched_log_records(enriched: DataFrame, topic: str, keep=()) -> DataFrame:
+    """Enriched events as log records keyed by game (the raw log's key), JSON payload value;
+    ``keep`` names columns to carry along (the arrival position, say)."""
     from gamelog.operators.payload import enriched_payload
     return enriched.select(F.col("spine.game_pk").cast("binary").alias("key"),
                            enriched_payload(enriched).cast("binary").alias("value"),
-                           F.lit(topic).alias("topic"))
+                           F.lit(topic).alias("topic"), *keep)

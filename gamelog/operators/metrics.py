@@ -9,13 +9,23 @@ from pyspark.sql import functions as F
 
 from gamelog.functions.cols import as_col, seconds_between
 from gamelog.functions.scan import chunk_of, ordered_scan
-from gamelog.sources.schemas import DURATION_BOUNDS, OUTCOME_DLQ
-
-
-def outcome_counts(outcomes: DataFrame, letters: DataFrame) -> DataFrame:
-    """Messages by outcome: written / duplicate from the write step, dlq from dead letters."""
-    o = outcomes.select("outcome").unionByName(letters.select(F.lit(OUTCOME_DLQ).alias("outcome")))
-    return o.groupBy("outcome").agg(F.count(F.lit(1)).alias("messages"))
+from gamelog.sources.schemas import DURATION_BOUNDS, OUTCOME_DLQ, OUTCOME_DUPLICATE, OUTCOME_WRITTEN
+
+
+def outcome_counts(validated: DataFrame, table: DataFrame, key: str = "event_id") -> DataFrame:
+    """Messages by outcome, in one pass: bad records are dead letters; of the good ones the first
+    of each key that ``table`` lacks is written and all others are duplicates."""
+    good = F.col("error_kind").isNull()
+    copies = validated.groupBy(F.when(good, F.col(key)).alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    known = table.select(F.col(key).alias("_known")).distinct()
+    new = F.col(key).isNotNull() & F.col("_known").isNull()
+    counts = copies.join(known, F.col(key) == F.col("_known"), "left").agg(
+        F.count_if(new).alias(OUTCOME_WRITTEN),
+        (F.coalesce(F.sum(F.when(F.col(key).isNotNull(), F.col("n"))), F.lit(0)) - F.count_if(new)).alias(OUTCOME_DUPLICATE),
+        F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("n"))), F.lit(0)).alias(OUTCOME_DLQ))
+    rows = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("messages"))
+                     for o in (OUTCOME_WRITTEN, OUTCOME_DUPLICATE, OUTCOME_DLQ)])
+    return counts.select(F.explode(rows).alias("o")).select("o.*").filter("messages > 0")
 
 
 def dead_letter_counts(letters: DataFrame) -> DataFrame:

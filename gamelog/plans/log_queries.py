@@ -246,7 +246,8 @@ SELECT * FROM last
 UNION ALL
 SELECT * FROM stored WHERE game_pk NOT IN (SELECT game_pk FROM last)""")
 def q_game_context_snapshot(spark, sf):
-    return enrich.context_snapshot(_ctx(spark, sf), td.stored_context(spark, sf))
+    acc = validate.enrichable(logs.decode_pitches(td.raw_log(spark, sf)))
+    return enrich.newest_context(acc, td.stored_context(spark, sf))
 
 
 @register("enriched_rows", f"""
@@ -280,11 +281,7 @@ o AS (SELECT CASE WHEN g.event_id NOT IN (SELECT event_id FROM existing)
       UNION ALL SELECT 'dlq' FROM cl WHERE error_kind IS NOT NULL)
 SELECT outcome, count(*) AS messages FROM o GROUP BY outcome""")
 def q_outcome_counts(spark, sf):
-    v = validated(spark, sf)
-    outcomes = writes.write_outcomes(validate.good_records(v).select("partition", "offset", "event_id"),
-                                     td.existing_events(spark, sf))
-    letters = validate.dead_letters(validate.bad_records(v), F.lit(FIXED_NOW_ISO))
-    return metrics.outcome_counts(outcomes, letters)
+    return metrics.outcome_counts(validated(spark, sf), td.existing_events(spark, sf))
 
 
 @register("dlq_counts", f"""

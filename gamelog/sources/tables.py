@@ -51,22 +51,35 @@ def write_batch_partition(df: DataFrame, path: str, batch_id: int,
      .partitionBy("batch_id").parquet(path))
 
 
+KEPT_VERSIONS = 3
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a snapshot table, oldest first, from its folder names."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id="))
+
+
 def write_snapshot(df: DataFrame, path: str, version: int) -> None:
-    """A keyed snapshot table (cursor, context) as version ``version``."""
-    write_batch_partition(df, path, version)
+    """A keyed snapshot table (cursor, context) as version ``version``; old versions are dropped."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={int(version)}")
+    for old in _versions(spark, path)[:-KEPT_VERSIONS]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={old}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType,
                   before: int | None = None) -> DataFrame:
-    """Latest version of a snapshot table (optionally the latest before ``before``).
-
-    Snapshots hold one row per game, so reading their versions is cheap next to events.
-    """
-    t = read_or_empty(spark, path, T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())]))
-    if before is not None:
-        t = t.filter(F.col("batch_id") < F.lit(int(before)))
-    latest = t.agg(F.max("batch_id").alias("_v"))
-    return t.join(latest, t.batch_id == latest._v).select(*schema.fieldNames())
+    """Newest version of a snapshot table (or the newest before ``before``); only it is read."""
+    known = [v for v in _versions(spark, path) if before is None or v < before]
+    if not known:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch_id={known[-1]}")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

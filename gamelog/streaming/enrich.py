@@ -1,139 +1,44 @@
-"""Streaming form of the rolling per-game context (keyed state).
+"""Raw log -> enriched log and per-game context, one micro-batch at a time.
 
-State per game is the 7 context values. In a micro-batch a game's records may arrive in
-several Arrow chunks and in any order: all chunks are concatenated, sorted by arrival
-(partition, offset), and inning/outs are forward-filled from the state with pandas (no row
-loop). Games without state start from the stored snapshot (stream-static join), else zeros.
-The per-game group of one micro-batch is bounded by the trigger's batch size.
+Each batch runs the batch form of the rolling context (JVM-side, a large game split into chunks
+of the log), seeded by the context table as it stood before the batch, then writes the full
+enriched records to the batch's own partition and the newest context of every game as the next
+version of the context table. A replayed batch reads the same seed and rewrites the same output.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from gamelog.operators import validate
-from gamelog.sources.schemas import CONTEXT_DEFAULTS, CONTEXT_FIELDS
-
-STATE_SCHEMA = T.StructType([
-    T.StructField("home_score", T.IntegerType()), T.StructField("away_score", T.IntegerType()),
-    T.StructField("runner_on_first", T.BooleanType()),
-    T.StructField("runner_on_second", T.BooleanType()),
-    T.StructField("runner_on_third", T.BooleanType()),
-    T.StructField("inning", T.IntegerType()), T.StructField("outs", T.IntegerType())])
-
-INPUT_COLUMNS = ["game_pk", "partition", "offset", "event_id", "at_bat_index", "pitch_number",
-                 "inning", "outs", "event_time", "source_time", "ingest_time"]
-
-OUTPUT_SCHEMA = T.StructType([
-    T.StructField("game_pk", T.StringType()), T.StructField("partition", T.IntegerType()),
-    T.StructField("offset", T.LongType()), T.StructField("event_id", T.StringType()),
-    T.StructField("at_bat_index", T.IntegerType()), T.StructField("pitch_number", T.IntegerType()),
-    T.StructField("event_time", T.TimestampType()), T.StructField("source_time", T.TimestampType()),
-    T.StructField("ingest_time", T.TimestampType()),
-    T.StructField("ctx_inning", T.IntegerType()), T.StructField("ctx_outs", T.IntegerType()),
-    T.StructField("home_score", T.IntegerType()), T.StructField("away_score", T.IntegerType()),
-    T.StructField("runner_on_first", T.BooleanType()),
-    T.StructField("runner_on_second", T.BooleanType()),
-    T.StructField("runner_on_third", T.BooleanType()),
-    T.StructField("changed", T.BooleanType())])
-
-
-def _seed_of(first_row: pd.Series) -> dict:
-    seed = {}
-    for c in CONTEXT_FIELDS:
-        v = first_row.get(f"seed_{c}")
-        seed[c] = CONTEXT_DEFAULTS[c] if v is None or pd.isna(v) else v
-    return seed
-
 
-def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(chunks), ignore_index=True)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["partition", "offset"], kind="stable").reset_index(drop=True)
-    if state.exists:
-        seed = dict(zip(CONTEXT_FIELDS, state.get))
-    else:
-        seed = _seed_of(pdf.iloc[0])
-    out = pdf[["game_pk", "partition", "offset", "event_id", "at_bat_index", "pitch_number",
-               "event_time", "source_time", "ingest_time"]].copy()
-    changed = pd.Series(False, index=pdf.index)
-    for c in ("inning", "outs"):
-        filled = pd.to_numeric(pdf[c]).ffill().fillna(seed[c])
-        before = filled.shift(1).fillna(seed[c])
-        changed |= filled != before
-        out[f"ctx_{c}"] = filled.astype("int32")
-    for c in ("home_score", "away_score", "runner_on_first", "runner_on_second", "runner_on_third"):
-        out[c] = seed[c]
-    out["changed"] = changed
-    last = {"inning": int(out["ctx_inning"].iloc[-1]), "outs": int(out["ctx_outs"].iloc[-1])}
-    state.update(tuple(last.get(c, seed[c]) for c in CONTEXT_FIELDS))
-    yield out
+from gamelog.operators import enrich, validate
+from gamelog.sources import logs, tables
+from gamelog.sources.schemas import CONTEXT
 
-
-def enrich_stream(decoded_stream: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Enrich a decoded log stream; ``stored`` is the static context snapshot table."""
-    acc = validate.enrichable(decoded_stream).select(*INPUT_COLUMNS)
-    if stored is not None:
-        seeds = stored.select("game_pk", *[F.col(c).alias(f"seed_{c}") for c in CONTEXT_FIELDS])
-        acc = acc.join(seeds, "game_pk", "left")
-    else:
-        acc = acc.select("*", *[F.lit(None).cast(STATE_SCHEMA[c].dataType).alias(f"seed_{c}")
-                                for c in CONTEXT_FIELDS])
-    return acc.groupBy("game_pk").applyInPandasWithState(
-        _advance, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def start_enrich(log_stream: DataFrame, enriched_path: str, checkpoint: str,
-                 stored: DataFrame | None = None, trigger: dict | None = None):
-    """Run the enrichment query, appending enriched rows to ``enriched_path`` (parquet)."""
-    from gamelog.sources import logs
-    enriched = enrich_stream(logs.decode_pitches(log_stream), stored)
-    writer = (enriched.writeStream.format("parquet").option("path", enriched_path)
-              .option("checkpointLocation", checkpoint).outputMode("append"))
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+TOPIC = "enriched"
 
 
-def write_enriched_batch(batch: DataFrame, batch_id: int, enriched_path: str,
-                         context_path: str, stored: DataFrame | None = None) -> None:
-    """One micro-batch: append the enriched rows (own partition) and write the newest
-    context per game as the next snapshot version (N5 hot state)."""
-    from gamelog.operators.enrich import context_snapshot
-    from gamelog.sources import tables
-    from gamelog.sources.schemas import CONTEXT
+def write_enriched_batch(batch: DataFrame, batch_id: int, enriched_path: str, context_path: str,
+                         stored: DataFrame | None = None) -> None:
+    """Enrich one batch of log records; ``stored`` seeds games the context table lacks."""
     spark = batch.sparkSession
-    batch = batch.persist()
+    seeds = tables.read_snapshot(spark, context_path, CONTEXT, before=batch_id)
+    if stored is not None:
+        more = stored.select(*CONTEXT.fieldNames())
+        seeds = seeds.unionByName(more.join(seeds.select("game_pk"), "game_pk", "left_anti"))
+    pitches = validate.validate(validate.enrichable(logs.decode_pitches(batch))).persist()
     try:
-        tables.write_batch_partition(batch, enriched_path, batch_id)
-        # context as of the batch start: the latest earlier version, plus stored games it
-        # does not hold yet (also right when batch 0 is replayed after a crash)
-        prev = tables.read_snapshot(spark, context_path, CONTEXT, before=batch_id)
-        if stored is not None:
-            seeds = stored.select(*CONTEXT.fieldNames())
-            prev = prev.unionByName(seeds.join(prev.select("game_pk"), "game_pk", "left_anti"))
-        ctx = batch.select("game_pk", "partition", "offset", "ctx_inning", "ctx_outs",
-                           *[F.col(c).alias(f"ctx_{c}") for c in
-                             ("home_score", "away_score", "runner_on_first", "runner_on_second",
-                              "runner_on_third")])
-        tables.write_snapshot(context_snapshot(ctx, prev.select(*CONTEXT.fieldNames())),
-                              context_path, batch_id)
+        rows = enrich.enriched_rows(enrich.rolling_context(pitches, seeds))
+        records = enrich.enriched_log_records(rows, TOPIC, keep=enrich.ARRIVAL)
+        tables.write_batch_partition(records, enriched_path, batch_id)
+        tables.write_snapshot(enrich.newest_context(pitches, seeds), context_path, batch_id)
     finally:
-        batch.unpersist()
+        pitches.unpersist()
 
 
-def start_enrich_tables(log_stream: DataFrame, enriched_path: str, context_path: str,
-                        checkpoint: str, stored: DataFrame | None = None,
-                        trigger: dict | None = None):
-    """Enrichment query writing the enriched rows and the context snapshot table."""
-    from gamelog.sources import logs
-    enriched = enrich_stream(logs.decode_pitches(log_stream), stored)
-    writer = (enriched.writeStream.option("checkpointLocation", checkpoint).outputMode("append")
-              .foreachBatch(lambda df, bid: write_enriched_batch(df, bid, enriched_path,
-                                                                 context_path, stored)))
+def start_enrich(log_stream: DataFrame, enriched_path: str, context_path: str, checkpoint: str,
+                 stored: DataFrame | None = None, trigger: dict | None = None):
+    """Run the enrichment query over a log-shaped stream (file or Kafka source)."""
+    writer = (log_stream.writeStream.option("checkpointLocation", checkpoint)
+              .foreachBatch(lambda df, bid: write_enriched_batch(df, bid, enriched_path, context_path, stored)))
     return writer.trigger(**(trigger or {"availableNow": True})).start()

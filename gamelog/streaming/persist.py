@@ -40,7 +40,7 @@ def persist_batch(batch: DataFrame, batch_id: int, events_path: str, dlq_path: s
         good = validate.good_records(v)
         letters = validate.dead_letters(validate.bad_records(v),
                                         iso_utc(F.current_timestamp()))
-        tables.write_batch_partition(letters, dlq_path, batch_id)
+        tables.write_batch_partition(validate.envelope_json(letters), dlq_path, batch_id)
         # at most GAME_BUCKETS small integers reach the driver
         buckets = [r[0] for r in good.select(tables.game_bucket(F.col("game_pk"))).distinct().collect()]
         existing = _without_batch(spark, events_path, batch_id, buckets)

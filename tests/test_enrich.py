@@ -8,7 +8,9 @@ from gamelog.operators import enrich
 from gamelog.sources import logs
 from gamelog.sources import testdata as td
 from gamelog.operators import validate
-from gamelog.streaming.enrich import enrich_stream
+from gamelog.sources import tables
+from gamelog.sources.schemas import CONTEXT
+from gamelog.streaming.enrich import start_enrich
 
 P = "game_pk string, partition int, offset long, event_id string, at_bat_index int, " \
     "pitch_number int, inning int, outs int, event_time timestamp, source_time timestamp, " \
@@ -68,8 +70,9 @@ def test_chunks_carry_across_borders(spark):
 def test_snapshot_and_enriched(spark):
     stored = spark.createDataFrame([("g", 1, 0, False, False, False, 1, 0),
                                     ("old", 5, 5, True, True, True, 9, 2)], CTX)
-    ctx = enrich.rolling_context(_p(spark, [("g", 0, 3, 1), ("g", 1, None, 2)]), stored)
-    snap = {r.game_pk: r for r in enrich.context_snapshot(ctx, stored).collect()}
+    pitches = _p(spark, [("g", 0, 3, 1), ("g", 1, None, 2)])
+    ctx = enrich.rolling_context(pitches, stored)
+    snap = {r.game_pk: r for r in enrich.newest_context(pitches, stored).collect()}
     assert (snap["g"].inning, snap["g"].outs, snap["old"].inning) == (3, 2, 9)
     e = enrich.enriched_rows(ctx).orderBy("offset").collect()
     assert e[0].spine.event_id == "mlb:g:pitch:0:1" and e[0].spine.event_type == "pitch"
@@ -77,29 +80,43 @@ def test_snapshot_and_enriched(spark):
     assert e[1].context_outs == 2 and e[1].home_score == 1
 
 
-def test_stream_equals_batch(spark, scratch):
-    sf = "/root/testdata/sf0.001"
-    raw = td.raw_log(spark, sf)
+def _landed(spark, scratch, raw, parts):
+    """``raw`` landed in ``parts`` files, in offset order, so that batches arrive in log order."""
     land = os.path.join(scratch, "raw")
-    # land the log in three appends, in offset order, so batches arrive in log order
-    mx = raw.agg(F.max("offset")).collect()[0][0]
-    cuts = [0, mx // 3, 2 * mx // 3, mx + 1]
+    cuts = raw.approxQuantile("offset", [i / parts for i in range(parts + 1)], 0.0)
+    cuts[-1] += 1
     for lo, hi in zip(cuts, cuts[1:]):
-        raw.filter((F.col("offset") >= lo) & (F.col("offset") < hi)).write.mode("append").parquet(land)
-    stored = td.stored_context(spark, sf)
-    stream = logs.read_log_stream(spark, land, max_files_per_trigger=1)
-    out = enrich_stream(logs.decode_pitches(stream), stored)
-    q = (out.writeStream.format("memory").queryName("enriched_eq").outputMode("append")
-         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    streamed = spark.table("enriched_eq").select("game_pk", "partition", "offset", "ctx_inning",
-                                                 "ctx_outs", "home_score", "changed")
-    acc = validate.enrichable(logs.decode_pitches(td.raw_log(spark, sf)))
-    batch = enrich.rolling_context(acc, stored).select(
-        "game_pk", "partition", "offset", "ctx_inning", "ctx_outs",
-        F.col("ctx_home_score").alias("home_score"), "changed")
+        raw.filter((F.col("offset") >= lo) & (F.col("offset") < hi)).coalesce(1).write.mode("append").parquet(land)
+    return logs.read_log_stream(spark, land, max_files_per_trigger=1)
+
+
+def _stream_and_batch(spark, scratch, raw, stored):
+    paths = [os.path.join(scratch, n) for n in ("enriched", "ctx", "ck")]
+    start_enrich(_landed(spark, scratch, raw, 3), *paths, stored).awaitTermination()
+    acc = validate.validate(validate.enrichable(logs.decode_pitches(raw)))
+    batch = enrich.enriched_log_records(enrich.enriched_rows(enrich.rolling_context(acc, stored)), "enriched",
+                                        keep=enrich.ARRIVAL)
+    streamed = spark.read.parquet(paths[0])
+    assert streamed.select("batch_id").distinct().count() == 3
     assert streamed.count() == batch.count() > 0
-    assert streamed.exceptAll(batch).count() == 0
+    assert streamed.select(*batch.columns).exceptAll(batch).count() == 0
+    snapshot = tables.read_snapshot(spark, paths[1], CONTEXT)
+    newest = enrich.newest_context(acc, stored)
+    assert snapshot.count() == newest.count() and snapshot.exceptAll(newest.select(*snapshot.columns)).count() == 0
+
+
+def test_stream_equals_batch_on_every_field(spark, scratch):
+    sf = "/root/testdata/sf0.001"
+    _stream_and_batch(spark, scratch, td.raw_log(spark, sf), td.stored_context(spark, sf))
+
+
+def test_stream_equals_batch_with_one_large_game(spark, scratch):
+    raw = td.raw_log(spark, "/root/testdata/sf0.001").filter("value IS NOT NULL")
+    text = F.col("value").cast("string")
+    hot = F.regexp_replace(text, '"game_pk":"[0-9]+"', '"game_pk":"hot"').cast("binary")
+    raw = raw.withColumn("value", F.when(F.xxhash64("offset") % 3 == 0, hot).otherwise(F.col("value")))
+    raw = raw.withColumn("partition", F.lit(0))
+    _stream_and_batch(spark, scratch, raw, None)
 
 
 def test_context_lookup_defaults_and_state_for_game(spark):
@@ -111,25 +128,3 @@ def test_context_lookup_defaults_and_state_for_game(spark):
     assert (got["new"].inning, got["new"].outs, got["new"].runner_on_first) == (0, 0, False)
     assert serve.state_for_game(stored, "g").collect()[0].outs == 2
     assert serve.state_for_game(stored, "none").count() == 0
-
-
-def test_stream_snapshot_equals_batch_snapshot(spark, scratch):
-    from gamelog.sources import tables
-    from gamelog.sources.schemas import CONTEXT
-    from gamelog.streaming.enrich import start_enrich_tables
-    sf = "/root/testdata/sf0.001"
-    raw = td.raw_log(spark, sf)
-    land = os.path.join(scratch, "raw")
-    mx = raw.agg(F.max("offset")).collect()[0][0]
-    for lo, hi in [(0, mx // 2), (mx // 2, mx + 1)]:
-        raw.filter((F.col("offset") >= lo) & (F.col("offset") < hi)).write.mode("append").parquet(land)
-    stored = td.stored_context(spark, sf)
-    q = start_enrich_tables(logs.read_log_stream(spark, land, max_files_per_trigger=1),
-                            os.path.join(scratch, "enriched"), os.path.join(scratch, "ctx"),
-                            os.path.join(scratch, "ck"), stored)
-    q.awaitTermination()
-    streamed = tables.read_snapshot(spark, os.path.join(scratch, "ctx"), CONTEXT)
-    acc = validate.enrichable(logs.decode_pitches(td.raw_log(spark, sf)))
-    batch = enrich.context_snapshot(enrich.rolling_context(acc, stored), stored)
-    assert streamed.count() == batch.count() > 0
-    assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
