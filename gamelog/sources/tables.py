@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Hash buckets of the game key in the events table. Ids embed the game key, so every copy of
-# an id lands in one bucket and a dedup probe only needs the buckets of the batch's games.
-GAME_BUCKETS = 1024
+# Hash buckets of the game key, folders of the events table. Ids embed the game key, so every copy
+# of an id lands in one bucket and a dedup probe only lists and reads the buckets of the batch.
+GAME_BUCKETS = 256
 
 
 def game_bucket(game_pk: Column) -> Column:
@@ -35,9 +35,10 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.createDataFrame([], schema)
 
 
-def write_batch_partition(df: DataFrame, path: str, batch_id: int,
-                          cluster_by: list[str] | None = None) -> None:
-    """Write ``df`` as partition ``batch_id=<id>`` of ``path`` (dynamic overwrite).
+def write_batch_partition(df: DataFrame, path: str, batch_id: int, cluster_by: list[str] | None = None,
+                          folders: tuple[str, ...] = ()) -> None:
+    """Write ``df`` as partition ``batch_id=<id>`` of ``path``, below the partitions of ``folders``
+    (dynamic overwrite).
 
     Rows are clustered by ``cluster_by`` across and inside files so min/max statistics let
     readers skip files and row groups by bucket, game and time.
@@ -48,7 +49,7 @@ def write_batch_partition(df: DataFrame, path: str, batch_id: int,
         # across writers by sampled boundaries
         out = out.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(path))
+     .partitionBy(*folders, "batch_id").parquet(path))
 
 
 KEPT_VERSIONS = 3

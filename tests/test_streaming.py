@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from fixtures import GAME, expected_pitches, feed, variant
@@ -153,3 +154,33 @@ def test_pure_stream_dedup(spark, scratch):
         assert got.count() == got.select("event_id").distinct().count() > 0
         expected = validate.good_records(validate.validate(logs.decode_pitches(raw)))
         assert got.count() == expected.select("event_id").distinct().count()
+
+
+def test_dedup_probe_reads_only_the_batchs_buckets(spark, scratch):
+    events, dlq = os.path.join(scratch, "events"), os.path.join(scratch, "dlq")
+    raw = td.raw_log(spark, "/root/testdata/sf0.001")
+    persist.persist_batch(raw, 0, events, dlq)
+    probe = persist._without_batch(spark, events, 1, [3, 77]).select("event_id")
+    plan = probe._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "game_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "ReadSchema: struct<event_id:string>" in plan
+    letter = spark.read.parquet(dlq).limit(1).collect()[0]
+    assert set(json.loads(bytes(letter["value"]))) >= {"original_payload_b64", "error_class", "source_offset"}
+
+
+def test_a_damaged_table_is_an_error_and_not_an_empty_one(spark, scratch):
+    path = os.path.join(scratch, "cursor")
+    os.makedirs(path + "/batch_id=0")
+    with open(path + "/batch_id=0/part-0.parquet", "w") as f:
+        f.write("damaged")
+    with pytest.raises(Exception):
+        tables.read_snapshot(spark, path, CURSOR).collect()
+    assert tables.read_snapshot(spark, path + "-none", CURSOR).collect() == []
+
+
+def test_old_snapshot_versions_go(spark, scratch):
+    path = os.path.join(scratch, "cursor")
+    empty = spark.createDataFrame([], CURSOR)
+    for version in range(6):
+        tables.write_snapshot(empty, path, version)
+    assert sorted(n for n in os.listdir(path) if n.startswith("batch_id")) == ["batch_id=3", "batch_id=4", "batch_id=5"]
