@@ -34,7 +34,7 @@ def text_bytes(text) -> Column:
 
 
 def rows_per_batch(spark: SparkSession, n: int) -> None:
-    """Rows per Arrow batch, so that a batch of long texts stays small in a Python worker."""
+    """Rows per Arrow batch from here on, so that a batch of long texts stays small in JVM and Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
 
 

@@ -1,61 +1,118 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a byte 5-gram model per language, trained on all trusted documents. Its counts are
+The model is a byte 4-gram model per language, trained on all trusted documents. Its counts are
 tables keyed by (language, gram): full counts for the highest order, numbers of different left
 neighbours below, with three discounts an order from the counts of counts. Every table is spread
 over the cluster by its key; probabilities of seen grams and backoff weights of contexts come
 from joins of an order with the one below.
 
 Documents are scored by joins as well, and to keep those small the grams of a block of documents
-(a few megabytes of text) are first taken together: each different gram of a block is joined
-with the model once, and the answers return to the block, where they are summed along each
-document. Nothing of the model is broadcast, and what is shuffled grows with the text.
+(a task's share of the text) are first taken together: each different gram of a block is joined
+with the model once, and the answers meet the block again, where they are summed along each
+document. Blocks are written compressed and bucketed, so the text is never shuffled. Nothing of
+the model is broadcast, and what is shuffled grows with the text.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
+
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import materialize, table
+from gamelog.llm.common import id_map, in_map, materialize, rows_per_batch, table
+from gamelog.session import scratch_dir
 
-ORDER = 5
-BLOCK_BYTES = 8 << 20
+ORDER = 4
+BLOCK_BYTES = 32 << 20  # of text, at most, in a block
+PART_BYTES = 2 << 20  # of text looked at together
 QUANTILE = 0.99
 START = 0x02  # stands before the text, ORDER - 1 times
 
 
-def _bytes(text: str | None) -> np.ndarray:
+def _bytes(text: str | None) -> bytes:
     """Bytes of a text, lower case, runs of white space as one space."""
-    data = " ".join((text or "").lower().split()).encode("utf-8", "surrogatepass")
-    return np.frombuffer(data, np.uint8)
+    return " ".join((text or "").lower().split()).encode("utf-8", "surrogatepass")
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """The gram that ends at each byte, as a number of 40 bits."""
-    wide = np.concatenate((np.full(ORDER - 1, START, np.uint64), data.astype(np.uint64)))
-    out = np.zeros(len(data), np.uint64)
+def _grams(texts: list[bytes]) -> np.ndarray:
+    """The gram (as a number of 32 bits) that ends at each byte of the texts, one after another."""
+    pad = bytes([START] * (ORDER - 1))
+    wide = np.frombuffer(pad + pad.join(texts), np.uint8).astype(np.uint32)
+    out = np.zeros(len(wide) - ORDER + 1, np.uint32)
     for k in range(ORDER):
-        out = (out << np.uint64(8)) | wide[k:k + len(data)]
-    return out.astype(np.int64)
-
-
-def _sum_grams(keys: list[str]):
-    """Distinct grams of each language (and block) in a batch, with counts."""
+        out = (out << np.uint32(8)) | wide[k:k + len(out)]
+    # without those that end in the padding between texts
+    keep = np.ones(len(out), bool)
+    ends = np.cumsum([len(t) + ORDER - 1 for t in texts[:-1]], dtype=np.int64)
+    for k in range(1, ORDER):
+        keep[ends - k] = False
+    return out[keep]
+
+
+def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of the texts and their counts."""
+    gram, n = np.empty(0, np.uint32), np.empty(0, np.int64)
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= PART_BYTES):
+            size += len(texts[to])
+            to += 1
+        g, c = np.unique(_grams(texts[at:to]), return_counts=True)
+        gram, place = np.unique(np.concatenate((gram, g)), return_inverse=True)
+        n = np.bincount(place, np.concatenate((n, c)), len(gram)).astype(np.int64)
+        at = to
+    return gram, n
+
+
+def _count_grams(frames):
+    """Gram counts of each language in a task's share of trusted texts (zstd frames)."""
+    expand = zstandard.ZstdDecompressor().decompress
+    held: dict[str, list[bytes]] = {}
+    sums: dict[str, list[np.ndarray]] = {}
+
+    def take(lang):
+        gram, n = _counted(held.pop(lang))
+        old = sums.get(lang)
+        if old:
+            gram, place = np.unique(np.concatenate((old[0], gram)), return_inverse=True)
+            n = np.bincount(place, np.concatenate((old[1], n)), len(gram)).astype(np.int64)
+        sums[lang] = [gram, n]
+
+    size = 0
+    for frame in frames:
+        for lang, packed in zip(frame["lang"], frame["packed"]):
+            data = expand(packed)
+            held.setdefault(lang, []).append(data)
+            size += len(data)
+            if size >= PART_BYTES:
+                for key in list(held):
+                    take(key)
+                size = 0
+    for key in list(held):
+        take(key)
+    for lang, (gram, n) in sums.items():
+        yield pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n})
+
+
+def packed_texts(docs: DataFrame, known=None) -> DataFrame:
+    """doc_id, lang and packed (a zstd frame of the normalised text) of ``docs`` (doc_id, lang, text).
+
+    ``known``: a broadcast map of ids; rows surely outside it are left out.
+    """
     def run(frames):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for frame in frames:
-            for at in range(0, len(frame), 1000):
-                part = frame.iloc[at:at + 1000]
-                for key, rows in part.groupby(keys, dropna=False, sort=False):
-                    found = [_grams(_bytes(t)) for t in rows["text"]]
-                    gram, n = np.unique(np.concatenate(found), return_counts=True)
-                    out = pd.DataFrame({"gram": gram, "n": n})
-                    for name, value in zip(keys, key):
-                        out[name] = value
-                    yield out[[*keys, "gram", "n"]]
-    return run
+            frame = frame if known is None else frame[in_map(known.value, frame["doc_id"])]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"],
+                                "packed": [squeeze(_bytes(t)) for t in frame["text"]]})
+    return docs.select("doc_id", "lang", "text").mapInPandas(run, "doc_id long, lang string, packed binary")
 
 
 def _discounts(level: DataFrame) -> DataFrame:
@@ -69,14 +126,14 @@ def _discounts(level: DataFrame) -> DataFrame:
 
 
 def train(trusted: DataFrame) -> DataFrame:
-    """Model lines (lang, order, gram, p, backoff) from the texts of ``trusted`` (lang, text).
+    """Model lines (lang, order, gram, p, backoff) from the ``packed_texts`` of trusted documents.
 
     ``p`` is the interpolated probability of the gram's last byte after the bytes before it (null
     for a line that is only a context), ``backoff`` the weight left to the shorter context when
     the whole gram is a context.
     """
-    top = trusted.mapInPandas(_sum_grams(["lang"]), "lang string, gram long, n long").groupBy(
-        "lang", "gram").agg(F.sum("n").alias("n"))
+    top = trusted.select("lang", "packed").mapInPandas(
+        _count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     levels = {ORDER: materialize(top, "grams")}
     for k in range(ORDER - 1, 0, -1):
         # continuation counts: each line one order up is one left neighbour
@@ -136,16 +193,68 @@ def gram_probabilities(grams: DataFrame, model: DataFrame) -> DataFrame:
     return out.withColumn("logp", F.coalesce("logp", F.col("weight") + F.lit(float(np.log(1 / 256))))).drop("weight")
 
 
-def _score(key, docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    tables = {lang: (g["gram"].to_numpy(), g["logp"].to_numpy()) for lang, g in
-              known.sort_values("gram").groupby("lang", sort=False)}
+def _blocks(frames):
+    """Blocks of a task's rows: texts of a language (compressed), and their distinct grams."""
+    part = TaskContext.get().partitionId()
+    squeeze = zstandard.ZstdCompressor(level=9).compress
+    count, size, held = 0, 0, {}
+
+    def give():
+        for lang in list(held):
+            rows, docs, texts = held.pop(lang)
+            gram, _ = _counted(texts)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            texts = b"".join(texts)  # one copy at a time
+            blob = pickle.dumps((np.array(rows, np.int64), np.array(docs, np.int64), sizes, texts))
+            del texts
+            blob = squeeze(blob)
+            block = (part << 24) | count
+            yield pd.DataFrame({"block": [block], "lang": [lang], "grams": [gram.astype(np.int64)], "blob": [blob]})
+
+    for frame in frames:
+        for row, doc, lang, text in zip(*(frame[c] for c in ("row", "doc", "lang", "text"))):
+            data = _bytes(text)
+            if not data:
+                continue
+            if size and size + len(data) > BLOCK_BYTES:
+                yield from give()
+                count, size, held = count + 1, 0, {}
+            for column, value in zip(held.setdefault(lang, ([], [], [])), (row, doc, data)):
+                column.append(value)
+            size += len(data)
+    if held:
+        yield from give()
+
+
+def _score(key, blocks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    known = known.sort_values("gram")
+    gram, logp = known["gram"].to_numpy().astype(np.uint32), known["logp"].to_numpy()
     out = []
-    for row, doc, lang, text in zip(docs["row"], docs["doc"], docs["lang"], docs["text"]):
-        data = _bytes(text)
-        if len(data):
-            gram, logp = tables[lang]
-            out.append((row, doc, len(data), float(logp[np.searchsorted(gram, _grams(data))].sum())))
-    return pd.DataFrame(out, columns=["row", "doc", "size", "total"])
+    for blob in blocks["blob"]:
+        rows, docs, sizes, data = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + PART_BYTES, "right")))
+            texts = [data[e - n:e] for e, n in zip(ends[at:to], sizes[at:to])]
+            value = logp[np.searchsorted(gram, _grams(texts))]
+            total = np.add.reduceat(value, np.cumsum(sizes[at:to]) - sizes[at:to])
+            out.append(pd.DataFrame({"row": rows[at:to], "doc": docs[at:to], "size": sizes[at:to], "total": total}))
+            at = to
+    return pd.concat(out) if out else pd.DataFrame(columns=["row", "doc", "size", "total"])
+
+
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``; joins on it need no shuffle of it."""
+    spark = df.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.bucketBy(buckets, key).option("path", scratch_dir(spark, name)).option("compression", "uncompressed")
+     .saveAsTable(name))
+    out = spark.table(name)
+    out.schema  # resolved: the files stay when the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
@@ -153,16 +262,17 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
 
     Texts without bytes have none. Rows with the same row and doc are given once.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("row", "doc"), F.lit(blocks)))
-    grams = blocked.select("block", "lang", "text").mapInPandas(
-        _sum_grams(["block", "lang"]), "block long, lang string, gram long, n long").groupBy(
-        "block", "lang", "gram").agg(F.lit(1).alias("one")).drop("one")
-    known = gram_probabilities(grams, model)
-    scored = (blocked.select("block", "row", "doc", "lang", "text").groupBy("block").cogroup(known.groupBy("block"))
+    blocks = _bucketed(docs.select("row", "doc", "lang", "text").mapInPandas(
+        _blocks, "block long, lang string, grams array<bigint>, blob binary"), "block")
+    grams = blocks.select("block", "lang", F.explode("grams").alias("gram"))
+    own = materialize(gram_probabilities(grams.select("lang", "gram").distinct(), model), "own")
+    known = grams.join(own, ["lang", "gram"]).select(
+        F.col("block").alias("in_block"), F.col("lang").alias("in_lang"), "gram", "logp")
+    scored = (blocks.select("block", "lang", "blob").groupBy("block", "lang")
+              .cogroup(known.groupBy("in_block", "in_lang"))
               .applyInPandas(_score, "row long, doc long, size long, total double"))
-    return scored.dropDuplicates(["row", "doc"]).select("row", "doc", "size", F.exp(-F.col("total") / F.col("size")).alias("perplexity"))
+    return scored.dropDuplicates(["row", "doc"]).select("row", "doc", "size", F.exp(
+        -F.col("total") / F.col("size")).alias("perplexity"))
 
 
 def quantile_by_language(scored: DataFrame, q: float) -> DataFrame:
@@ -196,12 +306,15 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> DataFram
     - Rows that repeat are scored each; an empty table gives an empty table; other columns are
       ignored.
     """
+    rows_per_batch(docs.sparkSession, 500)
     doc = F.col("doc_id").cast("long")
     rows = docs.select(F.xxhash64("lang", "text").alias("row"), F.coalesce(doc, F.lit(-(1 << 63))).alias("doc"),
                        doc.alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
     good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter(
         "q = 1").select("doc_id")
-    model = train(rows.join(good, "doc_id", "left_semi").select("lang", "text").filter("text IS NOT NULL"))
+    known = docs.sparkSession.sparkContext.broadcast(id_map(good, "doc_id"))
+    trusted = packed_texts(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL"), known)
+    model = train(trusted.join(good, "doc_id", "left_semi"))
     slim = rows.select("row", "doc", "lang", "text").filter("length(text) > 0")
     scored = materialize(perplexities(slim, model), "perplexities")
     base = rows.select("row", "doc", "doc_id", "lang")

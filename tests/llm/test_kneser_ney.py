@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from gamelog.llm.kneser_ney import ORDER, START, perplexities, quality, quantile_by_language, train
+from gamelog.llm.kneser_ney import ORDER, START, packed_texts, perplexities, quality, quantile_by_language, train
 
 
 class Plain:
@@ -52,7 +52,8 @@ def words(rng, n, letters="abcde"):
 def test_probabilities_equal_the_book(spark):
     rng = random.Random(1)
     texts = {lang: [words(rng, 30, letters) for _ in range(6)] for lang, letters in (("en", "abcd"), ("de", "cdéf"))}
-    model = train(spark.createDataFrame([(lang, t) for lang, ts in texts.items() for t in ts], "lang string, text string"))
+    model = train(packed_texts(spark.createDataFrame(
+        [(1, lang, t) for lang, ts in texts.items() for t in ts], "doc_id long, lang string, text string")))
     model_of = {lang: Plain(ts) for lang, ts in texts.items()}
     ask = [(i, i, lang, words(rng, 20, "abcdéz ")) for i, lang in enumerate(["en", "de"] * 8)]
     ask += [(90, 90, "en", "a"), (91, 91, "en", " A \n b"), (92, 92, "en", texts["en"][0])]
