@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for a missing id on the way through pandas, where a null would turn ids into doubles.
+NO_ID = -(1 << 63)
+
+
+def id_or_none(column) -> Column:
+    """An id as a long, ``NO_ID`` for a missing one."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
 def text_bytes(text) -> Column:
     """UTF-8 length of a text; a missing text has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import materialize, table
+from gamelog.llm.common import NO_ID, id_or_none, materialize, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # ---- fixed values: word pattern of the vocabulary, its free id ----
@@ -71,14 +71,15 @@ def _pieces(ranks, capacity: int):
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at:at + capacity]
                     out.append((doc, k, len(part), squeeze(part.tobytes())))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "n", "ids"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "n", "ids"])
     return run
 
 
 def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, n and ids (16-bit little endian, zstd frame) of each piece of a document's tokens."""
+    """doc_id (``NO_ID`` if missing), piece, n and ids (16-bit little endian, zstd frame) of each piece
+    of a document's tokens."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    return docs.select(id_or_none("doc_id").alias("doc_id"), "text").mapInPandas(
         _pieces(ranks, capacity), "doc_id long, piece int, n int, ids binary")
 
 
@@ -189,13 +190,12 @@ def _assemble(capacity: int, pad: int):
         row, parts = None, []
         for frame in frames:
             out = []
-            doc = frame["doc_id"].astype("Int64")
-            for r, d, gone, k, n, data in zip(frame["row"], doc, doc.isna(), frame["piece"], frame["n"], frame["ids"]):
+            for r, d, k, n, data in zip(*(frame[c] for c in ("row", "doc_id", "piece", "n", "ids"))):
                 if r != row:
                     if parts:
                         out.append(finish(row, parts, expand))
                     row, parts = r, []
-                parts.append((None if gone else int(d), k, n, data))
+                parts.append((None if d == NO_ID else d, k, n, data))
             yield pd.DataFrame(out, columns=names)
         if parts:
             yield pd.DataFrame([finish(row, parts, expand)], columns=names)
