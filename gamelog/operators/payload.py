@@ -60,10 +60,6 @@ def enriched_payload(enriched: DataFrame) -> Column:
                               *[F.col(c) for c in CONTEXT_FIELDS if c in enriched.columns]))
 
 
-_GET_TYPES = {"int": "int", "bigint": "bigint", "string": "string", "double": "double",
-              "boolean": "boolean"}
-
-
 def payload_to_pitch(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Inverse of ``pitch_payload``: NULLs and unknown keys skipped, times parsed,
     ``raw_payload`` re-serialized into ``raw_payload_json``."""

@@ -7,14 +7,14 @@ timestamp). The same functions serve batch frames read from files and streaming
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gamelog.functions.cols import evaluate_once
 from gamelog.functions.enums import event_type_number, sport_number
 from gamelog.functions.times import parse_upstream_time
-from gamelog.sources.schemas import LOG_RECORD, PITCH_FIELDS, SPINE_FIELDS
+from gamelog.sources.schemas import LOG_RECORD, PITCH_FIELDS
 
 CORRUPT = "_corrupt_record"
 LOG_PARTITIONS = 16
@@ -76,10 +76,6 @@ def encode_pitches(pitches: DataFrame, topic: str, keep: tuple = ()) -> DataFram
         F.lit(topic).alias("topic"), *[F.col(c) for c in keep])
 
 
-def spine_columns() -> list[Column]:
-    return [F.col(c) for c in SPINE_FIELDS]
-
-
 def read_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Batch read of a landed log (files in the log-record shape)."""
     return spark.read.schema(LOG_RECORD).format(fmt).load(path)

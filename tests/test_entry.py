@@ -1,6 +1,7 @@
 """Driver contract: entry, queries and oracle keys."""
 
 import __spark_entry__ as entry
+from gamelog.plans import registry
 
 
 def test_entry_runs(spark):
@@ -10,5 +11,6 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
-    assert len(entry.queries()) >= 40
+    own = set(registry.QUERIES)
+    assert own == set(registry.ORACLE) and len(own) >= 40
+    assert own <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
