@@ -65,8 +65,10 @@ def _top_per_game(rows: DataFrame, limit: int) -> DataFrame:
     # row_number <= k over a window is planned with a partial group limit before the
     # shuffle, so each task forwards at most k rows per game.
     w = Window.partitionBy("game_pk").orderBy(F.col("event_time").desc(), F.col("event_id").desc())
-    return (rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-            .select("game_pk", *ROW_COLUMNS, F.col("rank").cast("long").alias("rank")))
+    top = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    # rows of the answer beside each row; at most k rows of a game are left to count
+    return top.select("game_pk", *ROW_COLUMNS, F.col("rank").cast("long").alias("rank"),
+                      F.count(F.lit(1)).over(Window.partitionBy("game_pk")).alias("count"))
 
 
 def recent_pitches_per_game(events: DataFrame, limit: int = RECENT_DEFAULT_LIMIT) -> DataFrame:

@@ -47,7 +47,7 @@ def q_latest_per_active_game(spark, sf):
 WITH {EV_CTE}
 SELECT game_pk, event_id, event_time, source_time, ingest_time, payload,
        CAST(row_number() OVER (PARTITION BY game_pk ORDER BY event_time DESC, event_id DESC)
-            AS BIGINT) AS rank
+            AS BIGINT) AS rank, least(count(*) OVER (PARTITION BY game_pk), {TOP_K}) AS count
 FROM ev WHERE sport = 'mlb' AND event_type = 'pitch'
 QUALIFY rank <= {TOP_K}""")
 def q_recent_pitches_per_game(spark, sf):
@@ -58,7 +58,7 @@ def q_recent_pitches_per_game(spark, sf):
 WITH {EV_CTE}
 SELECT game_pk, event_id, event_time, source_time, ingest_time, payload,
        CAST(row_number() OVER (PARTITION BY game_pk ORDER BY event_time DESC, event_id DESC)
-            AS BIGINT) AS rank
+            AS BIGINT) AS rank, least(count(*) OVER (PARTITION BY game_pk), {TOP_K}) AS count
 FROM ev WHERE sport = 'mlb'
 QUALIFY rank <= {TOP_K}""")
 def q_recent_events_per_game(spark, sf):

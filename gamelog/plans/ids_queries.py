@@ -70,10 +70,17 @@ def q_id_payload_hash(spark, sf):
 
 
 @register("json_payload_hash", """
-SELECT event_id, substr(sha256(CAST(json(props) AS VARCHAR)), 1, 16) AS payload_hash FROM events""")
+SELECT event_id, substr(sha256('{"list":[1,null,true,"' || event_type || '"],"nested":{"a":' ||
+    CAST(json_extract(props, '$.k') AS VARCHAR) || ',"b":{},"user":' || CAST(user_id AS VARCHAR) ||
+    '},"text":"\\u00e9 \\"q\\"","z":' || CAST(event_id AS VARCHAR) || '}'), 1, 16) AS payload_hash FROM events""")
 def q_json_payload_hash(spark, sf):
+    """Hash of objects with nested and unsorted keys, spaces, escapes and text beyond ASCII."""
     ev = td.read_table(spark, sf, "events")
-    return ev.select("event_id", ids.json_payload_hash(F.col("props")).alias("payload_hash"))
+    k = F.get_json_object("props", "$.k")
+    text = F.format_string('{ "z" : %s, "nested": {"user": %s, "b": { }, "a": %s}, "text": "é \\"q\\"", '
+                           '"list": [1, null, true, "%s"] }', F.col("event_id").cast("string"),
+                           F.col("user_id").cast("string"), k, F.col("event_type"))
+    return ev.select("event_id", ids.json_payload_hash(text).alias("payload_hash"))
 
 
 @register("ordinal_in_group", f"""

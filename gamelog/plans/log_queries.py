@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gamelog.functions.cols import evaluate_once
 from gamelog.functions.times import to_ntz
-from gamelog.operators import enrich, metrics, payload, validate, writes
+from gamelog.operators import enrich, metrics, payload, replay, validate, writes
 from gamelog.plans.oracle import EVENT_TYPE_NUMBER_SQL, LOG_CTES
 from gamelog.plans.registry import FIXED_NOW_ISO, register
 from gamelog.sources import logs
@@ -142,6 +142,19 @@ def q_replay_roundtrip(spark, sf):
         "start_speed_mph", *UNSET_FIELDS, "raw_payload_json"))
 
 
+@register("republish_records", f"""
+WITH {LOG_CTES},
+once AS (SELECT DISTINCT ON (event_id) * FROM good ORDER BY event_id, partition, "offset")
+SELECT game_pk, event_id, event_time, at_bat_index, outs,
+       row_number() OVER (PARTITION BY game_pk ORDER BY event_time, event_id) - 1 AS "offset"
+FROM once""")
+def q_republish_records(spark, sf):
+    stored = payload.events_row(writes.first_arrivals(good(spark, sf)))
+    records = replay.republish(stored, "raw").withColumn("timestamp", F.current_timestamp())
+    back = validate.good_records(validate.validate(logs.decode_pitches(records)))
+    return _times_ntz(back.select("game_pk", "event_id", "event_time", "at_bat_index", "outs", "offset"))
+
+
 # ------------------------------------------------------------ W1-W4
 
 EXISTING_CTE = """existing AS (
