@@ -6,8 +6,8 @@ may be seeds (a fixed-size bitmap of seed hashes lets nearly all others go) and
 which items they belong to. Seeds of one item that lie together in a document make a
 candidate when they are rare enough together, each weighted by the share of documents that hold
 it. Candidate passages are aligned with the item word by word; the score is matches less
-mismatches and gaps, as a share of the item's words, so copies that were cut, edited or partly
-reworded still score high.
+mismatches and gaps, as a share of the item's words (of 32 for longer items), so copies that
+were cut, edited or partly reworded still score high.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import (hash_map, id_map, in_hash_map, in_map, materialize, shingle_hashes, signed, table,
+from gamelog.llm.common import (hash_map, id_map, in_hash_map, in_map, materialize, rows_per_batch, shingle_hashes, signed, table,
                                 word_hashes)
 
 GRAM = 3
 SHARED_ITEMS, SHARED_PART, OWN_SEEDS = 5, 0.01, 8
 MIN_SEEDS, MIN_RARITY, MANY_SEEDS = 2, 5.0, 4
 THRESHOLD = 0.4
+FULL = 32  # so many words in a row are a whole leak, however long the item
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -108,15 +109,15 @@ def _align(frames):
             if text is not last:
                 last, words = text, words_of(text)
             item = np.frombuffer(item, np.uint64)
-            scores.append(align(words[max(low - n, 0):high + GRAM + n], item) / n)
+            scores.append(min(align(words[max(low - n, 0):high + GRAM + n], item) / min(n, FULL), 1.0))
         yield frame[["doc_id", "item", "seeds"]].assign(score=np.round(np.array(scores, float), 6))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of a document and a test item found in it: doc_id, item_id, score, seeds.
 
-    ``score`` is the alignment score over the item's words, ``threshold`` to 1; ``seeds`` the
-    number of different seeds in the best passage.
+    ``score`` is the alignment score over the item's words, or over 32 for longer items,
+    ``threshold`` to 1; ``seeds`` the number of different seeds in the best passage.
 
     - Items of fewer than three words identify nothing and are left out, as are documents
       without an id, text or three words.
@@ -125,6 +126,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     - Empty tables give no pairs; other columns are ignored.
     """
     spark = docs.sparkSession
+    rows_per_batch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(
         "doc_id IS NOT NULL AND text IS NOT NULL")
     listed = materialize(items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
