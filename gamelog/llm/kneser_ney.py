@@ -29,7 +29,8 @@ from gamelog.llm.common import id_map, in_map, materialize, rows_per_batch, tabl
 from gamelog.session import scratch_dir
 
 ORDER = 4
-BLOCK_BYTES = 32 << 20  # of text, at most, in a block
+BLOCK_BYTES = 64 << 20  # of text, at most, in a block
+BLOB_BYTES = 8 << 20  # of a block's text compressed together
 PART_BYTES = 2 << 20  # of text looked at together
 QUANTILE = 0.99
 START = 0x02  # stands before the text, ORDER - 1 times
@@ -194,36 +195,48 @@ def gram_probabilities(grams: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _blocks(frames):
-    """Blocks of a task's rows: texts of a language (compressed), and their distinct grams."""
-    part = TaskContext.get().partitionId()
+    """Blocks of a task's rows, per language: compressed texts in parts, and the distinct grams."""
+    task = TaskContext.get()
+    part = task.partitionId() if task else 0
     squeeze = zstandard.ZstdCompressor(level=9).compress
-    count, size, held = 0, 0, {}
-
-    def give():
+    count, size, held, grams = 0, 0, {}, {}
+
+    def line(lang, gram=None, blob=None):
+        return pd.DataFrame({"block": [(part << 24) | count], "lang": [lang], "grams": [gram], "blob": [blob]})
+
+    def texts_of(lang):
+        rows, docs, texts = held.pop(lang)
+        gram, _ = _counted(texts)
+        grams[lang] = np.union1d(grams[lang], gram) if lang in grams else gram
+        sizes = np.array([len(t) for t in texts], np.int64)
+        texts = b"".join(texts)  # one copy at a time
+        blob = pickle.dumps((np.array(rows, np.int64), np.array(docs, np.int64), sizes, texts))
+        del texts
+        return line(lang, blob=squeeze(blob))
+
+    def rest():
         for lang in list(held):
-            rows, docs, texts = held.pop(lang)
-            gram, _ = _counted(texts)
-            sizes = np.array([len(t) for t in texts], np.int64)
-            texts = b"".join(texts)  # one copy at a time
-            blob = pickle.dumps((np.array(rows, np.int64), np.array(docs, np.int64), sizes, texts))
-            del texts
-            blob = squeeze(blob)
-            block = (part << 24) | count
-            yield pd.DataFrame({"block": [block], "lang": [lang], "grams": [gram.astype(np.int64)], "blob": [blob]})
+            yield texts_of(lang)
+        for lang in list(grams):
+            yield line(lang, gram=grams.pop(lang).astype(np.int64))
 
+    waiting: dict[str, int] = {}
     for frame in frames:
         for row, doc, lang, text in zip(*(frame[c] for c in ("row", "doc", "lang", "text"))):
             data = _bytes(text)
             if not data:
                 continue
             if size and size + len(data) > BLOCK_BYTES:
-                yield from give()
-                count, size, held = count + 1, 0, {}
+                yield from rest()
+                count, size, waiting = count + 1, 0, {}
             for column, value in zip(held.setdefault(lang, ([], [], [])), (row, doc, data)):
                 column.append(value)
             size += len(data)
-    if held:
-        yield from give()
+            waiting[lang] = waiting.get(lang, 0) + len(data)
+            if waiting[lang] >= BLOB_BYTES:
+                yield texts_of(lang)
+                waiting[lang] = 0
+    yield from rest()
 
 
 def _score(key, blocks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -268,7 +281,7 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     own = materialize(gram_probabilities(grams.select("lang", "gram").distinct(), model), "own")
     known = grams.join(own, ["lang", "gram"]).select(
         F.col("block").alias("in_block"), F.col("lang").alias("in_lang"), "gram", "logp")
-    scored = (blocks.select("block", "lang", "blob").groupBy("block", "lang")
+    scored = (blocks.filter("blob IS NOT NULL").select("block", "lang", "blob").groupBy("block", "lang")
               .cogroup(known.groupBy("in_block", "in_lang"))
               .applyInPandas(_score, "row long, doc long, size long, total double"))
     return scored.dropDuplicates(["row", "doc"]).select("row", "doc", "size", F.exp(
@@ -306,7 +319,7 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> DataFram
     - Rows that repeat are scored each; an empty table gives an empty table; other columns are
       ignored.
     """
-    rows_per_batch(docs.sparkSession, 500)
+    rows_per_batch(docs.sparkSession)
     doc = F.col("doc_id").cast("long")
     rows = docs.select(F.xxhash64("lang", "text").alias("row"), F.coalesce(doc, F.lit(-(1 << 63))).alias("doc"),
                        doc.alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")

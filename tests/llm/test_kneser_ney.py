@@ -66,6 +66,34 @@ def test_probabilities_equal_the_book(spark):
             assert sum(plain.p(context + bytes([b])) for b in range(256)) == pytest.approx(1)
 
 
+def test_blocks_hold_every_text_and_its_grams(monkeypatch):
+    import pickle
+
+    import numpy as np
+    import pandas as pd
+    import zstandard
+
+    from gamelog.llm import kneser_ney as K
+    monkeypatch.setattr(K, "BLOB_BYTES", 100)
+    monkeypatch.setattr(K, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(K, "PART_BYTES", 60)
+    rng = random.Random(8)
+    rows = [(i, -i, rng.choice(["en", "de"]), words(rng, rng.randint(0, 30))) for i in range(60)]
+    frames = [pd.DataFrame(rows[a:a + 7], columns=["row", "doc", "lang", "text"]) for a in range(0, 60, 7)]
+    out = pd.concat(list(K._blocks(iter(frames))))
+    back, grams = [], defaultdict(list)
+    for r in out.itertuples():
+        if r.blob is not None:
+            ids, docs, sizes, data = pickle.loads(zstandard.ZstdDecompressor().decompress(r.blob))
+            ends = np.cumsum(sizes)
+            texts = [data[e - n:e] for e, n in zip(ends, sizes)]
+            back += [(i, d, r.lang, t) for i, d, t in zip(ids, docs, texts)]
+            grams[r.block, r.lang] += K._grams(texts).tolist()
+    assert sorted(back) == sorted((i, d, lang, K._bytes(t)) for i, d, lang, t in rows if t)
+    held = {(r.block, r.lang): r.grams.tolist() for r in out.itertuples() if r.grams is not None}
+    assert held == {k: sorted(set(v)) for k, v in grams.items()} and len(held) > 5
+
+
 def test_quantiles_are_exact(spark):
     rng = random.Random(2)
     rows = [("a", rng.choice([2.0, 3.5, rng.uniform(1, 50)])) for _ in range(997)] + [("b", 4.0)]
