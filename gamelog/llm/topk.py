@@ -50,10 +50,9 @@ def search_block(ids, cand, qids, query, bound, k):
     far (-inf if none) and is raised in place.
     """
     dim = max(len(cand), len(query))
-    cand = np.vstack((cand, np.zeros((dim - len(cand), cand.shape[1])))) if len(cand) < dim else cand
-    query = np.vstack((query, np.zeros((dim - len(query), query.shape[1])))) if len(query) < dim else query
+    cand, query = (np.pad(m, ((0, dim - len(m)), (0, 0))) for m in (cand, query))
     if _wide(query, cand):
-        whole = lambda m: np.array([[int(x) for x in r] for r in m], object)
+        whole = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
         score = whole(query).T @ whole(cand)
         qi, ci = np.nonzero(qids[:, None] != ids[None, :])
         if any(abs(x) >= 1 << 63 for x in score[qi, ci]):
@@ -101,11 +100,13 @@ def search_block(ids, cand, qids, query, bound, k):
 
 
 def _best(qi, ci, score, ids, k):
-    order = np.lexsort((ids[ci], -score if score.dtype != object else np.array([-x for x in score], object), qi)) \
-        if score.dtype != object else np.array(sorted(range(len(qi)), key=lambda i: (qi[i], -score[i], ids[ci[i]])), int)
+    """The ``k`` best rows of each query, by score and then smaller id."""
+    if score.dtype == object:  # beyond the integers of a double
+        order = np.array(sorted(range(len(qi)), key=lambda i: (qi[i], -score[i], ids[ci[i]])), int)
+    else:
+        order = np.lexsort((ids[ci], -score, qi))
     qi, ci, score = qi[order], ci[order], score[order]
-    start = np.searchsorted(qi, qi)
-    top = np.arange(len(qi)) - start < k
+    top = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
     return qi[top], ids[ci[top]], score[top].astype(np.int64)
 
 
