@@ -42,7 +42,10 @@ def text_bytes(text) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def rows_per_batch(spark: SparkSession, n: int) -> None:
+TEXT_ROWS = 1000
+
+
+def rows_per_batch(spark: SparkSession, n: int = TEXT_ROWS) -> None:
     """Rows per Arrow batch from here on, so that a batch of long texts stays small in JVM and Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import materialize, table
+from gamelog.llm.common import materialize, rows_per_batch, table
 
 BUCKETS = 1 << 14
 SAMPLE_DOCS = 20_000
@@ -122,10 +122,12 @@ def _members(model):
     def run(frames):
         m = model.value
         for frame in frames:
-            found = [_codes(t) for t in frame["text"]]
-            p = np.array([m.posterior(c) for c, _ in found]).reshape(-1, len(m.names))
+            p, tokens = np.zeros((len(frame), len(m.names))), np.zeros(len(frame), np.int64)
+            for i, text in enumerate(frame["text"]):
+                codes, tokens[i] = _codes(text)
+                p[i] = m.posterior(codes)
             out = pd.DataFrame(p, columns=[f"p{i}" for i in range(len(m.names))])
-            out.insert(0, "tokens", [n for _, n in found])
+            out.insert(0, "tokens", tokens)
             out.insert(0, "doc", frame["doc"].to_numpy())
             out.insert(0, "key", frame["key"].to_numpy())
             yield out
@@ -223,6 +225,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     has the same posterior; rows that repeat get the same rate; an empty table gives an empty
     table. Input columns named like the added ones are replaced.
     """
+    rows_per_batch(docs.sparkSession)
     names = sorted(targets)
     want = np.array([targets[n] for n in names], float)
     want = budget * want / want.sum()

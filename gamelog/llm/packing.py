@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import NO_ID, id_or_none, materialize, table
+from gamelog.llm.common import NO_ID, id_or_none, materialize, rows_per_batch, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # ---- fixed values: word pattern of the vocabulary, its free id ----
@@ -221,6 +221,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
     if not 0 < capacity <= 1 << 16:
         raise ValueError("capacity must be 1 to 65536")
     spark = docs.sparkSession
+    rows_per_batch(spark)
     pieces = materialize(token_pieces(docs, vocabulary, capacity).withColumn(
         "pid", F.monotonically_increasing_id()), "pieces")
     slim = pieces.select("pid", "n", F.shiftright("pid", 33).alias("part"))

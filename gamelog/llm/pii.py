@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import table
+from gamelog.llm.common import rows_per_batch, table
 
 # ---- fixed values: kinds in output order, base rules, spelled digits and signs ----
 KINDS = ("email", "ip", "card", "phone")
@@ -234,6 +234,8 @@ def find_pii(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     ``base`` tells the plain identifiers from those that only normalising shows. A missing or
     empty text has none. An input column named ``into`` is replaced; all others stay.
     """
+    rows_per_batch(df.sparkSession)
+
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.DataFrame:
         return pd.Series([[{"kind": k, "start": a, "end": b, "base": p} for k, a, b, p in all_spans(t)]

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import materialize, table
+from gamelog.llm.common import materialize, rows_per_batch, table
 
 # ---- fixed values: look-alike characters and signs, folded to Latin letters ----
 HOMOGLYPHS = {
@@ -200,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     The sample takes the ids with the smallest hashes; a document labelled both ways is toxic.
     Without usable labels of both kinds the lexicon is empty.
     """
+    rows_per_batch(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(
         "doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
