@@ -172,26 +172,28 @@ def train(trusted: DataFrame) -> DataFrame:
 
 
 def gram_probabilities(grams: DataFrame, model: DataFrame) -> DataFrame:
-    """Add ``logp`` to (lang, gram, ...): log probability of the gram's last byte.
+    """lang, gram and ``logp``, the log probability of the gram's last byte, of (lang, gram).
 
     Starts at the longest order; where a gram is unknown, the backoff weight of its context (1 for
-    an unknown context) multiplies the probability one order down.
+    an unknown context) multiplies the probability one order down. Only unknown grams go on.
     """
-    out = grams.withColumn("weight", F.lit(0.0)).withColumn("logp", F.lit(None).cast("double"))
+    left, done = grams.select("lang", "gram", F.lit(0.0).alias("weight")), []
     for k in range(ORDER, 0, -1):
+        own = F.col("gram").bitwiseAND((1 << (8 * k)) - 1)
         seen = model.filter((F.col("order") == k) & F.col("p").isNotNull()).select(
             "lang", F.col("gram").alias("own"), "p")
+        found = materialize(left.withColumn("own", own).join(seen, ["lang", "own"], "left"), "seen")
+        done.append(found.filter("p IS NOT NULL").select("lang", "gram", (F.col("weight") + F.log("p")).alias("logp")))
         held = model.filter((F.col("order") == k - 1) & F.col("backoff").isNotNull()).select(
             "lang", F.col("gram").alias("context"), "backoff")
-        mask = (1 << (8 * k)) - 1
-        out = (out.withColumn("own", F.col("gram").bitwiseAND(mask))
-               .withColumn("context", F.shiftright("own", 8))
-               .join(seen, ["lang", "own"], "left").join(held, ["lang", "context"], "left"))
-        out = (out.withColumn("logp", F.coalesce("logp", F.col("weight") + F.log("p")))
-               .withColumn("weight", F.col("weight") + F.when(
-                   F.col("logp").isNull(), F.log(F.greatest(F.coalesce("backoff", F.lit(1.0)), F.lit(1e-12)))
-               ).otherwise(0.0)).drop("own", "context", "p", "backoff"))
-    return out.withColumn("logp", F.coalesce("logp", F.col("weight") + F.lit(float(np.log(1 / 256))))).drop("weight")
+        left = (found.filter("p IS NULL").withColumn("context", F.shiftright("own", 8))
+                .join(held, ["lang", "context"], "left")
+                .select("lang", "gram", (F.col("weight") + F.log(F.greatest(
+                    F.coalesce("backoff", F.lit(1.0)), F.lit(1e-12)))).alias("weight")))
+    out = left.select("lang", "gram", (F.col("weight") + F.lit(float(np.log(1 / 256)))).alias("logp"))
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def _blocks(frames):
