@@ -1,7 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Documents and test items are sequences of words without case and punctuation. An item's seeds
-are its word trigrams that few items share. One scan finds the trigrams of all documents that
+are all its word trigrams, also those that many items share. One scan finds the trigrams of all documents that
 may be seeds (a fixed-size bitmap of seed hashes lets nearly all others go) and a join says
 which items they belong to. Seeds of one item that lie together in a document make a
 candidate when they are rare enough together, each weighted by the share of documents that hold
@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gamelog.llm.common import (hash_map, id_map, in_hash_map, in_map, materialize, rows_per_batch, shingle_hashes, signed, table,
                                 word_hashes)
 
 GRAM = 3
-SHARED_ITEMS, SHARED_PART, OWN_SEEDS = 5, 0.01, 8
 MIN_SEEDS, MIN_RARITY, MANY_SEEDS = 2, 5.0, 4
 THRESHOLD = 0.4
 FULL = 32  # so many words in a row are a whole leak, however long the item
@@ -67,13 +66,8 @@ def _item_grams(frames):
 
 
 def seed_table(items: DataFrame) -> DataFrame:
-    """Seeds (item, gram): trigrams that few items share, and the rarest few of each item."""
-    grams = materialize(items.select("item", "words").mapInPandas(_item_grams, "item long, gram long"), "grams")
-    spread = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("shared"))
-    limit = max(SHARED_ITEMS, int(SHARED_PART * items.count()))
-    rarest = Window.partitionBy("item").orderBy("shared", "gram")
-    return materialize(grams.join(spread, "gram").withColumn("place", F.row_number().over(rarest)).filter(
-        (F.col("shared") <= limit) | (F.col("place") <= OWN_SEEDS)).select("item", "gram"), "seeds")
+    """Seeds (item, gram): every trigram of every item, however many items share it."""
+    return materialize(items.select("item", "words").mapInPandas(_item_grams, "item long, gram long"), "seeds")
 
 
 def _hits(bits):

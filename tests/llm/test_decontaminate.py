@@ -64,6 +64,18 @@ def test_finds_whole_cut_and_edited_items_and_nothing_else(spark):
                 words_of(by[r["doc_id"]]).tolist(), item.tolist()) / min(len(item), 32)), 6)
 
 
+def test_finds_a_passage_that_many_items_share(spark):
+    rng = random.Random(9)
+    text = lambda n: ["w" + str(rng.randint(0, 10**6)) for _ in range(n)]
+    passage = text(40)
+    items = [(i, " ".join(passage + text(15))) for i in range(12)] + [(100 + i, " ".join(text(20))) for i in range(20)]
+    docs = [(1, " ".join(text(50) + passage + text(50))), (2, " ".join(text(140)))]
+    docs += [(10 + i, " ".join(text(100))) for i in range(30)]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                       spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in got} == {(1, i, 1.0) for i in range(12)}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
