@@ -3,11 +3,11 @@
 Documents and test items are sequences of words without case and punctuation. An item's seeds
 are all its word trigrams, also those that many items share. One scan finds the trigrams of all documents that
 may be seeds (a fixed-size bitmap of seed hashes lets nearly all others go) and a join says
-which items they belong to. Seeds of one item that lie together in a document make a
-candidate when they are rare enough together, each weighted by the share of documents that hold
-it. Candidate passages are aligned with the item word by word; the score is matches less
-mismatches and gaps, as a share of the item's words (of 32 for longer items), so copies that
-were cut, edited or partly reworded still score high.
+which items they belong to. Every passage with a seed is a candidate, however many documents hold
+it, and is aligned with the item word by word, unless it has too few of the item's words to reach
+the threshold at all. The score is matches less mismatches and gaps, as a share of the item's
+words (of 32 for longer items), so copies that were cut, edited or partly reworded still score
+high.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from gamelog.llm.common import (hash_map, id_map, in_hash_map, in_map, materiali
                                 word_hashes)
 
 GRAM = 3
-MIN_SEEDS, MIN_RARITY, MANY_SEEDS = 2, 5.0, 4
 THRESHOLD = 0.4
 FULL = 32  # so many words in a row are a whole leak, however long the item
 
@@ -95,23 +94,42 @@ def _only(docs_in):
     return run
 
 
-def _align(frames):
-    last, words = None, None
-    for frame in frames:
-        scores = []
-        for text, n, item, low, high in zip(*(frame[c] for c in ("text", "n", "words", "low", "high"))):
-            if text is not last:
-                last, words = text, words_of(text)
-            item = np.frombuffer(item, np.uint64)
-            scores.append(min(align(words[max(low - n, 0):high + GRAM + n], item) / min(n, FULL), 1.0))
-        yield frame[["doc_id", "item", "seeds"]].assign(score=np.round(np.array(scores, float), 6))
+def _windows(at: np.ndarray, reach: int, end: int):
+    """Stretches (from, to) of words within ``reach`` of the seeds at ``at``, merged where they meet."""
+    at = np.sort(at)
+    at = at[at <= end - GRAM]
+    for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * reach + GRAM) + 1):
+        if len(part):
+            yield max(int(part[0]) - reach, 0), min(int(part[-1]) + GRAM + reach, end)
+
+
+def _align(threshold):
+    def run(frames):
+        for frame in frames:
+            out = []
+            for doc, text, *pairs in zip(*(frame[c] for c in ("doc_id", "text", "item", "n", "words", "at"))):
+                words = words_of(text)
+                for item, n, data, at in zip(*pairs):
+                    target = np.frombuffer(data, np.uint64)
+                    full = min(n, FULL)
+                    for low, high in _windows(np.asarray(at, np.int64), 2 * n, len(words)):
+                        passage = words[low:high]
+                        # no more words can match than the passage has of the item
+                        if int(np.isin(target, passage).sum()) / full < threshold - 1e-6:
+                            continue
+                        score = round(min(align(passage, target) / full, 1.0), 6)
+                        if score >= threshold:
+                            seeds = np.intersect1d(shingle_hashes(passage, GRAM), shingle_hashes(target, GRAM))
+                            out.append((doc, item, len(seeds), score))
+            yield pd.DataFrame(out, columns=["doc_id", "item", "seeds", "score"])
+    return run
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of a document and a test item found in it: doc_id, item_id, score, seeds.
 
     ``score`` is the alignment score over the item's words, or over 32 for longer items,
-    ``threshold`` to 1; ``seeds`` the number of different seeds in the best passage.
+    ``threshold`` to 1; ``seeds`` the number of different seeds in the passage, the largest of an item's passages.
 
     - Items of fewer than three words identify nothing and are left out, as are documents
       without an id, text or three words.
@@ -129,33 +147,19 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     own = materialize(own, "items")
     seeds = seed_table(own)
     bits = spark.sparkContext.broadcast(hash_map(seeds, "gram"))
-    hits = materialize(rows.mapInPandas(_hits(bits), "doc_id long, gram long, at int").join(
-        seeds.select("gram").distinct(), "gram", "left_semi"), "hits")
-
-    total = rows.count()
-    held = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
-    weight = held.select("gram", F.log1p(F.lit(total) / F.col("docs")).alias("rarity"))
-    reach = own.agg(F.max("n")).first()[0] or 1
-    span = max(64, reach)
-    # a passage of up to ``span`` words lies inside two neighbouring stretches of that length
-    near = (hits.join(weight, "gram").join(seeds, "gram")
-            .withColumn("stretch", F.explode(F.expr(f"array(at div {span}, at div {span} - 1)")))
-            .groupBy("doc_id", "item", "stretch", "gram")
-            .agg(F.min("at").alias("low"), F.max("at").alias("high"), F.first("rarity").alias("rarity"))
-            .groupBy("doc_id", "item", "stretch")
-            .agg(F.count(F.lit(1)).alias("seeds"), F.sum("rarity").alias("rarity"),
-                 F.min("low").alias("low"), F.max("high").alias("high")))
-    per_item = seeds.groupBy("item").agg(F.count(F.lit(1)).alias("all"))
-    enough = ((F.col("seeds") >= F.least(F.lit(MIN_SEEDS), "all"))
-              & ((F.col("rarity") >= MIN_RARITY) | (F.col("seeds") >= F.least(F.lit(MANY_SEEDS), "all"))))
-    found = materialize(near.join(per_item, "item").filter(enough).join(own, "item").select(
-        "doc_id", "item", "seeds", "low", "high", "n", "words"), "candidates")
+    # one seed is enough: what lies between seeds may still carry a passage over the threshold
+    pairs = rows.mapInPandas(_hits(bits), "doc_id long, gram long, at int").join(seeds, "gram").groupBy(
+        "doc_id", "item").agg(F.collect_set("at").alias("at"))
+    # a document's items go with its text in one row
+    found = materialize(pairs.join(own, "item").groupBy("doc_id").agg(
+        F.collect_list(F.struct("item", "n", "words", "at")).alias("p")).select(
+        "doc_id", "p.item", "p.n", "p.words", "p.at"), "candidates")
     # the texts that are joined with their candidates are few: a map of ids leaves the others out
     docs_in = spark.sparkContext.broadcast(id_map(found, "doc_id"))
-    scored = (rows.mapInPandas(_only(docs_in), "doc_id long, text string").join(found, "doc_id").select("doc_id", "text", "item", "seeds", "low", "high", "n", "words")
-              .mapInPandas(_align, "doc_id long, item long, seeds long, score double"))
-    best = scored.filter(F.col("score") >= threshold).groupBy("doc_id", "item").agg(
-        F.max("score").alias("score"), F.max("seeds").alias("seeds"))
+    scored = (rows.mapInPandas(_only(docs_in), "doc_id long, text string").join(found, "doc_id")
+              .select("doc_id", "text", "item", "n", "words", "at")
+              .mapInPandas(_align(threshold), "doc_id long, item long, seeds long, score double"))
+    best = scored.groupBy("doc_id", "item").agg(F.max("score").alias("score"), F.max("seeds").alias("seeds"))
     alike = listed.join(own.select("words", "item"), "words").select("item", "item_id")
     return best.join(alike, "item").select("doc_id", "item_id", "score", "seeds")
 

@@ -76,6 +76,20 @@ def test_finds_a_passage_that_many_items_share(spark):
     assert {(r["doc_id"], r["item_id"], r["score"]) for r in got} == {(1, i, 1.0) for i in range(12)}
 
 
+def test_finds_an_edited_short_item_however_often_it_is_copied(spark):
+    rng = random.Random(10)
+    text = lambda n: ["w" + str(rng.randint(0, 10**6)) for _ in range(n)]
+    items = [text(8) for _ in range(3)]
+    edit = lambda words, *at: [("EDIT" if i in at else w) for i, w in enumerate(words)]
+    # 3, 2 and 1 trigrams left; each in a third of all documents
+    left = [(edit(items[0], 3), 0.75), (edit(items[1], 3, 4), 0.5), (edit(items[2], 3, 6), 0.5)]
+    docs = [(i, " ".join(text(30) + left[i % 3][0] + text(30))) for i in range(120)]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                       spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in got.collect()} == {
+        (i, i % 3, plain_align(left[i % 3][0], items[i % 3]) / 8) for i in range(120)}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
