@@ -2,17 +2,20 @@
 
 A classifier learned from the labelled table (naive Bayes on hashed byte trigrams, its sharpness
 fitted on the same sample) gives every document a posterior over domains: here language and
-quality. A document then has a nonnegative rate of at most 4, and the expected tokens of a domain are the
+quality. A document then has a nonnegative rate, and the expected tokens of a domain are the
 sum over documents of rate * tokens * posterior. Projected gradient descent with momentum on the weighted
 least squares distance to the target totals fits all rates: each step needs only the current
 totals, one sum per domain, and a document's rate is recomputed from its posterior and the
 few vectors of the steps so far. Steps are measured per token, so that documents alike in
 membership get one rate whatever their length, and the distance is weighted by the inverse Gram
-matrix of the posteriors, so that a unit step suits every domain.
+matrix of the posteriors, so that a unit step suits every domain. The expected totals of the fitted
+rates are given beside the targets, so that a target out of reach or an unfinished fit is seen.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +27,7 @@ BUCKETS = 1 << 14
 SAMPLE_DOCS = 20_000
 SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0)
 STEPS, TOLERANCE = 60, 1e-6
-MAX_RATE = 4.0  # a document is not repeated more often
+MISSED = 0.01  # of a target: so far away the expected total is reported as a miss
 RIDGE = 1e-3  # of the mean diagonal; keeps steps towards nearly absent domains short
 
 # ---- fixed values: target shares of tokens by domain (language/quality) and of all tokens ----
@@ -134,10 +137,11 @@ def _members(model):
     return run
 
 
-def _rates(p: np.ndarray, steps: list[np.ndarray], ahead: bool = False) -> np.ndarray:
+def _rates(p: np.ndarray, steps: list[np.ndarray], ahead: bool = False, top: float = np.inf) -> np.ndarray:
     """Rates of documents with posteriors ``p`` after the given steps, from 1.
 
     ``ahead``: the point, moved on by the momentum, at which the next step is measured.
+    ``top``: the highest rate.
     """
     before = rate = np.ones(len(p))
     t = 1.0
@@ -145,7 +149,7 @@ def _rates(p: np.ndarray, steps: list[np.ndarray], ahead: bool = False) -> np.nd
         point = rate + (t - 1) / (0.5 + (0.25 + t * t) ** 0.5) * (rate - before)
         if s is None:
             return point if ahead else rate
-        before, rate = rate, np.clip(point - p @ s, 0.0, MAX_RATE)
+        before, rate = rate, np.clip(point - p @ s, 0.0, top)
         t = 0.5 + (0.25 + t * t) ** 0.5
 
 
@@ -153,12 +157,12 @@ def _posteriors(frame: pd.DataFrame, k: int) -> np.ndarray:
     return frame[[f"p{i}" for i in range(k)]].to_numpy()
 
 
-def _totals(k: int, total: float, steps: list[np.ndarray]):
+def _totals(k: int, total: float, steps: list[np.ndarray], ahead: bool, top: float):
     def run(frames):
         sums = np.zeros(k)
         for frame in frames:
             p = _posteriors(frame, k)
-            sums += (_rates(p, steps, ahead=True) * frame["tokens"].to_numpy() / total) @ p
+            sums += (_rates(p, steps, ahead, top) * frame["tokens"].to_numpy() / total) @ p
         yield pd.DataFrame([sums], columns=[f"s{i}" for i in range(k)])
     return run
 
@@ -174,7 +178,14 @@ def _gram(k: int, total: float):
     return run
 
 
-def fit_rates(members: DataFrame, k: int, want: np.ndarray, steps: int = STEPS) -> list[np.ndarray]:
+def _shares(members: DataFrame, k: int, total: float, steps: list[np.ndarray], ahead: bool, top: float) -> np.ndarray:
+    """Expected share of all tokens of each domain under the rates after ``steps``."""
+    row = members.mapInPandas(_totals(k, total, steps, ahead, top), ", ".join(f"s{i} double" for i in range(k))).agg(
+        *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).first()
+    return np.array([row[i] or 0.0 for i in range(k)])
+
+
+def fit_rates(members: DataFrame, k: int, want: np.ndarray, steps: int = STEPS, top: float = np.inf) -> list[np.ndarray]:
     """Step vectors of projected gradient descent.
 
     ``want`` has the wanted share of all tokens of each of the ``k`` domains.
@@ -189,11 +200,8 @@ def fit_rates(members: DataFrame, k: int, want: np.ndarray, steps: int = STEPS)
     weight = np.linalg.inv(gram + np.eye(k) * RIDGE * np.trace(gram) / k)
     done: list[np.ndarray] = []
     last = np.full(k, np.inf)
-    schema = ", ".join(f"s{i} double" for i in range(k))
     for _ in range(steps):
-        row = members.mapInPandas(_totals(k, total, done), schema).agg(
-            *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).first()
-        away = np.array([row[i] or 0.0 for i in range(k)]) - want
+        away = _shares(members, k, total, done, True, top) - want
         if min(np.abs(away).max(), np.abs(away - last).max()) <= TOLERANCE * max(want.sum(), TOLERANCE):
             break  # met, or as near as the documents allow
         last = away
@@ -201,12 +209,12 @@ def fit_rates(members: DataFrame, k: int, want: np.ndarray, steps: int = STEPS)
     return done
 
 
-def _rated(k: int, steps: list[np.ndarray]):
+def _rated(k: int, steps: list[np.ndarray], top: float):
     def run(frames):
         for frame in frames:
             p = _posteriors(frame, k)
             yield pd.DataFrame({"key": frame["key"], "doc": frame["doc"], "tokens": frame["tokens"],
-                                "domain": p.argmax(1), "rate": _rates(p, steps)})
+                                "domain": p.argmax(1), "rate": _rates(p, steps, top=top)})
     return run
 
 
@@ -214,11 +222,22 @@ RATED = "key long, doc long, tokens long, domain int, rate double"
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
-          budget: float = BUDGET) -> DataFrame:
-    """All columns of ``docs`` and mix_tokens, mix_domain, mix_rate, mix_copies.
+          budget: float = BUDGET, max_rate: float | None = None) -> DataFrame:
+    """The documents of ``mixed_with_totals``; it warns of domains whose target is missed."""
+    out, totals = mixed_with_totals(docs, labels, targets, budget, max_rate)
+    missed = [f"{n}: {got:.0f} of {want:.0f}" for n, (want, got) in totals.items() if abs(got - want) > MISSED * want]
+    if missed:
+        warnings.warn("expected tokens miss the target in " + ", ".join(missed), stacklevel=2)
+    return out
+
+
+def mixed_with_totals(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET,
+                      max_rate: float | None = None) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """All columns of ``docs`` and mix_tokens, mix_domain, mix_rate, mix_copies; and the target
+    and the expected tokens of each domain under the fitted rates.
 
     ``targets`` are shares (they are scaled to sum 1) of ``budget`` times all tokens (words).
-    ``mix_rate`` is the fitted rate, 0 to 4; ``mix_copies`` realises it: its whole part, and one more
+    ``mix_rate`` is the fitted rate, 0 or more, at most ``max_rate`` if given; ``mix_copies`` realises it: its whole part, and one more
     when a hash of the id, uniform between 0 and 1, is below its fraction.
 
     A missing or empty text has no tokens and keeps the rate 1; without labels every document
@@ -236,18 +255,27 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     members = materialize(rows.select(F.col("__mix_key").alias("key"), F.col("__mix_doc").alias("doc"), "text").mapInPandas(
         _members(model), "key long, doc long, tokens long, " + ", ".join(f"p{i} double" for i in range(len(names)))),
         "posteriors")
-    steps = fit_rates(members, len(names), want)
-    rated = members.mapInPandas(_rated(len(names), steps), RATED).dropDuplicates(["key", "doc"])
+    top = np.inf if max_rate is None else max_rate
+    steps = fit_rates(members, len(names), want, top=top)
+    total = float(members.agg(F.sum("tokens")).first()[0] or 0)
+    got = _shares(members, len(names), total, steps, False, top) if total else want
+    totals = {n: (float(w * total), float(g * total)) for n, w, g in zip(names, want, got)}
+    rated = members.mapInPandas(_rated(len(names), steps, top), RATED).dropDuplicates(["key", "doc"])
     label = F.element_at(F.array(*map(F.lit, names)), F.col("domain") + 1)
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    return (rows.join(rated.select(F.col("key").alias("__mix_key"), F.col("doc").alias("__mix_doc"), F.col("tokens").alias("mix_tokens"),
+    out = (rows.join(rated.select(F.col("key").alias("__mix_key"), F.col("doc").alias("__mix_doc"), F.col("tokens").alias("mix_tokens"),
                                    label.alias("mix_domain"), F.col("rate").alias("mix_rate")), ["__mix_key", "__mix_doc"])
             .drop("__mix_key", "__mix_doc").withColumn("mix_copies", (
                 F.floor("mix_rate") + (chance < F.col("mix_rate") - F.floor("mix_rate")).cast("long")).cast("int")))
+    return out, totals
 
 
 def op2_mixing_rates(spark, sf_dir: str) -> DataFrame:
-    """Rate and number of copies of every document under the target weights."""
+    """Rate and number of copies of every document under the target weights, and the target and
+    the expected tokens of its domain."""
     docs = table(spark, sf_dir, "documents")
-    out = mixed(docs.select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "mix_tokens", "mix_domain", F.round("mix_rate", 9).alias("mix_rate"), "mix_copies")
+    out, totals = mixed_with_totals(docs.select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    of = lambda i: F.element_at(F.create_map(*[
+        F.lit(x) for n, t in totals.items() for x in (n, round(t[i]))]), F.col("mix_domain")).cast("long")
+    return out.select("doc_id", "mix_tokens", "mix_domain", F.round("mix_rate", 9).alias("mix_rate"), "mix_copies",
+                      of(0).alias("mix_target"), of(1).alias("mix_expected"))

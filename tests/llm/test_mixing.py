@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from gamelog.llm.mixing import _rates, fit_rates, mixed
+from gamelog.llm.mixing import _rates, fit_rates, mixed, mixed_with_totals
 
 
 def make(spark, n=600):
@@ -54,6 +55,23 @@ def test_projected_gradient_reaches_feasible_targets(spark):
     assert np.abs((rate * tokens / tokens.sum()) @ p - want).max() < 1e-3
 
 
+def test_a_rare_domain_meets_its_target_and_a_miss_is_reported(spark):
+    docs, labels, _ = make(spark)
+    docs = docs.filter("lang = 'en' OR doc_id % 20 = 1")  # German is about 2% of the tokens
+    out, totals = mixed_with_totals(docs, labels, {"en/1": 0.6, "en/0": 0.1, "de/1": 0.2, "de/0": 0.1}, budget=1.0)
+    rows = out.collect()
+    assert max(r["mix_rate"] for r in rows) > 4
+    assert all(abs(got - want) < 0.01 * want for want, got in totals.values())
+    for name, (want, got) in totals.items():
+        real = sum(r["mix_rate"] * r["mix_tokens"] for r in rows if r["mix_domain"] == name)
+        assert abs(real - got) < 0.1 * want + 20
+    out, totals = mixed_with_totals(docs, labels, {"en/1": 0.6, "en/0": 0.1, "de/1": 0.2, "de/0": 0.1}, 1.0, max_rate=4.0)
+    assert out.agg({"mix_rate": "max"}).first()[0] <= 4
+    assert totals["de/1"][1] < 0.8 * totals["de/1"][0]
+    with pytest.warns(UserWarning, match="de/1"):
+        mixed(docs, labels, {"en/1": 0.6, "en/0": 0.1, "de/1": 0.2, "de/0": 0.1}, 1.0, max_rate=4.0)
+
+
 def test_without_labels_and_empty(spark):
     docs, labels, rows = make(spark, 20)
     out = mixed(docs, labels.limit(0), TARGETS).collect()
