@@ -238,7 +238,8 @@ def mixed_with_totals(docs: DataFrame, labels: DataFrame, targets: dict[str, flo
 
     ``targets`` are shares (they are scaled to sum 1) of ``budget`` times all tokens (words).
     ``mix_rate`` is the fitted rate, 0 or more, at most ``max_rate`` if given; ``mix_copies`` realises it: its whole part, and one more
-    when a hash of the id, uniform between 0 and 1, is below its fraction.
+    when a hash of the id and the text, uniform between 0 and 1, is below its fraction. Rows that
+    repeat an id and its text are drawn each, by their place in the table as it is read.
 
     A missing or empty text has no tokens and keeps the rate 1; without labels every document
     has the same posterior; rows that repeat get the same rate; an empty table gives an empty
@@ -250,7 +251,7 @@ def mixed_with_totals(docs: DataFrame, labels: DataFrame, targets: dict[str, flo
     want = budget * want / want.sum()
     model = docs.sparkSession.sparkContext.broadcast(fit_classifier(docs, labels, names))
     added = ("mix_tokens", "mix_domain", "mix_rate", "mix_copies")
-    rows = docs.drop(*added).withColumn("__mix_key", F.xxhash64("text")).withColumn(
+    rows = docs.drop(*added).withColumn("__mix_row", F.monotonically_increasing_id()).withColumn("__mix_key", F.xxhash64("text")).withColumn(
         "__mix_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     members = materialize(rows.select(F.col("__mix_key").alias("key"), F.col("__mix_doc").alias("doc"), "text").mapInPandas(
         _members(model), "key long, doc long, tokens long, " + ", ".join(f"p{i} double" for i in range(len(names)))),
@@ -260,13 +261,17 @@ def mixed_with_totals(docs: DataFrame, labels: DataFrame, targets: dict[str, flo
     total = float(members.agg(F.sum("tokens")).first()[0] or 0)
     got = _shares(members, len(names), total, steps, False, top) if total else want
     totals = {n: (float(w * total), float(g * total)) for n, w, g in zip(names, want, got)}
-    rated = members.mapInPandas(_rated(len(names), steps, top), RATED).dropDuplicates(["key", "doc"])
+    rated = members.mapInPandas(_rated(len(names), steps, top), RATED).groupBy("key", "doc").agg(
+        *[F.first(c).alias(c) for c in ("tokens", "domain", "rate")], F.count(F.lit(1)).alias("alike"))
     label = F.element_at(F.array(*map(F.lit, names)), F.col("domain") + 1)
-    chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    place = F.when(F.col("__mix_alike") > 1, F.col("__mix_row")).otherwise(F.lit(-1))
+    chance = F.pmod(F.xxhash64(F.lit("mix"), "__mix_doc", "__mix_key", place), F.lit(1 << 24)) / F.lit(float(1 << 24))
     out = (rows.join(rated.select(F.col("key").alias("__mix_key"), F.col("doc").alias("__mix_doc"), F.col("tokens").alias("mix_tokens"),
-                                   label.alias("mix_domain"), F.col("rate").alias("mix_rate")), ["__mix_key", "__mix_doc"])
-            .drop("__mix_key", "__mix_doc").withColumn("mix_copies", (
-                F.floor("mix_rate") + (chance < F.col("mix_rate") - F.floor("mix_rate")).cast("long")).cast("int")))
+                                   label.alias("mix_domain"), F.col("rate").alias("mix_rate"),
+                                   F.col("alike").alias("__mix_alike")), ["__mix_key", "__mix_doc"])
+            .withColumn("mix_copies", (
+                F.floor("mix_rate") + (chance < F.col("mix_rate") - F.floor("mix_rate")).cast("long")).cast("int"))
+           .drop("__mix_key", "__mix_doc", "__mix_row", "__mix_alike"))
     return out, totals
 
 

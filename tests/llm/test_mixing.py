@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gamelog.llm.mixing import _rates, fit_rates, mixed, mixed_with_totals
 
@@ -72,6 +73,19 @@ def test_a_rare_domain_meets_its_target_and_a_miss_is_reported(spark):
         mixed(docs, labels, {"en/1": 0.6, "en/0": 0.1, "de/1": 0.2, "de/0": 0.1}, 1.0, max_rate=4.0)
 
 
+def test_rows_without_an_id_and_repeated_rows_are_drawn_each(spark):
+    docs, labels, _ = make(spark, 20)
+    texts = [f"abc {i}" for i in range(300)]
+    rows = [(None, t) for t in texts] + [(900, t) for t in texts] + [(901, "the same")] * 300 + [(None, None)] * 300
+    some = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    out = mixed(some.repartition(4), labels.limit(0), TARGETS, budget=0.6).collect()
+    assert len(out) == len(rows)
+    for group in ([r for r in out if r["doc_id"] is None and r["text"]], [r for r in out if r["doc_id"] == 900],
+                  [r for r in out if r["doc_id"] == 901]):
+        want = sum(r["mix_rate"] for r in group)
+        assert 0.3 < want / len(group) < 0.9 and abs(sum(r["mix_copies"] for r in group) - want) < 0.15 * len(group)
+
+
 def test_without_labels_and_empty(spark):
     docs, labels, rows = make(spark, 20)
     out = mixed(docs, labels.limit(0), TARGETS).collect()
