@@ -51,8 +51,6 @@ DOTS, PLUS = ("dot", "point", "punkt", "punto"), ("plus", "más")
 LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
 # ---- end of fixed values ----
 
-MIN_SPELLED = 4  # digits spelled out in a row before they count as a number
-
 _FOLD = dict(HOMOGLYPHS) | dict.fromkeys(INVISIBLE, "") | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
 _ODD = re.compile("[" + "".join(map(re.escape, _FOLD)) + "]|(?![0-9])\\d")
 _DOT = "|".join(DOTS)
@@ -68,6 +66,13 @@ _BARE = re.compile(
     rf"(?={_LABEL}(?:\.{_LABEL}){{0,4}}(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|[_-](?:{_DOT})[_-]))"
     rf"{_LABEL}(?:{_SAID}(?!(?:at|arroba)\b){_LABEL}){{1,8}}", re.I)
 _BARE_PART = re.compile(rf"\s+(at|arroba)\s+|[_-](at)[_-]|\s+(?:{_DOT})\s+|[_-](?:{_DOT})[_-]", re.I)
+#: name at host.tld with only "at" spelled: joined by _, or of a name that is no plain word
+_AT = re.compile(
+    rf"(?<![\w.%+/-])(?:[A-Za-z0-9%+-]{{1,64}}(?:[._][A-Za-z0-9%+-]{{1,64}}){{0,4}}?_at_"
+    rf"|(?=[A-Za-z0-9.%+_-]{{0,64}}[0-9._%+])[A-Za-z][A-Za-z0-9%+-]{{0,63}}(?:[._][A-Za-z0-9%+-]{{1,64}}){{0,4}}"
+    rf"\s{{1,3}}(?:at|arroba)\s{{1,3}})(?={_LABEL}(?:\.{_LABEL}){{0,4}}\.[A-Za-z]{{2,}})", re.I)
+_AT_PART = re.compile(r"_at_$|\s+(?:at|arroba)\s+$", re.I)
+_DOTTED = re.compile(rf"(?<=[0-9])[\s_-]{{0,3}}(?:{_DOT})[\s_-]{{0,3}}(?=[0-9])", re.I)
 _WORD = "|".join(sorted([*SPELLED, *REPEATS], key=len, reverse=True))
 _NUMBER = re.compile(
     rf"(?<!\w)(?:(?:{'|'.join(PLUS)}|\+)[\s-]*)?(?:{_WORD}|\d{{1,4}})(?!\w)"
@@ -75,7 +80,6 @@ _NUMBER = re.compile(
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\+")
 _MIXED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OolI](?:[ ().-]{0,2}[0-9OolI]){6,}(?![A-Za-z0-9])")
 _CHUNK = re.compile(r"[0-9OolI]+")
-_SPELLED_WORDS = frozenset(SPELLED)
 
 
 def luhn(digits: str) -> bool:
@@ -123,6 +127,11 @@ class Copy:
     def __init__(self, text: str):
         self.text, self.start, self.end = text, range(len(text)), range(1, len(text) + 1)
 
+    def copy(self) -> Copy:
+        out = Copy(self.text)
+        out.start, out.end = self.start, self.end
+        return out
+
     def apply(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace ranges of the text; the characters of a replacement stand for its range."""
         if not edits:
@@ -155,25 +164,43 @@ def _bare_edits(text: str):
             yield p.start(), p.end(), "@" if p[1] or p[2] else "."
 
 
-def _number_edits(text: str):
-    for m in _NUMBER.finditer(text):
-        new, times, spelled = "", 1, 0
-        for t in _TOKEN.finditer(m[0]):
-            word = t[0].lower()
+def _at_edits(text: str):
+    for m in _AT.finditer(text):
+        yield m.start() + _AT_PART.search(m[0]).start(), m.end(), "@"
+
+
+def _number_edits(runs, stops: bool):
+    """Digits and dots for runs of numbers of which some part is spelled.
+
+    ``stops``: full stops of the run stay; else they part digits like spaces and hyphens.
+    """
+    for m in runs:
+        new, times, spelled, at = "", 1, 0, m.start()
+        for t in _TOKEN.finditer(m.string, m.start(), m.end()):
+            if stops and m.string.find(".", at, t.start()) >= 0 and new[-1:] != ".":
+                new += "."
+            word, at = t[0].lower(), t.end()
             if word in REPEATS:
-                times = REPEATS[word]
-            elif word in SPELLED:
-                new, spelled, times = new + SPELLED[word] * times, spelled + times, 1
+                times, spelled = REPEATS[word], spelled + 1
+                continue
+            if word in SPELLED:
+                new, spelled = new + SPELLED[word] * times, spelled + 1
             elif word in DOTS:
-                new += "."
+                new, spelled = new.rstrip(".") + ".", spelled + 1
             elif word in PLUS or word == "+":
                 new += "+"
             else:
-                new += word
-        if spelled >= MIN_SPELLED:
+                new += word[0] * (times - 1) + word
+            times = 1
+        if spelled:
             yield m.start(), m.end(), new
 
 
+def _dotted_edits(text: str):
+    for m in _DOTTED.finditer(text):
+        yield m.start(), m.end(), "."
+
+
 def _mixed_edits(text: str):
     for m in _MIXED.finditer(text):
         for part in _CHUNK.finditer(text, m.start(), m.end()):
@@ -191,21 +218,34 @@ def disguised_spans(text: str) -> list[tuple[str, int, int]]:
     if _BRACKETED.search(copy.text):
         copy.apply([(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(copy.text)])
     low = copy.text.lower()
-    if any(d in low for d in DOTS):
+    dots = any(d in low for d in DOTS)
+    if dots:
         copy.apply(list(_bare_edits(copy.text)))
-    words = low.replace("-", " ").replace(",", " ").split()
-    if not _SPELLED_WORDS.isdisjoint(words):
-        run = best = 0
-        for w in words:
-            run = run + 1 if w.strip(".;:+") in SPELLED or w in REPEATS or w in DOTS or w.isdigit() else 0
-            best = max(best, run)
-        if best >= MIN_SPELLED - 1:
-            copy.apply(list(_number_edits(copy.text)))
-    if _MIXED.search(copy.text):
-        copy.apply(list(_mixed_edits(copy.text)))
-    if copy.text is text or copy.text == text:
-        return []
-    return [(kind, copy.start[a], copy.end[b - 1]) for kind, a, b in base_spans(copy.text)]
+    if "at" in low or "arroba" in low:
+        copy.apply(list(_at_edits(copy.text)))
+    # readings of the numbers: dots between digits; all runs with a spelled part, full stops kept or not
+    runs = list(_NUMBER.finditer(copy.text))
+    edits = [list(_dotted_edits(copy.text)) if dots else [], list(_number_edits(runs, False)), list(_number_edits(runs, True))]
+    if edits[2] == edits[1]:
+        del edits[2]
+    out = set()
+    for some in edits if any(edits) else [[]]:
+        read = copy.copy()
+        read.apply(some)
+        if _MIXED.search(read.text):
+            read.apply(list(_mixed_edits(read.text)))
+        if read.text != text:
+            out.update((kind, read.start[a], read.end[b - 1]) for kind, a, b in base_spans(read.text))
+    return _longest(out)
+
+
+def _longest(spans: set[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans that lie in no other of their kind."""
+    out: list[tuple[str, int, int]] = []
+    for kind, a, b in sorted(spans, key=lambda s: (s[0], s[1], -s[2])):
+        if not out or out[-1][0] != kind or b > out[-1][2]:
+            out.append((kind, a, b))
+    return out
 
 
 def all_spans(text: str | None) -> list[tuple[str, int, int, bool]]:

@@ -54,6 +54,27 @@ def test_disguises_give_source_offsets(text, kind, found):
     assert [(k, text[a:b], base) for k, a, b, base in all_spans(text)] == [(kind, found, False)]
 
 
+@pytest.mark.parametrize("text, kind, found", [
+    ("call +1 415 five five five 0100 now", "phone", "+1 415 five five five 0100"),
+    ("call +1 (415) 555 zero 100 now", "phone", "+1 (415) 555 zero 100"),
+    ("call +1 415 triple 5 0100 now", "phone", "+1 415 triple 5 0100"),
+    ("card 4111 1111 1111 one 111 ok", "card", "4111 1111 1111 one 111"),
+    ("ip 192 dot 168 dot 1 dot 10 x", "ip", "192 dot 168 dot 1 dot 10"),
+    ("two 192 dot 168 dot 1 dot 10 x", "ip", "192 dot 168 dot 1 dot 10"),
+    ("ip 192.168.one.10 x", "ip", "192.168.one.10"),
+    ("mail john.smith at example.com now", "email", "john.smith at example.com"),
+    ("mail john_at_example.com now", "email", "john_at_example.com"),
+])
+def test_a_single_spelled_part_is_enough(text, kind, found):
+    assert [(k, text[a:b], base) for k, a, b, base in all_spans(text)] == [(kind, found, False)]
+
+
+@pytest.mark.parametrize("text", ["in 2024 one 5 and 3 point 5", "version 1 dot 2 dot 3", "300 dot 1 dot 1 dot 1",
+                                  "http://x.org/notes_at_home.html", "e.g. at example.com"])
+def test_numbers_that_are_no_identifiers(text):
+    assert all_spans(text) == []
+
+
 @pytest.mark.parametrize("text", ["look at example.com please", "she was at one dot", "two or three or four", "un deux",
                                   "meet at noon. dot the i", "+1 (599) 555 | oo"])
 def test_ordinary_text_has_none(text):
