@@ -1,6 +1,6 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a byte 4-gram model per language, trained on all trusted documents. Its counts are
+The model is a byte 5-gram model per language, trained on all trusted documents. Its counts are
 tables keyed by (language, gram): full counts for the highest order, numbers of different left
 neighbours below, with three discounts an order from the counts of counts. Every table is spread
 over the cluster by its key; probabilities of seen grams and backoff weights of contexts come
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from gamelog.llm.common import id_map, in_map, materialize, rows_per_batch, table
 from gamelog.session import scratch_dir
 
-ORDER = 4
+ORDER = 5
 BLOCK_BYTES = 64 << 20  # of text, at most, in a block
 BLOB_BYTES = 8 << 20  # of a block's text compressed together
 PART_BYTES = 2 << 20  # of text looked at together
@@ -42,12 +42,12 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _grams(texts: list[bytes]) -> np.ndarray:
-    """The gram (as a number of 32 bits) that ends at each byte of the texts, one after another."""
+    """The gram (as a number of 40 bits) that ends at each byte of the texts, one after another."""
     pad = bytes([START] * (ORDER - 1))
-    wide = np.frombuffer(pad + pad.join(texts), np.uint8).astype(np.uint32)
-    out = np.zeros(len(wide) - ORDER + 1, np.uint32)
+    wide = np.frombuffer(pad + pad.join(texts), np.uint8).astype(np.uint64)
+    out = np.zeros(len(wide) - ORDER + 1, np.uint64)
     for k in range(ORDER):
-        out = (out << np.uint32(8)) | wide[k:k + len(out)]
+        out = (out << np.uint64(8)) | wide[k:k + len(out)]
     # without those that end in the padding between texts
     keep = np.ones(len(out), bool)
     ends = np.cumsum([len(t) + ORDER - 1 for t in texts[:-1]], dtype=np.int64)
@@ -58,7 +58,7 @@ def _grams(texts: list[bytes]) -> np.ndarray:
 
 def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of the texts and their counts."""
-    gram, n = np.empty(0, np.uint32), np.empty(0, np.int64)
+    gram, n = np.empty(0, np.uint64), np.empty(0, np.int64)
     at = 0
     while at < len(texts):
         to, size = at, 0
@@ -243,7 +243,7 @@ def _blocks(frames):
 
 def _score(key, blocks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     known = known.sort_values("gram")
-    gram, logp = known["gram"].to_numpy().astype(np.uint32), known["logp"].to_numpy()
+    gram, logp = known["gram"].to_numpy().astype(np.uint64), known["logp"].to_numpy()
     out = []
     for blob in blocks["blob"]:
         rows, docs, sizes, data = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
@@ -264,7 +264,7 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.write.bucketBy(buckets, key).option("path", scratch_dir(spark, name)).option("compression", "uncompressed")
+    (df.write.bucketBy(buckets, key).option("path", scratch_dir(spark, name)).option("compression", "zstd")
      .saveAsTable(name))
     out = spark.table(name)
     out.schema  # resolved: the files stay when the name goes
@@ -342,6 +342,17 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> DataFram
                        ).alias("keep"))
 
 
+def rejected(decisions: DataFrame, labels: DataFrame) -> DataFrame:
+    """lang, quality, docs and rejected (a share) of the labelled rows of ``quality``.
+
+    A document with labels of both kinds is bad.
+    """
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
+        F.min("quality").alias("quality"))
+    return decisions.join(known, "doc_id").groupBy("lang", "quality").agg(
+        F.count(F.lit(1)).alias("docs"), F.avg((~F.col("keep")).cast("double")).alias("rejected"))
+
+
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Perplexity and decision for every document."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from gamelog.llm.kneser_ney import ORDER, START, packed_texts, perplexities, quality, quantile_by_language, train
+from gamelog.llm.kneser_ney import (ORDER, START, packed_texts, perplexities, quality, quantile_by_language, rejected,
+                                    train)
 
 
 class Plain:
@@ -66,6 +67,24 @@ def test_probabilities_equal_the_book(spark):
             assert sum(plain.p(context + bytes([b])) for b in range(256)) == pytest.approx(1)
 
 
+def test_the_byte_four_places_back_counts(spark):
+    rng = random.Random(4)
+    make = lambda swap: "".join((a + "bcd" + (b if swap else a)) for a, b in (
+        rng.choice(["xy", "yx"]) for _ in range(60)))
+    model = train(packed_texts(spark.createDataFrame(
+        [(i, "en", make(False)) for i in range(40)], "doc_id long, lang string, text string")))
+    got = {r["row"]: r["perplexity"] for r in perplexities(spark.createDataFrame(
+        [(1, 1, "en", make(False)), (2, 2, "en", make(True))], "row long, doc long, lang string, text string"), model).collect()}
+    assert got[2] > 1.5 * got[1]
+
+
+def test_share_of_labelled_documents_rejected(spark):
+    out = spark.createDataFrame([(1, "en", True), (2, "en", False), (3, "en", False), (4, "de", True), (5, "de", True)],
+                                "doc_id long, lang string, keep boolean")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1), (4, 0), (None, 0)], "doc_id long, quality int")
+    assert {tuple(r) for r in rejected(out, labels).collect()} == {("en", 0, 2, 0.5), ("en", 1, 1, 1.0), ("de", 0, 1, 0.0)}
+
+
 def test_blocks_hold_every_text_and_its_grams(monkeypatch):
     import pickle
 
