@@ -1,7 +1,7 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-The lines and paragraphs of every text are compared with license templates as sparse TF-IDF
-vectors. Terms are weighted by the number of documents that hold them, counted over all
+The lines, paragraphs and runs of lines (as long as a template) of every text are compared with
+license templates as sparse TF-IDF vectors. Terms are weighted by the number of documents that hold them, counted over all
 documents for the terms of the templates; a term of no template weighs as if unseen. A segment
 can only reach the threshold if it has one of a template's heaviest terms (its anchors: without
 them the rest of the template's length is too short), so only segments with an anchor are
@@ -16,10 +16,11 @@ import math
 import re
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import materialize, table
+from gamelog.llm.common import materialize, rows_per_batch, table
 
 # ---- fixed values: short public license notices ----
 TEMPLATES = [
@@ -58,6 +59,9 @@ PARAGRAPHS = r"\n[ \t]*\n"
 # ---- end of fixed values ----
 
 THRESHOLD = 0.6
+#: Line ends, and what a line starts or ends with as part of a comment.
+LINES = r"\r\n|\r|\n"
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/|<!--|-->|[#*;%]+|//+|--+)[ \t]*|[ \t]*(?:\*+/|-->)[ \t]*$"
 
 
 def template_terms() -> list[Counter]:
@@ -82,6 +86,55 @@ def _weights(held: dict[str, int], total: int) -> tuple[list[dict[str, float]],
     return vectors, idf, math.log(1 + total) + 1, anchors
 
 
+def _runs(text: str | None, like, anchors: frozenset[str], sizes: list[int]) -> list[str]:
+    """Paragraphs, and runs of lines about as long as a template, that ``like`` takes for a template.
+
+    Lines end at any line end; those of comment marks alone count as blank. From each line a run
+    is given for each length of a template: up to the line that reaches it, and one line less.
+    """
+    lines = [re.sub(MARKS, "", line) for line in re.split(LINES, text or "")]
+    words = [re.findall(WORD, line.lower()) for line in lines]
+    held = [not anchors.isdisjoint(w) for w in words]
+    out, at = [], 0
+    while at < len(lines):
+        to = at
+        while to < len(lines) and lines[to].strip():
+            to += 1
+        if any(held[at:to]):
+            spans = {(at, to)}
+            for a in range(at, to):
+                n, b = 0, a
+                for size in sizes:
+                    while b < to and n < size:
+                        n, b = n + len(words[b]), b + 1
+                    spans.update(((a, b), (a, max(b - 1, a + 1))))
+                    if b == to:
+                        break
+            out += [(a, b) for a, b in sorted(spans) if any(held[a:b]) and like(words[a:b])]
+        at = max(to, at + 1)
+    return list(dict.fromkeys("\n".join(lines[a:b]) for a, b in out))
+
+
+def _like(vectors: list[dict[str, float]], idf: dict[str, float], other: float):
+    def like(lines: list[list[str]]) -> bool:
+        x = {t: n * idf.get(t, other) for t, n in Counter(w for line in lines for w in line).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return any(sum(w * x[t] for t, w in v.items() if t in x) >= (THRESHOLD - 1e-5) * norm for v in vectors)
+    return like
+
+
+def _wrapped(vectors: list[dict[str, float]], idf: dict[str, float], other: float, anchors: set[str]):
+    """A function of a text column: its ``_runs``."""
+    sizes, held = sorted({sum(c.values()) for c in template_terms()}), frozenset(anchors)
+
+    @F.pandas_udf("array<string>")
+    def runs(texts: pd.Series) -> pd.Series:
+        like = _like(vectors, idf, other)
+        return pd.Series([_runs(t, like, held, sizes) for t in texts])
+
+    return runs
+
+
 def _words(text):
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
 
@@ -101,6 +154,7 @@ def license_scan(files: DataFrame) -> DataFrame:
       ignored.
     """
     spark = files.sparkSession
+    rows_per_batch(spark)
     rows = files.select("doc_id", "path", "text", F.xxhash64("path", "text").alias("key"),
                         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"))
     vocabulary = sorted({t for c in template_terms() for t in c})
@@ -112,6 +166,7 @@ def license_scan(files: DataFrame) -> DataFrame:
     vectors, idf, other, anchors = _weights(held, total)
     anchored = F.array(*map(F.lit, sorted(anchors)))
 
+    wrapped = _wrapped(vectors, idf, other, anchors)
     has = lambda text: F.arrays_overlap(_words(text), anchored)
     some = rows.filter(has(F.col("text")))
     whole = F.filter(F.array(F.struct(F.lit("file").alias("how"), F.col("text").alias("segment"))),
@@ -119,7 +174,8 @@ def license_scan(files: DataFrame) -> DataFrame:
     part = lambda pattern: F.transform(F.split("text", pattern), lambda s: F.struct(
         F.lit("header").alias("how"), s.alias("segment")))
     segments = (some.select("key", "doc", F.explode(F.array_distinct(F.concat(
-        whole, part("\n"), part(PARAGRAPHS)))).alias("s"))
+        whole, part("\n"), part(PARAGRAPHS), F.transform(wrapped("text"), lambda s: F.struct(
+            F.lit("header").alias("how"), s.alias("segment")))))).alias("s"))
         .select("key", "doc", "s.how", "s.segment").filter(has(F.col("segment")))
         .withColumn("at", F.xxhash64("segment")))
     segments = materialize(segments, "segments")

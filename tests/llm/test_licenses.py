@@ -67,5 +67,19 @@ def test_equals_a_plain_scan(spark):
     assert {r[4] for r in got} == {None, "header", "file", "inherited"} or "file" not in {r[4] for r in plain(ROWS)}
 
 
+def test_notices_wrapped_over_lines(spark):
+    w = MIT.split()
+    lines = [" ".join(w[i:i + 9]) for i in range(0, len(w), 9)]
+    more = ["value = compute(alpha, beta, gamma, delta)"] * 40
+    rows = [(1, "\r\n\r\n".join(["words of another kind " * 30, "\r\n".join(lines), "and an end " * 30])),
+            (2, "\n".join(["# " + " ".join(more), "#", *("# " + x for x in lines), "#", *more])),
+            (3, "\n".join(["/*", " * " + " ".join(more), " *", *(" * " + x for x in lines), " */", *more])),
+            (4, "\n".join([*more, *lines, *more])), (5, "\r".join([*more, *lines, *more])), (6, "\n".join(more))]
+    rows += [(10 + i, "plain text number " + str(i)) for i in range(20)]
+    df = spark.createDataFrame([(i, None, t) for i, t in rows], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["how"]) for r in license_scan(df).collect()}
+    assert {i for i, x in got.items() if x == ("MIT", "header")} == {1, 2, 3, 4, 5}
+
+
 def test_empty_table(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, path string, text string")).collect() == []
