@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 Texts are folded first: lower case, homoglyphs and accents of look-alike scripts to Latin
-letters, invisible characters away, digits and signs inside words to the letters they stand for.
+letters, invisible characters away, digits and signs inside words to the letters they stand for;
+words with signs are also matched in their other readings, of which the strongest counts.
 The lexicon is learned from labelled documents: word stems (3 to 9 letters, or a whole word)
 weighted by the lower confidence bound of their log odds in toxic against clean text. Evidence is
 counted by distinct contexts (the words before and after), so that copies of one document count
@@ -48,6 +49,10 @@ _ODD = re.compile("[" + "".join(map(re.escape, [chr(c) for c in _FOLD])) + "]")
 _SIGNED = re.compile(r"(?<![0-9@$!|])[013457@$!|]{1,2}(?=[^\W\d_])|(?<=[^\W\d_])[013457@$](?![\w@$!|])")
 _SIGN_MAP = str.maketrans(SIGNS)
 _GAP = re.compile(r"[\W_]+")
+#: signs of words read in other ways than ``fold`` reads them
+_OTHER_SIGNS = (str.maketrans(SIGNS | {"6": "b", "8": "b", "9": "g"}), str.maketrans(SIGNS | {"6": "g", "8": "b", "9": "p"}))
+_SIGN = re.compile(r"[0-9@$!|]")
+_EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 
 
 def fold(text: str | None) -> str:
@@ -129,13 +134,55 @@ def matches(auto, folded: str) -> dict[int, float]:
     return best
 
 
+def _readings(token: str) -> list[str]:
+    """Other readings of a word with signs or digits: as it is, and all of them letters."""
+    core = _EDGE.sub("", token)
+    texts = [core, *(x.translate(m) for m in _OTHER_SIGNS for x in (core, token))]
+    return [t for t in dict.fromkeys(_GAP.sub(" ", x).strip().replace("l", "i") for x in texts) if t]
+
+
+def _more(auto, text: str) -> float:
+    """Weight that other readings of words with signs add to ``fold``'s reading of them."""
+    t = text.lower()
+    if not _SIGN.search(t):
+        return 0.0
+    tokens = (t.translate(_FOLD) if _ODD.search(t) else t).split()
+    more = 0.0
+    for i, token in enumerate(tokens):
+        if not _SIGN.search(token) or token.upper() == token:  # no letters
+            continue
+        core = _EDGE.sub("", token)
+        if not _SIGN.search(core) and token.startswith(core):
+            continue  # only signs at its end, which no reading takes for letters of it
+        # exception phrases have two words: those beside the token decide as well
+        before = fold(" ".join(tokens[max(i - 3, 0):i])).rstrip().rpartition(" ")[2]
+        after = fold(" ".join(tokens[i + 1:i + 4])).lstrip().partition(" ")[0]
+
+        def weight(reading: str) -> float:
+            start = f" {before} " if before else " "
+            found = matches(auto, start + reading + (f" {after} " if after else " "))
+            low, high = len(start) - 1, len(start) + len(reading)
+            return sum(w for at, w in found.items() if low <= at < high)
+
+        best = max(map(weight, _readings(token)), default=0.0)
+        if best:
+            mine = fold(token).strip()
+            more += max(best - (weight(mine) if mine else 0.0), 0.0)
+    return more
+
+
 def strength(auto, text: str | None) -> float:
-    """Summed weights of a text's matches, normalised by its length in words."""
+    """Summed weights of a text's matches, normalised by its length in words.
+
+    A word with signs or digits counts by its strongest reading.
+    """
+    if not len(auto) or not text:
+        return 0.0
     folded = fold(text)
-    found = matches(auto, folded)
+    found = sum(matches(auto, folded).values()) + _more(auto, text)
     if not found:
         return 0.0
-    return sum(found.values()) / math.log(math.e + folded.count(" ") - 1)
+    return found / math.log(math.e + max(folded.count(" ") - 1, 1))
 
 
 def _phrases(terms):

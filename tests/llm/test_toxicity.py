@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from gamelog.llm.toxicity import Model, automaton, fit, fold, matches, score, toxic_scores
+from gamelog.llm.toxicity import Model, automaton, fit, fold, matches, score, strength, toxic_scores
 
 
 @pytest.mark.parametrize("text, folded", [
@@ -21,6 +21,21 @@ def test_best_weight_per_word_and_exceptions():
     assert matches(automaton([], []), fold("bad")) == {}
 
 
+@pytest.mark.parametrize("text", ["so krass now", "so kra$$ now", "so kra55 now", "so kra$$! now", "so KRA5$, now",
+                                  "so (kr4$$) now", "so !krass now", "6rumm x y", "9rumm x y"])
+def test_words_with_signs_match_in_any_reading(text):
+    auto = automaton([(" krass ", 3.0), (" grumm ", 3.0)], [])
+    assert strength(auto, text) == strength(auto, "so krass now") > 0
+
+
+def test_readings_count_once_and_keep_exceptions():
+    auto = automaton([(" krass ", 3.0), (" thoner ", 2.0)], [" very krass "])
+    assert strength(auto, "a thoner$$$ b") == strength(auto, "a thoner b") > 0
+    assert strength(auto, "a krass! b") == strength(auto, "a krass b")
+    assert strength(auto, "very kra$$ b") == strength(auto, "very krass b") == 0
+    assert strength(auto, "in 2024 $$$ 55 !!") == 0
+
+
 def make(spark):
     rng = random.Random(3)
     docs, labels = [], []
