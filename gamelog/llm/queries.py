@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gamelog.llm import decontaminate, hamming_dedup, kneser_ney, licenses, mixing, packing, pii, sharding, topk, toxicity
+from gamelog.llm import (adaptive_scan, decontaminate, dual_tree, hamming_dedup, kneser_ney, licenses, mixing, packing, permuterm, pii,
+                         sharding, topk, toxicity)
 
 QUERIES = {
     "op1_quality_classifier": kneser_ney.op1_quality_classifier,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_extendible_shards": sharding.op9_extendible_shards,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_ranked_search": dual_tree.op11_ranked_search,
+    "op12_spelling_variants": permuterm.op12_spelling_variants,
+    "op13_nearest_vectors": adaptive_scan.op13_nearest_vectors,
 }
 
 ORACLE = {
@@ -22,4 +26,6 @@ ORACLE = {
     "op4_license_scan": licenses.OP4_SQL,
     "op5_minhash_near_dedup": hamming_dedup.OP5_SQL,
     "op9_extendible_shards": sharding.OP9_SQL,
+    "op11_ranked_search": dual_tree.OP11_SQL,
+    "op12_spelling_variants": permuterm.OP12_SQL,
 }
