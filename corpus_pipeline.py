@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import materialize, table
+from gamelog.llm.common import Scratch, drop, materialize, table
 from gamelog.llm.decontaminate import contaminated
 from gamelog.llm.hamming_dedup import near_groups
 from gamelog.llm.mixing import mixed
@@ -32,8 +32,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words and rows without an id are in no group and stay. Rows that share an
     id are one document, of which the first row (in order of the columns' values) stays.
     """
-    ids = materialize(near_groups(docs, width=SHINGLE, percent=PERCENT).filter(
-        "kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    with Scratch(spark) as scratch:
+        ids = materialize(near_groups(docs, width=SHINGLE, percent=PERCENT).filter(
+            "kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+        scratch.keep(ids)
     single = docs.join(ids.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
     again = docs.join(ids.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
     first = again.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
@@ -71,7 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; a stage's input and own tables go when its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with Scratch(spark) as scratch:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            scratch.keep(docs)
+        drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,12 +16,74 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     Cuts the lineage with files every executor can read, so a lost executor costs a re-read
-    and not a recomputation, and a result used several times is computed once.
+    and not a recomputation, and a result used several times is computed once. The table stays
+    until ``drop``, the end of the ``Scratch`` it was made in, or else the end of the session.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, f"{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    register(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+_OPEN: list[Scratch] = []
+_FACTOR = "spark.sql.sources.fileCompressionFactor"
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def register(spark: SparkSession, path: str) -> None:
+    """A folder of intermediate files, for the innermost open ``Scratch`` or the end of the session."""
+    if _OPEN:
+        _OPEN[-1].paths.add(path)
+    else:
+        fs, folder = _folder(spark, path)
+        fs.deleteOnExit(folder)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        fs, folder = _folder(t.sparkSession, t.scratch_path)
+        fs.delete(folder, True)
+        for scope in _OPEN:
+            scope.paths.discard(t.scratch_path)
+
+
+class Scratch:
+    """The intermediate tables of an operator: on leaving, all go but those its result reads.
+
+    These are named with ``keep`` and pass to the scope around this one.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, set(), set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept.update(t.scratch_path for t in tables)
+
+    def __enter__(self):
+        _OPEN.append(self)
+        # files are compressed: a join must not take a table for small because its files are
+        self.factor = self.spark.conf.get(_FACTOR)
+        self.spark.conf.set(_FACTOR, "10")
+        return self
+
+    def __exit__(self, *_):
+        _OPEN.pop()
+        self.spark.conf.set(_FACTOR, self.factor)
+        for path in self.paths - self.kept:
+            fs, folder = _folder(self.spark, path)
+            fs.delete(folder, True)
+        for path in self.paths & self.kept:
+            register(self.spark, path)
+        # lets Spark's cleaner see that the shuffles of the steps behind are free
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
