@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import id_map, in_map, materialize, rows_per_batch, table
+from gamelog.llm.common import Scratch, id_map, in_map, materialize, register, rows_per_batch, table
 from gamelog.session import scratch_dir
 
 ORDER = 5
@@ -263,9 +263,10 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
     """``df`` written to the shared folder in buckets of ``key``; joins on it need no shuffle of it."""
     spark = df.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
+    path = scratch_dir(spark, name)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.write.bucketBy(buckets, key).option("path", scratch_dir(spark, name)).option("compression", "zstd")
-     .saveAsTable(name))
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    register(spark, path)
     out = spark.table(name)
     out.schema  # resolved: the files stay when the name goes
     spark.sql(f"DROP TABLE {name}")
@@ -280,7 +281,9 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     blocks = _bucketed(docs.select("row", "doc", "lang", "text").mapInPandas(
         _blocks, "block long, lang string, grams array<bigint>, blob binary"), "block")
     grams = blocks.select("block", "lang", F.explode("grams").alias("gram"))
-    own = materialize(gram_probabilities(grams.select("lang", "gram").distinct(), model), "own")
+    with Scratch(docs.sparkSession) as scratch:
+        own = materialize(gram_probabilities(grams.select("lang", "gram").distinct(), model), "own")
+        scratch.keep(own)
     known = grams.join(own, ["lang", "gram"]).select(
         F.col("block").alias("in_block"), F.col("lang").alias("in_lang"), "gram", "logp")
     scored = (blocks.filter("blob IS NOT NULL").select("block", "lang", "blob").groupBy("block", "lang")
@@ -321,17 +324,22 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> DataFram
     - Rows that repeat are scored each; an empty table gives an empty table; other columns are
       ignored.
     """
-    rows_per_batch(docs.sparkSession)
+    spark = docs.sparkSession
+    rows_per_batch(spark)
     doc = F.col("doc_id").cast("long")
     rows = docs.select(F.xxhash64("lang", "text").alias("row"), F.coalesce(doc, F.lit(-(1 << 63))).alias("doc"),
                        doc.alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
     good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter(
         "q = 1").select("doc_id")
     known = docs.sparkSession.sparkContext.broadcast(id_map(good, "doc_id"))
-    trusted = packed_texts(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL"), known)
-    model = train(trusted.join(good, "doc_id", "left_semi"))
     slim = rows.select("row", "doc", "lang", "text").filter("length(text) > 0")
-    scored = materialize(perplexities(slim, model), "perplexities")
+    with Scratch(spark) as scratch:
+        with Scratch(spark) as training:
+            trusted = packed_texts(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL"), known)
+            model = train(trusted.join(good, "doc_id", "left_semi"))
+            training.keep(model)
+        scored = materialize(perplexities(slim, model), "perplexities")
+        scratch.keep(scored)
     base = rows.select("row", "doc", "doc_id", "lang")
     trusted = base.join(good, "doc_id", "left_semi").join(scored, ["row", "doc"])
     limits = quantile_by_language(trusted, q)
