@@ -1,13 +1,19 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Documents and test items are sequences of words without case and punctuation. An item's seeds
-are all its word trigrams, also those that many items share. One scan finds the trigrams of all documents that
-may be seeds (a fixed-size bitmap of seed hashes lets nearly all others go) and a join says
-which items they belong to. Every passage with a seed is a candidate, however many documents hold
-it, and is aligned with the item word by word, unless it has too few of the item's words to reach
-the threshold at all. The score is matches less mismatches and gaps, as a share of the item's
-words (of 32 for longer items), so copies that were cut, edited or partly reworded still score
-high.
+are its word trigrams: all that few items share, and of those that many items share (phrases of
+the kind "which of the", passages asked about again and again) only as many as it takes. A
+passage can be a leak through such phrases alone only if they cover as many of its words as the
+threshold asks for; so the most common ones, as long as they cover fewer words than that, are no
+seeds, and the others are seeds only in documents where common trigrams cover that many words.
+What shares no more with an item than a phrase is never paired with it.
+
+One scan finds the trigrams of all documents that may be seeds (fixed-size bitmaps of hashes let
+nearly all others go) and a join says which items they belong to. Every passage with a seed is a
+candidate, however many documents hold it, and is aligned with the item word by word, unless it
+has too few of the item's words to reach the threshold at all. The score is matches less
+mismatches and gaps, as a share of the item's words (of 32 for longer items), so copies that were
+cut, edited or partly reworded still score high.
 """
 
 from __future__ import annotations
@@ -17,12 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import (hash_map, id_map, in_hash_map, in_map, materialize, rows_per_batch, shingle_hashes, signed, table,
-                                word_hashes)
+from gamelog.llm.common import (Scratch, hash_map, id_map, in_hash_map, in_map, materialize, rows_per_batch, shingle_hashes,
+                                signed, table, word_hashes)
 
 GRAM = 3
 THRESHOLD = 0.4
 FULL = 32  # so many words in a row are a whole leak, however long the item
+RARE = 8  # a trigram of more items than this is common
+SALT = 16  # parts of a document trigram that very many documents hold
+ITEMS = 64  # items that one row of a document carries to the alignment
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -64,12 +73,56 @@ def _item_grams(frames):
             yield pd.concat(out)
 
 
-def seed_table(items: DataFrame) -> DataFrame:
-    """Seeds (item, gram): every trigram of every item, however many items share it."""
-    return materialize(items.select("item", "words").mapInPandas(_item_grams, "item long, gram long"), "seeds")
+def covered_words(at: np.ndarray) -> int:
+    """How many words the trigrams that start at the sorted places ``at`` cover."""
+    return int(np.minimum(np.diff(at), GRAM).sum()) + GRAM if len(at) else 0
 
 
-def _hits(bits):
+def needed_words(n: int, threshold: float) -> int:
+    """Words that must match for an item of ``n`` words."""
+    return int(np.ceil(threshold * min(n, FULL) - 1e-6))
+
+
+def _common_seeds(threshold: float):
+    """Of the common trigrams of an item, those that must be looked for (see ``seed_table``)."""
+    def run(frames):
+        for frame in frames:
+            out = []
+            for item, data, grams, shared in zip(*(frame[c] for c in ("item", "words", "grams", "shared"))):
+                here = signed(shingle_hashes(np.frombuffer(data, np.uint64), GRAM))
+                need = needed_words(len(here) + GRAM - 1, threshold)
+                grams, shared = np.asarray(grams, np.int64), np.asarray(shared, np.int64)
+                if covered_words(np.flatnonzero(np.isin(here, grams))) < need:
+                    continue
+                grams = grams[np.lexsort((grams, -shared))]
+                left_out = 0
+                while covered_words(np.flatnonzero(np.isin(here, grams[:left_out + 1]))) < need:
+                    left_out += 1
+                out.append(pd.DataFrame({"item": item, "gram": grams[left_out:], "need": need}))
+            if out:
+                yield pd.concat(out)
+    return run
+
+
+def seed_table(items: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Seeds (item, gram, need) of ``items`` (item, words), and the common trigrams (gram).
+
+    Every trigram of at most ``RARE`` items is a seed of each, with ``need`` 0. An item whose
+    common trigrams cover fewer words than the threshold asks for cannot be found by them alone.
+    Of the others, the most common are left out as long as they cover fewer; the rest are seeds in
+    documents where common trigrams cover ``need`` words.
+    """
+    grams = materialize(items.select("item", "words").mapInPandas(_item_grams, "item long, gram long"), "grams")
+    common = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") > RARE), "common")
+    rare = grams.join(common, "gram", "left_anti").select("item", "gram", F.lit(0).alias("need"))
+    held = grams.join(common, "gram").groupBy("item").agg(F.collect_list(F.struct("gram", "shared")).alias("g"))
+    more = held.join(items, "item").select("item", "words", F.col("g.gram").alias("grams"), F.col("g.shared").alias("shared"))
+    more = more.mapInPandas(_common_seeds(threshold), "item long, gram long, need int")
+    return materialize(rare.unionByName(more), "seeds"), common.select("gram")
+
+
+def _hits(bits, common):
+    """Places of possible seeds, each with how many words common trigrams cover around it."""
     def run(frames):
         for frame in frames:
             out = []
@@ -79,11 +132,18 @@ def _hits(bits):
                     continue
                 grams = shingle_hashes(w, GRAM)
                 at = np.flatnonzero(in_hash_map(bits.value, grams))
-                if len(at):
-                    out.append((np.full(len(at), doc), signed(grams[at]), at))
+                if not len(at):
+                    continue
+                covered = np.zeros(len(at), np.int64)
+                phrases = np.flatnonzero(in_hash_map(common.value, grams))
+                # a gap of more words than a whole leak has is never part of the best alignment
+                for part in np.split(phrases, np.flatnonzero(np.diff(phrases) > 2 * FULL) + 1):
+                    if len(part):
+                        covered[np.searchsorted(at, part[0]):np.searchsorted(at, part[-1], "right")] = covered_words(part)
+                out.append((np.full(len(at), doc), signed(grams[at]), at, covered))
             if out:
-                doc, gram, at = map(np.concatenate, zip(*out))
-                yield pd.DataFrame({"doc_id": doc, "gram": gram, "at": at})
+                doc, gram, at, covered = map(np.concatenate, zip(*out))
+                yield pd.DataFrame({"doc_id": doc, "gram": gram, "at": at, "covered": covered})
     return run
 
 
@@ -134,9 +194,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     - Items of fewer than three words identify nothing and are left out, as are documents
       without an id, text or three words.
     - Items with the same words are aligned once and given out each.
+    - A passage is looked at if it keeps a trigram that at most ``RARE`` items have, or if trigrams
+      of the item that more have cover as many words as the threshold asks for.
     - Rows sharing a doc_id are one document, found by the best of them.
     - Empty tables give no pairs; other columns are ignored.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        out = materialize(_contaminated(docs, items, threshold), "contaminated")
+        scratch.keep(out)
+    return out
+
+
+def _contaminated(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     spark = docs.sparkSession
     rows_per_batch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(
@@ -145,13 +214,19 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         "item_id IS NOT NULL").mapInPandas(_item_words, "item_id long, n int, words binary"), "items")
     own = listed.groupBy("words").agg(F.min("item_id").alias("item"), F.first("n").alias("n"))
     own = materialize(own, "items")
-    seeds = seed_table(own)
-    bits = spark.sparkContext.broadcast(hash_map(seeds, "gram"))
+    seeds, common = seed_table(own, threshold)
+    bits, phrases = (spark.sparkContext.broadcast(hash_map(t, "gram")) for t in (seeds, common))
+    # a trigram that very many documents hold goes to several tasks
+    dealt = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    hits = rows.mapInPandas(_hits(bits, phrases), "doc_id long, gram long, at int, covered int").withColumn(
+        "salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
     # one seed is enough: what lies between seeds may still carry a passage over the threshold
-    pairs = rows.mapInPandas(_hits(bits), "doc_id long, gram long, at int").join(seeds, "gram").groupBy(
-        "doc_id", "item").agg(F.collect_set("at").alias("at"))
-    # a document's items go with its text in one row
-    found = materialize(pairs.join(own, "item").groupBy("doc_id").agg(
+    pairs = materialize(hits.join(dealt, ["gram", "salt"]).filter("covered >= need").groupBy("doc_id", "item").agg(
+        F.collect_set("at").alias("at")), "pairs")
+    # a document's items go with its text, some in a row
+    per = pairs.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / ITEMS).alias("parts"))
+    found = materialize(pairs.join(per, "doc_id").join(own, "item").groupBy(
+        "doc_id", F.expr("pmod(xxhash64(item), parts)").alias("part")).agg(
         F.collect_list(F.struct("item", "n", "words", "at")).alias("p")).select(
         "doc_id", "p.item", "p.n", "p.words", "p.at"), "candidates")
     # the texts that are joined with their candidates are few: a map of ids leaves the others out

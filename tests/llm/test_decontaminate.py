@@ -1,8 +1,9 @@
 import random
+import time
 
 import numpy as np
 
-from gamelog.llm.decontaminate import align, contaminated, words_of
+from gamelog.llm.decontaminate import align, contaminated, covered_words, needed_words, words_of
 
 
 def plain_align(a, b):
@@ -90,6 +91,51 @@ def test_finds_an_edited_short_item_however_often_it_is_copied(spark):
         (i, i % 3, plain_align(left[i % 3][0], items[i % 3]) / 8) for i in range(120)}
 
 
+def test_a_phrase_that_all_share_pairs_nothing(spark):
+    """2,000 items and 20,000 documents with a common phrase: only the planted copies become pairs."""
+    rng = random.Random(12)
+    text = lambda n: ["w" + str(rng.randint(0, 10**6)) for _ in range(n)]
+    phrase = "answer which of the following".split()
+    items = [phrase + text(20) for _ in range(2000)]
+    docs = [(i, " ".join(text(10) + phrase + text(10))) for i in range(20_000)]
+    planted = {(30_000 + i, i * 7) for i in range(100)}
+    for doc, i in planted:
+        copy = list(items[i])
+        copy[9] = copy[17] = "edited"
+        docs.append((doc, " ".join(text(20) + copy + text(20))))
+    began = time.time()
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                       spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == planted
+    assert time.time() - began < 120
+
+
+def test_items_of_common_phrases_only(spark):
+    """Items put together from phrases that many items share are found by them."""
+    rng = random.Random(13)
+    phrases = [["p" + str(rng.randint(0, 10**6)) for _ in range(5)] for _ in range(12)]
+    items = [sum(rng.sample(phrases, 6), []) for _ in range(60)]
+    noise = lambda n: ["n" + str(rng.randint(0, 10**6)) for _ in range(n)]
+    docs = [(i, " ".join(noise(20) + items[i] + noise(20))) for i in range(10)]
+    docs += [(100 + i, " ".join(noise(20) + phrases[i] + noise(20))) for i in range(12)]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                       spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()}
+    want = {}
+    for d, t in docs:
+        for i, item in enumerate(items):
+            score = round(min(1, plain_align(t.split(), item) / min(len(item), 32)), 6)
+            if score >= 0.4:
+                want[d, i] = score
+    assert got == want and all((i, i) in want for i in range(10))
+
+
+def test_seeds_leave_out_common_phrases_but_no_leak():
+    assert covered_words(np.array([], int)) == 0 and covered_words(np.array([4])) == 3
+    assert covered_words(np.array([0, 1, 2, 9])) == 8
+    assert [needed_words(n, 0.4) for n in (3, 5, 8, 32, 500)] == [2, 2, 4, 13, 13]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
