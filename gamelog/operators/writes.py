@@ -29,13 +29,18 @@ def insert_if_new(batch: DataFrame, table: DataFrame, key: str = "event_id",
                   arrival: Sequence[str] = ARRIVAL) -> DataFrame:
     """Rows of ``batch`` to append: first arrival per key, and only keys not in ``table``.
 
-    The table is probed with the batch's keys first (semi join, the batch being the small
-    side AQE can broadcast), so the big table is scanned for one column and never shuffled;
-    the anti join then runs between two batch-sized frames.
+    The table is probed with the batch's keys first (semi join), for one column. AQE broadcasts a
+    small batch; for a larger one the table's keys are shuffled, which ``insert_new`` with an index of
+    the stored ids avoids. The anti join then runs between two batch-sized frames.
     """
     firsts = first_arrivals(batch, key, arrival)
     known = table.select(key).join(firsts.select(key), key, "left_semi")
-    return firsts.join(known, key, "left_anti")
+    return insert_new(firsts, known, key)
+
+
+def insert_new(firsts: DataFrame, known: DataFrame, key: str = "event_id") -> DataFrame:
+    """Rows of ``firsts`` (a key once) whose key is not among the ``known`` ones."""
+    return firsts.join(known.select(key), key, "left_anti")
 
 
 def write_outcomes(batch: DataFrame, table: DataFrame, key: str = "event_id",

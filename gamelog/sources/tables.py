@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gamelog.sources import manifest
+from gamelog.sources.keyed import KeyedTable
+
 # Hash buckets of the game key, folders of the events table. Ids embed the game key, so every copy
 # of an id lands in one bucket and a dedup probe only lists and reads the buckets of the batch.
 GAME_BUCKETS = 256
@@ -76,17 +79,37 @@ def write_snapshot(df: DataFrame, path: str, version: int) -> None:
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType,
                   before: int | None = None) -> DataFrame:
-    """Newest version of a snapshot table (or the newest before ``before``); only it is read."""
+    """Newest version of a snapshot table (or the newest before ``before``); only it is read.
+
+    A keyed table (``sources.keyed``, the schema's first column being the key) is merged.
+    """
+    if manifest.versions(spark, path):
+        return KeyedTable(path, schema, schema.fieldNames()[0]).read(spark, before)
     known = [v for v in _versions(spark, path) if before is None or v < before]
     if not known:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/batch_id={known[-1]}")
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The events table with its declared schema (no inference, filters pushed to Parquet)."""
+def bucket_number(spark: SparkSession, games: list[str]) -> list[int]:
+    """The buckets of some game keys, by the expression that the writer uses."""
+    keys = F.array(*[F.lit(g) for g in games])
+    return sorted(set(spark.range(1).select(F.transform(keys, game_bucket)).first()[0])) if games else []
+
+
+def read_events(spark: SparkSession, path: str, games: str | list[str] | None = None) -> DataFrame:
+    """The events table with its declared schema (no inference, filters pushed to Parquet).
+
+    With ``games`` (a key or a list) only their folders are listed and opened, and their rows given.
+    """
     from gamelog.sources.schemas import EVENTS_TABLE
-    return spark.read.schema(EVENTS_TABLE).parquet(path)
+    if games is None:
+        return spark.read.schema(EVENTS_TABLE).parquet(path)
+    games = [games] if isinstance(games, str) else list(games)
+    schema = T.StructType([*EVENTS_TABLE, T.StructField("game_bucket", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.filter(F.col("game_bucket").isin(bucket_number(spark, games)) & F.col("game_pk").isin(games)).select(
+        EVENTS_TABLE.fieldNames())
 
 
 def read_games(spark: SparkSession, path: str) -> DataFrame:

@@ -24,6 +24,8 @@ RAW_TOPIC = "raw"
 RAW_PARTITIONS = 4
 OFFSET_BITS = 28
 FEED_CHUNK = 64
+POLL_PLAYS = 4
+POLL_NAMELESS = 7
 SCHEDULE_CHUNK = 50
 PART_STEP = 512  # part keys per chunk of an ordered scan of lineitems
 GAME_STATUS_BY_SEGMENT = {
@@ -252,20 +254,52 @@ def _play_event(li_pos: Column) -> Column:
     )
 
 
+def _order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The playEvents of each order (its lineitems in a total column order), ``FEED_CHUNK`` at a time."""
+    li = read_table(spark, sf_dir, "lineitem")
+    li = ordered_scan(li, ["l_orderkey"], LINEITEM_ORDER, chunk_of("l_partkey", PART_STEP), ordinal="li_pos")
+    li = li.withColumn("chunk", F.floor(F.col("li_pos") / FEED_CHUNK))
+    events = (li.groupBy("l_orderkey", "chunk")
+              .agg(F.collect_list(_play_event(F.col("li_pos"))).alias("evs")))
+    return events.withColumn("evs", F.transform(F.array_sort("evs"), lambda e: e.dropFields("pos")))
+
+
+def poll_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders + lineitem -> live-feed JSON text with several plays: a document for each
+    ``POLL_PLAYS`` orders of a customer (game) and chunk of their events.
+
+    A play is an order (atBatIndex = orderkey, absent for every ``POLL_NAMELESS``th key); the
+    metadata time is the newest order date.
+    """
+    od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    od = ordered_scan(od, ["o_custkey"], ["o_orderkey"], chunk_of("o_orderkey", 1 << 16), ordinal="o_pos")
+    od = od.withColumn("part", F.floor(F.col("o_pos") / POLL_PLAYS))
+    key = F.col("o_orderkey")
+    play = F.struct(
+        key.alias("order"),
+        F.struct(F.when(key % POLL_NAMELESS != 0, key.cast("int")).alias("atBatIndex"),
+                 (key % 9).cast("int").alias("inning"), F.lit("Top").alias("halfInning")).alias("about"),
+        F.struct(F.struct((F.col("o_custkey") * 10).alias("id")).alias("batter")).alias("matchup"),
+        F.col("evs").alias("playEvents"))
+    doc = (_order_events(spark, sf_dir).join(od, F.col("l_orderkey") == key).groupBy("o_custkey", "part", "chunk")
+           .agg(F.array_sort(F.collect_list(play)).alias("plays"), F.max("o_orderdate").alias("newest")))
+    feed = F.struct(
+        F.col("o_custkey").alias("gamePk"),
+        F.struct(_iso_z(F.col("newest")).alias("timeStamp")).alias("metaData"),
+        F.struct(F.struct(F.transform("plays", lambda p: p.dropFields("order")).alias("allPlays")).alias("plays"))
+        .alias("liveData"))
+    return doc.select(F.concat_ws("/", *[F.col(c).cast("string") for c in ("o_custkey", "part", "chunk")]).alias("doc_id"),
+                      F.to_json(feed).alias("value"))
+
+
 def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders + lineitem -> live-feed JSON text, one document per (order, chunk of events).
 
     gamePk = customer (absent for 5-LOW orders, so gameData.game.pk is used), one play per
     order (atBatIndex = orderkey), its lineitems are the playEvents in a total column order.
     """
-    li = read_table(spark, sf_dir, "lineitem")
     od = read_table(spark, sf_dir, "orders")
-    li = ordered_scan(li, ["l_orderkey"], LINEITEM_ORDER, chunk_of("l_partkey", PART_STEP), ordinal="li_pos")
-    li = li.withColumn("chunk", F.floor(F.col("li_pos") / FEED_CHUNK))
-    events = (li.groupBy("l_orderkey", "chunk")
-              .agg(F.collect_list(_play_event(F.col("li_pos"))).alias("evs")))
-    events = events.withColumn(
-        "evs", F.transform(F.array_sort("evs"), lambda e: e.dropFields("pos")))
+    events = _order_events(spark, sf_dir)
     doc = events.join(od, events.l_orderkey == od.o_orderkey)
     status = F.col("o_orderstatus")
     meta_ts = (F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(None).cast("string"))

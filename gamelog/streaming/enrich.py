@@ -2,8 +2,9 @@
 
 Each batch runs the batch form of the rolling context (JVM-side, a large game split into chunks
 of the log), seeded by the context table as it stood before the batch, then writes the full
-enriched records to the batch's own partition and the newest context of every game as the next
-version of the context table. A replayed batch reads the same seed and rewrites the same output.
+enriched records to the batch's own partition and, as changes of the context table, the newest
+context of the games that the table lacks or holds another context of. A replayed batch reads the
+same seed and rewrites the same output.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gamelog.operators import enrich, validate
-from gamelog.sources import logs, tables
+from gamelog.sources import logs, manifest, tables
+from gamelog.sources.keyed import KeyedTable, changed_rows
 from gamelog.sources.schemas import CONTEXT
 
 TOPIC = "enriched"
@@ -22,16 +24,23 @@ def write_enriched_batch(batch: DataFrame, batch_id: int, enriched_path: str, co
                          stored: DataFrame | None = None) -> None:
     """Enrich one batch of log records; ``stored`` seeds games the context table lacks."""
     spark = batch.sparkSession
-    seeds = tables.read_snapshot(spark, context_path, CONTEXT, before=batch_id)
-    if stored is not None:
-        more = stored.select(*CONTEXT.fieldNames())
-        seeds = seeds.unionByName(more.join(seeds.select("game_pk"), "game_pk", "left_anti"))
+    contexts = KeyedTable(context_path, CONTEXT)
     pitches = validate.validate(validate.enrichable(logs.decode_pitches(batch))).persist()
     try:
+        if manifest.newest(spark, context_path, batch_id) is None:
+            held = spark.createDataFrame([], CONTEXT)  # the first batch takes all that was stored elsewhere
+            seeds = held if stored is None else stored.select(*CONTEXT.fieldNames())
+        else:
+            games = pitches.select("game_pk").distinct()
+            seeds = held = contexts.read(spark, before=batch_id, only=games)
+            if stored is not None:
+                more = stored.select(*CONTEXT.fieldNames()).join(games, "game_pk", "left_semi")
+                seeds = held.unionByName(more.join(held.select("game_pk"), "game_pk", "left_anti"))
         rows = enrich.enriched_rows(enrich.rolling_context(pitches, seeds))
         records = enrich.enriched_log_records(rows, TOPIC, keep=enrich.ARRIVAL)
         tables.write_batch_partition(records, enriched_path, batch_id)
-        tables.write_snapshot(enrich.newest_context(pitches, seeds), context_path, batch_id)
+        newest = enrich.newest_context(pitches, seeds).select(*CONTEXT.fieldNames())
+        contexts.commit(changed_rows(newest, held), batch_id)
     finally:
         pitches.unpersist()
 

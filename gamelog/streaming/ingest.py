@@ -2,9 +2,10 @@
 
 Per micro-batch: extract pitches and game states, set rows without a game key aside, drop
 pitches at or before each game's cursor as it stood when the batch started and the repeats of
-later polls, append the rest to the log, then write the advanced cursor (log first, cursor second) and the upserted games table. A replayed batch
-reads the same "before this batch" snapshots and rewrites its own partitions, so it
-produces the same output; consumers dedupe by event id anyway.
+later polls, append the rest to the log, then write the cursors that advanced (log first, cursor
+second) and the games that the batch has seen, as changes of keyed tables. A replayed batch reads the
+tables as they were before it and rewrites what it wrote, so it produces the same output; consumers
+dedupe by event id anyway.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from gamelog.functions.scan import ordered_scan, time_chunk
 from gamelog.operators import cursor, extract, writes
 from gamelog.sources import logs, tables
+from gamelog.sources.keyed import KeyedTable
 from gamelog.sources.schemas import CURSOR, GAMES_TABLE
 
 FEED_ORDER = ("source_time", "doc_id", "play_pos", "event_pos")
@@ -77,15 +79,16 @@ def ingest_batch(docs: DataFrame, batch_id: int, log_path: str, cursor_path: str
         tables.write_batch_partition(quarantined(pitches, states, batch_id),
                                      quarantine_path or f"{log_path}_quarantine", batch_id)
         good = pitches.filter("valid")
-        cursors = tables.read_snapshot(spark, cursor_path, CURSOR, before=batch_id)
+        cursor_table, games_table = KeyedTable(cursor_path, CURSOR), KeyedTable(games_path, GAMES_TABLE)
+        cursors = cursor_table.read(spark, before=batch_id, only=good)
         kept = first_polls(cursor.cursor_filter(good, cursors))
         records = log_records(kept, batch_id, topic).persist()
         tables.write_batch_partition(records, log_path, batch_id)
         advanced = cursor.cursor_advance(kept, now, order=FEED_ORDER)
-        tables.write_snapshot(cursor.apply_cursor(cursors, advanced), cursor_path, batch_id)
-        games = tables.read_snapshot(spark, games_path, GAMES_TABLE, before=batch_id)
-        upd = writes.upsert_games(games, states.filter("valid"), now, order=("source_time", "event_id", "doc_id"))
-        tables.write_snapshot(upd, games_path, batch_id)
+        cursor_table.commit(advanced, batch_id)
+        seen = states.filter("valid")
+        games = games_table.read(spark, before=batch_id, only=seen)
+        games_table.commit(writes.upsert_games(games, seen, now, order=("source_time", "event_id", "doc_id")), batch_id)
         published = records.count()
         records.unpersist()
         return {"batch_id": batch_id, "published": published, "skipped": good.count() - published}

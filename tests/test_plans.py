@@ -67,3 +67,20 @@ def test_json_parsed_once_under_filters(spark):
     good = validate.good_records(validate.validate(logs.decode_pitches(log)))
     optimized = good._jdf.queryExecution().optimizedPlan().toString()
     assert optimized.count("from_json") == 1
+
+
+def test_a_games_folder_is_all_that_is_read(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from gamelog.sources import tables
+    path = os.path.join(scratch, "events")
+    rows = [(f"mlb:{g}:pitch:1:{i}", "pitch", "mlb", str(g), T, T, T, "{}") for g in range(40) for i in range(2)]
+    tables.write_batch_partition(spark.createDataFrame(rows, EV).withColumn("game_bucket", tables.game_bucket(F.col("game_pk"))),
+                                 path, 0, folders=("game_bucket",))
+    for out in (serve.pitches_for_game(tables.read_events(spark, path, "7"), "7"),
+                replay.ordered_history(tables.read_events(spark, path, "7"), "7", since=T)):
+        filters = _plan(out).split("PartitionFilters: [")[1].split("]")[0]
+        assert "game_bucket" in filters and out.count() == 2
+    some = tables.read_events(spark, path, ["3", "9", "none"])
+    assert sorted({r.game_pk for r in some.collect()}) == ["3", "9"] and tables.read_events(spark, path, []).count() == 0
+    assert tables.read_events(spark, path).count() == 80
