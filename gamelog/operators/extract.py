@@ -87,12 +87,66 @@ def extract_pitches(feeds: DataFrame, now, value_col: str = "value") -> DataFram
     plays = plays.filter(F.col("play.about.atBatIndex").isNotNull()).select(
         *own, "game_pk", "_meta_ts", "play_pos", F.struct("play.about", "play.matchup").alias("play"),
         F.posexplode(F.col("play.playEvents")).alias("event_pos", "raw_payload_json"))
+    return _pitch_rows(plays, own, now)
+
+
+def extract_new_pitches(feeds: DataFrame, cursors: DataFrame, now, value_col: str = "value") -> DataFrame:
+    """The pitches of ``extract_pitches`` after the cursor of their game.
+
+    Feeds are cumulative: each poll repeats the whole game. The cursor is applied to the arrays of a
+    document, before anything is made a row: plays of earlier at-bats go, the cursor's own at-bat
+    keeps the events behind it, and only those are exploded and parsed. A game without a cursor
+    keeps all. ``cursors``: game_pk, last_at_bat_index, last_pitch_number, one row per game.
+    """
+    now = as_col(now).cast("timestamp")
+    own = [c for c in feeds.columns if c != value_col]
+    p = parse_feeds(feeds, value_col)
+    meta_ts = F.coalesce(parse_upstream_time(F.col("f.metaData.timeStamp")), now)
+    docs = p.select(*own, _game_pk().alias("game_pk"), meta_ts.alias("_meta_ts"),
+                    F.col("f.liveData.plays.allPlays").alias("_plays"))
+    docs = docs.join(cursors.select("game_pk", F.col("last_at_bat_index").alias("_ab"),
+                                    F.col("last_pitch_number").alias("_n")), "game_pk", "left")
+
+    def number(e: Column) -> Column:
+        text = e["raw_payload_json"]
+        return F.coalesce(F.get_json_object(text, "$.pitchNumber"), F.get_json_object(text, "$.index")).cast("int")
+
+    def new_events(play: Column) -> Column:
+        at = play["about"]["atBatIndex"]
+        placed = F.transform(play["playEvents"], lambda e, i: F.struct(i.alias("event_pos"), e.alias("raw_payload_json")))
+        return (F.when(F.col("_ab").isNull() | (at > F.col("_ab")), placed)
+                .when(at == F.col("_ab"), F.filter(placed, lambda e: number(e) > F.col("_n"))))
+
+    tail = F.filter(F.transform("_plays", lambda play, i: F.struct(
+        i.alias("play_pos"), F.struct(play["about"].alias("about"), play["matchup"].alias("matchup")).alias("play"),
+        F.when(play["about"]["atBatIndex"].isNotNull(), new_events(play)).alias("events"))),
+        lambda x: F.coalesce(F.size(x["events"]), F.lit(0)) > 0)
+    plays = docs.select(*own, "game_pk", "_meta_ts", F.explode(tail).alias("t")).select(
+        *own, "game_pk", "_meta_ts", "t.play_pos", "t.play", F.explode("t.events").alias("e")).select(
+        *own, "game_pk", "_meta_ts", "play_pos", "play", "e.event_pos", "e.raw_payload_json")
+    return _pitch_rows(plays, own, now)
+
+
+def pitch_count(feeds: DataFrame, value_col: str = "value") -> DataFrame:
+    """``pitches``: how many pitches with a game key the documents hold, counted inside the arrays."""
+    def is_pitch(e: Column) -> Column:
+        return (F.coalesce(F.get_json_object(e, "$.isPitch") == "true", F.lit(False))
+                & F.coalesce(F.get_json_object(e, "$.pitchNumber"), F.get_json_object(e, "$.index")).isNotNull())
+
+    named = F.filter("f.liveData.plays.allPlays", lambda p: p["about"]["atBatIndex"].isNotNull())
+    sizes = F.transform(named, lambda p: F.coalesce(F.size(F.filter(p["playEvents"], is_pitch)), F.lit(0)))
+    total = F.aggregate(F.coalesce(sizes, F.array().cast("array<int>")), F.lit(0).cast("long"), lambda a, n: a + n)
+    return parse_feeds(feeds, value_col).filter(_game_pk() != "").agg(F.coalesce(F.sum(total), F.lit(0)).alias("pitches"))
+
+
+def _pitch_rows(plays: DataFrame, own: list[str], now: Column) -> DataFrame:
+    """Pitch rows of play events (own, game_pk, _meta_ts, play_pos, play, event_pos, raw_payload_json)."""
     ev = evaluate_once(plays, F.from_json("raw_payload_json", PLAY_EVENT), "ev")
     pitch_number = F.coalesce(F.col("ev.pitchNumber"), F.col("ev.index"))
     ev = ev.filter(F.coalesce(F.col("ev.isPitch"), F.lit(False)) & pitch_number.isNotNull())
     ab, n = F.col("play.about.atBatIndex"), pitch_number
     out = ev.select(
-        *[c for c in feeds.columns if c != value_col],
+        *own,
         event_id("pitch", F.col("game_pk"), ab, n).alias("event_id"),
         F.lit("pitch").alias("event_type"),
         F.lit("mlb").alias("sport"),

@@ -121,4 +121,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The remaining query families register themselves on import.
-from gamelog.plans import ids_queries, ingest_queries, log_queries, metric_queries  # noqa: E402,F401
+from gamelog.plans import ids_queries, ingest_queries, log_queries, metric_queries, table_queries  # noqa: E402,F401

@@ -208,6 +208,40 @@ def q_cursor_counts(spark, sf):
     return cursor.cursor_counts(_marked(spark, sf))
 
 
+# Documents with several plays (mirrors testdata.poll_documents).
+POLL_CTE = f"""li AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey,
+      l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+      l_shipdate) - 1 AS li_pos
+  FROM lineitem),
+od AS (SELECT o_orderkey, o_custkey, o_orderdate,
+         (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // {td.POLL_PLAYS} AS part FROM orders),
+pl AS (
+  SELECT *, li_pos // 64 AS chunk, CAST(li_pos % 64 AS INTEGER) AS event_pos,
+         CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F'
+              THEN CASE WHEN l_quantity > 45 THEN NULL ELSE l_linenumber - 1 END ELSE l_linenumber END AS pn
+  FROM li JOIN od ON l_orderkey = o_orderkey),
+px AS (
+  SELECT CASE WHEN o_custkey <> 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS game_pk,
+         CAST(o_orderkey AS INTEGER) AS at_bat_index, CAST(pn AS INTEGER) AS pitch_number, event_pos, l_returnflag, l_linestatus, l_shipdate,
+         o_custkey || '/' || part || '/' || chunk AS doc_id,
+         CAST(dense_rank() OVER (PARTITION BY o_custkey, part, chunk ORDER BY o_orderkey) - 1 AS INTEGER) AS play_pos,
+         max(o_orderdate) OVER (PARTITION BY o_custkey, part, chunk) AS source_time
+  FROM pl)"""
+
+
+@register("extract_new_pitches", f"""
+WITH {POLL_CTE}, {CURSOR_CTE}
+SELECT 'mlb:' || game_pk || ':pitch:' || at_bat_index || ':' || pitch_number AS event_id, game_pk, doc_id,
+       play_pos, event_pos, at_bat_index, pitch_number, source_time,
+       CASE WHEN l_linestatus <> 'O' THEN l_shipdate ELSE source_time END AS event_time
+FROM mk WHERE NOT skip AND l_returnflag <> 'N' AND pitch_number IS NOT NULL AND at_bat_index % {td.POLL_NAMELESS} <> 0""")
+def q_extract_new_pitches(spark, sf):
+    new = extract.extract_new_pitches(td.poll_documents(spark, sf), td.cursor_table(spark, sf), _now())
+    return _ntz(new.select("event_id", "game_pk", "doc_id", "play_pos", "event_pos", "at_bat_index", "pitch_number",
+                           "source_time", "event_time"))
+
+
 ADVANCE_CTE = f"""adv AS (
   SELECT game_pk,
          arg_max(at_bat_index, (source_time, doc_id, 0, event_pos)) AS last_at_bat_index,

@@ -73,25 +73,25 @@ def ingest_batch(docs: DataFrame, batch_id: int, log_path: str, cursor_path: str
     """
     spark = docs.sparkSession
     now = F.current_timestamp()
-    pitches = extract.extract_pitches(docs, now).persist()
     states = extract.extract_game_state(docs, now).persist()
+    cursor_table, games_table = KeyedTable(cursor_path, CURSOR), KeyedTable(games_path, GAMES_TABLE)
+    seen = states.filter("valid")
+    # only what is behind the cursors becomes rows
+    cursors = cursor_table.read(spark, before=batch_id, only=seen)
+    pitches = extract.extract_new_pitches(docs, cursors, now).persist()
     try:
         tables.write_batch_partition(quarantined(pitches, states, batch_id),
                                      quarantine_path or f"{log_path}_quarantine", batch_id)
-        good = pitches.filter("valid")
-        cursor_table, games_table = KeyedTable(cursor_path, CURSOR), KeyedTable(games_path, GAMES_TABLE)
-        cursors = cursor_table.read(spark, before=batch_id, only=good)
-        kept = first_polls(cursor.cursor_filter(good, cursors))
+        kept = first_polls(pitches.filter("valid"))
         records = log_records(kept, batch_id, topic).persist()
         tables.write_batch_partition(records, log_path, batch_id)
         advanced = cursor.cursor_advance(kept, now, order=FEED_ORDER)
         cursor_table.commit(advanced, batch_id)
-        seen = states.filter("valid")
         games = games_table.read(spark, before=batch_id, only=seen)
         games_table.commit(writes.upsert_games(games, seen, now, order=("source_time", "event_id", "doc_id")), batch_id)
         published = records.count()
         records.unpersist()
-        return {"batch_id": batch_id, "published": published, "skipped": good.count() - published}
+        return {"batch_id": batch_id, "published": published, "skipped": extract.pitch_count(docs).first()[0] - published}
     finally:
         pitches.unpersist()
         states.unpersist()

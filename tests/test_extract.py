@@ -147,3 +147,44 @@ def test_live_keys_counts_and_newly_live(spark):
 def test_schedule_without_dates(spark):
     g = extract.schedule_games(spark.createDataFrame([("{}",)], "value string"))
     assert g.count() == 0
+
+
+def test_new_pitches_are_those_after_the_cursor(spark):
+    """Whatever the cursor, the same rows as filtering all pitches, from the new tail only."""
+    from gamelog.operators import cursor
+    docs = docs_frame(spark, feed(), variant(gamePk=7, gameData__game__pk=7), variant(gamePk=0, gameData__game__pk=0),
+                      variant(gamePk=9, liveData__plays__allPlays=None))
+    whole = extract.extract_pitches(docs, NOW).cache()
+    for at, n in ((10, 9), (11, 3), (11, 4), (11, 5), (11, 6), (12, 0), (13, 1), (13, 2), (99, 0)):
+        cursors = spark.createDataFrame([(str(GAME), at, n), ("77", 1, 1)],
+                                        "game_pk string, last_at_bat_index int, last_pitch_number int")
+        new = extract.extract_new_pitches(docs, cursors, NOW)
+        want = cursor.cursor_filter(whole, cursors)
+        assert new.columns == whole.columns
+        assert sorted(map(str, new.select(*whole.columns).collect())) == sorted(map(str, want.select(*whole.columns).collect()))
+
+
+def test_a_cumulative_feed_costs_its_new_tail(spark):
+    """Rows that come out of the explode nodes: those behind the cursor, not the whole game."""
+    play = lambda i: {"about": {"atBatIndex": i, "inning": 1, "halfInning": "top"}, "matchup": {},
+                      "playEvents": [{"isPitch": True, "pitchNumber": k, "index": k} for k in range(1, 6)]}
+    docs = docs_frame(spark, variant(liveData__plays__allPlays=[play(i) for i in range(400)]))
+    cursors = spark.createDataFrame([(str(GAME), 398, 3)], "game_pk string, last_at_bat_index int, last_pitch_number int")
+    new = extract.extract_new_pitches(docs, cursors, NOW)
+    assert sorted((r.at_bat_index, r.pitch_number) for r in new.collect()) == [(398, 4), (398, 5)] + [(399, k) for k in range(1, 6)]
+    plan, rows = new._jdf.queryExecution().executedPlan(), []
+
+    def visit(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return visit(node.executedPlan())
+        if node.nodeName() == "Generate":
+            rows.append(node.metrics().apply("numOutputRows").value())
+        inner = node.children()
+        for i in range(inner.size()):
+            visit(inner.apply(i))
+        if node.nodeName().endswith("QueryStage"):
+            visit(node.plan())
+
+    visit(plan)
+    # the document, its two plays left, their seven events (once as text, once parsed)
+    assert rows and max(rows) == 7 and sum(rows) <= 1 + 2 + 7 + 7
