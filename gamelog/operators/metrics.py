@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gamelog.functions.cols import as_col, seconds_between
@@ -131,3 +132,98 @@ def gap_audit(pitches: DataFrame) -> DataFrame:
                     F.col("pitch_number").alias("before"),
                     (F.col("pitch_number") - F.col("prev_pitch_number") - 1).cast("long")
                     .alias("missing")))
+
+
+# ---------------------------------------------------------------- mergeable quantile sketch
+
+ACCURACY = 0.01
+
+
+def quantile_sketch(df: DataFrame, group: Sequence[str], value: str, accuracy: float = ACCURACY) -> DataFrame:
+    """How many values of each group fall into each bin: group columns, bin, n.
+
+    Bins grow by a factor of (1 + accuracy) / (1 - accuracy), so that any value is within
+    ``accuracy`` (as a share of it) of its bin's middle; 0 has a bin of its own, below the positive
+    ones and above the negative ones. Nulls and non-finite values are left out. A sketch has a few
+    thousand bins a group at most, whatever the number of values.
+    """
+    v = F.col(value).cast("double")
+    step = F.ceil(F.log(F.abs(v)) / F.lit(_log_growth(accuracy))).cast("int") + _ZERO
+    number = F.when(v == 0, F.lit(0)).when(v > 0, step).otherwise(-step)
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return df.filter(finite).groupBy(*group, number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_sketches(sketches: Sequence[DataFrame], group: Sequence[str]) -> DataFrame:
+    """The sketch of all values together, from sketches of parts of them (of one accuracy)."""
+    out = sketches[0]
+    for more in sketches[1:]:
+        out = out.unionByName(more)
+    return out.groupBy(*group, "bin").agg(F.sum("n").alias("n"))
+
+
+def sketch_quantiles(sketch: DataFrame, group: Sequence[str], probs: Sequence[float] = (0.5, 0.95, 0.99),
+                     accuracy: float = ACCURACY) -> DataFrame:
+    """Quantiles of each group from its sketch: group columns, n, p50, p95, p99 (by ``probs``).
+
+    Each is within ``accuracy`` of the exact value at place floor(p * (n - 1)) of the sorted values.
+    """
+    w = Window.partitionBy(*group)
+    upto = F.sum("n").over(w.orderBy("bin"))
+    growth = 2 / (1 + (1 + accuracy) / (1 - accuracy))
+    size = F.exp((F.abs("bin") - _ZERO) * F.lit(_log_growth(accuracy))) * F.lit(growth)
+    middle = F.when(F.col("bin") == 0, F.lit(0.0)).when(F.col("bin") > 0, size).otherwise(-size)
+    rows = sketch.select(*group, "bin", upto.alias("_upto"), F.sum("n").over(w).alias("_all"), middle.alias("_v"))
+    picks = [F.min_by("_v", F.when(F.col("_upto") > F.floor((F.col("_all") - 1) * F.lit(float(p))), F.col("bin")))
+             .alias(f"p{round(p * 100):02d}") for p in probs]
+    return rows.groupBy(*group).agg(F.max("_all").alias("n"), *picks)
+
+
+_ZERO = 1 << 20  # bins of numbers far below 1 stay positive
+
+
+def _log_growth(accuracy: float) -> float:
+    return math.log((1 + accuracy) / (1 - accuracy))
+
+
+# ---------------------------------------------------------------- seen intervals (gap audit over batches)
+
+
+def number_intervals(pitches: DataFrame) -> DataFrame:
+    """The pitch numbers of each at-bat as intervals: game_pk, at_bat_index, seen (array of low, high)."""
+    d = pitches.select("game_pk", "at_bat_index", "pitch_number").distinct().filter("pitch_number IS NOT NULL")
+    s = ordered_scan(d, ["game_pk", "at_bat_index"], ["pitch_number"], chunk_of("pitch_number", 64), ordinal="_at")
+    runs = s.groupBy("game_pk", "at_bat_index", (F.col("pitch_number") - F.col("_at")).alias("_run")).agg(
+        F.min("pitch_number").alias("low"), F.max("pitch_number").alias("high"))
+    return runs.groupBy("game_pk", "at_bat_index").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("seen"))
+
+
+def merge_intervals(*seen: Column) -> Column:
+    """Intervals of several arrays as one: sorted, those that overlap or touch joined; null is none."""
+    kind = "array<struct<low:int,high:int>>"
+    every = F.array_sort(F.concat(*[F.coalesce(s, F.array().cast(kind)) for s in seen]))
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
+            last["low"].alias("low"), F.greatest(last["high"], x["high"]).alias("high"))))
+        return F.when((F.size(done) > 0) & (x["low"] <= F.try_element_at(done, F.lit(-1))["high"] + 1), joined).otherwise(
+            F.concat(done, F.array(x)))
+
+    return F.aggregate(every, F.array().cast(kind), add)
+
+
+def gaps_of_intervals(rows: DataFrame) -> DataFrame:
+    """The missing numbers between the intervals ``seen`` of each at-bat, as ``gap_audit`` gives them."""
+    between = F.zip_with(F.slice("seen", 1, F.size("seen") - 1), F.slice("seen", 2, F.size("seen")),
+                         lambda a, b: F.struct(a["high"].alias("after"), b["low"].alias("before")))
+    return rows.filter(F.size("seen") > 1).select("game_pk", "at_bat_index", F.explode(between).alias("g")).select(
+        "game_pk", "at_bat_index", "g.after", "g.before",
+        (F.col("g.before") - F.col("g.after") - 1).cast("long").alias("missing"))
+
+
+def publish_results(validated: DataFrame) -> DataFrame:
+    """Published and failed records by event type; a type without a name is ``unknown``."""
+    good = F.col("error_kind").isNull()
+    return validated.groupBy(F.coalesce("event_type", F.lit("unknown")).alias("event_type")).agg(
+        F.count_if(good).alias("published"), F.count_if(~good).alias("failed"))

@@ -9,6 +9,7 @@ from gamelog.functions.cols import seconds_between
 from gamelog.functions.scan import ordered_scan, time_chunk
 from gamelog.operators.payload import payload_to_pitch
 from gamelog.sources.logs import LOG_PARTITIONS, encode_pitches
+from gamelog.sources.schemas import REPLAYED
 
 REPLAY_ORDER = ["event_time", "event_id"]
 CHUNK_SECONDS = 3600  # a game's events of an hour are scanned together
@@ -72,11 +73,12 @@ def republish(events: DataFrame, topic: str, game_pk: str | None = None, since=N
     """Rebuild each pitch from its stored payload (original ids and times kept) and encode
     it as a log record keyed by game. The log partition follows from the key and the offset is the
     replay position, so that the written log keeps each game's order; ``count()`` of the result is
-    the number republished. Repeats are absorbed downstream by insert-if-new."""
+    the number republished. Repeats are absorbed downstream by insert-if-new; the records are labelled as
+    a replay, so that the enricher and the latencies can leave them out (``validate.live_records``)."""
     rows = replay_sequence(events, game_pk, since, until)
     pitches = payload_to_pitch(rows.select("game_pk", "seq", "payload").withColumnRenamed(
         "game_pk", "_game"))
     pitches = pitches.withColumn("game_pk", F.coalesce(F.col("game_pk"), F.col("_game")))
-    return (encode_pitches(pitches, topic, keep=("seq",))
+    return (encode_pitches(pitches, topic, keep=("seq",), source=REPLAYED)
             .withColumn("partition", F.pmod(F.xxhash64("key"), F.lit(LOG_PARTITIONS)).cast("int"))
             .withColumnRenamed("seq", "offset"))

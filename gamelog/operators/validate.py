@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gamelog.functions.enums import event_type_name, sport_name
-from gamelog.sources.schemas import POISON, TRANSIENT
+from gamelog.functions.enums import event_type_name, event_type_number, sport_name, sport_number
+from gamelog.sources.schemas import POISON, REPLAYED, TRANSIENT
 
 # ---- fixed values: messages ----
 DECODE_PREFIX = "decode failed: "
@@ -26,6 +26,8 @@ SPINE_RULES = (
 )
 # error kinds that can never succeed on retry
 POISON_KINDS = ("decode", "value")
+# an enum number this version does not know, which a newer one may
+LOOKUP_KIND = "lookup"
 # ---- end of fixed values ----
 
 
@@ -52,9 +54,13 @@ def classify_kind(kind: Column) -> Column:
         .otherwise(F.lit(TRANSIENT))
 
 
-def validate(decoded: DataFrame) -> DataFrame:
+def validate(decoded: DataFrame, unknown_enum: str = "value") -> DataFrame:
     """Add ``event_type`` / ``sport`` names, ``error_kind``, ``error_class`` and
-    ``error_message`` (all NULL for a valid record). One pass, no shuffle."""
+    ``error_message`` (all NULL for a valid record). One pass, no shuffle.
+
+    ``unknown_enum`` is the kind of an enum number without a name: ``value`` makes it poison, a
+    dead letter; ``lookup`` makes it transient, to be tried again after an upgrade (``retryable``).
+    """
     reason = spine_reason(decoded)
     et_name, sp_name = event_type_name(F.col("event_type_number")), sport_name(F.col("sport_number"))
     enum_bad = et_name.isNull() | sp_name.isNull()
@@ -66,7 +72,7 @@ def validate(decoded: DataFrame) -> DataFrame:
         raw = F.col("raw_payload_json")
         raw_bad = F.coalesce(raw != "", F.lit(False)) & F.try_parse_json(raw).isNull()
     kind = (F.when(~F.col("decoded"), F.lit("decode"))
-            .when(reason.isNotNull() | enum_bad | raw_bad, F.lit("value")))
+            .when(reason.isNotNull(), F.lit("value")).when(enum_bad, F.lit(unknown_enum)).when(raw_bad, F.lit("value")))
     message = (F.when(~F.col("decoded"), F.concat(F.lit(DECODE_PREFIX), F.lit(DECODE_DETAIL)))
                .when(reason.isNotNull(), F.concat(F.lit(SPINE_PREFIX), reason))
                .when(enum_bad, F.concat(F.lit(WRITE_PREFIX), enum_detail))
@@ -85,6 +91,29 @@ def bad_records(validated: DataFrame) -> DataFrame:
     return validated.filter(F.col("error_kind").isNotNull())
 
 
+def retryable(validated: DataFrame) -> DataFrame:
+    """Bad records that a later try may accept: those of a transient class."""
+    return validated.filter(F.col("error_class") == TRANSIENT)
+
+
+def poison(validated: DataFrame) -> DataFrame:
+    """Bad records that no try can accept: the dead letters."""
+    return validated.filter(F.col("error_class") == POISON)
+
+
+def name_reason(df: DataFrame) -> Column:
+    """Why a row cannot be encoded: an event type or sport name that has no number; else NULL."""
+    return (F.when(event_type_number(F.col("event_type")).isNull(), F.concat(
+        F.lit("unknown event_type "), F.coalesce("event_type", F.lit("null"))))
+            .when(sport_number(F.col("sport")).isNull(), F.concat(
+                F.lit("unknown sport "), F.coalesce("sport", F.lit("null")))))
+
+
+def live_records(decoded: DataFrame) -> DataFrame:
+    """Records that come from the game itself, and not from a replay of stored events."""
+    return decoded.filter(F.col("source") != F.lit(REPLAYED))
+
+
 def dead_letters(bad: DataFrame, first_seen_ts: Column, attempts: int = 1) -> DataFrame:
     """Dead-letter envelopes; the source key is kept so a letter stays with its game."""
     return bad.select(

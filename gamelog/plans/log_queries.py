@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from gamelog.functions.cols import evaluate_once
 from gamelog.functions.times import to_ntz
 from gamelog.operators import enrich, metrics, payload, replay, validate, writes
-from gamelog.plans.oracle import EVENT_TYPE_NUMBER_SQL, LOG_CTES
+from gamelog.plans.oracle import EV_CTE, EVENT_TYPE_NUMBER_SQL, LOG_CTES
 from gamelog.plans.registry import FIXED_NOW_ISO, register
 from gamelog.sources import logs
 from gamelog.sources import testdata as td
-from gamelog.sources.schemas import PITCH_FIELDS
+from gamelog.sources.schemas import PITCH_FIELDS, REPLAYED
 
 
 def validated(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,3 +331,61 @@ FROM p WHERE prev IS NOT NULL AND pitch_number - prev > 1""")
 def q_gap_audit(spark, sf):
     return metrics.gap_audit(good(spark, sf))
 
+
+
+# ------------------------------------------------------------ publish results, transient errors, names, replays
+
+
+@register("publish_results", f"""
+WITH {LOG_CTES}
+SELECT coalesce(event_type, 'unknown') AS event_type, count(*) FILTER (WHERE error_kind IS NULL) AS published,
+       count(*) FILTER (WHERE error_kind IS NOT NULL) AS failed
+FROM cl GROUP BY ALL""")
+def q_publish_results(spark, sf):
+    return metrics.publish_results(validated(spark, sf))
+
+
+@register("retry_counts", f"""
+WITH {LOG_CTES},
+k AS (SELECT CASE WHEN error_message LIKE '%unknown_enum%' THEN 'lookup' ELSE error_kind END AS kind,
+             coalesce(topic, '') AS topic FROM cl WHERE error_kind IS NOT NULL)
+SELECT CASE WHEN kind = 'lookup' THEN 'TransientError' ELSE 'PoisonPillError' END AS error_class, kind AS error_kind,
+       count(*) FILTER (WHERE kind <> 'lookup') AS dead_letters, count(*) FILTER (WHERE kind = 'lookup') AS retries
+FROM k GROUP BY kind""")
+def q_retry_counts(spark, sf):
+    v = validate.validate(logs.decode_pitches(td.raw_log(spark, sf)), unknown_enum=validate.LOOKUP_KIND)
+    parts = [part(v).select("error_class", "error_kind", F.lit(d).alias("d"), F.lit(1 - d).alias("r"))
+             for part, d in ((validate.poison, 1), (validate.retryable, 0))]
+    return parts[0].unionByName(parts[1]).groupBy("error_class", "error_kind").agg(
+        F.sum("d").alias("dead_letters"), F.sum("r").alias("retries"))
+
+
+@register("enum_name_errors", f"""
+WITH {EV_CTE}
+SELECT event_id, event_type, {EVENT_TYPE_NUMBER_SQL} AS event_type_number,
+       CASE WHEN ({EVENT_TYPE_NUMBER_SQL}) IS NULL THEN 'unknown event_type ' || event_type END AS reason
+FROM ev""")
+def q_enum_name_errors(spark, sf):
+    from gamelog.functions.enums import event_type_number
+    ev = td.events_table(spark, sf)
+    return ev.select("event_id", "event_type", event_type_number(F.col("event_type")).alias("event_type_number"),
+                     validate.name_reason(ev).alias("reason"))
+
+
+@register("live_context", f"""
+WITH {LOG_CTES}, {ROLLING_CTE},
+last AS (SELECT DISTINCT ON (game_pk) game_pk, home_score, away_score, runner_on_first,
+                runner_on_second, runner_on_third, ctx_inning AS inning, ctx_outs AS outs
+         FROM ctx ORDER BY game_pk, partition DESC, "offset" DESC)
+SELECT * FROM last
+UNION ALL
+SELECT * FROM stored WHERE game_pk NOT IN (SELECT game_pk FROM last)""")
+def q_live_context(spark, sf):
+    raw = td.raw_log(spark, sf)
+    # every event again, later in the log and with other values, as a replay
+    again = good(spark, sf).withColumn("inning", F.lit(99)).withColumn("outs", F.lit(9)).withColumn(
+        "offset", F.col("offset") + F.lit(1 << 60))
+    replayed = logs.encode_pitches(again, "raw", keep=("partition", "offset", "timestamp"), source=REPLAYED)
+    both = raw.unionByName(replayed.select(*raw.columns))
+    acc = validate.enrichable(validate.live_records(logs.decode_pitches(both)))
+    return enrich.newest_context(acc, td.stored_context(spark, sf))

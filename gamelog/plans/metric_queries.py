@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gamelog.functions.cols import seconds_between
+from gamelog.functions.times import to_ntz
 from gamelog.operators import metrics
 from gamelog.plans.oracle import EV_CTE
 from gamelog.plans.registry import register
@@ -78,3 +79,30 @@ SELECT window_start, event_type, events,
 FROM per""")
 def q_throughput_mix(spark, sf):
     return metrics.throughput_mix(td.events_table(spark, sf), "1 hour")
+
+
+_GROWTH = metrics._log_growth(metrics.ACCURACY)
+_PICK = ", ".join(f"min(bin) FILTER (WHERE upto > floor((n - 1) * {p})) AS b{round(p * 100)}" for p in (0.5, 0.95, 0.99))
+_MIDDLE = ", ".join(
+    f"round(CASE WHEN b{b} = 0 THEN 0 ELSE sign(b{b}) * exp((abs(b{b}) - 1048576) * {_GROWTH!r}) * 2 "
+    f"/ (1 + {(1 + metrics.ACCURACY) / (1 - metrics.ACCURACY)!r}) END, 6) AS p{b}" for b in (50, 95, 99))
+
+
+@register("latency_sketch", f"""
+WITH {EV_CTE},
+l AS (SELECT time_bucket(INTERVAL 1 DAY, event_time) AS day, event_type, {_secs('ingest_time', 'event_time')} AS v FROM ev),
+s AS (SELECT day, event_type, CASE WHEN v = 0 THEN 0 ELSE sign(v) * (ceil(ln(abs(v)) / {_GROWTH!r}) + 1048576) END AS bin,
+             count(*) AS c FROM l GROUP BY ALL),
+r AS (SELECT *, sum(c) OVER (PARTITION BY day, event_type ORDER BY bin) AS upto,
+             sum(c) OVER (PARTITION BY day, event_type) AS n FROM s),
+q AS (SELECT day, event_type, CAST(any_value(n) AS BIGINT) AS n, {_PICK} FROM r GROUP BY day, event_type)
+SELECT day, event_type, n, {_MIDDLE} FROM q""")
+def q_latency_sketch(spark, sf):
+    ev = td.events_table(spark, sf)
+    rows = ev.select(F.date_trunc("DAY", "event_time").alias("day"), "event_type", "event_id",
+                     seconds_between(F.col("ingest_time"), F.col("event_time")).alias("v"))
+    group = ["day", "event_type"]
+    # as three batches would leave them
+    parts = [metrics.quantile_sketch(rows.filter(F.col("event_id").cast("long") % 3 == b), group, "v") for b in range(3)]
+    out = metrics.sketch_quantiles(metrics.merge_sketches(parts, group), group)
+    return out.select(to_ntz(F.col("day")).alias("day"), "event_type", "n", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])

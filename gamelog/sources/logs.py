@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from gamelog.functions.cols import evaluate_once
 from gamelog.functions.enums import event_type_number, sport_number
 from gamelog.functions.times import parse_upstream_time
-from gamelog.sources.schemas import LOG_RECORD, PITCH_FIELDS
+from gamelog.sources.schemas import LIVE, LOG_RECORD, PITCH_FIELDS
 
 CORRUPT = "_corrupt_record"
 LOG_PARTITIONS = 16
@@ -28,6 +28,7 @@ WIRE_SPINE = T.StructType([
 WIRE_PITCH = T.StructType(
     [T.StructField("spine", WIRE_SPINE)]
     + [T.StructField(n, t) for n, t in PITCH_FIELDS]
+    + [T.StructField("source", T.StringType())]
     + [T.StructField(CORRUPT, T.StringType())])
 
 
@@ -36,7 +37,8 @@ def decode_pitches(log: DataFrame) -> DataFrame:
 
     Adds ``decoded`` (False when the bytes are not a pitch record), the spine with enum
     numbers ``event_type_number`` / ``sport_number`` and timestamps, and the pitch fields.
-    A NULL or empty value decodes to an empty record, as an empty message would.
+    A NULL or empty value decodes to an empty record, as an empty message would. ``source`` says where
+    the record comes from: ``live``, or what its writer has put there (``replay``).
     """
     parsed = F.from_json(F.col("value").cast("string"), WIRE_PITCH,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
@@ -54,14 +56,16 @@ def decode_pitches(log: DataFrame) -> DataFrame:
         F.col(f"{sp}.game_pk").alias("game_pk"),
         *[F.col(f"_t.{c}").alias(c) for c in ("event_time", "source_time", "ingest_time")],
         *[F.col(f"_m.{n}").alias(n) for n, _ in PITCH_FIELDS],
+        F.coalesce("_m.source", F.lit(LIVE)).alias("source"),
     )
 
 
-def encode_pitches(pitches: DataFrame, topic: str, keep: tuple = ()) -> DataFrame:
+def encode_pitches(pitches: DataFrame, topic: str, keep: tuple = (), source: str | None = None) -> DataFrame:
     """Flat pitch rows -> log records keyed by game (the per-game order key).
 
     ``event_type`` / ``sport`` short names become enum numbers at the wire; ``keep`` names
-    extra columns to carry along (for example the feed order).
+    extra columns to carry along (for example the feed order). ``source`` labels the records. Names that
+    have no number (``validate.name_reason``) are the caller's to set aside.
     """
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
     spine = F.struct(
@@ -69,7 +73,8 @@ def encode_pitches(pitches: DataFrame, topic: str, keep: tuple = ()) -> DataFram
         sport_number(F.col("sport")).alias("sport"), F.col("game_pk"),
         *[F.date_format(F.col(c), iso).alias(c) for c in ("event_time", "source_time",
                                                             "ingest_time")])
-    body = F.struct(spine.alias("spine"), *[F.col(n) for n, _ in PITCH_FIELDS if n in pitches.columns])
+    label = [] if source is None else [F.lit(source).alias("source")]
+    body = F.struct(spine.alias("spine"), *[F.col(n) for n, _ in PITCH_FIELDS if n in pitches.columns], *label)
     return pitches.select(
         F.col("game_pk").cast("binary").alias("key"),
         F.to_json(body).cast("binary").alias("value"),

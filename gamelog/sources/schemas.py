@@ -43,6 +43,8 @@ RECENT_MAX_LIMIT = 500
 # Terminal outcome labels.
 OUTCOME_WRITTEN, OUTCOME_DUPLICATE, OUTCOME_DLQ = "written", "duplicate", "dlq"
 POISON, TRANSIENT = "PoisonPillError", "TransientError"
+# Where a log record comes from.
+LIVE, REPLAYED = "live", "replay"
 # ---- end of fixed values ----
 
 SPINE_FIELDS = ["event_id", "event_type", "sport", "game_pk", "event_time", "source_time",

@@ -25,7 +25,9 @@ def write_enriched_batch(batch: DataFrame, batch_id: int, enriched_path: str, co
     """Enrich one batch of log records; ``stored`` seeds games the context table lacks."""
     spark = batch.sparkSession
     contexts = KeyedTable(context_path, CONTEXT)
-    pitches = validate.validate(validate.enrichable(logs.decode_pitches(batch))).persist()
+    # a replay of stored events must not move a game's context back
+    live = validate.live_records(logs.decode_pitches(batch))
+    pitches = validate.validate(validate.enrichable(live)).persist()
     try:
         if manifest.newest(spark, context_path, batch_id) is None:
             held = spark.createDataFrame([], CONTEXT)  # the first batch takes all that was stored elsewhere
