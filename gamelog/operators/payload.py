@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gamelog.functions.cols import evaluate_once
 from gamelog.functions.times import iso_utc, parse_upstream_time
@@ -60,21 +61,21 @@ def enriched_payload(enriched: DataFrame) -> Column:
                               *[F.col(c) for c in CONTEXT_FIELDS if c in enriched.columns]))
 
 
+# A stored payload as it is read: every field at its type, times as text, raw JSON as it is.
+_PAYLOAD = T.StructType([T.StructField(c, T.StringType()) for c in SPINE_FIELDS]
+                        + [T.StructField(n, t) for n, t in PITCH_FIELDS if n != "raw_payload_json"]
+                        + [T.StructField("raw_payload", T.VariantType())])
+
+
 def payload_to_pitch(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Inverse of ``pitch_payload``: NULLs and unknown keys skipped, times parsed,
-    ``raw_payload`` re-serialized into ``raw_payload_json``."""
-    payloads = evaluate_once(payloads, F.try_parse_json(F.col(payload_col)), "_pv")
-    v = F.col("_pv")
-    cols = []
-    for c in SPINE_FIELDS:
-        got = F.try_variant_get(v, f"$.{c}", "string")
-        cols.append((parse_upstream_time(got) if c in _TIMES else got).alias(c))
-    for name, dtype in PITCH_FIELDS:
-        if name == "raw_payload_json":
-            raw = F.try_variant_get(v, "$.raw_payload", "variant")
-            cols.append(F.when(~F.is_variant_null(raw), F.to_json(raw)).alias(name))
-        else:
-            cols.append(F.try_variant_get(v, f"$.{name}", dtype.simpleString()).alias(name))
+    ``raw_payload`` re-serialized into ``raw_payload_json``. One parse, by schema."""
+    payloads = evaluate_once(payloads, F.from_json(F.col(payload_col), _PAYLOAD), "_pv")
+    cols = [(parse_upstream_time(F.col(f"_pv.{c}")) if c in _TIMES else F.col(f"_pv.{c}")).alias(c) for c in SPINE_FIELDS]
+    raw = F.col("_pv.raw_payload")
+    for name, _ in PITCH_FIELDS:
+        cols.append((F.when(~F.is_variant_null(raw), F.to_json(raw)) if name == "raw_payload_json"
+                     else F.col(f"_pv.{name}")).alias(name))
     return payloads.select(*[c for c in payloads.columns if c not in SPINE_FIELDS
                              and c not in [n for n, _ in PITCH_FIELDS]
                              and c not in (payload_col, "_pv")], *cols)

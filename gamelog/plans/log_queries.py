@@ -11,6 +11,7 @@ from gamelog.functions.times import to_ntz
 from gamelog.operators import enrich, metrics, payload, replay, validate, writes
 from gamelog.plans.oracle import EV_CTE, EVENT_TYPE_NUMBER_SQL, LOG_CTES
 from gamelog.plans.registry import FIXED_NOW_ISO, register
+from gamelog.session import scratch_table
 from gamelog.sources import logs
 from gamelog.sources import testdata as td
 from gamelog.sources.schemas import PITCH_FIELDS, REPLAYED
@@ -24,6 +25,13 @@ def good(spark: SparkSession, sf: str) -> DataFrame:
     return validate.good_records(validated(spark, sf))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: decoded once, however often it is used."""
+    path = scratch_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _times_ntz(df: DataFrame, cols=("event_time", "source_time", "ingest_time")) -> DataFrame:
     for c in cols:
         if c in df.columns:
@@ -149,7 +157,7 @@ SELECT game_pk, event_id, event_time, at_bat_index, outs,
        row_number() OVER (PARTITION BY game_pk ORDER BY event_time, event_id) - 1 AS "offset"
 FROM once""")
 def q_republish_records(spark, sf):
-    stored = payload.events_row(writes.first_arrivals(good(spark, sf)))
+    stored = written(payload.events_row(writes.first_arrivals(good(spark, sf))), "stored")
     records = replay.republish(stored, "raw").withColumn("timestamp", F.current_timestamp())
     back = validate.good_records(validate.validate(logs.decode_pitches(records)))
     return _times_ntz(back.select("game_pk", "event_id", "event_time", "at_bat_index", "outs", "offset"))
@@ -185,7 +193,7 @@ SELECT g.partition, g."offset", g.event_id,
          AS outcome
 FROM good g JOIN firsts f ON g.event_id = f.event_id""")
 def q_write_outcomes(spark, sf):
-    g = good(spark, sf).select("partition", "offset", "event_id")
+    g = written(good(spark, sf).select("partition", "offset", "event_id"), "good")
     return writes.write_outcomes(g, td.existing_events(spark, sf)).select(
         "partition", "offset", "event_id", "outcome")
 
@@ -222,7 +230,9 @@ ctx AS (
 
 
 def _ctx(spark, sf):
-    acc = validate.enrichable(logs.decode_pitches(td.raw_log(spark, sf)))
+    acc = written(validate.enrichable(logs.decode_pitches(td.raw_log(spark, sf))).select(
+        "partition", "offset", "game_pk", "event_id", "at_bat_index", "pitch_number", "event_time", "source_time",
+        "ingest_time", "inning", "outs"), "enrichable")
     return enrich.rolling_context(acc, td.stored_context(spark, sf), chunk_rows=1 << 25)
 
 
