@@ -40,12 +40,17 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def write_batch_partition(df: DataFrame, path: str, batch_id: int, cluster_by: list[str] | None = None,
                           folders: tuple[str, ...] = ()) -> None:
-    """Write ``df`` as partition ``batch_id=<id>`` of ``path``, below the partitions of ``folders``
-    (dynamic overwrite).
+    """Write ``df`` as partition ``batch_id=<id>`` of ``path``, below the partitions of ``folders``.
 
+    All that an earlier try of the batch wrote goes first, also where this one has no rows.
     Rows are clustered by ``cluster_by`` across and inside files so min/max statistics let
     readers skip files and row groups by bucket, game and time.
     """
+    spark = df.sparkSession
+    every = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/*" * len(folders) + f"/batch_id={int(batch_id)}")
+    fs = every.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old in fs.globStatus(every) or []:
+        fs.delete(old.getPath(), True)
     out = df.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
     if cluster_by:
         # range partitioning keeps each file to a narrow key range and splits a hot key
