@@ -128,10 +128,20 @@ def matches(auto, folded: str) -> dict[int, float]:
             spared.append((at, end))
         elif weight > best.get(at, 0.0):
             best[at] = weight
-    for a, b in spared:
-        for at in [x for x in best if a <= x < b]:
-            del best[at]
-    return best
+    return _outside(best, spared) if spared and best else best
+
+
+def _outside(best: dict[int, float], spared: list[tuple[int, int]]) -> dict[int, float]:
+    """The matches that start in none of the ranges; both are gone through once, in order."""
+    spared.sort()
+    out, i, reach = {}, 0, -1
+    for at in sorted(best):
+        while i < len(spared) and spared[i][0] <= at:
+            reach = max(reach, spared[i][1])
+            i += 1
+        if at >= reach:
+            out[at] = best[at]
+    return out
 
 
 def _readings(token: str) -> list[str]:
@@ -241,10 +251,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, max_terms: int = MAX_TERMS,
+        max_phrases: int = MAX_PHRASES) -> Model:
     """Learn from labelled documents that are not held out, at most ``sample_docs`` of them.
 
-    The sample takes the ids with the smallest hashes; a document labelled both ways is toxic.
+    The sample takes the ids with the smallest hashes; a document labelled both ways is toxic. The
+    lexicon has the ``max_terms`` strongest terms and the ``max_phrases`` most frequent exception
+    phrases: the size of the model, which every task holds.
     Without usable labels of both kinds the lexicon is empty.
     """
     rows_per_batch(docs.sparkSession)
@@ -254,11 +267,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     # bounded by sample_docs rows of 12 bytes
     rows = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(
         "text", "toxic"), "toxicity-sample").repartition(32)
-    terms = lexicon_of(rows.mapInPandas(_contexts, "word string, context string, toxic int"))
+    terms = lexicon_of(rows.mapInPandas(_contexts, "word string, context string, toxic int"), max_terms)
     counts = rows.mapInPandas(_phrases(terms), "phrase string, context string, toxic int").distinct().groupBy(
         "phrase").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.sum("toxic").alias("bad"))
     phrases = [r["phrase"] for r in counts.filter("clean >= 5 AND bad < 0.02 * clean")
-               .orderBy(F.desc("clean"), "phrase").limit(MAX_PHRASES).collect()] if terms else []
+               .orderBy(F.desc("clean"), "phrase").limit(max_phrases).collect()] if terms else []
     # at most 5,001 values of x
     bins = rows.mapInPandas(_strengths(terms, phrases), "x double, toxic int").groupBy("x").agg(
         F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).orderBy("x").collect()

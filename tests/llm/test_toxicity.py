@@ -76,3 +76,41 @@ def test_without_labels_and_empty(spark):
     assert fit(docs, none).terms == []
     kept = score(docs.selectExpr("*", "1 AS score", "2 AS x"), Model([], [], (0.0, 0.0))).collect()
     assert [r.asDict() for r in kept] == [{"doc_id": 1, "text": "a", "x": 2, "score": 0.5}]
+
+
+def test_exception_phrases_take_linear_time_and_spare_the_same_words():
+    import random
+    import time
+
+    from gamelog.llm.toxicity import _outside
+    rng = random.Random(8)
+    for _ in range(200):
+        best = {rng.randrange(60): 1.0 for _ in range(20)}
+        spared = [(a, a + rng.randrange(1, 12)) for a in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+        plain = {x: w for x, w in best.items() if not any(a <= x < b for a, b in spared)}
+        assert _outside(dict(best), list(spared)) == plain
+    auto = automaton([(" bad", 2.0)], [" not bad "])
+    took = []
+    for n in (4000, 16_000):
+        text = fold("not bad so bad " * n)
+        began = time.perf_counter()
+        assert len(matches(auto, text)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.2
+
+
+def test_the_automaton_equals_searching_every_term():
+    import random
+    rng = random.Random(9)
+    for _ in range(100):
+        word = lambda: "".join(rng.choice("ab ") for _ in range(rng.randint(1, 4)))
+        terms = {word(): float(rng.randint(1, 5)) for _ in range(6)}
+        phrases = [p for p in {word() + word() for _ in range(3)} if p not in terms]
+        text = "".join(rng.choice("ab ") for _ in range(60))
+        spared = [(i, i + len(p) - 1) for p in phrases for i in range(len(text)) if text.startswith(p, i)]
+        want = {}
+        for i in range(len(text)):
+            own = [w for t, w in terms.items() if text.startswith(t, i)]
+            if own and not any(a <= i < b for a, b in spared):
+                want[i] = max(own)
+        assert matches(automaton(list(terms.items()), phrases), text) == want
