@@ -107,3 +107,17 @@ def test_table_columns_and_digest(spark, scratch):
     df = spark.read.parquet(scratch + "/documents.parquet")
     assert set(redact(df).filter("doc_id = 1").toPandas()["text"]) == {"<email> <ip> and <card>, <email>"}
     assert find_pii(df.limit(0)).collect() == []
+
+
+def test_many_identifiers_take_linear_time():
+    import time
+
+    from gamelog.llm.pii import all_spans
+    took = []
+    for n in (2000, 8000):
+        text = " ".join(f"user{i}@example{i}.com" for i in range(n)) + " and anna (at) example (dot) org"
+        began = time.perf_counter()
+        spans = all_spans(text)
+        took.append(time.perf_counter() - began)
+        assert len(spans) == n + 1 and sum(not plain for *_, plain in spans) == 1
+    assert took[1] < 8 * took[0] + 0.3
