@@ -15,26 +15,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gamelog.llm.common import table
+from gamelog.llm.common import materialize, table
 
-CAND_BLOCK, QUERY_BLOCK, DIM_BLOCK = 4096, 512, 16
-GRID = 64
+CAND_BLOCK, QUERY_BLOCK, DIM_BLOCK = 1024, 512, 16
+CELL = 8  # blocks of candidates that share a cell
 _EXACT = float(1 << 53)
 _BLOCK = "n long, dim long, ids binary, data binary"
 
 
 def _pack(limit: int):
+    """Rows to blocks of ``limit``, whatever the batches they come in."""
+    def block(rows):
+        dim = max(map(len, rows["v"]), default=0)
+        data = np.zeros((dim, len(rows)))
+        for i, v in enumerate(rows["v"]):
+            data[:len(v), i] = np.floor(256.0 * np.asarray(v, np.float64))
+        return pd.DataFrame({"n": [len(rows)], "dim": [dim], "ids": [rows["id"].to_numpy(np.int64).tobytes()],
+                             "data": [data.tobytes()]})
+
     def run(frames):
+        rest = None
         for frame in frames:
-            for at in range(0, len(frame), limit):
-                part = frame.iloc[at:at + limit]
-                dim = max(map(len, part["v"]), default=0)
-                data = np.zeros((dim, len(part)))
-                for i, v in enumerate(part["v"]):
-                    data[:len(v), i] = np.floor(256.0 * np.asarray(v, np.float64))
-                yield pd.DataFrame({"n": [len(part)], "dim": [dim],
-                                    "ids": [part["id"].to_numpy(np.int64).tobytes()],
-                                    "data": [data.tobytes()]})
+            rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            while len(rest) >= limit:
+                yield block(rest.iloc[:limit])
+                rest = rest.iloc[limit:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield block(rest)
     return run
 
 
@@ -140,12 +147,14 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     part = lambda t: t.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", good))
-    cand = (part(df).mapInPandas(_pack(CAND_BLOCK), _BLOCK)
-            .withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(GRID))))
+    # as many cells as the candidates' blocks ask for; the queries' blocks go to each
+    cand = materialize(part(df).mapInPandas(_pack(CAND_BLOCK), _BLOCK), "candidates")
+    cells = -(-cand.count() // CELL) or 1
+    cand = cand.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int"))
     asked = (part(queries).groupBy("id").agg(F.min("v").alias("v"))
              .mapInPandas(_pack(QUERY_BLOCK), _BLOCK))
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns],
-                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID - 1).cast("long"))).alias("cell"))
+                         F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
     found = cand.join(asked, "cell").drop("cell").mapInPandas(
         _search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
