@@ -107,9 +107,15 @@ def upsert_games(existing: DataFrame, states: DataFrame, write_time,
 
 
 def upsert_by_key(existing: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Keyed snapshot upsert: rows of ``updates`` replace rows of ``existing`` by key."""
-    kept = existing.join(updates.select(key), key, "left_anti")
-    return kept.unionByName(updates.select(*existing.columns))
+    """Keyed snapshot upsert: rows of ``updates`` (a key once) replace rows of ``existing`` by key.
+
+    One outer join, so that each side is computed once.
+    """
+    rest = [c for c in existing.columns if c != key]
+    new = updates.select(key, F.struct(*rest).alias("_new"))
+    return existing.join(new, key, "full_outer").select(*[
+        F.col(c) if c == key else F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c)
+        for c in existing.columns])
 
 
 def delete_keys(existing: DataFrame, keys: DataFrame, key: str) -> DataFrame:

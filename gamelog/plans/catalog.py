@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gamelog.operators import replay, serve
 from gamelog.plans.oracle import EV_CTE, GM_CTE, NEWEST_CTE
-from gamelog.plans.registry import ORACLE, QUERIES, register  # noqa: F401
+from gamelog.plans.registry import BATCH_ORACLE, BATCH_QUERIES, ORACLE, QUERIES, register  # noqa: F401
 from gamelog.sources import testdata as td
 
 # ---- fixed values: query parameters ----

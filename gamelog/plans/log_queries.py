@@ -11,7 +11,6 @@ from gamelog.functions.times import to_ntz
 from gamelog.operators import enrich, metrics, payload, replay, validate, writes
 from gamelog.plans.oracle import EV_CTE, EVENT_TYPE_NUMBER_SQL, LOG_CTES
 from gamelog.plans.registry import FIXED_NOW_ISO, register
-from gamelog.session import scratch_table
 from gamelog.sources import logs
 from gamelog.sources import testdata as td
 from gamelog.sources.schemas import PITCH_FIELDS, REPLAYED
@@ -25,13 +24,6 @@ def good(spark: SparkSession, sf: str) -> DataFrame:
     return validate.good_records(validated(spark, sf))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: decoded once, however often it is used."""
-    path = scratch_table(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _times_ntz(df: DataFrame, cols=("event_time", "source_time", "ingest_time")) -> DataFrame:
     for c in cols:
         if c in df.columns:
@@ -157,7 +149,7 @@ SELECT game_pk, event_id, event_time, at_bat_index, outs,
        row_number() OVER (PARTITION BY game_pk ORDER BY event_time, event_id) - 1 AS "offset"
 FROM once""")
 def q_republish_records(spark, sf):
-    stored = written(payload.events_row(writes.first_arrivals(good(spark, sf))), "stored")
+    stored = payload.events_row(writes.first_arrivals(good(spark, sf)))
     records = replay.republish(stored, "raw").withColumn("timestamp", F.current_timestamp())
     back = validate.good_records(validate.validate(logs.decode_pitches(records)))
     return _times_ntz(back.select("game_pk", "event_id", "event_time", "at_bat_index", "outs", "offset"))
@@ -193,7 +185,7 @@ SELECT g.partition, g."offset", g.event_id,
          AS outcome
 FROM good g JOIN firsts f ON g.event_id = f.event_id""")
 def q_write_outcomes(spark, sf):
-    g = written(good(spark, sf).select("partition", "offset", "event_id"), "good")
+    g = good(spark, sf).select("partition", "offset", "event_id")
     return writes.write_outcomes(g, td.existing_events(spark, sf)).select(
         "partition", "offset", "event_id", "outcome")
 
@@ -230,9 +222,7 @@ ctx AS (
 
 
 def _ctx(spark, sf):
-    acc = written(validate.enrichable(logs.decode_pitches(td.raw_log(spark, sf))).select(
-        "partition", "offset", "game_pk", "event_id", "at_bat_index", "pitch_number", "event_time", "source_time",
-        "ingest_time", "inning", "outs"), "enrichable")
+    acc = validate.enrichable(logs.decode_pitches(td.raw_log(spark, sf)))
     return enrich.rolling_context(acc, td.stored_context(spark, sf), chunk_rows=1 << 25)
 
 
@@ -291,6 +281,27 @@ def q_enriched_rows(spark, sf):
                     "context_outs")
 
 
+@register("enriched_log_values", f"""
+WITH {LOG_CTES}, {ROLLING_CTE}
+SELECT c.partition, c."offset", c.game_pk AS key_text,
+       'mlb:' || c.game_pk || ':pitch:' || CAST(coalesce(c.at_bat_index, 0) AS VARCHAR) || ':'
+         || CAST(coalesce(c.pitch_number, 0) AS VARCHAR) AS event_id,
+       c.event_id AS pitch_event_id, strftime(coalesce(c.event_time, TIMESTAMP '1970-01-01'), '%Y-%m-%dT%H:%M:%S') || '+00:00'
+         AS event_time, CAST(c.at_bat_index AS VARCHAR) AS at_bat_index, CAST(c.inning AS VARCHAR) AS inning,
+       CAST(c.outs AS VARCHAR) AS outs, v.pitch_type, CAST(v.start_speed_mph AS VARCHAR) AS start_speed_mph,
+       CAST(home_score AS VARCHAR) AS home_score, CAST(runner_on_first AS VARCHAR) AS runner_on_first
+FROM ctx c JOIN val v USING (partition, "offset")""")
+def q_enriched_log_values(spark, sf):
+    records = enrich.enriched_log_records(enrich.enriched_rows(_ctx(spark, sf)), "enriched", keep=enrich.ARRIVAL)
+    paths = {"event_id": "$.event_id", "pitch_event_id": "$.pitch.spine.event_id", "event_time": "$.event_time",
+             "at_bat_index": "$.pitch.at_bat_index", "inning": "$.pitch.inning", "outs": "$.pitch.outs",
+             "pitch_type": "$.pitch.pitch_type", "start_speed_mph": "$.pitch.start_speed_mph",
+             "home_score": "$.home_score", "runner_on_first": "$.runner_on_first"}
+    text = F.col("value").cast("string")
+    return records.select("partition", "offset", F.col("key").cast("string").alias("key_text"),
+                          *[F.get_json_object(text, p).alias(n) for n, p in paths.items()])
+
+
 # ------------------------------------------------------------ M1-M3, M7 on the log
 
 

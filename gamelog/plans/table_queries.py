@@ -14,7 +14,7 @@ from gamelog.functions.times import to_ntz
 from gamelog.operators import metrics, writes
 from gamelog.plans.log_queries import EXISTING_CTE, good
 from gamelog.plans.oracle import EV_CTE, LOG_CTES
-from gamelog.plans.registry import register
+from gamelog.plans.registry import register_batches
 from gamelog.session import scratch_table
 from gamelog.sources import tables
 from gamelog.sources import testdata as td
@@ -31,7 +31,7 @@ _NEWEST = T.StructType([T.StructField("game_pk", T.StringType()), T.StructField(
                         T.StructField("event_type", T.StringType()), T.StructField("event_time", T.TimestampNTZType())])
 
 
-@register("keyed_table_merge", f"""
+@register_batches("keyed_table_merge", f"""
 WITH {EV_CTE},
 b AS (SELECT DISTINCT ON (game_pk, batch) game_pk, event_id, event_type, event_time, batch
       FROM (SELECT *, CAST(event_id AS BIGINT) % {BATCHES} AS batch FROM ev)
@@ -50,7 +50,7 @@ def q_keyed_table_merge(spark: SparkSession, sf: str) -> DataFrame:
     return table.read(spark)
 
 
-@register("insert_if_new_indexed", f"""
+@register_batches("insert_if_new_indexed", f"""
 WITH {LOG_CTES}, {EXISTING_CTE},
 firsts AS (SELECT DISTINCT ON (event_id) event_id, game_pk, partition, "offset", "offset" % {BATCHES} AS batch
            FROM good ORDER BY event_id, batch, partition, "offset")
@@ -87,7 +87,7 @@ _SEEN = T.StructType([
     T.StructField("seen", T.ArrayType(T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])))])
 
 
-@register("gap_audit_batches", f"""
+@register_batches("gap_audit_batches", f"""
 WITH {LOG_CTES},
 d AS (SELECT DISTINCT game_pk, at_bat_index, pitch_number FROM good),
 p AS (SELECT *, lag(pitch_number) OVER (PARTITION BY game_pk, at_bat_index ORDER BY pitch_number) AS prev FROM d)
@@ -113,7 +113,7 @@ def take_numbers(table: KeyedTable, pitches: DataFrame, batch: int) -> None:
 _DAYS = 10
 
 
-@register("windowed_counts", f"""
+@register_batches("windowed_counts", f"""
 WITH {EV_CTE},
 b AS (SELECT time_bucket(INTERVAL 1 DAY, event_time) AS window_start, event_type, event_time,
              CAST(event_id AS BIGINT) % {BATCHES} AS batch FROM ev),
