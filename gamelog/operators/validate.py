@@ -71,16 +71,18 @@ def validate(decoded: DataFrame, unknown_enum: str = "value") -> DataFrame:
     if "raw_payload_json" in decoded.columns:
         raw = F.col("raw_payload_json")
         raw_bad = F.coalesce(raw != "", F.lit(False)) & F.try_parse_json(raw).isNull()
-    kind = (F.when(~F.col("decoded"), F.lit("decode"))
-            .when(reason.isNotNull(), F.lit("value")).when(enum_bad, F.lit(unknown_enum)).when(raw_bad, F.lit("value")))
-    message = (F.when(~F.col("decoded"), F.concat(F.lit(DECODE_PREFIX), F.lit(DECODE_DETAIL)))
-               .when(reason.isNotNull(), F.concat(F.lit(SPINE_PREFIX), reason))
-               .when(enum_bad, F.concat(F.lit(WRITE_PREFIX), enum_detail))
-               .when(raw_bad, F.lit(WRITE_PREFIX + BAD_RAW_JSON)))
-    return (decoded.withColumn("event_type", et_name).withColumn("sport", sp_name)
-            .withColumn("error_kind", kind)
+    # which rule fails is decided once; the raw text is parsed only for records that pass the others
+    rule = (F.when(~F.col("decoded"), F.lit(1)).when(reason.isNotNull(), F.lit(2)).when(enum_bad, F.lit(3))
+            .when(raw_bad, F.lit(4)))
+    found = decoded.withColumn("event_type", et_name).withColumn("sport", sp_name).withColumn("_rule", rule)
+    failed = F.col("_rule")
+    kind = (F.when(failed == 1, F.lit("decode")).when(failed == 3, F.lit(unknown_enum)).when(failed.isNotNull(), F.lit("value")))
+    message = (F.when(failed == 1, F.lit(DECODE_PREFIX + DECODE_DETAIL)).when(failed == 2, F.concat(F.lit(SPINE_PREFIX), reason))
+               .when(failed == 3, F.concat(F.lit(WRITE_PREFIX), enum_detail))
+               .when(failed == 4, F.lit(WRITE_PREFIX + BAD_RAW_JSON)))
+    return (found.withColumn("error_kind", kind)
             .withColumn("error_class", classify_kind(F.col("error_kind")))
-            .withColumn("error_message", message))
+            .withColumn("error_message", message).drop("_rule"))
 
 
 def good_records(validated: DataFrame) -> DataFrame:
