@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gamelog.llm.common import Scratch, id_map, in_map, materialize, register, rows_per_batch, table
@@ -33,6 +33,7 @@ BLOCK_BYTES = 64 << 20  # of text, at most, in a block
 BLOB_BYTES = 8 << 20  # of a block's text compressed together
 PART_BYTES = 2 << 20  # of text looked at together
 QUANTILE = 0.99
+HELD_OUT = 10  # one trusted document in so many is for the limit
 START = 0x02  # stands before the text, ORDER - 1 times
 
 
@@ -305,17 +306,24 @@ def quantile_by_language(scored: DataFrame, q: float) -> DataFrame:
     hit = (counts.withColumn("below", F.sum("c").over(upto) - F.col("c"))
            .withColumn("rank", F.greatest(F.ceil(F.sum("c").over(whole) * F.lit(q)), F.lit(1)))
            .filter("rank > below AND rank <= below + c").select("lang", "bin", "rank", "below"))
-    inside = bins.join(hit, ["lang", "bin"])
-    order = Window.partitionBy("lang").orderBy("perplexity")
-    return inside.withColumn("at", F.row_number().over(order)).filter("at = rank - below").select(
+    # equal values are counted first, so that a text copied often is one row
+    inside = bins.join(hit, ["lang", "bin"]).groupBy("lang", "perplexity", "rank", "below").agg(F.count(F.lit(1)).alias("c"))
+    upto_here = F.sum("c").over(Window.partitionBy("lang").orderBy("perplexity"))
+    return inside.withColumn("upto", F.col("below") + upto_here).filter("rank <= upto AND rank > upto - c").select(
         "lang", F.col("perplexity").alias("limit"))
 
 
+def kept_out(doc_id) -> Column:
+    """Whether a trusted document serves the limit and not the training: one in ``HELD_OUT``."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT == 0
+
+
 def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, max_perplexity and keep of every document.
 
-    Trusted text is that of documents labelled quality 1 (and never 0). A document is kept when
-    its perplexity per byte is at most the ``q`` quantile of its language's trusted documents.
+    Trusted text is that of documents labelled quality 1 (and never 0). One in ``HELD_OUT`` of them
+    is kept out of the training. A document is kept when its perplexity per byte is at most the ``q``
+    quantile of those of its language (of all trusted ones, in a language where none is kept out).
 
     - An empty or missing text has no perplexity and is not kept.
     - A missing language is a language of its own ('').
@@ -336,13 +344,18 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> DataFram
     with Scratch(spark) as scratch:
         with Scratch(spark) as training:
             trusted = packed_texts(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL"), known)
-            model = train(trusted.join(good, "doc_id", "left_semi"))
+            held = kept_out(F.col("doc_id"))
+            # a language that has no other text trains on all; one line a language
+            taught = rows.filter(~held).select("doc_id", "lang").join(good, "doc_id", "left_semi").select("lang").distinct()
+            model = train(trusted.join(good, "doc_id", "left_semi").join(F.broadcast(
+                taught.withColumn("taught", F.lit(True))), "lang", "left").filter(~held | F.col("taught").isNull()).drop("taught"))
             training.keep(model)
         scored = materialize(perplexities(slim, model), "perplexities")
         scratch.keep(scored)
     base = rows.select("row", "doc", "doc_id", "lang")
-    trusted = base.join(good, "doc_id", "left_semi").join(scored, ["row", "doc"])
-    limits = quantile_by_language(trusted, q)
+    trusted = base.join(good, "doc_id", "left_semi").join(scored, ["row", "doc"]).withColumn("held", kept_out(F.col("doc_id")))
+    apart = trusted.filter("held").select("lang").distinct().withColumn("apart", F.lit(True))  # a line a language
+    limits = quantile_by_language(trusted.join(F.broadcast(apart), "lang", "left").filter("held OR apart IS NULL"), q)
     out = base.join(scored, ["row", "doc"], "left").join(F.broadcast(limits), "lang", "left")  # one line a language
     return out.select("doc_id", "lang", F.coalesce("size", F.lit(0)).cast("long").alias("n_bytes"), "perplexity",
                       F.col("limit").alias("max_perplexity"),
