@@ -198,14 +198,18 @@ def gram_probabilities(grams: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _blocks(frames):
-    """Blocks of a task's rows, per language: compressed texts in parts, and the distinct grams."""
+    """Blocks of a task's rows, one a language: compressed texts in parts, and the distinct grams.
+
+    A block has one language, so that its number alone is the key of the scoring join: with a second key Spark
+    does not take the buckets for the join's partitions, and shuffles the texts.
+    """
     task = TaskContext.get()
     part = task.partitionId() if task else 0
     squeeze = zstandard.ZstdCompressor(level=9).compress
-    count, size, held, grams = 0, 0, {}, {}
+    count, size, held, grams, number = 0, 0, {}, {}, {}
 
     def line(lang, gram=None, blob=None):
-        return pd.DataFrame({"block": [(part << 24) | count], "lang": [lang], "grams": [gram], "blob": [blob]})
+        return pd.DataFrame({"block": [(part << 24) | number[lang]], "lang": [lang], "grams": [gram], "blob": [blob]})
 
     def texts_of(lang):
         rows, docs, texts = held.pop(lang)
@@ -231,7 +235,9 @@ def _blocks(frames):
                 continue
             if size and size + len(data) > BLOCK_BYTES:
                 yield from rest()
-                count, size, waiting = count + 1, 0, {}
+                size, waiting, number = 0, {}, {}
+            if lang not in number:
+                number[lang], count = count, count + 1
             for column, value in zip(held.setdefault(lang, ([], [], [])), (row, doc, data)):
                 column.append(value)
             size += len(data)
@@ -285,10 +291,9 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
         own = materialize(gram_probabilities(grams.select("lang", "gram").distinct(), model), "own")
         scratch.keep(own)
-    known = grams.join(own, ["lang", "gram"]).select(
-        F.col("block").alias("in_block"), F.col("lang").alias("in_lang"), "gram", "logp")
-    scored = (blocks.filter("blob IS NOT NULL").select("block", "lang", "blob").groupBy("block", "lang")
-              .cogroup(known.groupBy("in_block", "in_lang"))
+    known = grams.join(own, ["lang", "gram"]).select(F.col("block").alias("in_block"), "gram", "logp")
+    scored = (blocks.filter("blob IS NOT NULL").select("block", "blob").groupBy("block")
+              .cogroup(known.groupBy("in_block"))
               .applyInPandas(_score, "row long, doc long, size long, total double"))
     return scored.dropDuplicates(["row", "doc"]).select("row", "doc", "size", F.exp(
         -F.col("total") / F.col("size")).alias("perplexity"))

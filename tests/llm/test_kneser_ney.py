@@ -111,6 +111,21 @@ def test_blocks_hold_every_text_and_its_grams(monkeypatch):
     assert sorted(back) == sorted((i, d, lang, K._bytes(t)) for i, d, lang, t in rows if t)
     held = {(r.block, r.lang): r.grams.tolist() for r in out.itertuples() if r.grams is not None}
     assert held == {k: sorted(set(v)) for k, v in grams.items()} and len(held) > 5
+    assert len({block for block, _ in held}) == len(held)  # a block has one language
+
+
+def test_texts_are_not_shuffled_to_be_scored(spark):
+    lines = [(i, i, lang, f"{lang} text {i}") for i in range(20) for lang in ("en", "de")]
+    df = spark.createDataFrame(lines, "row long, doc long, lang string, text string")
+    model = train(packed_texts(df.selectExpr("doc as doc_id", "lang", "text")))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = perplexities(df, model)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "FlatMapCoGroupsInPandas" in plan and "hashpartitioning(in_block#" in plan  # grams and answers move
+    assert "hashpartitioning(block#" not in plan and "Bucketed: true" in plan  # texts do not
 
 
 def test_quantiles_are_exact(spark):
