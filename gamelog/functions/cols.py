@@ -42,3 +42,12 @@ def evaluate_once(df, expr: Column, name: str):
     not inline through, so the parse happens once and downstream filters stay above it.
     """
     return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
+def shared_shuffle(df, needed, *by):
+    """``df`` shuffled by the columns ``by`` where ``needed`` are all its columns, else ``df`` as it is.
+
+    Readers that take the same columns from one shuffle share it, so that what comes before (a log's decoding)
+    runs once. A wider frame is left alone: readers of a few of its columns read, and combine, less by themselves.
+    """
+    return df.repartition(*by) if set(df.columns) == set(needed) else df

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gamelog.functions.cols import shared_shuffle
+
 SPAN = 1024
 _CHUNK, _SPAN, _RN = "_scan_chunk", "_scan_span", "_scan_rn"
 
@@ -44,6 +46,7 @@ def ordered_scan(
     """
     group, order = list(group), list(order)
     base = df.withColumn(_CHUNK, F.coalesce(chunk.cast("long"), F.lit(-(1 << 62))))
+    base = shared_shuffle(base, [*group, *order, _CHUNK, *prev, *fill, *before, *first], *group, _CHUNK)
     w = Window.partitionBy(*group, _CHUNK).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -98,7 +101,8 @@ def _carry(summary: DataFrame, group, prev, carried, first) -> DataFrame:
         *[f"_s{n}" for n in names], *[F.first(f"_1_{c}").over(whole).alias(f"_c_1_{c}") for c in first])
     inside = scanned(summary, [*group, _SPAN], _CHUNK, "_i")
     cond = [F.col(g).eqNullSafe(F.col(f"_g_{i}")) for i, g in enumerate(group)]
-    return inside.join(above, [*cond, F.col(_SPAN) == F.col("_g_span")]).select(
+    # null-safe: a filter for nulls on one side only would keep the sides from sharing the summary
+    return inside.join(above, [*cond, F.col(_SPAN).eqNullSafe(F.col("_g_span"))]).select(
         *[F.col(g).alias(f"_k_{i}") for i, g in enumerate(group)], F.col(_CHUNK).alias("_k_chunk"),
         (F.col("_s_n") + F.col("_i_n")).alias("_c_n"),
         *[F.coalesce(f"_i{n}", f"_s{n}").alias(f"_c{n}") for n in names],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gamelog.functions.cols import as_col, blank_to_null
+from gamelog.functions.cols import as_col, blank_to_null, shared_shuffle
 from gamelog.sources.schemas import OUTCOME_DUPLICATE, OUTCOME_WRITTEN
 
 ARRIVAL = ("partition", "offset")
@@ -20,9 +20,17 @@ def first_arrivals(rows: DataFrame, key: str = "event_id",
     ``min_by`` combines map-side, so a key with millions of copies is reduced inside each
     task before the shuffle instead of being gathered in one place.
     """
+    return _unpacked(_first_rows(rows, key, arrival), rows, key)
+
+
+def _first_rows(rows: DataFrame, key: str, arrival: Sequence[str]) -> DataFrame:
+    """Each key with its earliest row in one column, ``_first``."""
     cols = [c for c in rows.columns if c != key]
-    pick = F.min_by(F.struct(*cols), F.struct(*arrival)).alias("_first")
-    return rows.groupBy(key).agg(pick).select(key, *[F.col(f"_first.{c}").alias(c) for c in cols])
+    return rows.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(*arrival)).alias("_first"))
+
+
+def _unpacked(firsts: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    return firsts.select(key, *[F.col(f"_first.{c}").alias(c) for c in rows.columns if c != key])
 
 
 def insert_if_new(batch: DataFrame, table: DataFrame, key: str = "event_id",
@@ -33,9 +41,11 @@ def insert_if_new(batch: DataFrame, table: DataFrame, key: str = "event_id",
     small batch; for a larger one the table's keys are shuffled, which ``insert_new`` with an index of
     the stored ids avoids. The anti join then runs between two batch-sized frames.
     """
-    firsts = first_arrivals(batch, key, arrival)
-    known = table.select(key).join(firsts.select(key), key, "left_semi")
-    return insert_new(firsts, known, key)
+    firsts = _first_rows(batch, key, arrival)
+    # asks for the row too, so that both uses are one aggregate and the batch is computed once
+    probe = firsts.filter(F.col("_first").isNotNull()).select(key)
+    known = table.select(key).join(probe, key, "left_semi")
+    return insert_new(_unpacked(firsts, batch, key), known, key)
 
 
 def insert_new(firsts: DataFrame, known: DataFrame, key: str = "event_id") -> DataFrame:
@@ -49,11 +59,15 @@ def write_outcomes(batch: DataFrame, table: DataFrame, key: str = "event_id",
 
     The written messages are found per key with a map-side ``min`` and then matched back on
     (key, arrival), a unique triple, so a key with millions of copies never forms one large
-    join key; the table is probed with the batch's keys only.
+    join key; the table is probed with the batch's keys only. A batch of these columns alone is
+    shuffled once for all of this.
     """
+    batch = shared_shuffle(batch, [key, *arrival], key, *arrival)
     firsts = batch.groupBy(key).agg(F.min(F.struct(*arrival)).alias("_p"))
-    known = table.select(key).join(firsts.select(key), key, "left_semi")
-    written = (firsts.join(known, key, "left_anti")
+    known = (table.select(key).join(firsts.select(key), key, "left_semi").distinct()
+             .withColumn("_known", F.lit(True)))
+    # an outer join stays above the aggregate, where an anti join would go below the shared shuffle
+    written = (firsts.join(known, key, "left").filter(F.col("_known").isNull())
                .select(key, *[F.col(f"_p.{c}").alias(c) for c in arrival])
                .withColumn("_written", F.lit(True)))
     out = batch.join(written, [key, *arrival], "left")

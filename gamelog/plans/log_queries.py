@@ -24,6 +24,12 @@ def good(spark: SparkSession, sf: str) -> DataFrame:
     return validate.good_records(validated(spark, sf))
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """Good records have an id; said in so many words, joins need no filter of their own that tells one reader
+    of the log from another."""
+    return rows.filter(F.col("event_id").isNotNull())
+
+
 def _times_ntz(df: DataFrame, cols=("event_time", "source_time", "ingest_time")) -> DataFrame:
     for c in cols:
         if c in df.columns:
@@ -170,8 +176,8 @@ SELECT event_id, event_type, sport, game_pk, event_time, source_time, ingest_tim
        partition, "offset"
 FROM firsts WHERE event_id NOT IN (SELECT event_id FROM existing)""")
 def q_insert_if_new(spark, sf):
-    g = good(spark, sf).select("event_id", "event_type", "sport", "game_pk", "event_time",
-                               "source_time", "ingest_time", "partition", "offset")
+    g = keyed(good(spark, sf)).select("event_id", "event_type", "sport", "game_pk", "event_time",
+                                      "source_time", "ingest_time", "partition", "offset")
     new = writes.insert_if_new(g, td.existing_events(spark, sf))
     return _times_ntz(new)
 
@@ -185,7 +191,7 @@ SELECT g.partition, g."offset", g.event_id,
          AS outcome
 FROM good g JOIN firsts f ON g.event_id = f.event_id""")
 def q_write_outcomes(spark, sf):
-    g = good(spark, sf).select("partition", "offset", "event_id")
+    g = keyed(good(spark, sf)).select("partition", "offset", "event_id")
     return writes.write_outcomes(g, td.existing_events(spark, sf)).select(
         "partition", "offset", "event_id", "outcome")
 
@@ -221,11 +227,18 @@ ctx AS (
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
-def _ctx(spark, sf):
+def _ctx(spark, sf, *columns):
+    """Context after each pitch; ``columns`` are those of the log wanted (none: all)."""
     acc = validate.enrichable(logs.decode_pitches(td.raw_log(spark, sf)))
+    if columns:
+        acc = acc.select(*columns)
     return enrich.rolling_context(acc, td.stored_context(spark, sf), chunk_rows=1 << 25)
 
 
+# what the scan itself reads
+SCANNED = ("game_pk", *enrich.ARRIVAL, *enrich.ROLLING)
+
+
 @register("rolling_context", f"""
 WITH {LOG_CTES}, {ROLLING_CTE}
 SELECT partition, "offset", game_pk, ctx_inning, ctx_outs, home_score, away_score,
@@ -233,7 +246,7 @@ SELECT partition, "offset", game_pk, ctx_inning, ctx_outs, home_score, away_scor
        ctx_inning IS DISTINCT FROM b_inning OR ctx_outs IS DISTINCT FROM b_outs AS changed
 FROM ctx""")
 def q_rolling_context(spark, sf):
-    c = _ctx(spark, sf)
+    c = _ctx(spark, sf, *SCANNED)
     return c.select("partition", "offset", "game_pk", "ctx_inning", "ctx_outs",
                     F.col("ctx_home_score").alias("home_score"),
                     F.col("ctx_away_score").alias("away_score"),
@@ -247,7 +260,7 @@ SELECT game_pk, partition, "offset", home_score, away_score, runner_on_first,
        runner_on_second, runner_on_third, ctx_inning AS inning, ctx_outs AS outs
 FROM ctx WHERE ctx_inning IS DISTINCT FROM b_inning OR ctx_outs IS DISTINCT FROM b_outs""")
 def q_context_changes(spark, sf):
-    return enrich.context_changes(_ctx(spark, sf))
+    return enrich.context_changes(_ctx(spark, sf, *SCANNED))
 
 
 @register("game_context_snapshot", f"""

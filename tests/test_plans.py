@@ -84,3 +84,32 @@ def test_a_games_folder_is_all_that_is_read(spark, scratch):
     some = tables.read_events(spark, path, ["3", "9", "none"])
     assert sorted({r.game_pk for r in some.collect()}) == ["3", "9"] and tables.read_events(spark, path, []).count() == 0
     assert tables.read_events(spark, path).count() == 80
+
+
+def test_log_is_decoded_once(spark):
+    from pyspark.sql import functions as F
+
+    from gamelog.operators import enrich
+    from gamelog.sources import logs
+    from gamelog.sources.schemas import CONTEXT_FIELDS
+    log = spark.range(200).select(
+        F.lit(b"g").alias("key"), F.format_string('{"spine": {"event_id": "e%d", "game_pk": "g"}, "inning": %d}', F.col("id") % 60, "id")
+        .cast("binary").alias("value"), F.lit("raw").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"),
+        F.current_timestamp().alias("timestamp"))
+    rows = logs.decode_pitches(log).filter("event_id IS NOT NULL")
+    stored = spark.createDataFrame([("e1",), ("e1",), ("x",)], "event_id string")
+
+    def decodes(df):
+        got = df.collect()
+        return got, df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count("from_json")
+
+    slim = rows.select("partition", "offset", "event_id")
+    out, n = decodes(writes.write_outcomes(slim, stored))
+    assert n == 1 and len(out) == 200
+    assert sorted(r.event_id for r in out if r.outcome == "written") == sorted(f"e{k}" for k in range(60) if k != 1)
+    out, n = decodes(writes.insert_if_new(rows.select("partition", "offset", "event_id", "inning"), stored))
+    assert n == 1 and sorted((r.event_id, r.inning) for r in out) == sorted((f"e{k}", k) for k in range(60) if k != 1)
+    context = spark.createDataFrame([], "game_pk string, " + ", ".join(
+        f"{c} {'boolean' if 'runner' in c else 'int'}" for c in CONTEXT_FIELDS))
+    out, n = decodes(enrich.rolling_context(rows.select("game_pk", "partition", "offset", "inning", "outs"), context, chunk_rows=16))
+    assert n == 1 and sorted((r.offset, r.ctx_inning) for r in out) == [(k, k) for k in range(200)]
