@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gamelog.functions.cols import evaluate_once
 from gamelog.functions.enums import event_type_name, event_type_number, sport_name, sport_number
 from gamelog.sources.schemas import POISON, REPLAYED, TRANSIENT
 
@@ -74,7 +75,8 @@ def validate(decoded: DataFrame, unknown_enum: str = "value") -> DataFrame:
     # which rule fails is decided once; the raw text is parsed only for records that pass the others
     rule = (F.when(~F.col("decoded"), F.lit(1)).when(reason.isNotNull(), F.lit(2)).when(enum_bad, F.lit(3))
             .when(raw_bad, F.lit(4)))
-    found = decoded.withColumn("event_type", et_name).withColumn("sport", sp_name).withColumn("_rule", rule)
+    # once per row: filters on the kind would otherwise take the rule, and the parse, apart three times over
+    found = evaluate_once(decoded.withColumn("event_type", et_name).withColumn("sport", sp_name), rule, "_rule")
     failed = F.col("_rule")
     kind = (F.when(failed == 1, F.lit("decode")).when(failed == 3, F.lit(unknown_enum)).when(failed.isNotNull(), F.lit("value")))
     message = (F.when(failed == 1, F.lit(DECODE_PREFIX + DECODE_DETAIL)).when(failed == 2, F.concat(F.lit(SPINE_PREFIX), reason))
