@@ -6,7 +6,11 @@ that never decreases along the order (a log offset or a time divided by a step,
 runs inside each (group, chunk) with ordinary window functions, and a summary with one row per
 (group, chunk) carries the state across chunks: a parallel prefix scan in DataFrame operations.
 The summary is scanned the same way, in spans of ``SPAN`` chunks, so that no window holds all
-chunks of a large group. The plan is the same for every input; nothing runs while it is built.
+chunks of a large group. Nothing runs while the plan is built.
+
+Where a caller can tell cheaply how large groups are (``sizes``), only the large ones are cut and the
+others are scanned by plain windows. The large ones are told by hashes of their keys in a broadcast
+table of bounded size; where there are none, adaptive execution drops the part for them.
 """
 
 from __future__ import annotations
@@ -19,6 +23,10 @@ from pyspark.sql import functions as F
 from gamelog.functions.cols import shared_shuffle
 
 SPAN = 1024
+# A group of more rows than this is large.
+WHOLE_ROWS = 1 << 16
+# hashes of keys that tell large groups apart; groups that share one with a large group are cut too
+BUCKETS = 4096
 _CHUNK, _SPAN, _RN = "_scan_chunk", "_scan_span", "_scan_rn"
 
 
@@ -33,6 +41,8 @@ def ordered_scan(
     before: Sequence[str] = (),
     first: Sequence[str] = (),
     ordinal: str | None = None,
+    sizes: DataFrame | None = None,
+    whole: int = WHOLE_ROWS,
 ) -> DataFrame:
     """Add scan columns per ``group`` in ascending ``order`` (group + order should be unique).
 
@@ -43,8 +53,41 @@ def ordered_scan(
     - ``ordinal``: 0-based position of the row in its group.
 
     ``chunk`` is a whole number that does not decrease along ``order``; NULL sorts first.
+    ``sizes``, rows with the ``group`` columns, tell how many rows a group has; without them, or if it has more than
+    ``whole``, a group is cut. They decide how the work is dealt, never the result.
     """
     group, order = list(group), list(order)
+    if sizes is None:
+        return _cut_scan(df, group, order, chunk, prev, fill, before, first, ordinal)
+    small, large = by_size(df, group, sizes, whole)
+    return _whole_scan(small, group, order, prev, fill, before, first, ordinal).unionByName(
+        _cut_scan(large, group, order, chunk, prev, fill, before, first, ordinal))
+
+
+def by_size(df: DataFrame, group: Sequence[str], sizes: DataFrame, whole: int = WHOLE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose groups have at most ``whole`` rows in ``sizes``, and the others."""
+    bucket = F.pmod(F.xxhash64(*group), F.lit(BUCKETS))
+    large = F.broadcast(sizes.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > whole)
+                        .select(bucket.alias("_scan_bucket")).distinct())
+    return tuple(df.join(large, bucket == F.col("_scan_bucket"), how) for how in ("left_anti", "left_semi"))
+
+
+def _whole_scan(df: DataFrame, group, order, prev, fill, before, first, ordinal) -> DataFrame:
+    """``ordered_scan`` of groups that a task can hold, by windows over them."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    added = [F.lag(c).over(w).alias(f"prev_{c}") for c in prev]
+    added += [F.last(c, ignorenulls=True).over(run).alias(f"fill_{c}") for c in fill]
+    added += [F.last(c, ignorenulls=True).over(earlier).alias(f"before_{c}") for c in before]
+    added += [F.first(c).over(run).alias(f"first_{c}") for c in first]
+    if ordinal:
+        added.append((F.row_number().over(w) - 1).cast("long").alias(ordinal))
+    return df.select("*", *added)
+
+
+def _cut_scan(df: DataFrame, group, order, chunk, prev, fill, before, first, ordinal) -> DataFrame:
+    """``ordered_scan`` of groups of any size, each cut into chunks."""
     base = df.withColumn(_CHUNK, F.coalesce(chunk.cast("long"), F.lit(-(1 << 62))))
     base = shared_shuffle(base, [*group, *order, _CHUNK, *prev, *fill, *before, *first], *group, _CHUNK)
     w = Window.partitionBy(*group, _CHUNK).orderBy(*order)

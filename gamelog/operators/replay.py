@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gamelog.functions.cols import seconds_between
-from gamelog.functions.scan import ordered_scan, time_chunk
+from gamelog.functions.scan import by_size, ordered_scan, time_chunk
 from gamelog.operators.payload import payload_to_pitch
 from gamelog.sources.logs import LOG_PARTITIONS, encode_pitches
 from gamelog.sources.schemas import REPLAYED
@@ -37,9 +37,23 @@ def ordered_history(events: DataFrame, game_pk: str | None = None, since=None,
 
 
 def replay_sequence(events: DataFrame, game_pk: str | None = None, since=None,
-                    until=None) -> DataFrame:
-    """History with ``seq``, the 0-based replay position inside each game."""
+                    until=None, sizes: DataFrame | None = None) -> DataFrame:
+    """History with ``seq``, the 0-based replay position inside each game (copies of an event share one).
+
+    ``sizes`` (see ``ordered_scan``): the events of a game that is not large are numbered as they are, in one
+    shuffle; for a large one, only the keys travel through the scan, and the events are joined back.
+    """
     rows = ordered_history(events, game_pk, since, until)
+    if sizes is None:
+        return _numbered_by_keys(rows)
+    small, large = by_size(rows, ["game_pk"], sizes)
+    w = Window.partitionBy("game_pk").orderBy(*REPLAY_ORDER)
+    # events without a time or an id take positions but are left out, as by the join of the large games
+    numbered = small.withColumn("seq", (F.dense_rank().over(w) - 1).cast("long")).dropna(subset=["game_pk", *REPLAY_ORDER])
+    return numbered.unionByName(_numbered_by_keys(large))
+
+
+def _numbered_by_keys(rows: DataFrame) -> DataFrame:
     keys = ordered_scan(rows.select("game_pk", *REPLAY_ORDER).distinct(), ["game_pk"], REPLAY_ORDER,
                         time_chunk("event_time", CHUNK_SECONDS), ordinal="seq")
     return rows.join(keys, ["game_pk", *REPLAY_ORDER])
@@ -69,13 +83,13 @@ def replay_schedule(events: DataFrame, speed: float = 1.0, game_pk: str | None =
 
 
 def republish(events: DataFrame, topic: str, game_pk: str | None = None, since=None,
-              until=None) -> DataFrame:
+              until=None, sizes: DataFrame | None = None) -> DataFrame:
     """Rebuild each pitch from its stored payload (original ids and times kept) and encode
     it as a log record keyed by game. The log partition follows from the key and the offset is the
     replay position, so that the written log keeps each game's order; ``count()`` of the result is
     the number republished. Repeats are absorbed downstream by insert-if-new; the records are labelled as
     a replay, so that the enricher and the latencies can leave them out (``validate.live_records``)."""
-    rows = replay_sequence(events, game_pk, since, until)
+    rows = replay_sequence(events, game_pk, since, until, sizes)
     pitches = payload_to_pitch(rows.select("game_pk", "seq", "payload").withColumnRenamed(
         "game_pk", "_game"))
     pitches = pitches.withColumn("game_pk", F.coalesce(F.col("game_pk"), F.col("_game")))

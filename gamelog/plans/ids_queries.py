@@ -97,7 +97,7 @@ def q_ordinal_in_group(spark, sf):
     od = td.read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     j = li.join(od, li.l_orderkey == od.o_orderkey)
     s = ordered_scan(j, ["l_orderkey"], td.LINEITEM_ORDER,
-                     chunk_of("l_partkey", td.PART_STEP), ordinal="ordinal")
+                     chunk_of("l_partkey", td.PART_STEP), ordinal="ordinal", sizes=li)
     return s.select("l_orderkey", "ordinal",
                     ids.event_id("pickoff", F.col("o_custkey"), F.col("l_orderkey"), F.col("ordinal"))
                     .alias("pickoff_id"))

@@ -257,7 +257,7 @@ def _play_event(li_pos: Column) -> Column:
 def _order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The playEvents of each order (its lineitems in a total column order), ``FEED_CHUNK`` at a time."""
     li = read_table(spark, sf_dir, "lineitem")
-    li = ordered_scan(li, ["l_orderkey"], LINEITEM_ORDER, chunk_of("l_partkey", PART_STEP), ordinal="li_pos")
+    li = ordered_scan(li, ["l_orderkey"], LINEITEM_ORDER, chunk_of("l_partkey", PART_STEP), ordinal="li_pos", sizes=li)
     li = li.withColumn("chunk", F.floor(F.col("li_pos") / FEED_CHUNK))
     events = (li.groupBy("l_orderkey", "chunk")
               .agg(F.collect_list(_play_event(F.col("li_pos"))).alias("evs")))
@@ -272,7 +272,7 @@ def poll_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     metadata time is the newest order date.
     """
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    od = ordered_scan(od, ["o_custkey"], ["o_orderkey"], chunk_of("o_orderkey", 1 << 16), ordinal="o_pos")
+    od = ordered_scan(od, ["o_custkey"], ["o_orderkey"], chunk_of("o_orderkey", 1 << 16), ordinal="o_pos", sizes=od)
     od = od.withColumn("part", F.floor(F.col("o_pos") / POLL_PLAYS))
     key = F.col("o_orderkey")
     play = F.struct(

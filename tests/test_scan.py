@@ -95,3 +95,41 @@ def test_segmented_scan_matches_pandas(spark, rows):
         a = [None if pd.isna(x) else int(x) for x in got[c]]
         b = [None if pd.isna(x) else int(x) for x in exp[c]]
         assert a == b, c
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+
+
+def test_only_large_groups_are_cut(spark):
+    df = _data(spark).select(F.when(F.col("g") != "3", F.col("g")).alias("g"), "o", "v").filter("g IS NULL OR g <> '5' OR o < 40")
+    ref = _reference(df).select(*COLS)
+    for whole in (1, 100, 600, 5000):  # all large, some, one, none
+        out = ordered_scan(df, ["g"], ["o"], chunk_of("o", 97), prev=["v"], fill=["v"], before=["v"], first=["v"],
+                           ordinal="pos", sizes=df, whole=whole)
+        assert out.count() == df.count() and out.select(*COLS).exceptAll(ref).count() == 0
+        firsts = {r.g: (r.a, r.b) for r in out.groupBy("g").agg(F.min("first_v").alias("a"), F.max("first_v").alias("b")).collect()}
+        assert firsts == {r.g: (r.v, r.v) for r in df.groupBy("g").agg(F.min_by("v", "o").alias("v")).collect()}
+
+
+def test_without_large_groups_rows_are_shuffled_once(spark):
+    df = spark.range(3000).select((F.col("id") % 500).alias("g"), F.col("id").alias("o"), F.col("id").alias("wide"))
+    plan = _final_plan(ordered_scan(df, ["g"], ["o"], chunk_of("o", 7), ordinal="pos", sizes=df))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    # a join by the group's key needs no shuffle of its own
+    other = spark.range(500).select(F.col("id").alias("g"), F.lit(1).alias("x"))
+    plan = _final_plan(ordered_scan(df, ["g"], ["o"], chunk_of("o", 7), ordinal="pos", sizes=df).join(other.hint("merge"), "g"))
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_sizes_do_not_change_a_replay(spark):
+    from gamelog.operators import replay
+    ev = spark.range(900).select(
+        F.when(F.col("id") % 3 > 0, F.lit("a")).otherwise(F.when(F.col("id") < 800, (F.col("id") % 5).cast("string"))).alias("game_pk"),
+        (F.col("id") % 300).cast("string").alias("event_id"), F.lit("pitch").alias("event_type"),
+        F.when(F.col("id") % 50 > 0, F.timestamp_seconds(F.col("id") % 300)).alias("event_time"), F.col("id").alias("payload"))
+    plain = replay.replay_sequence(ev)
+    for sizes in (ev, ev.limit(0), ev.crossJoin(spark.range(200))):
+        out = replay.replay_sequence(ev, sizes=sizes).select(*plain.columns)
+        assert out.exceptAll(plain).count() == 0 and out.count() == plain.count() > 800
