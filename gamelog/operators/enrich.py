@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gamelog.functions.ids import event_id
-from gamelog.functions.scan import ordered_scan
+from gamelog.functions.scan import WHOLE_ROWS, ordered_scan
 from gamelog.sources.schemas import (CONTEXT_DEFAULTS, CONTEXT_FIELDS, PITCH, PITCH_COLUMNS,
                                      SPINE_FIELDS)
 
@@ -47,14 +47,15 @@ def context_lookup(stored: DataFrame, games: DataFrame) -> DataFrame:
 
 
 def rolling_context(pitches: DataFrame, stored: DataFrame | None = None,
-                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                    chunk_rows: int = CHUNK_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Context after each pitch, plus ``changed`` (True when the stored state is written).
 
-    Forward fill by game in arrival order, computed with the bounded scan: one shuffle on
-    (game, partition, offset chunk); a game with a third of all rows is split into chunks.
+    Forward fill by game in arrival order, computed with the bounded scan: one shuffle by game;
+    a game with a third of all rows is split into chunks. ``sizes``: see ``ordered_scan``.
     """
     chunk = F.shiftleft(F.col("partition").cast("long"), 43) + F.expr(f"offset div {chunk_rows}")
-    scanned = ordered_scan(pitches, ["game_pk"], ARRIVAL, chunk, fill=list(ROLLING), before=list(ROLLING))
+    scanned = ordered_scan(pitches, ["game_pk"], ARRIVAL, chunk, fill=list(ROLLING), before=list(ROLLING),
+                           sizes=sizes, whole=min(chunk_rows, WHOLE_ROWS))
     s = _seeded(scanned, stored)
     for c in ROLLING:
         s = (s.withColumn(f"ctx_{c}", F.coalesce(F.col(f"fill_{c}"), F.col(f"seed_{c}")))

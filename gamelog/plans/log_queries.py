@@ -13,7 +13,7 @@ from gamelog.plans.oracle import EV_CTE, EVENT_TYPE_NUMBER_SQL, LOG_CTES
 from gamelog.plans.registry import FIXED_NOW_ISO, register
 from gamelog.sources import logs
 from gamelog.sources import testdata as td
-from gamelog.sources.schemas import PITCH_FIELDS, REPLAYED
+from gamelog.sources.schemas import PITCH_FIELDS, REPLAYED, SPINE_FIELDS
 
 
 def validated(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,6 +30,11 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("event_id").isNotNull())
 
 
+def _games(log: DataFrame) -> DataFrame:
+    """The game of each record: a log is keyed by game, so that its keys tell how large games are without decoding."""
+    return log.select(F.col("key").cast("string").alias("game_pk"))
+
+
 def _times_ntz(df: DataFrame, cols=("event_time", "source_time", "ingest_time")) -> DataFrame:
     for c in cols:
         if c in df.columns:
@@ -155,8 +160,11 @@ SELECT game_pk, event_id, event_time, at_bat_index, outs,
        row_number() OVER (PARTITION BY game_pk ORDER BY event_time, event_id) - 1 AS "offset"
 FROM once""")
 def q_republish_records(spark, sf):
-    stored = payload.events_row(writes.first_arrivals(good(spark, sf)))
-    records = replay.republish(stored, "raw").withColumn("timestamp", F.current_timestamp())
+    g = keyed(good(spark, sf))
+    # the payload is made first: one text is sorted for the first arrivals, not forty columns
+    rows = g.select("partition", "offset", *[F.col(c) for c in SPINE_FIELDS], payload.pitch_payload(g).alias("payload"))
+    stored = writes.first_arrivals(rows).select(*SPINE_FIELDS, "payload")
+    records = replay.republish(stored, "raw", sizes=_games(td.raw_log(spark, sf))).withColumn("timestamp", F.current_timestamp())
     back = validate.good_records(validate.validate(logs.decode_pitches(records)))
     return _times_ntz(back.select("game_pk", "event_id", "event_time", "at_bat_index", "outs", "offset"))
 
@@ -229,10 +237,11 @@ ctx AS (
 
 def _ctx(spark, sf, *columns):
     """Context after each pitch; ``columns`` are those of the log wanted (none: all)."""
-    acc = validate.enrichable(logs.decode_pitches(td.raw_log(spark, sf)))
+    raw = td.raw_log(spark, sf)
+    acc = validate.enrichable(logs.decode_pitches(raw))
     if columns:
         acc = acc.select(*columns)
-    return enrich.rolling_context(acc, td.stored_context(spark, sf), chunk_rows=1 << 25)
+    return enrich.rolling_context(acc, td.stored_context(spark, sf), chunk_rows=1 << 25, sizes=_games(raw))
 
 
 # what the scan itself reads
@@ -294,6 +303,12 @@ def q_enriched_rows(spark, sf):
                     "context_outs")
 
 
+# what is read back of an enriched event, each field as its text
+ENRICHED_TEXTS = """event_id string, event_time string, home_score string, runner_on_first string,
+pitch struct<spine: struct<event_id: string>, at_bat_index: string, inning: string, outs: string, pitch_type: string,
+             start_speed_mph: string>"""
+
+
 @register("enriched_log_values", f"""
 WITH {LOG_CTES}, {ROLLING_CTE}
 SELECT c.partition, c."offset", c.game_pk AS key_text,
@@ -310,9 +325,9 @@ def q_enriched_log_values(spark, sf):
              "at_bat_index": "$.pitch.at_bat_index", "inning": "$.pitch.inning", "outs": "$.pitch.outs",
              "pitch_type": "$.pitch.pitch_type", "start_speed_mph": "$.pitch.start_speed_mph",
              "home_score": "$.home_score", "runner_on_first": "$.runner_on_first"}
-    text = F.col("value").cast("string")
+    records = evaluate_once(records, F.from_json(F.col("value").cast("string"), ENRICHED_TEXTS), "_j")  # one parse, many fields
     return records.select("partition", "offset", F.col("key").cast("string").alias("key_text"),
-                          *[F.get_json_object(text, p).alias(n) for n, p in paths.items()])
+                          *[F.col(p.replace("$", "_j")).alias(n) for n, p in paths.items()])
 
 
 # ------------------------------------------------------------ M1-M3, M7 on the log
@@ -388,7 +403,9 @@ SELECT CASE WHEN kind = 'lookup' THEN 'TransientError' ELSE 'PoisonPillError' EN
 FROM k GROUP BY kind""")
 def q_retry_counts(spark, sf):
     v = validate.validate(logs.decode_pitches(td.raw_log(spark, sf)), unknown_enum=validate.LOOKUP_KIND)
-    parts = [part(v).select("error_class", "error_kind", F.lit(d).alias("d"), F.lit(1 - d).alias("r"))
+    # a kind has one class: counted first, so that both parts read the same few rows and the log is decoded once
+    kinds = v.groupBy("error_kind").agg(F.max("error_class").alias("error_class"), F.count(F.lit(1)).alias("n"))
+    parts = [part(kinds).select("error_class", "error_kind", (F.col("n") * d).alias("d"), (F.col("n") * (1 - d)).alias("r"))
              for part, d in ((validate.poison, 1), (validate.retryable, 0))]
     return parts[0].unionByName(parts[1]).groupBy("error_class", "error_kind").agg(
         F.sum("d").alias("dead_letters"), F.sum("r").alias("retries"))

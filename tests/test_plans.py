@@ -113,3 +113,21 @@ def test_log_is_decoded_once(spark):
         f"{c} {'boolean' if 'runner' in c else 'int'}" for c in CONTEXT_FIELDS))
     out, n = decodes(enrich.rolling_context(rows.select("game_pk", "partition", "offset", "inning", "outs"), context, chunk_rows=16))
     assert n == 1 and sorted((r.offset, r.ctx_inning) for r in out) == [(k, k) for k in range(200)]
+
+
+def test_log_queries_decode_each_log_once(spark):
+    import __spark_entry__ as entry
+    from gamelog.plans import log_queries
+    sf = "/root/testdata/sf0.001"
+
+    def decodes(name):
+        df = entry.queries()[name](spark, sf)
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count("from_json(StructField(spine")
+
+    # republish_records decodes the log and then the log that it writes
+    assert {n: decodes(n) for n in ("retry_counts", "enriched_log_values", "enriched_rows", "context_changes", "republish_records")} == {
+        "retry_counts": 1, "enriched_log_values": 1, "enriched_rows": 1, "context_changes": 1, "republish_records": 2}
+    optimized = log_queries.good(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("parseJson") == 1  # the raw text is not parsed by the filter again
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
