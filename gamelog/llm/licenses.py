@@ -123,16 +123,42 @@ def _like(vectors: list[dict[str, float]], idf: dict[str, float], other: float):
     return like
 
 
-def _wrapped(vectors: list[dict[str, float]], idf: dict[str, float], other: float, anchors: set[str]):
-    """A function of a text column: its ``_runs``."""
-    sizes, held = sorted({sum(c.values()) for c in template_terms()}), frozenset(anchors)
+def _own_words(text: str) -> list[str]:
+    return re.findall(WORD, text.lower())
 
-    @F.pandas_udf("array<string>")
-    def runs(texts: pd.Series) -> pd.Series:
-        like = _like(vectors, idf, other)
-        return pd.Series([_runs(t, like, held, sizes) for t in texts])
 
-    return runs
+def _held(known: frozenset[str]):
+    """Rows of a term and the number of texts of a batch that hold it."""
+    def run(frames):
+        for frame in frames:
+            held = Counter()
+            for text in frame["text"]:
+                held.update(known.intersection(_own_words(text or "")))
+            yield pd.DataFrame(list(held.items()), columns=["term", "n"])
+    return run
+
+
+def _parts(text: str, whole: bool, like, anchors: frozenset[str], sizes: list[int]) -> list[tuple[str, str]]:
+    """(how, segment) of each different segment of a text that holds an anchor."""
+    if anchors.isdisjoint(_own_words(text)):
+        return []
+    parts = dict.fromkeys(("header", s) for s in (*text.split("\n"), *re.split(PARAGRAPHS, text)))
+    parts = [(how, s) for how, s in parts if not anchors.isdisjoint(_own_words(s))]
+    parts += [("header", s) for s in _runs(text, like, anchors, sizes)]  # these hold one
+    return list(dict.fromkeys(([("file", text)] if whole else []) + parts))
+
+
+def _segments(vectors: list[dict[str, float]], idf: dict[str, float], other: float, anchors: set[str]):
+    """The ``_parts`` of every text, as rows."""
+    sizes, known = sorted({sum(c.values()) for c in template_terms()}), frozenset(anchors)
+
+    def run(frames):
+        like = _like(vectors, idf, other)
+        for frame in frames:
+            rows = [(key, doc, *part) for key, doc, whole, text in zip(*(frame[c] for c in ("key", "doc", "whole", "text")))
+                    for part in _parts(text or "", whole, like, known, sizes)]
+            yield pd.DataFrame(rows, columns=["key", "doc", "how", "segment"])
+    return run
 
 
 def _words(text):
@@ -157,26 +183,17 @@ def license_scan(files: DataFrame) -> DataFrame:
     rows_per_batch(spark)
     rows = files.select("doc_id", "path", "text", F.xxhash64("path", "text").alias("key"),
                         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"))
-    vocabulary = sorted({t for c in template_terms() for t in c})
-    literal = F.array(*map(F.lit, vocabulary))
-    own = rows.select(F.array_intersect(_words("text"), literal).alias("terms"))
+    # texts are cut in Python: Spark's own regular expressions leave so many objects that an executor's heap fills up
+    text = F.make_valid_utf8("text").alias("text")
     total = rows.count()
-    held = {r["term"]: r["n"] for r in own.select(F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n")).collect()}  # at most one line per term of the templates
+    known = frozenset(t for c in template_terms() for t in c)
+    held = {r["term"]: r["n"] for r in rows.select(text).mapInPandas(_held(known), "term string, n long").groupBy(
+        "term").agg(F.sum("n").alias("n")).collect()}  # at most one line per term of the templates
     vectors, idf, other, anchors = _weights(held, total)
-    anchored = F.array(*map(F.lit, sorted(anchors)))
-
-    wrapped = _wrapped(vectors, idf, other, anchors)
-    has = lambda text: F.arrays_overlap(_words(text), anchored)
-    some = rows.filter(has(F.col("text")))
-    whole = F.filter(F.array(F.struct(F.lit("file").alias("how"), F.col("text").alias("segment"))),
-                     lambda s: F.col("path").rlike(LICENSE_FILE))
-    part = lambda pattern: F.transform(F.split("text", pattern), lambda s: F.struct(
-        F.lit("header").alias("how"), s.alias("segment")))
-    segments = (some.select("key", "doc", F.explode(F.array_distinct(F.concat(
-        whole, part("\n"), part(PARAGRAPHS), F.transform(wrapped("text"), lambda s: F.struct(
-            F.lit("header").alias("how"), s.alias("segment")))))).alias("s"))
-        .select("key", "doc", "s.how", "s.segment").filter(has(F.col("segment")))
+
+    whole = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)).alias("whole")
+    segments = (rows.select("key", "doc", whole, text).mapInPandas(
+        _segments(vectors, idf, other, anchors), "key long, doc long, how string, segment string")
         .withColumn("at", F.xxhash64("segment")))
     segments = materialize(segments, "segments")
     # tables of fixed size: the terms of the templates

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+from gamelog.llm import licenses
 from gamelog.llm.licenses import LICENSE_FILE, PARAGRAPHS, TEMPLATES, THRESHOLD, WORD, license_scan, template_terms
 
 
@@ -81,5 +82,22 @@ def test_notices_wrapped_over_lines(spark):
     assert {i for i, x in got.items() if x == ("MIT", "header")} == {1, 2, 3, 4, 5}
 
 
+def test_texts_are_cut_in_python(spark, monkeypatch):
+    plans, keep = {}, licenses.materialize
+
+    def seen(df, tag):
+        plans[tag] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, tag)
+
+    monkeypatch.setattr(licenses, "materialize", seen)
+    rows = [(1, "a/x", "RELEASED under the M\u0130T license\n\nreleased under the MIT LICEN\u017fE. \u212aind\n \t\n"), (2, "a/COPYING", MIT),
+            (3, None, "\n\n\nDedicated to the public domain\r\nunder CC0 1.0 Universal."), (4, "a/y", "\n"), (5, "a/z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    broken = df.selectExpr("doc_id + 10 AS doc_id", "path", "cast(concat(cast('license ' AS binary), X'FF41') AS string) AS text")
+    got = {r["doc_id"]: (r["license"], r["how"]) for r in license_scan(df.unionByName(broken)).collect()}
+    assert got[2] == ("MIT", "header") and got[3] == ("CC0-1.0", "header") and got[4] == got[14] == ("MIT", "inherited")
+    assert "regexp_extract_all" not in plans["segments"] and "split(" not in plans["segments"]
+
+
 def test_empty_table(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, path string, text string")).collect() == []
