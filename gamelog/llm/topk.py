@@ -6,6 +6,10 @@ dimensions at a time, and after each step the pairs whose score plus the most th
 remaining dimensions can add (Cauchy-Schwarz on the remaining mass) stays below the query's
 current k-th best are dropped, and the survivors are compacted. Each pair of blocks hands on
 at most k rows a query, so the final ranking reads little.
+
+The blocks meet in tiles: a tile has a cell of the candidates' blocks and a part of the
+queries' blocks. A task holds the queries' blocks of its tile and reads the candidates' blocks
+past them. Both sides are sent by one shuffle and never broadcast.
 """
 
 from __future__ import annotations
@@ -18,9 +22,16 @@ from pyspark.sql import functions as F
 from gamelog.llm.common import materialize, table
 
 CAND_BLOCK, QUERY_BLOCK, DIM_BLOCK = 1024, 512, 16
-CELL = 8  # blocks of candidates that share a cell
+# blocks of candidates in a cell: CELL until there are CELLS cells, then up to LARGE_CELL; components of queries in a part
+CELL, LARGE_CELL, CELLS, PART = 8, 64, 48, 1 << 21
 _EXACT = float(1 << 53)
-_BLOCK = "n long, dim long, ids binary, data binary"
+_BLOCK = "n long, dim long, kind string, ids binary, data binary"
+
+
+def _packed(data: np.ndarray) -> np.ndarray:
+    """The same integers in the smallest type that holds them all."""
+    most = np.abs(data).max(initial=0)
+    return data.astype(next((t for t in (np.int16, np.int32) if most <= np.iinfo(t).max), np.float64))
 
 
 def _pack(limit: int):
@@ -30,8 +41,9 @@ def _pack(limit: int):
         data = np.zeros((dim, len(rows)))
         for i, v in enumerate(rows["v"]):
             data[:len(v), i] = np.floor(256.0 * np.asarray(v, np.float64))
-        return pd.DataFrame({"n": [len(rows)], "dim": [dim], "ids": [rows["id"].to_numpy(np.int64).tobytes()],
-                             "data": [data.tobytes()]})
+        data = _packed(data)
+        return pd.DataFrame({"n": [len(rows)], "dim": [dim], "kind": [data.dtype.name],
+                             "ids": [rows["id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
 
     def run(frames):
         rest = None
@@ -68,8 +80,8 @@ def search_block(ids, cand, qids, query, bound, k):
     starts = range(0, dim, DIM_BLOCK)
     mass = lambda m: np.sqrt(np.cumsum((m * m)[::-1], axis=0)[::-1])
     c_mass, q_mass = mass(cand), mass(query)
-    # a first k-th best for each query, from a few candidates scored whole
-    seen = min(4 * k, len(ids))
+    # a first k-th best for each query, from a few candidates scored whole; from all if it has none yet
+    seen = len(ids) if np.isneginf(bound).any() else min(4 * k, len(ids))
     first = query.T @ cand[:, :seen]
     first[qids[:, None] == ids[None, :seen]] = -np.inf
     if seen >= k:
@@ -118,21 +130,30 @@ def _best(qi, ci, score, ids, k):
 
 
 def _search(k: int):
+    """Tiles to their queries' best rows: in a tile, the queries' blocks come first."""
     def run(frames):
-        bounds: dict[bytes, np.ndarray] = {}
+        tile, asked = None, []
         for frame in frames:
             for r in frame.itertuples(index=False):
-                ids, qids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                cand = np.frombuffer(r.data).reshape(r.dim, r.n)
-                query = np.frombuffer(r.q_data).reshape(r.q_dim, r.q_n)
-                if len(bounds) > 1000:
-                    bounds.clear()
-                bound = bounds.setdefault(r.q_ids, np.full(len(qids), -np.inf))
-                qi, found, score = search_block(ids, cand, qids, query, bound, k)
-                yield pd.DataFrame({"query_id": qids[qi], "vec_id": found, "score": score})
+                if r.tile != tile:
+                    tile, asked = r.tile, []
+                ids = np.frombuffer(r.ids, np.int64)
+                rows = np.frombuffer(r.data, r.kind).reshape(r.dim, r.n)
+                if not r.turn:
+                    asked.append((ids, rows, np.full(len(ids), -np.inf)))
+                    continue
+                cand = rows.astype(float)
+                for qids, query, bound in asked:
+                    qi, found, score = search_block(ids, cand, qids, query.astype(float), bound, k)
+                    yield pd.DataFrame({"query_id": qids[qi], "vec_id": found, "score": score})
     return run
 
 
+def _cells(blocks: int) -> int:
+    """Cells for so many blocks of candidates."""
+    return max(-(-blocks // LARGE_CELL), min(-(-blocks // CELL), CELLS), 1)
+
+
 def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
           vec_col: str = "embedding") -> DataFrame:
     """The ``k`` rows of ``df`` with the largest inner product for each row of ``queries``.
@@ -147,16 +168,20 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     part = lambda t: t.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", good))
-    # as many cells as the candidates' blocks ask for; the queries' blocks go to each
-    cand = materialize(part(df).mapInPandas(_pack(CAND_BLOCK), _BLOCK), "candidates")
-    cells = -(-cand.count() // CELL) or 1
-    cand = cand.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int"))
-    asked = (part(queries).groupBy("id").agg(F.min("v").alias("v"))
-             .mapInPandas(_pack(QUERY_BLOCK), _BLOCK))
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns],
-                         F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    found = cand.join(asked, "cell").drop("cell").mapInPandas(
-        _search(k), "query_id long, vec_id long, score long")
+    # blocks get a place to be dealt by: their ids may repeat
+    blocks = lambda t, limit, tag: materialize(t.mapInPandas(_pack(limit), _BLOCK).withColumn(
+        "place", F.xxhash64(F.monotonically_increasing_id())), tag)
+    cand = blocks(part(df), CAND_BLOCK, "candidates")
+    asked = blocks(part(queries).groupBy("id").agg(F.min("v").alias("v")), QUERY_BLOCK, "queries")
+    cells = _cells(cand.count())
+    parts = -(-(asked.agg(F.sum(F.col("n") * F.col("dim"))).first()[0] or 0) // PART) or 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod("place", F.lit(n)).cast("int")
+    dealt = (asked.withColumns({"turn": F.lit(0), "part": own(parts)}).withColumn("cell", each(cells))
+             .unionByName(cand.withColumns({"turn": F.lit(1), "cell": own(cells)}).withColumn("part", each(parts))))
+    tiles = (dealt.withColumn("tile", F.col("part") * cells + F.col("cell")).drop("place", "part", "cell")
+             .repartitionById(parts * cells, "tile").sortWithinPartitions("tile", "turn"))
+    found = tiles.mapInPandas(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -1,5 +1,7 @@
 import numpy as np
+import pandas as pd
 
+from gamelog.llm import topk
 from gamelog.llm.topk import search_block, top_k
 
 
@@ -52,3 +54,46 @@ def test_bounds_drop_candidates_and_keep_answers():
     for q in range(8):
         assert found[qi == q].tolist() == np.lexsort((ids, -want[q]))[:5].tolist()
     assert np.array_equal(bound, np.sort(want, 1)[:, -5])
+
+
+def test_query_blocks_are_not_broadcast_however_small_they_seem(spark):
+    """Spark takes them for small: it knows the queries' size, not that of blocks sent to every cell."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        out = top_k(df, df.filter("vec_id % 50 = 0"))
+        assert len(out.collect()) == 30
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
+def test_many_cells_and_parts_equal_brute_force(spark, monkeypatch):
+    for name, value in {"CAND_BLOCK": 16, "QUERY_BLOCK": 4, "CELL": 2, "LARGE_CELL": 3, "CELLS": 4, "PART": 64}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    rows += [(i, [1000 * x for x in rows[i - 400][1]]) for i in range(400, 420)]  # beyond 16 bits
+    rows += [(7, rows[1][1])] * 40  # one id in whole blocks
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = top_k(df, df.filter("vec_id % 10 = 0"))
+    assert sorted(tuple(r) for r in out.collect()) == sorted(
+        (q, r, i, s) for q, r, i, s in plain(rows, [x for x in rows if x[0] % 10 == 0]))
+
+
+def test_blocks_keep_integers_in_the_smallest_type():
+    for values, kind in (([-3.0, 1.5], "int16"), ([127.99, -128.0], "int32"), ([200.0, -1e6], "int32"), ([1e9, 0.25], "float64"),
+                         ([], "int16")):
+        rows = pd.DataFrame({"id": [1, 2], "v": [values, values[:1]]})
+        r = next(topk._pack(2)([rows])).iloc[0]
+        assert r["kind"] == kind
+        want = np.zeros((len(values), 2))
+        want[:, 0] = np.floor(256 * np.array(values))
+        want[:1, 1] = want[:1, 0]
+        assert np.array_equal(np.frombuffer(r["data"], r["kind"]).reshape(r["dim"], r["n"]), want)
+
+
+def test_cells_grow_with_the_candidates():
+    assert [topk._cells(n) for n in (0, 1, 9, 384, 3000, 3200, 23000)] == [1, 1, 2, 48, 48, 50, 360]
